@@ -69,7 +69,7 @@ def main(argv):
 
     sf_dir = argv[0]
     names = argv[1:] or list(QUERIES)
-    spark = build_session(master="local[8]", spark__ui__enabled="false", spark__sql__shuffle__partitions="8", spark__driver__memory="12g")
+    spark = build_session(master="local[8]", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__sql__shuffle__partitions="8", spark__driver__memory="12g")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     bad = 0
