@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -26,6 +27,17 @@ def _shapes(side: DataFrame, on: Sequence[str], tag: str) -> DataFrame:
     ).withColumnsRenamed({"start_seconds": f"{tag}_start", "end_seconds": f"{tag}_end"})
 
 
+def _members(side: DataFrame, live: DataFrame, key: Sequence[str], tag: str, copied: bool, target_rows: int) -> DataFrame:
+    """Indexes of the intervals that have a candidate, ranked from the largest down."""
+    rank, idx = f"{tag}_rank", f"{tag}_idx"
+    if not copied:
+        return live.select(*key, F.col(f"{tag}_top").alias(idx), F.lit(1).cast("long").alias(rank)).distinct()
+    named = side.withColumnsRenamed({"start_seconds": f"{tag}_start", "end_seconds": f"{tag}_end"})
+    used = named.join(live.select(*key).distinct(), list(key), "left_semi").withColumn("_down", -F.col("idx"))
+    ranked = sequence_of(used, key, ["_down"], target_rows).row_number(rank).done()
+    return cut_lineage(ranked.select(*key, F.col("idx").alias(idx), rank))
+
+
 def greedy_match(truth: DataFrame, predicted: DataFrame, on: Sequence[str], minimum_iou: float = 0.5, target_rows: int = TARGET_ROWS) -> DataFrame:
     """Pairs of a greedy one-to-one matching by (IoU, truth index, predicted index), descending.
 
@@ -39,60 +51,48 @@ def greedy_match(truth: DataFrame, predicted: DataFrame, on: Sequence[str], mini
     p = predicted.select(*on, "idx", "start_seconds", "end_seconds")
     score = iou(F.col("t_start"), F.col("t_end"), F.col("p_start"), F.col("p_end"))
     apart = 1 if minimum_iou >= 0.5 else None
-    shapes = overlap_join(
-        _shapes(t, on, "t"), _shapes(p, on, "p"), on, ("t_start", "t_end"), ("p_start", "p_end"), score >= minimum_iou, apart
-    ).select(*on, "t_start", "t_end", "p_start", "p_end", score.alias("iou"))
-    shapes = cut_lineage(shapes)
     t_key, p_key = [*on, "t_start", "t_end"], [*on, "p_start", "p_end"]
-
-    def ranked(side: DataFrame, tag: str) -> DataFrame:
-        """Members of the shapes that have a candidate, counted down from the largest index."""
-        named = side.withColumnsRenamed({"start_seconds": f"{tag}_start", "end_seconds": f"{tag}_end"})
-        key = [*on, f"{tag}_start", f"{tag}_end"]
-        used = named.join(shapes.select(*key).distinct(), key, "left_semi").withColumn("_down", -F.col("idx"))
-        out = sequence_of(used, key, ["_down"], target_rows).row_number("_rank").done()
-        return cut_lineage(out.select(*key, F.col("idx").alias(f"{tag}_idx"), F.col("_rank").alias(f"{tag}_rank")))
-
-    t_members, p_members = ranked(t, "t"), ranked(p, "p")
-    # Members are used up from the top, so one number per shape holds its state.
-    t_state = t_members.groupBy(*t_key).agg(F.count(F.lit(1)).alias("t_n")).withColumn("t_used", F.lit(0).cast("long"))
-    p_state = p_members.groupBy(*p_key).agg(F.count(F.lit(1)).alias("p_n")).withColumn("p_used", F.lit(0).cast("long"))
-    blocks = None
+    live = overlap_join(
+        _shapes(t, on, "t"), _shapes(p, on, "p"), on, ("t_start", "t_end"), ("p_start", "p_end"), score >= minimum_iou, apart
+    )
+    none = F.lit(0).cast("long")
+    live = live.select(*t_key, "p_start", "p_end", score.alias("iou"), "t_n", "t_top", none.alias("t_used"), "p_n", "p_top", none.alias("p_used"))
+    live = cut_lineage(live)
+    # Copies are used up from the largest index down, so a count per interval holds their state.
+    copied = {"t": not live.filter("t_n > 1").isEmpty(), "p": not live.filter("p_n > 1").isEmpty()}
+    keys, sides = {"t": t_key, "p": p_key}, {"t": t, "p": p}
+    members = {tag: _members(sides[tag], live, keys[tag], tag, copied[tag], target_rows) for tag in "tp"}
+
+    choice = F.struct("iou", "t_top", "p_top")
+
+    def best(tag: str) -> DataFrame:
+        """Best candidate of each interval and how many candidates share its IoU."""
+        level = live.groupBy(*keys[tag], "iou").agg(F.max(choice).alias("_c"), F.count(F.lit(1)).alias("_n"))
+        return level.groupBy(*keys[tag]).agg(F.max(F.struct("_c", "_n")).alias(f"_{tag}"))
+
+    blocks = []
     while True:
-        live = (
-            shapes.join(t_state.filter("t_used < t_n"), t_key).join(p_state.filter("p_used < p_n"), p_key)
-            .join(t_members.select(*t_key, F.col("t_rank").alias("_tr"), F.col("t_idx").alias("t_top")), t_key)
-            .filter("_tr = t_used + 1").drop("_tr")
-            .join(p_members.select(*p_key, F.col("p_rank").alias("_pr"), F.col("p_idx").alias("p_top")), p_key)
-            .filter("_pr = p_used + 1").drop("_pr")
-        )
-        choice = F.struct("iou", "t_top", "p_top")
-        best_t = live.groupBy(*t_key).agg(F.max(choice).alias("_bt"))
-        best_p = live.groupBy(*p_key).agg(F.max(choice).alias("_bp"))
-        ties_t = live.groupBy(*t_key, "iou").agg(F.count(F.lit(1)).alias("_nt"))
-        ties_p = live.groupBy(*p_key, "iou").agg(F.count(F.lit(1)).alias("_np"))
-        mutual = (
-            live.join(best_t, t_key).join(best_p, p_key)
-            .filter((choice == F.col("_bt")) & (choice == F.col("_bp")))
-            .join(ties_t, [*t_key, "iou"]).join(ties_p, [*p_key, "iou"])
-        )
-        alone = (F.col("_nt") == 1) & (F.col("_np") == 1)
-        take = F.when(alone, F.least(F.col("t_n") - F.col("t_used"), F.col("p_n") - F.col("p_used"))).otherwise(F.lit(1))
-        block = cut_lineage(mutual.select(*t_key, "p_start", "p_end", "iou", "t_used", "p_used", take.cast("long").alias("take")))
+        mutual = live.join(best("t"), t_key).join(best("p"), p_key).filter((choice == F.col("_t._c")) & (choice == F.col("_p._c")))
+        alone = (F.col("_t._n") == 1) & (F.col("_p._n") == 1)
+        most = F.least(F.col("t_n") - F.col("t_used"), F.col("p_n") - F.col("p_used"))
+        block = cut_lineage(mutual.withColumn("take", F.when(alone, most).otherwise(1).cast("long")).drop("_t", "_p", "t_top", "p_top"))
         if block.isEmpty():
             break
-        blocks = block if blocks is None else blocks.unionByName(block)
-        spent_t = block.groupBy(*t_key).agg(F.sum("take").alias("_take"))
-        spent_p = block.groupBy(*p_key).agg(F.sum("take").alias("_take"))
-        t_state = cut_lineage(t_state.join(spent_t, t_key, "left").withColumn("t_used", F.col("t_used") + F.coalesce("_take", F.lit(0))).drop("_take"))
-        p_state = cut_lineage(p_state.join(spent_p, p_key, "left").withColumn("p_used", F.col("p_used") + F.coalesce("_take", F.lit(0))).drop("_take"))
-    if blocks is None:
-        blocks = block
-    left = blocks.join(t_members, t_key).filter((F.col("t_rank") > F.col("t_used")) & (F.col("t_rank") <= F.col("t_used") + F.col("take")))
-    left = left.withColumn("p_rank", F.col("t_rank") - F.col("t_used") + F.col("p_used"))
-    return left.join(p_members, [*p_key, "p_rank"]).select(
-        *on, "t_idx", "p_idx", "iou", "t_start", "t_end", "p_start", "p_end"
-    )
+        blocks.append(block)
+        for tag in "tp":
+            if not copied[tag]:
+                live = live.join(block.select(*keys[tag]), keys[tag], "left_anti")
+                continue
+            spent = block.groupBy(*keys[tag]).agg(F.sum("take").alias("_take"))
+            live = live.join(spent, keys[tag], "left").withColumn(f"{tag}_used", F.col(f"{tag}_used") + F.coalesce("_take", F.lit(0)))
+            # The next copy is the one ranked right after those used.
+            next_up = members[tag].select(*keys[tag], (F.col(f"{tag}_rank") - 1).alias(f"{tag}_used"), F.col(f"{tag}_idx").alias(f"{tag}_top"))
+            live = live.drop("_take", f"{tag}_top").join(next_up, [*keys[tag], f"{tag}_used"])
+        live = cut_lineage(live.select(*block.columns[:-1], "t_top", "p_top"))
+    taken = reduce(DataFrame.unionByName, blocks) if blocks else block
+    matched = taken.join(members["t"], t_key).filter((F.col("t_rank") > F.col("t_used")) & (F.col("t_rank") <= F.col("t_used") + F.col("take")))
+    matched = matched.withColumn("p_rank", F.col("t_rank") - F.col("t_used") + F.col("p_used"))
+    return matched.join(members["p"], [*p_key, "p_rank"]).select(*on, "t_idx", "p_idx", "iou", "t_start", "t_end", "p_start", "p_end")
 
 
 def overlap_counts(of: DataFrame, others: DataFrame, on: Sequence[str], target_rows: int = TARGET_ROWS) -> DataFrame:

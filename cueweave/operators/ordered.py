@@ -1,9 +1,9 @@
 """Ordered operators that stay distributed when one key holds most of the rows.
 
-A plain window partitioned by key puts a whole key into one task. Here a key with more than
-``target_rows`` rows is cut into slices of its order axis; the window runs per slice and only
-one summary row per slice is carried to the next one. Keys below the limit keep one slice and
-cost nothing beyond counting rows per key.
+A plain window partitioned by key puts a whole key into one task. Before the first window the
+rows per key are counted (two columns, partial aggregate). If no key exceeds ``target_rows``,
+plain windows follow and share one shuffle. Otherwise keys over the limit are cut into slices of
+their order axis; windows run per slice, and one summary row per slice is carried to the next.
 
 Sizes: at most ``rows / target_rows`` keys are cut, into at most ``2 * rows / target_rows``
 slices in total, so the slice tables that are broadcast hold two rows per ``target_rows`` input
@@ -46,8 +46,12 @@ def _attach(df: DataFrame, side: DataFrame, on: Sequence[str], how: str = "left"
     return df.join(F.broadcast(renamed), match, how).drop(*[f"_on_{c}" for c in on])
 
 
+def has_hot_key(df: DataFrame, keys: Sequence[str], target_rows: int) -> bool:
+    return not df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > target_rows).isEmpty()
+
+
 def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], target_rows: int = TARGET_ROWS) -> DataFrame:
-    """Add the slice number of each row; keys within ``target_rows`` get slice -1."""
+    """Add the slice number of each row (-1 for keys within ``target_rows``) and write the result once."""
     at = _position(df, order[0])
     hot = (
         df.groupBy(*keys)
@@ -61,100 +65,74 @@ def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], target_rows
         )
     )
     number = F.when(F.col(_HOT), F.greatest(F.lit(0), F.floor((F.coalesce(at, F.col("_low")) - F.col("_low")) / F.col("_width"))))
-    return (
-        _attach(df, hot, keys)
-        .withColumn(SLICE, F.coalesce(number, F.lit(-1)).cast("long"))
-        .drop("_low", "_width")
-    )
-
-
-def unsliced(df: DataFrame) -> DataFrame:
-    return df.drop(SLICE, _HOT)
-
-
-def _sort_key(order: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c) for c in order])
-
-
-def _neighbour(df, keys, order, values, forward: bool) -> DataFrame:
-    """Shared part of ``with_previous`` and ``with_next``."""
-    packed = F.struct(*[c.alias(name) for name, c in values.items()])
-    inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy(SLICE)
-    look = F.lead if forward else F.lag
-    edge_of = F.min_by if forward else F.max_by
-    edges = (
-        df.filter(_HOT)
-        .groupBy(*keys, SLICE)
-        .agg(edge_of(packed, _sort_key(order)).alias("_edge"))
-        .select(*keys, SLICE, look("_edge").over(across).alias("_carried"))
-    )
-    # The struct itself is never null, so a null neighbour means the border of the slice.
-    local = df.withColumn("_packed", packed).withColumn("_near", look("_packed").over(inside))
-    out = _attach(local, edges, [*keys, SLICE])
-    near = F.coalesce(F.col("_near"), F.col("_carried"))
-    return out.withColumn("_near", near).select(
-        *df.columns, *[F.col("_near")[name].alias(name) for name in values]
-    )
-
-
-def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
-    """Add columns holding ``values`` of the previous row of the key; null on its first row."""
-    return _neighbour(df, keys, order, values, forward=False)
-
-
-def with_next(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
-    """Add columns holding ``values`` of the next row of the key; null on its last row."""
-    return _neighbour(df, keys, order, values, forward=True)
-
-
-def with_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
-    """Add running sums, the current row included."""
-    inside = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    across = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        df.filter(_HOT)
-        .groupBy(*keys, SLICE)
-        .agg(*[F.sum(c).alias(f"_sum_{name}") for name, c in values.items()])
-        .select(*keys, SLICE, *[F.sum(f"_sum_{name}").over(across).alias(f"_before_{name}") for name in values])
-    )
-    local = df.select("*", *[F.sum(c).over(inside).alias(name) for name, c in values.items()])
-    out = _attach(local, totals, [*keys, SLICE])
-    zero = F.lit(0)
-    return out.select(
-        *df.columns,
-        *[(F.coalesce(F.col(name), zero) + F.coalesce(F.col(f"_before_{name}"), zero)).alias(name) for name in values],
-    )
-
-
-def with_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    return with_running_sum(df, keys, order, {name: F.lit(1).cast("long")})
+    cut = _attach(df, hot, keys).withColumn(SLICE, F.coalesce(number, F.lit(-1)).cast("long"))
+    return cut_lineage(cut.drop("_low", "_width"))
 
 
 def sequence_of(df: DataFrame, keys: Sequence[str], order: Sequence[str], target_rows: int = TARGET_ROWS) -> "Ordered":
-    return Ordered(sliced(df, keys, order, target_rows), list(keys), list(order))
+    """``df`` as rows in order within keys, ready for the operators of ``Ordered``."""
+    if has_hot_key(df, keys, target_rows):
+        return Ordered(sliced(df, keys, order, target_rows), list(keys), list(order), True)
+    return Ordered(df, list(keys), list(order), False)
 
 
 class Ordered:
-    """A sliced DataFrame with its keys and order, for chaining the operators above."""
+    """Rows in order within keys; ``cut`` tells whether keys are cut into slices."""
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[str]):
-        self.df, self.keys, self.order = df, keys, order
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str], cut: bool):
+        self.df, self.keys, self.order, self.cut = df, keys, order, cut
 
     def _with(self, df: DataFrame) -> "Ordered":
-        return Ordered(df, self.keys, self.order)
+        return Ordered(df, self.keys, self.order, self.cut)
+
+    def _inside(self):
+        return Window.partitionBy(*self.keys, *([SLICE] if self.cut else [])).orderBy(*self.order)
+
+    def _neighbour(self, values: Mapping[str, Column], forward: bool) -> "Ordered":
+        df, keys = self.df, self.keys
+        packed = F.struct(*[c.alias(name) for name, c in values.items()])
+        look = F.lead if forward else F.lag
+        local = df.withColumn("_packed", packed).withColumn("_near", look("_packed").over(self._inside()))
+        if self.cut:
+            edge_of = F.min_by if forward else F.max_by
+            across = Window.partitionBy(*keys).orderBy(SLICE)
+            edges = (
+                df.filter(_HOT).groupBy(*keys, SLICE)
+                .agg(edge_of(packed, F.struct(*self.order)).alias("_edge"))
+                .select(*keys, SLICE, look("_edge").over(across).alias("_carried"))
+            )
+            # The struct itself is never null, so a null neighbour means the border of the slice.
+            local = _attach(local, edges, [*keys, SLICE]).withColumn("_near", F.coalesce("_near", "_carried"))
+        return self._with(local.select(*df.columns, *[F.col("_near")[name].alias(name) for name in values]))
 
     def previous(self, **values: Column) -> "Ordered":
-        return self._with(with_previous(self.df, self.keys, self.order, values))
+        """Add columns holding ``values`` of the previous row of the key; null on its first row."""
+        return self._neighbour(values, forward=False)
 
     def next(self, **values: Column) -> "Ordered":
-        return self._with(with_next(self.df, self.keys, self.order, values))
+        """Add columns holding ``values`` of the next row of the key; null on its last row."""
+        return self._neighbour(values, forward=True)
 
     def running_sum(self, **values: Column) -> "Ordered":
-        return self._with(with_running_sum(self.df, self.keys, self.order, values))
+        """Add running sums, the current row included."""
+        df, keys = self.df, self.keys
+        inside = self._inside().rowsBetween(Window.unboundedPreceding, 0)
+        local = df.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(name) for name, c in values.items()])
+        if not self.cut:
+            return self._with(local)
+        across = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        totals = (
+            df.filter(_HOT).groupBy(*keys, SLICE)
+            .agg(*[F.sum(c).alias(f"_sum_{name}") for name, c in values.items()])
+            .select(*keys, SLICE, *[F.sum(f"_sum_{name}").over(across).alias(f"_before_{name}") for name in values])
+        )
+        out = _attach(local, totals, [*keys, SLICE])
+        return self._with(out.select(
+            *df.columns, *[(F.col(name) + F.coalesce(F.col(f"_before_{name}"), F.lit(0))).alias(name) for name in values]
+        ))
 
     def row_number(self, name: str) -> "Ordered":
-        return self._with(with_row_number(self.df, self.keys, self.order, name))
+        return self.running_sum(**{name: F.lit(1).cast("long")})
 
     def filter(self, condition: Column | str) -> "Ordered":
         return self._with(self.df.filter(condition))
@@ -163,7 +141,7 @@ class Ordered:
         return self._with(self.df.withColumns(columns))
 
     def done(self) -> DataFrame:
-        return unsliced(self.df)
+        return self.df.drop(SLICE, _HOT)
 
 
 def global_rank(df: DataFrame, digest: str, ties: Sequence[str] = (), name: str = "rank", digits: int = 4) -> DataFrame:
@@ -200,9 +178,8 @@ def ordered_fold(
     """
     keys = list(keys)
     cut = [*keys, SLICE]
-    data = rows.select(*[c for c in rows.columns])
-    data = unsliced(data) if SLICE in data.columns else data
-    data = sliced(data, keys, order, target_rows).drop(_HOT)
+    hot = has_hot_key(rows, keys, target_rows)
+    data = sliced(rows, keys, order, target_rows).drop(_HOT) if hot else rows.withColumn(SLICE, F.lit(-1).cast("long"))
     across = Window.partitionBy(*keys).orderBy(SLICE)
     slices = (
         data.groupBy(*cut).agg(F.count(F.lit(1)).alias("_rows"))
@@ -234,9 +211,11 @@ def ordered_fold(
         at = renamed.groupBy(*[f"_start_{c}" for c in cut])
         return part.groupBy(*cut).cogroup(at).applyInPandas(run, schema)
 
+    if not hot:
+        # Whole keys fit into one slice each, so there is no state to hand over.
+        whole = lambda group: run(group, pd.DataFrame({"_state": [None], "_last": [True]}))
+        return data.groupBy(*cut).applyInPandas(whole, schema).filter(~F.col("_end")).select(*keys, "_out.*")
     result = cut_lineage(pass_over(data, slices))
-    if result.filter(F.col(SLICE) > 0).isEmpty():
-        return result.filter(~F.col("_end")).select(*keys, "_out.*")
     used = cut_lineage(slices)
     while True:
         left = result.filter("_end").select(*cut, F.lag("_left").over(across).alias("_incoming"))

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .ordered import SLICE, TARGET_ROWS, sliced
+from .ordered import SLICE, TARGET_ROWS, has_hot_key, sliced
 
 
 def _ranks(kind: str, p: float, n: Column) -> list[tuple[Column, Column]]:
@@ -38,41 +38,36 @@ def exact_quantiles(
     """
     groups = list(groups)
     v = F.col(value) if isinstance(value, str) else value
-    counted = (
-        df.select(*groups, v.cast("double").alias("_v")).filter("_v is not null")
-        .groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    )
-    cut = sliced(counted, groups, ["_v"], target_rows)
+    rows = df.select(*groups, v.cast("double").alias("_v")).filter("_v is not null")
+    counted = rows.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    # The first test needs no shuffle of values; the second only runs for large groups.
+    hot = has_hot_key(rows, groups, target_rows) and has_hot_key(counted, groups, target_rows)
     everything = Window.partitionBy(*groups)
-    before = everything.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    # One row per slice: its offset within the group and the size of the group.
-    slices = (
-        cut.groupBy(*groups, SLICE).agg(F.sum("_c").alias("_s"))
-        .select(
+
+    def ranks(total: Column) -> Column:
+        return F.array(*[
+            F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank"), weight.alias("weight"))
+            for name, (kind, p) in wanted.items()
+            for rank, weight in _ranks(kind, p, total)
+        ])
+
+    if hot:
+        cut = sliced(counted, groups, ["_v"], target_rows).drop("_hot")
+        before = everything.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        # One row per slice: its offset within the group and the size of the group.
+        slices = cut.groupBy(*groups, SLICE).agg(F.sum("_c").alias("_s")).select(
             *groups, SLICE, "_s",
-            F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_offset"),
-            F.sum("_s").over(everything).alias("_total"),
+            F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_offset"), F.sum("_s").over(everything).alias("_total"),
         )
-    )
-    ranks = [
-        F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank"), weight.alias("weight"))
-        for name, (kind, p) in wanted.items()
-        for rank, weight in _ranks(kind, p, F.col("_total"))
-    ]
-    wanted_here = F.filter(
-        F.array(*ranks),
-        lambda r: (r["rank"] >= F.col("_offset")) & (r["rank"] < F.col("_offset") + F.col("_s")),
-    )
-    targets = slices.withColumn("_ranks", wanted_here).filter(F.size("_ranks") > 0)
-    running = Window.partitionBy(*groups, SLICE).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    rows = cut.drop("_hot").join(targets.drop("_s", "_total"), [*groups, SLICE])
-    placed = rows.withColumn("_upto", F.sum("_c").over(running) + F.col("_offset"))
-    hits = placed.select(
-        *groups, "_v",
-        F.explode(F.filter("_ranks", lambda r: (r["rank"] < F.col("_upto")) & (r["rank"] >= F.col("_upto") - F.col("_c")))).alias("_r"),
-    )
+        inside = lambda r: (r["rank"] >= F.col("_offset")) & (r["rank"] < F.col("_offset") + F.col("_s"))
+        targets = slices.withColumn("_ranks", F.filter(ranks(F.col("_total")), inside)).filter(F.size("_ranks") > 0)
+        running = Window.partitionBy(*groups, SLICE).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        placed = cut.join(targets, [*groups, SLICE]).withColumn("_upto", F.sum("_c").over(running) + F.col("_offset"))
+    else:
+        running = everything.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        placed = counted.withColumn("_ranks", ranks(F.sum("_c").over(everything))).withColumn("_upto", F.sum("_c").over(running))
+    here = lambda r: (r["rank"] < F.col("_upto")) & (r["rank"] >= F.col("_upto") - F.col("_c"))
+    hits = placed.select(*groups, "_v", F.explode(F.filter("_ranks", here)).alias("_r"))
     return hits.groupBy(*groups).agg(
         *[F.sum(F.when(F.col("_r.name") == name, F.col("_v") * F.col("_r.weight"))).alias(name) for name in wanted]
     )
-
-

@@ -10,23 +10,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from .ordered import TARGET_ROWS, Ordered, ordered_fold, rows_of, sequence_of
+from .ordered import TARGET_ROWS, ordered_fold, rows_of, sequence_of
 
 TOLERANCE = 1e-9
 STATUSES = ("subtitle", "no_subtitle", "ocr_error")
 
 
-def run_starts(rows: Ordered, key: Column, **first: Column) -> Ordered:
-    """Keep the first row of every run of equal ``key`` (null is a key of its own).
-
-    ``first`` names further columns to add before filtering.
-    """
-    marked = rows.with_columns(_key=key, **first).previous(_before=F.struct(F.col("_key").alias("key")))
-    starts = F.col("_before").isNull() | ~F.col("_before.key").eqNullSafe(F.col("_key"))
-    kept = marked.filter(starts)
-    return kept._with(kept.df.drop("_before"))
-
-
 def merge_runs(
     samples: DataFrame,
     interval: float,
@@ -45,12 +34,16 @@ def merge_runs(
     shown = (F.col("status") == "subtitle") & (F.length(bare) > 0)
     # Text is normalised once, in a projection of its own.
     keyed = samples.withColumn("_text", F.when(shown, bare)).withColumn("_range_end", end)
-    line_ends = samples.groupBy(*keys).agg((F.max(order[0]) + F.lit(interval)).alias("_line_end"))
-    starts = run_starts(sequence_of(keyed, keys, order, target_rows), F.col("_text"))
-    runs = starts.next(_next=F.col(order[0])).filter("_text is not null").done()
     start = F.col(order[0])
-    last = runs.filter("_next is null").join(line_ends, list(keys)).withColumn("_next", F.col("_line_end")).drop("_line_end")
-    closed = runs.filter("_next is not null").unionByName(last)
+    # The last row of a line is kept too, as the end of its last run depends on it.
+    rows = sequence_of(keyed, keys, order, target_rows).next(_after=F.struct(start.alias("ts")))
+    rows = rows.previous(_before=F.struct(F.col("_text").alias("key")))
+    begins = F.col("_before").isNull() | ~F.col("_before.key").eqNullSafe(F.col("_text"))
+    kept = rows.with_columns(_begins=begins).filter(F.col("_begins") | F.col("_after").isNull())
+    ended = kept.next(_following=F.struct(start.alias("ts"), F.col("_begins").alias("begins"))).done()
+    following = F.col("_following")
+    stop = F.when(following["begins"], following["ts"]).otherwise(F.coalesce(following["ts"], start) + F.lit(interval))
+    closed = ended.filter(F.col("_begins") & F.col("_text").isNotNull()).withColumn("_next", stop)
     lines = F.when(F.size("raw_lines") > 0, F.col("raw_lines")).otherwise(F.array("raw_text"))
     return closed.select(
         *keys,
