@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..session import cut_lineage
 
 # Particles that may follow a term, the particles of the older glossary filter,
 # the build prefix of items, and the slot cues of abilities.
@@ -353,29 +354,42 @@ def negative_cue_filter(matches: DataFrame, texts: DataFrame, cues: DataFrame) -
 
 
 def dictionary_matches(texts: DataFrame, entries: DataFrame, aliases: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """All matches of a dictionary in the texts, with their type and the record they come from."""
+    """All matches of a dictionary in the texts, with their type and the record they come from.
+
+    Names, build-prefixed items and guard cues are looked up in one pass over the texts.
+    """
     norm = normalized_texts(texts, id_col, text_col)
     records = term_records(entries, aliases)
     kind = lambda df, name: df.withColumn("match_type", F.lit(name))
     keys = ["text_id", "source_id"]
 
-    exact = bounded_matches(norm, prepared_terms(records))
     item_aliases = records.filter(F.col("all_items") & ~F.col("source_type").isin(*OFFICIAL))
-    prefixed = prepared_terms(item_aliases.withColumn("term", F.concat(F.lit(BUILD_PREFIX), tx.dictionary_key("term"))))
-    built = bounded_matches(norm, prefixed).join(exact.select(*keys), keys, "left_anti").withColumn("start", F.col("start") + 1)
-    loose = space_free_matches(norm, prepared_terms(records.filter("compact"))).join(exact.select(*keys), keys, "left_anti")
-    first = reduce(DataFrame.unionByName, [kind(exact, "exact"), kind(built, "item_build_prefix"), kind(loose, "space_omitted")])
-
-    first = first.join(records, "source_id")
-    cue_terms = guard_cues(entries, aliases).withColumnRenamed("cue", "source_id")
-    hits = bounded_matches(norm, prepared_terms(cue_terms)).select("text_id", F.col("source_id").alias("cue"))
+    wanted = [
+        records.select(F.lit("exact").alias("role"), "source_id", "term"),
+        item_aliases.select(F.lit("built"), "source_id", F.concat(F.lit(BUILD_PREFIX), tx.dictionary_key("term"))),
+        guard_cues(entries, aliases).select(F.lit("cue"), "cue", "term"),
+    ]
+    tagged = reduce(DataFrame.union, wanted).select(F.concat_ws("|", "role", "source_id").alias("source_id"), "term")
+    found = cut_lineage(bounded_matches(norm, prepared_terms(tagged)))
+    of = lambda role: found.filter(F.startswith("source_id", F.lit(f"{role}|"))).withColumn("source_id", F.expr(f"substring(source_id, {len(role) + 2})"))
+    exact, hits = of("exact"), of("cue").select("text_id", F.col("source_id").alias("cue"))
+    built = of("built").join(exact.select(*keys), keys, "left_anti").withColumn("start", F.col("start") + 1)
+    parts = [kind(exact, "exact"), kind(built, "item_build_prefix")]
+    compact = records.filter("compact")
+    if not compact.isEmpty():
+        loose = space_free_matches(norm, prepared_terms(compact)).join(exact.select(*keys), keys, "left_anti")
+        parts.append(kind(loose, "space_omitted"))
+    first = reduce(DataFrame.unionByName, parts).join(records, "source_id")
     guarded = context_guard(first, hits)
     cues = records.select("source_id", F.explode("ambiguity.negative_cues").alias("cue"))
     kept = negative_cue_filter(guarded, norm, cues)
 
-    plain = prepared_terms(records.filter(~F.col("source_type").isin(*OFFICIAL)))
+    others = records.filter(~F.col("source_type").isin(*OFFICIAL))
+    if others.isEmpty():
+        return kept
+    kept = cut_lineage(kept)
     spans = ["text_id", "source_id", "start", "end"]
-    made = compound_matches(norm, plain).join(kept.select(*spans), spans, "left_anti")
+    made = compound_matches(norm, prepared_terms(others)).join(kept.select(*spans), spans, "left_anti")
     compound = kind(made, "compound_segment").join(records, "source_id")
     return kept.unionByName(compound.select(*kept.columns))
 
@@ -451,7 +465,7 @@ def context_lines(selected: DataFrame, entries: DataFrame) -> DataFrame:
 
 def select_context(texts: DataFrame, entries: DataFrame, aliases: DataFrame, id_col: str = "id", text_col: str = "text", max_entries: int = MAX_ENTRIES, max_characters: int = MAX_CHARACTERS) -> DataFrame:
     """One row per text: the context block and the matches it was made of."""
-    matches = dictionary_matches(texts, entries, aliases, id_col, text_col)
+    matches = cut_lineage(dictionary_matches(texts, entries, aliases, id_col, text_col))
     raw = texts.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("_text"))
     sized = matches.join(raw.select("text_id", F.length("_text").alias("_size")), "text_id")
     limit = F.when(F.col("_size") <= SHORT_TEXT, F.least(F.lit(max_entries), F.lit(SHORT_ENTRIES))).otherwise(F.lit(max_entries))
