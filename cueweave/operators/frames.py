@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..session import spread
 from .ordered import rows_of
 from .tracking import detail_similarity, dilate, mask_similarity, pack_mask, unpack_mask
 
@@ -254,7 +255,7 @@ def frame_features(frames: DataFrame, split_ratio: float | None = None) -> DataF
             yield pd.DataFrame(out, columns=names)
 
     names = [f.strip().split(" ")[0] for f in schemas.FEATURE.split(",")]
-    return frames.mapInPandas(run, schemas.FEATURE)
+    return spread(frames).mapInPandas(run, schemas.FEATURE)
 
 
 def preprocess(frames: DataFrame, mode: str) -> DataFrame:

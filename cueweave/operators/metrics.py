@@ -8,12 +8,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
+from ..session import spread
 from .quantiles import exact_quantiles
 
 
 def with_row_metrics(records: DataFrame, truth: str = "ground_truth", output: str = "raw_output") -> DataFrame:
     """Add the edit metrics of each row; texts are normalised once, before they are compared."""
-    base = records.withColumn("_t", tx.normalize_text(truth)).withColumn("_o", tx.normalize_text(F.coalesce(F.col(output), F.lit(""))))
+    base = spread(records).withColumn("_t", tx.normalize_text(truth)).withColumn("_o", tx.normalize_text(F.coalesce(F.col(output), F.lit(""))))
     return base.withColumns(tx.row_metrics("_t", "_o", normalize=False)).drop("_t", "_o")
 
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 TARGET_ROWS = 1_000_000
 SLICE = "_slice"
@@ -73,7 +73,7 @@ def sequence_of(df: DataFrame, keys: Sequence[str], order: Sequence[str], target
     """``df`` as rows in order within keys, ready for the operators of ``Ordered``."""
     if has_hot_key(df, keys, target_rows):
         return Ordered(sliced(df, keys, order, target_rows), list(keys), list(order), True)
-    return Ordered(df, list(keys), list(order), False)
+    return Ordered(spread(df, *keys), list(keys), list(order), False)
 
 
 class Ordered:
@@ -179,13 +179,7 @@ def ordered_fold(
     keys = list(keys)
     cut = [*keys, SLICE]
     hot = has_hot_key(rows, keys, target_rows)
-    data = sliced(rows, keys, order, target_rows).drop(_HOT) if hot else rows.withColumn(SLICE, F.lit(-1).cast("long"))
-    across = Window.partitionBy(*keys).orderBy(SLICE)
-    slices = (
-        data.groupBy(*cut).agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*cut, F.lead(F.lit(1)).over(across).isNull().alias("_last"))
-        .withColumn("_state", F.lit(None).cast("binary"))
-    )
+    data = sliced(rows, keys, order, target_rows).drop(_HOT) if hot else spread(rows, *keys)
     key_fields = [rows.schema[k] for k in keys]
     schema = T.StructType([
         *key_fields,
@@ -213,8 +207,14 @@ def ordered_fold(
 
     if not hot:
         # Whole keys fit into one slice each, so there is no state to hand over.
-        whole = lambda group: run(group, pd.DataFrame({"_state": [None], "_last": [True]}))
-        return data.groupBy(*cut).applyInPandas(whole, schema).filter(~F.col("_end")).select(*keys, "_out.*")
+        whole = lambda group: run(group.assign(**{SLICE: -1}), pd.DataFrame({"_state": [None], "_last": [True]}))
+        return data.groupBy(*keys).applyInPandas(whole, schema).filter(~F.col("_end")).select(*keys, "_out.*")
+    across = Window.partitionBy(*keys).orderBy(SLICE)
+    slices = (
+        data.groupBy(*cut).agg(F.count(F.lit(1)).alias("_rows"))
+        .select(*cut, F.lead(F.lit(1)).over(across).isNull().alias("_last"))
+        .withColumn("_state", F.lit(None).cast("binary"))
+    )
     result = cut_lineage(pass_over(data, slices))
     used = cut_lineage(slices)
     while True:

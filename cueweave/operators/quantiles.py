@@ -51,21 +51,24 @@ def exact_quantiles(
             for rank, weight in _ranks(kind, p, total)
         ])
 
-    if hot:
-        cut = sliced(counted, groups, ["_v"], target_rows).drop("_hot")
-        before = everything.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-        # One row per slice: its offset within the group and the size of the group.
-        slices = cut.groupBy(*groups, SLICE).agg(F.sum("_c").alias("_s")).select(
-            *groups, SLICE, "_s",
-            F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_offset"), F.sum("_s").over(everything).alias("_total"),
-        )
-        inside = lambda r: (r["rank"] >= F.col("_offset")) & (r["rank"] < F.col("_offset") + F.col("_s"))
-        targets = slices.withColumn("_ranks", F.filter(ranks(F.col("_total")), inside)).filter(F.size("_ranks") > 0)
-        running = Window.partitionBy(*groups, SLICE).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-        placed = cut.join(targets, [*groups, SLICE]).withColumn("_upto", F.sum("_c").over(running) + F.col("_offset"))
-    else:
-        running = everything.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-        placed = counted.withColumn("_ranks", ranks(F.sum("_c").over(everything))).withColumn("_upto", F.sum("_c").over(running))
+    if not hot:
+        # Every group holds at most ``target_rows`` distinct values, which the built-ins count by value.
+        builtin = {
+            name: F.percentile("_v", F.lit(p)) if kind == "linear" else F.expr(f"percentile_disc({p}) within group (order by _v)")
+            for name, (kind, p) in wanted.items()
+        }
+        return rows.groupBy(*groups).agg(*[c.alias(name) for name, c in builtin.items()])
+    cut = sliced(counted, groups, ["_v"], target_rows).drop("_hot")
+    before = everything.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per slice: its offset within the group and the size of the group.
+    slices = cut.groupBy(*groups, SLICE).agg(F.sum("_c").alias("_s")).select(
+        *groups, SLICE, "_s",
+        F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_offset"), F.sum("_s").over(everything).alias("_total"),
+    )
+    inside = lambda r: (r["rank"] >= F.col("_offset")) & (r["rank"] < F.col("_offset") + F.col("_s"))
+    targets = slices.withColumn("_ranks", F.filter(ranks(F.col("_total")), inside)).filter(F.size("_ranks") > 0)
+    running = Window.partitionBy(*groups, SLICE).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = cut.join(targets, [*groups, SLICE]).withColumn("_upto", F.sum("_c").over(running) + F.col("_offset"))
     here = lambda r: (r["rank"] < F.col("_upto")) & (r["rank"] >= F.col("_upto") - F.col("_c"))
     hits = placed.select(*groups, "_v", F.explode(F.filter("_ranks", here)).alias("_r"))
     return hits.groupBy(*groups).agg(

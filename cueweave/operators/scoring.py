@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..session import spread
 from . import reviews
 from .ordered import rows_of
 
@@ -76,7 +77,7 @@ def recognize_batch(images: DataFrame, make: Callable[[], Callable[[dict], tuple
             scored = pd.DataFrame(found, columns=_RECOGNISED.names)
             yield pd.concat([frame[keep].reset_index(drop=True), scored], axis=1)
 
-    return images.mapInPandas(run, schema)
+    return spread(images).mapInPandas(run, schema)
 
 
 RETRY = T.StructType([
@@ -148,7 +149,7 @@ def infer_with_retry(jobs: DataFrame, make: Callable[[], Callable[[str], dict]],
             results = [call_with_retry(call, p, attempts, sleep) for p in frame[payload]]
             yield frame.assign(result=results)
 
-    return jobs.mapInPandas(run, schema)
+    return spread(jobs).mapInPandas(run, schema)
 
 
 def retry_outcomes(log: DataFrame, keys: Sequence[str], attempts: int = 2) -> DataFrame:

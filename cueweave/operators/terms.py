@@ -10,7 +10,7 @@ Offsets count code points of the normalised text (composed and case folded).
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 # Particles that may follow a term, the particles of the older glossary filter,
 # the build prefix of items, and the slot cues of abilities.
@@ -95,7 +95,7 @@ def _explode_texts(texts: DataFrame, rows_of_text, schema: T.StructType) -> Data
             if at:
                 yield flush()
 
-    return texts.mapInArrow(convert, schema)
+    return spread(texts).mapInArrow(convert, schema)
 
 
 def normalized_texts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -353,6 +353,21 @@ def negative_cue_filter(matches: DataFrame, texts: DataFrame, cues: DataFrame) -
     return matches.join(hit.select("text_id", "source_id"), ["text_id", "source_id"], "left_anti")
 
 
+def matches_by_role(texts: DataFrame, roles: Mapping[str, DataFrame]) -> Callable[[str], DataFrame]:
+    """Look up several term tables (source_id, term) in one pass over the texts.
+
+    The matches are written once; the returned function selects those of one role.
+    """
+    tagged = [r.select(F.concat_ws("|", F.lit(role), "source_id").alias("source_id"), "term") for role, r in roles.items()]
+    found = cut_lineage(bounded_matches(texts, prepared_terms(reduce(DataFrame.union, tagged))))
+
+    def of(role: str) -> DataFrame:
+        own = found.filter(F.startswith("source_id", F.lit(f"{role}|")))
+        return own.withColumn("source_id", F.expr(f"substring(source_id, {len(role) + 2})"))
+
+    return of
+
+
 def dictionary_matches(texts: DataFrame, entries: DataFrame, aliases: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """All matches of a dictionary in the texts, with their type and the record they come from.
 
@@ -364,14 +379,12 @@ def dictionary_matches(texts: DataFrame, entries: DataFrame, aliases: DataFrame,
     keys = ["text_id", "source_id"]
 
     item_aliases = records.filter(F.col("all_items") & ~F.col("source_type").isin(*OFFICIAL))
-    wanted = [
-        records.select(F.lit("exact").alias("role"), "source_id", "term"),
-        item_aliases.select(F.lit("built"), "source_id", F.concat(F.lit(BUILD_PREFIX), tx.dictionary_key("term"))),
-        guard_cues(entries, aliases).select(F.lit("cue"), "cue", "term"),
-    ]
-    tagged = reduce(DataFrame.union, wanted).select(F.concat_ws("|", "role", "source_id").alias("source_id"), "term")
-    found = cut_lineage(bounded_matches(norm, prepared_terms(tagged)))
-    of = lambda role: found.filter(F.startswith("source_id", F.lit(f"{role}|"))).withColumn("source_id", F.expr(f"substring(source_id, {len(role) + 2})"))
+    cues_ = guard_cues(entries, aliases).select(F.col("cue").alias("source_id"), "term")
+    of = matches_by_role(norm, {
+        "exact": records,
+        "built": item_aliases.withColumn("term", F.concat(F.lit(BUILD_PREFIX), tx.dictionary_key("term"))),
+        "cue": cues_,
+    })
     exact, hits = of("exact"), of("cue").select("text_id", F.col("source_id").alias("cue"))
     built = of("built").join(exact.select(*keys), keys, "left_anti").withColumn("start", F.col("start") + 1)
     parts = [kind(exact, "exact"), kind(built, "item_build_prefix")]

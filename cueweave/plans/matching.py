@@ -287,9 +287,8 @@ SELECT doc_id, term, hits::BIGINT AS hits FROM hit h WHERE NOT EXISTS (SELECT 1
 def term_match_prefix(spark, d):
     texts = documents(spark, d)
     terms = benchmark_terms(spark, d).filter(~F.col("term").contains(" "))
-    exact = tm.bounded_matches(texts, tm.prepared_terms(terms)).select("text_id", "source_id").distinct()
-    longer = tm.bounded_matches(texts, tm.prepared_terms(terms.withColumn("term", F.concat(F.lit("re"), "term"))))
-    fresh = longer.join(exact, ["text_id", "source_id"], "left_anti")
+    of = tm.matches_by_role(texts, {"exact": terms, "longer": terms.withColumn("term", F.concat(F.lit("re"), "term"))})
+    fresh = of("longer").join(of("exact").select("text_id", "source_id").distinct(), ["text_id", "source_id"], "left_anti")
     return fresh.groupBy(F.col("text_id").alias("doc_id"), F.col("source_id").alias("term")).agg(F.count(F.lit(1)).alias("hits"))
 
 
@@ -331,9 +330,9 @@ def guarded_match(spark, d):
     texts = documents(spark, d)
     terms = benchmark_terms(spark, d).filter(~F.col("term").contains(" "))
     cue = terms.limit(1).select(F.lit("cue:with").alias("source_id"), F.lit("with").alias("term"))
-    hits = tm.bounded_matches(texts, tm.prepared_terms(cue)).select("text_id", F.col("source_id").alias("cue"))
-    found = tm.bounded_matches(texts, tm.prepared_terms(terms))
-    guarded = found.withColumn("guard_owner", F.lit("cue:with")).withColumn("guard_slot", F.lit(None).cast("string"))
+    of = tm.matches_by_role(texts, {"term": terms, "cue": cue})
+    hits = of("cue").select("text_id", F.col("source_id").alias("cue"))
+    guarded = of("term").withColumn("guard_owner", F.lit("cue:with")).withColumn("guard_slot", F.lit(None).cast("string"))
     kept = tm.context_guard(guarded, hits)
     return kept.groupBy(F.col("text_id").alias("doc_id"), F.col("source_id").alias("term")).agg(F.count(F.lit(1)).alias("hits"))
 
@@ -345,7 +344,7 @@ WHERE doc_id NOT IN (SELECT doc_id FROM docs WHERE contains(t, 'hed')) GROUP BY
 def negative_cue(spark, d):
     texts = documents(spark, d)
     terms = benchmark_terms(spark, d).filter(~F.col("term").contains(" "))
-    found = tm.bounded_matches(texts, tm.prepared_terms(terms))
+    found = cut_lineage(tm.bounded_matches(texts, tm.prepared_terms(terms)))
     kept = tm.negative_cue_filter(found, texts, terms.select("source_id", F.lit("HED").alias("cue")))
     return kept.groupBy(F.col("text_id").alias("doc_id"), F.col("source_id").alias("term")).agg(F.count(F.lit(1)).alias("hits"))
 

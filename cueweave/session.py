@@ -37,3 +37,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cueweave-"))
     return df.checkpoint(eager=True)
+
+
+_PARTITION_BYTES = 64 << 20
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a compute-bound step all cores when its input is too small to fill them.
+
+    Small inputs end up in one partition (one file, or one coalesced shuffle). Only where the
+    planner's size estimate stays below one usual partition per core are rows spread, by ``keys``
+    if given, so that the grouping or window that follows needs no further shuffle. Larger
+    inputs are returned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *keys) if size < cores * _PARTITION_BYTES else df
