@@ -17,11 +17,13 @@ from ..operators.tracking import TRACKED, Line, TrackerConfig, finish, full_row,
 
 _STATE = "payload binary, newest double"
 _EVENT_TIME = "event_time"
+# Video time starts at zero, where the first watermark also stands and would drop the first row.
+_ORIGIN = 86_400
 
 
 def with_event_time(rows: DataFrame, delay: str, ts: str = "ts") -> DataFrame:
     """Add the event time of float seconds and the watermark that bounds lateness."""
-    return rows.withColumn(_EVENT_TIME, F.timestamp_micros((F.col(ts) * 1_000_000).cast("long"))).withWatermark(_EVENT_TIME, delay)
+    return rows.withColumn(_EVENT_TIME, F.timestamp_micros(F.round((F.col(ts) + _ORIGIN) * 1_000_000).cast("long"))).withWatermark(_EVENT_TIME, delay)
 
 
 def _stateful(
@@ -53,7 +55,7 @@ def _stateful(
                 found, payload = advance(payload, row)
                 produced += found
             state.update((payload, newest))
-            state.setTimeoutTimestamp(max(int(newest * 1000) + idle_ms, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(int((newest + _ORIGIN) * 1000) + idle_ms, state.getCurrentWatermarkMs() + 1))
         if produced:
             yield pd.DataFrame([{**head, **{n: p.get(n) for n in out.names}} for p in produced], columns=names)
 
@@ -130,7 +132,8 @@ def sessions_stream(rows: DataFrame, keys: tuple[str, ...], gap: str, delay: str
     """Runs that only a gap closes, by the built-in session window."""
     timed = with_event_time(rows, delay)
     out = timed.groupBy(*keys, F.session_window(_EVENT_TIME, gap).alias("w")).agg(F.count(F.lit(1)).alias("rows"))
-    return out.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "rows")
+    seconds = lambda c: F.unix_micros(c) / 1e6 - _ORIGIN
+    return out.select(*keys, seconds(F.col("w.start")).alias("start_seconds"), seconds(F.col("w.end")).alias("end_seconds"), "rows")
 
 
 def interval_sample_stream(frames: DataFrame, keys: tuple[str, ...], milliseconds: int = 200, delay: str = "10 seconds") -> DataFrame:
