@@ -147,13 +147,15 @@ def bounded_matches(texts: DataFrame, terms: DataFrame, particles: Sequence[str]
     """
     longest_particle = max(map(len, particles))
     # The dictionary is small; its longest phrase fixes how much text each token carries.
-    phrase = terms.filter("norm <> anchor").agg(F.max(F.length("norm"))).first()[0]
+    word = lambda c: c.rlike(r"^[\p{L}\p{N}]")
+    phrase = terms.filter((F.col("norm") != F.col("anchor")) | ~word(F.col("anchor"))).agg(F.max(F.length("norm"))).first()[0]
     window = phrase + longest_particle + 1 if phrase else 0
     tokens = token_keys(texts, window, particles)
     pairs = tokens.join(terms.select("source_id", F.col("norm").alias("term"), F.col("anchor").alias("key")), "key")
     rest = F.expr("substring(window, length(term) + 1)")
     ends = rest.rlike(rf"^(?:{'|'.join(particles)})?(?:$|[^\p{{L}}\p{{N}}])")
-    single = F.col("term") == F.col("key")
+    # A whole word ends at a boundary by itself; phrases and signs are checked in the window.
+    single = (F.col("term") == F.col("key")) & word(F.col("key"))
     phrase_hit = F.col("whole") & F.startswith("window", "term") & ends
     return pairs.filter(F.when(single, F.lit(True)).otherwise(phrase_hit)).select(
         "text_id", "source_id", "start", (F.col("start") + F.length("term")).cast("int").alias("end")
