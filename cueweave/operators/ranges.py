@@ -1,6 +1,6 @@
 """Interval joins keyed by size class and bucket.
 
-Each interval falls into the size class whose bucket width is the next power of two above its
+Each interval falls into the size class whose bucket width is the next power of four above its
 length, so it touches at most two buckets of its own class and of every larger class. A pair is
 joined in the class of its longer side, in the bucket where the overlap starts. One very long
 interval therefore costs two rows, not one row per bucket it covers.
@@ -12,7 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-LOWEST, HIGHEST = -10, 30  # 2**-10 s to 2**30 s
+BASE = 4.0
+LOWEST, HIGHEST = -5, 15  # about a millisecond to thirty years
 
 
 def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -27,12 +28,12 @@ def iou(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Colum
 
 def size_class(start: Column, end: Column) -> Column:
     """Smallest class whose bucket width is at least the length."""
-    length = F.greatest(end - start, F.lit(2.0**LOWEST))
-    return F.least(F.lit(HIGHEST), F.greatest(F.lit(LOWEST), F.ceil(F.log2(length)))).cast("int")
+    length = F.greatest(end - start, F.lit(BASE**LOWEST))
+    return F.least(F.lit(HIGHEST), F.greatest(F.lit(LOWEST), F.ceil(F.log2(length) / 2))).cast("int")
 
 
 def _buckets(start: Column, end: Column, level: Column) -> Column:
-    width = F.pow(F.lit(2.0), level)
+    width = F.pow(F.lit(BASE), level)
     return F.sequence(F.floor(start / width).cast("long"), F.floor(F.greatest(start, end) / width).cast("long"))
 
 
@@ -66,7 +67,7 @@ def overlap_join(
         up = lambda c: F.sequence(c, F.least(F.lit(HIGHEST), c + classes_apart))
         wide_l, wide_r = _spread(left, ls, le, up(own), "_lc"), _spread(right, rs, re, up(other), "_rc")
     else:
-        # Classes of each side: at most 41 values per side, so the array is bounded.
+        # Classes of each side: at most 21 values per side, so the array is bounded.
         seen_l = left.agg(F.collect_set(own).alias("_seen"))
         seen_r = right.agg(F.collect_set(other).alias("_seen"))
 
@@ -77,7 +78,7 @@ def overlap_join(
         wide_l = spread(left, ls, le, own, seen_r, "_lc")
         wide_r = spread(right, rs, re, other, seen_l, "_rc")
     matched = wide_l.alias("l").join(wide_r.alias("r"), [*on, "_level", "_bucket"])
-    width = F.pow(F.lit(2.0), F.col("_level"))
+    width = F.pow(F.lit(BASE), F.col("_level"))
     begins = F.greatest(F.col(ls), F.col(rs))
     keep = (
         (F.col("_level") == F.greatest(F.col("_lc"), F.col("_rc")))
@@ -117,7 +118,7 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, on: Sequence[st
     )
     probes = (
         points.withColumn("_level", F.explode(seen.scalar()))
-        .withColumn("_bucket", F.floor(F.col(t) / F.pow(F.lit(2.0), F.col("_level"))).cast("long"))
+        .withColumn("_bucket", F.floor(F.col(t) / F.pow(F.lit(BASE), F.col("_level"))).cast("long"))
     )
     hit = (F.col(start) <= F.col(t)) & (F.col(t) < F.col(end))
     return probes.join(wide, [*on, "_level", "_bucket"]).filter(hit).drop("_level", "_bucket")

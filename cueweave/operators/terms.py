@@ -1,8 +1,8 @@
 """Terminology linking: bounded dictionary matches in texts and a budgeted context per text.
 
 Texts are cut into tokens once; tokens meet dictionary terms in an equi-join on the first token
-of a term, so work grows with the texts and not with texts times terms. Spark decides from the
-size of the term table whether it is broadcast or shuffled.
+of a term, so work grows with the texts and not with texts times terms. The term table is measured
+first: a small one is broadcast, a large one is joined by shuffle.
 
 Offsets count code points of the normalised text (composed and case folded).
 """
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..session import cut_lineage, spread
+from ..session import broadcast_if_small, cut_lineage, spread
 
 # Particles that may follow a term, the particles of the older glossary filter,
 # the build prefix of items, and the slot cues of abilities.
@@ -151,7 +151,8 @@ def bounded_matches(texts: DataFrame, terms: DataFrame, particles: Sequence[str]
     phrase = terms.filter((F.col("norm") != F.col("anchor")) | ~word(F.col("anchor"))).agg(F.max(F.length("norm"))).first()[0]
     window = phrase + longest_particle + 1 if phrase else 0
     tokens = token_keys(texts, window, particles)
-    pairs = tokens.join(terms.select("source_id", F.col("norm").alias("term"), F.col("anchor").alias("key")), "key")
+    listed = terms.select("source_id", F.col("norm").alias("term"), F.col("anchor").alias("key"))
+    pairs = tokens.join(broadcast_if_small(listed), "key")
     rest = F.expr("substring(window, length(term) + 1)")
     ends = rest.rlike(rf"^(?:{'|'.join(particles)})?(?:$|[^\p{{L}}\p{{N}}])")
     # A whole word ends at a boundary by itself; phrases and signs are checked in the window.
@@ -194,7 +195,7 @@ def space_free_matches(texts: DataFrame, terms: DataFrame, particles: Sequence[s
 
     keyed = _explode_texts(texts, rows, _schema(texts, ("start", T.IntegerType()), ("key", T.StringType())))
     listed = compact.select("source_id", "compact", F.substring("compact", 1, COMPACT_KEY).alias("key"))
-    candidates = keyed.join(listed, "key").groupBy("text_id").agg(
+    candidates = keyed.join(broadcast_if_small(listed), "key").groupBy("text_id").agg(
         F.collect_list(F.struct("start", "source_id", "compact")).alias("tries")
     )
     tail = re.compile(rf"(?:{'|'.join(particles)})?(?![^\W_])")
@@ -262,7 +263,7 @@ def compound_matches(texts: DataFrame, terms: DataFrame, particles: Sequence[str
         .withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.least(size, F.col("i") + max(longest, 1)))))
         .withColumn("piece", F.expr("substring(body, i + 1, j - i)"))
     )
-    edges = pieces.join(vocabulary, "piece").groupBy("token", "choice", "body").agg(
+    edges = pieces.join(broadcast_if_small(vocabulary), "piece").groupBy("token", "choice", "body").agg(
         F.sort_array(F.collect_list(F.struct("i", "j"))).alias("edges")
     )
     chain_type = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())]))

@@ -255,6 +255,15 @@ def frame_range_filter(frames: DataFrame, start: float, end: float, interval: fl
     return frames.withColumn("ts", at).filter((at >= start - interval - 1e-6) & (at < end - 1e-6))
 
 
+def gap_sessions(rows: DataFrame, keys: Sequence[str], order: Sequence[str], gap: float, target_rows: int = TARGET_ROWS) -> DataFrame:
+    """Sessions that only a silence of ``gap`` or more closes; a session ends one gap after its last row."""
+    at = F.col(order[0])
+    seq = sequence_of(rows, keys, order, target_rows).previous(_before=at)
+    opens = F.col("_before").isNull() | (at - F.col("_before") >= gap)
+    numbered = seq.running_sum(session=F.when(opens, 1).otherwise(0)).done()
+    return numbered.groupBy(*keys, "session").agg(F.min(at).alias("start"), (F.max(at) + F.lit(gap)).alias("end"), F.count(F.lit(1)).alias("rows"))
+
+
 def order_in_group(texts: DataFrame, keys: Sequence[str], order: str, text: str, name: str = "joined") -> DataFrame:
     """Lines of a group in reading order, joined by newlines (the value is the whole group)."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text))))

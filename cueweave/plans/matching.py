@@ -356,8 +356,7 @@ def glossary_filter(spark, d):
     terms = benchmark_terms(spark, d).filter(~F.col("term").contains(" "))
     size = F.length("term").cast("long")
     status = F.when(size < 14, "source_checked:x").otherwise("unconfirmed")
-    # Entries are word lengths, their aliases the words: at most one entry per length.
-    glossary = terms.groupBy(size.alias("entry_id"), status.alias("status")).agg(F.min("term").alias("ko"), F.collect_set("term").alias("aliases"))
+    glossary = terms.select(size.alias("entry_id"), status.alias("status"), F.col("term").alias("ko"), F.lit(None).cast("array<string>").alias("aliases"))
     hits = tm.glossary_hits(table(spark, d, "documents"), glossary, "doc_id", "text")
     return hits.select(F.col("text_id").alias("doc_id"), "entry_id")
 

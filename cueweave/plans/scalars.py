@@ -83,7 +83,9 @@ def temporal_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat_ws(" ", tx.number_tokens("text")).alias("numbers"))
 
 
-@query("slot_tokens")
+@query("slot_tokens", r"""
+SELECT doc_id, upper(array_to_string(list_filter(regexp_extract_all(nfc_normalize(text), '[A-Za-z]+'), lambda x: regexp_matches(x, '^[QWERDFqwerdf]$')), ' ')) AS slots FROM documents
+""")
 def slot_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat_ws(" ", tx.slot_tokens("text")).alias("slots"))
 

@@ -77,7 +77,14 @@ def _echo():
     return call
 
 
-@query("translate")
+@query("translate", r"""
+WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM benchmark),
+tok AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS word FROM documents),
+n AS (SELECT doc_id, count(DISTINCT word) AS n FROM tok JOIN w ON word = term WHERE length(term) >= 6 GROUP BY doc_id)
+SELECT d.doc_id AS id, CASE WHEN trim(text) = '' THEN 'error' ELSE 'completed' END AS translation_status, trim(text) <> '' AS translated,
+  least(CASE WHEN length(text) <= 80 THEN 5 ELSE 8 END, coalesce(n, 0))::INTEGER AS terms, CASE WHEN trim(text) = '' THEN 0 ELSE 1 END AS calls
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+""")
 def translate(spark, d):
     """Documents translated by a stand-in model, with the benchmark words found in them as context."""
     words = benchmark_terms(spark, d).filter(~F.col("term").contains(" "))
@@ -93,7 +100,7 @@ def translate(spark, d):
     captions = texts.select("id", F.col("text").alias("source_ko"), F.lit("completed").alias("ocr_status"))
     prompts = {"qwen3": "Translate.", "glossary_instruction": "Use these terms.", "options": {"temperature": 0}, "qwen_think": False}
     out = sc.translate(captions, context, "qwen3:4b", prompts, _echo)
-    return out.select("id", "translation_status", "generated_ja", F.greatest(F.lit(0), F.size("trace")).alias("terms"), "calls")
+    return out.select("id", "translation_status", F.col("generated_ja").isNotNull().alias("translated"), F.greatest(F.lit(0), F.size("trace")).alias("terms"), "calls")
 
 
 @query("compare_conditions", """

@@ -305,7 +305,7 @@ i AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS
 SELECT user_id, min(us) AS start_us, max(us) + 21600000000 AS end_us, count(*)::BIGINT AS events FROM i GROUP BY user_id, s
 """)
 def session_gap(spark, d):
-    """Sessions from the built-in session window, which merges partial sessions before the shuffle."""
-    rows = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    out = rows.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("events"))
-    return out.select("user_id", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "events")
+    """Whole microseconds; the built-in session window would put a busy user into one task."""
+    rows = table(spark, d, "events").select("user_id", "event_id", micros("ts").alias("us"))
+    out = tl.gap_sessions(rows, ["user_id"], ["us", "event_id"], 21_600_000_000)
+    return out.select("user_id", F.col("start").alias("start_us"), F.col("end").alias("end_us"), F.col("rows").alias("events"))

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def build_session(app: str = "cueweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -71,3 +71,17 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores, *keys) if size < cores * _PARTITION_BYTES else df
+
+
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a lookup table for broadcast after measuring it; a larger one is joined by shuffle.
+
+    The planner cannot see the size of a table that comes out of a Python map or an aggregate,
+    and would shuffle the big side before finding out.
+    """
+    row = F.octet_length(F.concat_ws("", *[F.col(c).cast("string") for c in df.columns]))
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row), F.lit(0))).first()
+    return F.broadcast(df) if size + 64 * rows <= limit else df
