@@ -6,6 +6,8 @@ Unicode composition and case folding use the ICU classes that ship with Spark, r
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # The whitespace class of the source data (Unicode White_Space and the four
@@ -25,22 +27,30 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _compose(c: Column) -> Column:
+    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
+
+
+def _fold(c: Column) -> Column:
+    return F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True))
+
+
 def nfc(text: Column | str) -> Column:
     """Canonical composition; null stays null."""
     c = col(text)
-    return F.when(
-        c.isNotNull(),
-        F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False)),
-    )
+    return F.when(c.isNotNull(), _compose(c))
 
 
 def fold_case(text: Column | str) -> Column:
     """Full Unicode case folding (sharp s becomes ss); null stays null."""
     c = col(text)
-    return F.when(
-        c.isNotNull(),
-        F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True)),
-    )
+    return F.when(c.isNotNull(), _fold(c))
+
+
+def let(body: Callable[..., Column], **values: Column) -> Column:
+    """``body`` over values that are evaluated once per row, however often it uses them."""
+    bound = F.struct(*[v.alias(name) for name, v in values.items()])
+    return F.transform(F.array(bound), lambda s: body(*[s[name] for name in values]))[0]
 
 
 def trim_space(text: Column | str) -> Column:
@@ -68,7 +78,8 @@ def normalize_text(text: Column | str) -> Column:
 
 
 def dictionary_key(text: Column | str, *, trimmed: bool = True) -> Column:
-    key = fold_case(nfc(text))
+    c = col(text)
+    key = F.when(c.isNotNull(), _fold(_compose(c)))
     return trim_space(key) if trimmed else key
 
 
@@ -102,12 +113,20 @@ def protected_tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(col(text), F.lit(PROTECTED), F.lit(0))
 
 
+def numbers_of(composed: Column) -> Column:
+    return F.regexp_extract_all(composed, F.lit(NUMBER), F.lit(0))
+
+
+def slots_of(composed: Column) -> Column:
+    return F.transform(F.regexp_extract_all(composed, F.lit(SLOT_LETTER), F.lit(0)), F.upper)
+
+
 def number_tokens(text: Column | str) -> Column:
-    return F.regexp_extract_all(nfc(text), F.lit(NUMBER), F.lit(0))
+    return numbers_of(nfc(text))
 
 
 def slot_tokens(text: Column | str) -> Column:
-    return F.transform(F.regexp_extract_all(nfc(text), F.lit(SLOT_LETTER), F.lit(0)), F.upper)
+    return slots_of(nfc(text))
 
 
 def _allowed_edits(left: Column, right: Column, ratio: float) -> Column:
@@ -115,9 +134,8 @@ def _allowed_edits(left: Column, right: Column, ratio: float) -> Column:
     return F.greatest(F.lit(1), F.floor(longest * F.lit(ratio)).cast("int"))
 
 
-def conservative_variants(left: Column | str, right: Column | str, script: str = HANGUL) -> Column:
-    """Equal without whitespace, or a few edits apart with the same protected tokens."""
-    a, b = normalize_for_comparison(left), normalize_for_comparison(right)
+def _conservative(a: Column, b: Column, script: str) -> Column:
+    """The rule on composed texts without whitespace."""
     return (
         F.when(a == b, F.lit(True))
         .when(~a.rlike(script) | ~b.rlike(script), F.lit(False))
@@ -127,6 +145,13 @@ def conservative_variants(left: Column | str, right: Column | str, script: str =
     )
 
 
+def conservative_variants(left: Column | str, right: Column | str, script: str = HANGUL) -> Column:
+    """Equal without whitespace, or a few edits apart with the same protected tokens."""
+    return let(
+        lambda a, b: _conservative(a, b, script), a=normalize_for_comparison(left), b=normalize_for_comparison(right)
+    )
+
+
 def _contradict(left: Column, right: Column) -> Column:
     return (F.size(left) > 0) & (F.size(right) > 0) & (left != right)
 
@@ -134,15 +159,18 @@ def _contradict(left: Column, right: Column) -> Column:
 def temporal_variants(left: Column | str, right: Column | str, script: str = HANGUL) -> Column:
     """The looser rule for neighbours in time: compares only the letters of ``script``."""
     outside = "[^" + script[1:]
-    a = F.regexp_replace(nfc(left), outside, "")
-    b = F.regexp_replace(nfc(right), outside, "")
-    return (
-        F.when(conservative_variants(left, right, script), F.lit(True))
-        .when(F.least(F.length(a), F.length(b)) < 2, F.lit(False))
-        .when(_contradict(number_tokens(left), number_tokens(right)), F.lit(False))
-        .when(_contradict(slot_tokens(left), slot_tokens(right)), F.lit(False))
-        .otherwise(within_edits(a, b, _allowed_edits(a, b, TEMPORAL_EDIT_RATIO)))
-    )
+
+    def rule(x: Column, y: Column) -> Column:
+        a, b = F.regexp_replace(x, outside, ""), F.regexp_replace(y, outside, "")
+        return (
+            F.when(_conservative(remove_whitespace(x), remove_whitespace(y), script), F.lit(True))
+            .when(F.least(F.length(a), F.length(b)) < 2, F.lit(False))
+            .when(_contradict(numbers_of(x), numbers_of(y)), F.lit(False))
+            .when(_contradict(slots_of(x), slots_of(y)), F.lit(False))
+            .otherwise(within_edits(a, b, _allowed_edits(a, b, TEMPORAL_EDIT_RATIO)))
+        )
+
+    return let(rule, x=nfc(left), y=nfc(right))
 
 
 def ratio(part: Column, whole: Column) -> Column:

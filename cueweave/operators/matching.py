@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .ordered import TARGET_ROWS, sequence_of
+from .ordered import sequence_of
 from .quantiles import exact_quantiles
 from .ranges import iou, overlap_join
 
@@ -38,7 +38,7 @@ def _members(side: DataFrame, live: DataFrame, key: Sequence[str], tag: str, cop
     return cut_lineage(ranked.select(*key, F.col("idx").alias(idx), rank))
 
 
-def greedy_match(truth: DataFrame, predicted: DataFrame, on: Sequence[str], minimum_iou: float = 0.5, target_rows: int = TARGET_ROWS) -> DataFrame:
+def greedy_match(truth: DataFrame, predicted: DataFrame, on: Sequence[str], minimum_iou: float = 0.5, target_rows: int | None = None) -> DataFrame:
     """Pairs of a greedy one-to-one matching by (IoU, truth index, predicted index), descending.
 
     Both sides need ``idx`` (unique per ``on``), ``start_seconds`` and ``end_seconds``. Candidates
@@ -95,7 +95,7 @@ def greedy_match(truth: DataFrame, predicted: DataFrame, on: Sequence[str], mini
     return matched.join(members["p"], [*p_key, "p_rank"]).select(*on, "t_idx", "p_idx", "iou", "t_start", "t_end", "p_start", "p_end")
 
 
-def overlap_counts(of: DataFrame, others: DataFrame, on: Sequence[str], target_rows: int = TARGET_ROWS) -> DataFrame:
+def overlap_counts(of: DataFrame, others: DataFrame, on: Sequence[str], target_rows: int | None = None) -> DataFrame:
     """How many of ``others`` each interval overlaps, without forming a single pair.
 
     Others that start before the end, minus those that end by the start: two running counts.
@@ -119,7 +119,7 @@ def overlap_counts(of: DataFrame, others: DataFrame, on: Sequence[str], target_r
     return of.join(counted, [*on, "idx"], "left").withColumn("overlaps", F.coalesce("overlaps", F.lit(0)))
 
 
-def fragmentation(truth: DataFrame, predicted: DataFrame, on: Sequence[str], by: Sequence[str], target_rows: int = TARGET_ROWS) -> DataFrame:
+def fragmentation(truth: DataFrame, predicted: DataFrame, on: Sequence[str], by: Sequence[str], target_rows: int | None = None) -> DataFrame:
     """Extra predictions per truth and extra truths per prediction, summed per ``by``."""
     extra = F.sum(F.greatest(F.lit(0), F.col("overlaps") - 1))
     split = overlap_counts(truth, predicted, on, target_rows).groupBy(*by).agg(extra.alias("oversegmentation_extra_count"))

@@ -20,11 +20,18 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage, spread
 
-TARGET_ROWS = 1_000_000
+TARGET_ROWS = "spark.cueweave.targetRows"
+FOLD_ROWS = "spark.cueweave.foldRows"
+_DEFAULTS = {TARGET_ROWS: 1_000_000, FOLD_ROWS: 20_000}
 SLICE = "_slice"
 _HOT = "_hot"
 
 
+def rows_per_task(df: DataFrame, given: int | None, setting: str = TARGET_ROWS) -> int:
+    """Rows of one key that a task may hold: as given, else as the session sets it."""
+    return given or int(df.sparkSession.conf.get(setting, str(_DEFAULTS[setting])))
+
+
 def _position(df: DataFrame, name: str) -> Column:
     """Numeric position on the order axis."""
     kind = df.schema[name].dataType
@@ -50,8 +57,9 @@ def has_hot_key(df: DataFrame, keys: Sequence[str], target_rows: int) -> bool:
     return not df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > target_rows).isEmpty()
 
 
-def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], target_rows: int = TARGET_ROWS) -> DataFrame:
+def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], target_rows: int | None = None) -> DataFrame:
     """Add the slice number of each row (-1 for keys within ``target_rows``) and write the result once."""
+    target_rows = rows_per_task(df, target_rows)
     at = _position(df, order[0])
     hot = (
         df.groupBy(*keys)
@@ -69,8 +77,9 @@ def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], target_rows
     return cut_lineage(cut.drop("_low", "_width"))
 
 
-def sequence_of(df: DataFrame, keys: Sequence[str], order: Sequence[str], target_rows: int = TARGET_ROWS) -> "Ordered":
+def sequence_of(df: DataFrame, keys: Sequence[str], order: Sequence[str], target_rows: int | None = None) -> "Ordered":
     """``df`` as rows in order within keys, ready for the operators of ``Ordered``."""
+    target_rows = rows_per_task(df, target_rows)
     if has_hot_key(df, keys, target_rows):
         return Ordered(sliced(df, keys, order, target_rows), list(keys), list(order), True)
     return Ordered(spread(df, *keys), list(keys), list(order), False)
@@ -166,7 +175,7 @@ Fold = Callable[[pd.DataFrame, bytes | None, bool], tuple[list[dict], bytes | No
 
 
 def ordered_fold(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold, out: T.StructType, target_rows: int = 20_000
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold, out: T.StructType, target_rows: int | None = None
 ) -> DataFrame:
     """Sequential fold per key, exact and bounded in memory for keys of any size.
 
@@ -178,6 +187,7 @@ def ordered_fold(
     """
     keys = list(keys)
     cut = [*keys, SLICE]
+    target_rows = rows_per_task(rows, target_rows, FOLD_ROWS)
     hot = has_hot_key(rows, keys, target_rows)
     data = sliced(rows, keys, order, target_rows).drop(_HOT) if hot else spread(rows, *keys)
     key_fields = [rows.schema[k] for k in keys]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schemas
 from ..functions import geometry as geo
-from .ordered import TARGET_ROWS, sequence_of
+from .ordered import sequence_of
 
 SHA256 = "^[0-9a-f]{64}$"
 # Bounds of a request.
@@ -97,7 +97,7 @@ def check_result_sets(runs: DataFrame, manifest_digest: str) -> DataFrame:
     })
 
 
-def check_project(captions: DataFrame, video: str = "video_id", target_rows: int = TARGET_ROWS) -> DataFrame:
+def check_project(captions: DataFrame, video: str = "video_id", target_rows: int | None = None) -> DataFrame:
     """Captions of saved documents (start/end may not fall back within a line).
 
     ``ordinal`` is the place of a caption in its document.

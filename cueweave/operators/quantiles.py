@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .ordered import SLICE, TARGET_ROWS, has_hot_key, sliced
+from .ordered import SLICE, has_hot_key, rows_per_task, sliced
 
 
 def _ranks(kind: str, p: float, n: Column) -> list[tuple[Column, Column]]:
@@ -28,7 +28,7 @@ def exact_quantiles(
     groups: Sequence[str],
     value: Column | str,
     wanted: Mapping[str, tuple[str, float]],
-    target_rows: int = TARGET_ROWS,
+    target_rows: int | None = None,
 ) -> DataFrame:
     """One row per group with each wanted percentile as a column.
 
@@ -37,6 +37,7 @@ def exact_quantiles(
     any value are absent, so callers left join.
     """
     groups = list(groups)
+    target_rows = rows_per_task(df, target_rows)
     v = F.col(value) if isinstance(value, str) else value
     rows = df.select(*groups, v.cast("double").alias("_v")).filter("_v is not null")
     counted = rows.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c"))

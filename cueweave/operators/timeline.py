@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from .ordered import TARGET_ROWS, ordered_fold, rows_of, sequence_of
+from .ordered import ordered_fold, rows_of, sequence_of
 
 TOLERANCE = 1e-9
 STATUSES = ("subtitle", "no_subtitle", "ocr_error")
@@ -22,7 +22,7 @@ def merge_runs(
     range_end: float | Column | None = None,
     keys: Sequence[str] = ("video_id", "line_id"),
     order: Sequence[str] = ("ts",),
-    target_rows: int = TARGET_ROWS,
+    target_rows: int | None = None,
 ) -> DataFrame:
     """Captions from samples: each run of equal text, ended by the time of the next sample.
 
@@ -64,7 +64,7 @@ def sample_errors(samples: DataFrame, keys: Sequence[str] = ("video_id", "line_i
     )
 
 
-def order_violations(samples: DataFrame, keys: Sequence[str], arrival: Sequence[str], ts: str = "ts", target_rows: int = TARGET_ROWS) -> DataFrame:
+def order_violations(samples: DataFrame, keys: Sequence[str], arrival: Sequence[str], ts: str = "ts", target_rows: int | None = None) -> DataFrame:
     """Rows whose time falls below that of the row that arrived before them; equal is allowed."""
     seq = sequence_of(samples, keys, arrival, target_rows).previous(previous_ts=F.col(ts))
     return seq.filter(F.col("previous_ts") > F.col(ts)).done()
@@ -81,7 +81,7 @@ def split_by_duration(intervals: DataFrame, minimum: float, start: str = "start_
     return intervals.withColumn(end, closed).withColumn("reason", F.when(short, F.lit("shorter_than_minimum_duration")))
 
 
-def merge_by_gap(rows: DataFrame, keys: Sequence[str], start: str, end: str, maximum_gap: float, order: Sequence[str] = (), target_rows: int = TARGET_ROWS) -> DataFrame:
+def merge_by_gap(rows: DataFrame, keys: Sequence[str], start: str, end: str, maximum_gap: float, order: Sequence[str] = (), target_rows: int | None = None) -> DataFrame:
     """Join neighbours whose gap is within ``maximum_gap``; intervals of a key must not overlap.
 
     Works on island starts only: an island ends where the row before the next start ended.
@@ -154,7 +154,7 @@ def stabilize(
     minimum_duration: float = 0.6,
     keys: Sequence[str] = ("video_id", "line_id"),
     order: Sequence[str] = ("start_seconds", "end_seconds"),
-    target_rows: int = 20_000,
+    target_rows: int | None = None,
 ) -> DataFrame:
     """Merge neighbours that are variants of one reading, then drop short captions.
 
@@ -208,7 +208,7 @@ def stabilize(
     return ordered_fold(prepared, keys, order, fold, _CAPTION, target_rows)
 
 
-def assign_ids(captions: DataFrame, keys: Sequence[str] = ("video_id",), order: Sequence[str] = ("start_seconds", "line_index", "end_seconds"), target_rows: int = TARGET_ROWS) -> DataFrame:
+def assign_ids(captions: DataFrame, keys: Sequence[str] = ("video_id",), order: Sequence[str] = ("start_seconds", "line_index", "end_seconds"), target_rows: int | None = None) -> DataFrame:
     """Number captions per video in time order: ``subtitle-00001`` and on."""
     numbered = sequence_of(captions, keys, order, target_rows).row_number("ordinal").done()
     return numbered.withColumn("id", F.format_string("subtitle-%05d", "ordinal"))
@@ -225,7 +225,7 @@ def top_per_group(df: DataFrame, keys: Sequence[str], score: str, ties: Sequence
     return df.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
 
 
-def confirmed_runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, target_rows: int = TARGET_ROWS) -> DataFrame:
+def confirmed_runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, target_rows: int | None = None) -> DataFrame:
     """Runs of a label that two equal samples in a row confirm.
 
     A single odd sample is ignored, neighbours of equal label are one run, and a run ends where
@@ -255,7 +255,7 @@ def frame_range_filter(frames: DataFrame, start: float, end: float, interval: fl
     return frames.withColumn("ts", at).filter((at >= start - interval - 1e-6) & (at < end - 1e-6))
 
 
-def gap_sessions(rows: DataFrame, keys: Sequence[str], order: Sequence[str], gap: float, target_rows: int = TARGET_ROWS) -> DataFrame:
+def gap_sessions(rows: DataFrame, keys: Sequence[str], order: Sequence[str], gap: float, target_rows: int | None = None) -> DataFrame:
     """Sessions that only a silence of ``gap`` or more closes; a session ends one gap after its last row."""
     at = F.col(order[0])
     seq = sequence_of(rows, keys, order, target_rows).previous(_before=at)
@@ -295,7 +295,7 @@ def first_accepted(attempts: DataFrame, keys: Sequence[str], rank: str = "attemp
     )
 
 
-def adjacent_change(rows: DataFrame, group: str, order: Sequence[str], text: str, distance: Column | None = None, target_rows: int = TARGET_ROWS) -> DataFrame:
+def adjacent_change(rows: DataFrame, group: str, order: Sequence[str], text: str, distance: Column | None = None, target_rows: int | None = None) -> DataFrame:
     """Per group: neighbour pairs, changed pairs, change rate and mean relative edit distance."""
     seq = sequence_of(rows, [group], order, target_rows).previous(_p=F.struct(F.col(text).alias("t"))).done()
     before, now = F.col("_p.t"), F.col(text)

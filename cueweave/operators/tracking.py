@@ -241,7 +241,7 @@ def full_row(found: dict) -> dict:
     return {name: found.get(name) for name in TRACKED.names}
 
 
-def track_intervals(features: DataFrame, config: TrackerConfig = TrackerConfig(), range_end: float | None = None, target_rows: int = 20_000) -> DataFrame:
+def track_intervals(features: DataFrame, config: TrackerConfig = TrackerConfig(), range_end: float | None = None, target_rows: int | None = None) -> DataFrame:
     """Intervals and dropped candidates of every line, told apart by ``kind``.
 
     Each line ends at ``range_end``, or at its ``range_end`` column where none is given.
