@@ -100,3 +100,20 @@ def pending_orders(spark, d):
         F.col("l_orderkey").alias("job_sha"), F.when(F.col("l_linestatus") == "F", "ok").otherwise("error").alias("status")
     )
     return reviews.pending_jobs(jobs, results, ["job_sha"]).withColumnRenamed("job_sha", "o_orderkey")
+
+
+@query("expand_lines", r"""
+WITH c AS (SELECT c_custkey, c_acctbal, c_name AS speech, CASE WHEN c_nationkey < 10 THEN c_mktsegment END AS note FROM customer),
+r AS (SELECT *, unnest(CASE WHEN note IS NULL THEN ['speech'] ELSE ['annotation', 'speech', 'whole'] END) AS role FROM c)
+SELECT c_custkey || '_' || role || '_f0' || (step + 2) AS id, round(c_acctbal + 0.5 + step / 30.0::DOUBLE, 6) AS ts, step = 0 AS "primary",
+  CASE role WHEN 'annotation' THEN 1 WHEN 'speech' THEN CASE WHEN note IS NULL THEN 1 ELSE 2 END END AS reading_order,
+  CASE role WHEN 'annotation' THEN note WHEN 'speech' THEN speech ELSE note || chr(10) || speech END AS source_ko, role = 'whole' AS diagnostic_only
+FROM r, (VALUES (-1), (0), (1)) v(step)
+""")
+def expand_lines(spark, d):
+    samples = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("time"), F.lit(30.0).alias("fps"), F.lit(0.5).alias("correction"),
+        F.col("c_name").alias("speech"), F.when(F.col("c_nationkey") < 10, F.col("c_mktsegment")).alias("annotation"),
+    )
+    out = readers.expand_lines(samples)
+    return out.select("id", F.round("timestamp_seconds", 6).alias("ts"), "primary", "reading_order", "source_ko", "diagnostic_only")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas
-from ..functions import digests, text as tx
+from ..functions import digests, geometry as geo, text as tx
 
 
 def scan_projects(spark: SparkSession, path: str) -> DataFrame:
@@ -235,6 +235,33 @@ def incomplete_spells(spark: SparkSession, folder: str, locale: str) -> DataFram
     return who.filter(~F.coalesce(F.size("v.spells") == len(SLOTS), F.lit(False))).select("key", F.size("v.spells").alias("spells"))
 
 
+# --- line specifications -------------------------------------------------------------------
+
+
+def expand_lines(samples: DataFrame) -> DataFrame:
+    """Three frames of every line of a video specification, the middle one primary.
+
+    ``samples`` has id, time, fps, correction, speech and annotation (null: speech only). With an
+    annotation there is a row per role, the whole crop being diagnostic only.
+    """
+    both = F.col("annotation").isNotNull()
+    whole = F.concat_ws("\n", "annotation", "speech")
+
+    def role(name: str, order: Column, text: Column) -> Column:
+        return F.struct(F.lit(name).alias("line_role"), order.cast("int").alias("reading_order"), text.alias("source_ko"))
+
+    speech = role("speech", F.when(both, 2).otherwise(1), F.col("speech"))
+    roles = F.when(both, F.array(role("annotation", F.lit(1), F.col("annotation")), speech, role("whole", F.lit(None), whole))).otherwise(F.array(speech))
+    at = F.col("time") + F.coalesce("correction", F.lit(0.0))
+    rows = samples.withColumn("r", F.explode(roles)).withColumn("f", F.explode(geo.frame_offsets(at, F.col("fps"))))
+    kept = [c for c in samples.columns if c not in ("id", "time", "fps", "correction", "speech", "annotation")]
+    return rows.select(
+        F.format_string("%s_%s_f%02d", F.col("id").cast("string"), "r.line_role", "f.frame").alias("id"), F.col("id").alias("group_id"),
+        F.col("f.ts").alias("timestamp_seconds"), F.col("f.primary").alias("primary"), "r.line_role", "r.reading_order", "r.source_ko",
+        (F.col("r.line_role") == "whole").alias("diagnostic_only"), *kept,
+    )
+
+
 # --- images --------------------------------------------------------------------------------
 
 
