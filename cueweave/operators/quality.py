@@ -161,6 +161,8 @@ def check_dictionary(entries: DataFrame, aliases: DataFrame, sources: DataFrame,
     return out
 
 
+# How page sources are marked and what they must tell.
+PAGE_KIND, PAGE_PREFIX = "namu_wiki", "namu_"
 PAGE_SOURCE_FIELDS = ("url", "retrieval_url", "section", "checked_at", "page_revision")
 
 
@@ -169,12 +171,12 @@ def check_page_sources(sources: DataFrame) -> DataFrame:
     missing = F.lit(False)
     for c in PAGE_SOURCE_FIELDS:
         missing = missing | (F.col(c).isNull() if c in sources.columns else F.lit(True))
-    return violations(sources.filter("kind = 'namu_wiki'"), ["id"], {"incomplete page source": missing})
+    return violations(sources.filter(F.col("kind") == PAGE_KIND), ["id"], {"incomplete page source": missing})
 
 
 def check_page_aliases(aliases: DataFrame) -> DataFrame:
     """Aliases from pages are source checked, not yet human checked, and carry evidence."""
-    paged = aliases.filter(F.exists("sources", lambda s: F.startswith(s, F.lit("namu_"))))
+    paged = aliases.filter(F.exists("sources", lambda s: F.startswith(s, F.lit(PAGE_PREFIX))))
     v = F.col("verification")
     return violations(paged, ["id"], {
         "invalid page verification state": ~F.coalesce(v["source_checked"], F.lit(False)) | F.coalesce(v["human_checked"], F.lit(False)),

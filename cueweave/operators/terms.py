@@ -134,9 +134,9 @@ def _first_token(terms: DataFrame) -> DataFrame:
 
 
 def prepared_terms(records: DataFrame, id_col: str = "source_id", term_col: str = "term") -> DataFrame:
-    """Distinct (id, normalised term) rows with their first token."""
+    """Distinct (id, normalised term) rows with their first token, written once as they are read often."""
     rows = records.select(F.col(id_col).alias("source_id"), tx.dictionary_key(term_col).alias("norm"))
-    return _first_token(rows.filter(F.length("norm") > 0).distinct())
+    return cut_lineage(_first_token(rows.filter(F.length("norm") > 0).distinct()))
 
 
 def bounded_matches(texts: DataFrame, terms: DataFrame, particles: Sequence[str] = PARTICLES) -> DataFrame:
@@ -377,7 +377,7 @@ def dictionary_matches(texts: DataFrame, entries: DataFrame, aliases: DataFrame,
     Names, build-prefixed items and guard cues are looked up in one pass over the texts.
     """
     norm = normalized_texts(texts, id_col, text_col)
-    records = term_records(entries, aliases)
+    records = cut_lineage(term_records(entries, aliases))
     kind = lambda df, name: df.withColumn("match_type", F.lit(name))
     keys = ["text_id", "source_id"]
 

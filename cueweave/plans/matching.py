@@ -329,7 +329,7 @@ WHERE doc_id IN (SELECT doc_id FROM tok WHERE word = 'with') GROUP BY ALL
 def guarded_match(spark, d):
     texts = documents(spark, d)
     terms = benchmark_terms(spark, d).filter(~F.col("term").contains(" "))
-    cue = terms.limit(1).select(F.lit("cue:with").alias("source_id"), F.lit("with").alias("term"))
+    cue = spark.createDataFrame([("cue:with", "with")], "source_id string, term string")
     of = tm.matches_by_role(texts, {"term": terms, "cue": cue})
     hits = of("cue").select("text_id", F.col("source_id").alias("cue"))
     guarded = of("term").withColumn("guard_owner", F.lit("cue:with")).withColumn("guard_slot", F.lit(None).cast("string"))
