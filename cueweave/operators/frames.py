@@ -101,19 +101,23 @@ def image_of(row: dict) -> np.ndarray:
 
 
 def candidate_mask(image: np.ndarray) -> np.ndarray:
-    """The colour test of ``candidate_pixel`` for a whole image."""
-    b, g, r = (image[..., i].astype(np.int32) for i in range(3))
-    value, low = np.maximum(np.maximum(b, g), r), np.minimum(np.minimum(b, g), r)
-    spread = value - low
-    per_value = np.rint(255 * 4096 / np.maximum(value, 1)).astype(np.int32)
-    per_spread = np.rint(180 * 4096 / 6 / np.maximum(spread, 1)).astype(np.int32)
-    saturation = np.where(value == 0, 0, (spread * per_value + 2048) >> 12)
+    """The colour test of ``candidate_pixel`` for a whole image; only bright pixels are looked at."""
+    brightest = np.maximum(np.maximum(image[..., 0], image[..., 1]), image[..., 2])
+    bright = brightest >= min(WHITE_MIN_VALUE, YELLOW_MIN_VALUE)
+    b, g, r = (image[..., i][bright].astype(np.int32) for i in range(3))
+    value = brightest[bright].astype(np.int32)
+    spread = value - np.minimum(np.minimum(b, g), r)
+    per_value = np.rint(255 * 4096 / np.maximum(np.arange(256), 1)).astype(np.int32)
+    per_spread = np.rint(180 * 4096 / 6 / np.maximum(np.arange(256), 1)).astype(np.int32)
+    saturation = (spread * per_value[value] + 2048) >> 12
     sector = np.where(value == r, g - b, np.where(value == g, b - r + 2 * spread, r - g + 4 * spread))
-    hue = np.where(spread == 0, 0, (sector * per_spread + 2048) >> 12)
+    hue = np.where(spread == 0, 0, (sector * per_spread[spread] + 2048) >> 12)
     hue = np.where(hue < 0, hue + 180, hue)
     white = (value >= WHITE_MIN_VALUE) & (saturation <= WHITE_MAX_SATURATION)
     yellow = (hue >= YELLOW_HUE[0]) & (hue <= YELLOW_HUE[1]) & (saturation >= YELLOW_MIN_SATURATION) & (value >= YELLOW_MIN_VALUE)
-    return white | yellow
+    mask = np.zeros(image.shape[:2], bool)
+    mask[bright] = white | yellow
+    return mask
 
 
 def components(mask: np.ndarray) -> pd.DataFrame:
