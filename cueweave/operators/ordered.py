@@ -6,8 +6,9 @@ plain windows follow and share one shuffle. Otherwise keys over the limit are cu
 their order axis; windows run per slice, and one summary row per slice is carried to the next.
 
 Sizes: at most ``rows / target_rows`` keys are cut, into at most ``2 * rows / target_rows``
-slices in total, so the slice tables that are broadcast hold two rows per ``target_rows`` input
-rows, whatever the key distribution.
+slices per round, so the slice tables that are broadcast hold a few rows per ``target_rows``
+input rows, whatever the key distribution. Only rows of one key at one and the same position
+cannot be told apart by a slice.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ FOLD_ROWS = "spark.cueweave.foldRows"
 _DEFAULTS = {TARGET_ROWS: 1_000_000, FOLD_ROWS: 20_000}
 SLICE = "_slice"
 _HOT = "_hot"
+_REFINEMENTS, _FINER = 2, 1 << 20
 
 
 def rows_per_task(df: DataFrame, given: int | None, setting: str = TARGET_ROWS) -> int:
@@ -74,7 +76,24 @@ def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], target_rows
     )
     number = F.when(F.col(_HOT), F.greatest(F.lit(0), F.floor((F.coalesce(at, F.col("_low")) - F.col("_low")) / F.col("_width"))))
     cut = _attach(df, hot, keys).withColumn(SLICE, F.coalesce(number, F.lit(-1)).cast("long"))
-    return cut_lineage(cut.drop("_low", "_width"))
+    cut = cut_lineage(cut.drop("_low", "_width"))
+    for _ in range(_REFINEMENTS):
+        # Rows that bunch on the axis overfill a slice; such slices are cut again on their own span.
+        by = [*keys, SLICE]
+        full = (
+            cut.filter(_HOT).groupBy(*by)
+            .agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_low"), F.max(at).alias("_high"))
+            .filter((F.col("_n") > 2 * target_rows) & (F.col("_high") > F.col("_low")))
+        )
+        if full.isEmpty():
+            break
+        spans = full.select(*by, "_low", ((F.col("_high") - F.col("_low")) / F.ceil(F.col("_n") / target_rows)).alias("_width"))
+        inner = F.coalesce(F.floor((F.coalesce(at, F.col("_low")) - F.col("_low")) / F.col("_width")), F.lit(0))
+        finer = _attach(cut, spans, by)
+        cut = cut_lineage(
+            finer.withColumn(SLICE, F.when(F.col(_HOT), F.col(SLICE) * _FINER + inner).otherwise(F.col(SLICE)).cast("long")).drop("_low", "_width")
+        )
+    return cut
 
 
 def sequence_of(df: DataFrame, keys: Sequence[str], order: Sequence[str], target_rows: int | None = None) -> "Ordered":

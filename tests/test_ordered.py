@@ -55,3 +55,15 @@ def test_global_rank(spark):
     got = {r.id: r.place for r in od.global_rank(df, "h", ["id"], "place", 1).collect()}
     order = [r.id for r in df.orderBy("h").collect()]
     assert got == {identifier: i for i, identifier in enumerate(order, 1)}
+
+
+def test_bunched_rows_are_cut_again(spark):
+    """Nearly all rows of the hot key lie within a thousandth of its span."""
+    data = [("hot", i / 1000.0, i) for i in range(300)] + [("hot", 1000.0, 300), ("cold", 1.0, 301)]
+    df = spark.createDataFrame(data, "k string, ts double, id int")
+    cut = od.sliced(df, ["k"], ["ts"], 20)
+    assert cut.groupBy("k", od.SLICE).count().agg(F.max("count")).first()[0] <= 40
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    want = {(r.id, r.p) for r in df.select("id", F.lag("id").over(w).alias("p")).collect()}
+    got = od.sequence_of(df, ["k"], ["ts", "id"], 20).previous(p=F.col("id")).row_number("n").done().collect()
+    assert {(r.id, r.p) for r in got} == want and sorted(r.n for r in got if r.k == "hot") == list(range(1, 302))
