@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ship_package
@@ -72,6 +73,15 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def renamed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Only the columns an operator works on, under names of its own, so that other columns cannot clash."""
-    return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
+def located(docs: DataFrame) -> DataFrame:
+    """doc_id, text, ``whole`` (all columns), and ``_file`` and ``_row``, which identify a row; rows that come from no file are written first."""
+    columns = [F.col("doc_id"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")]
+    try:
+        return docs.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return located(stored(docs, "input"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs``, a result of ``located``, that are not in ``gone``, with their own columns."""
+    return docs.join(gone.select("_file", "_row"), ["_file", "_row"], "left_anti").select("whole.*")

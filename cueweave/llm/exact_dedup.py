@@ -13,11 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import prepare, query, scratch, stored, table, text_of
+from .common import located, prepare, query, scratch, stored, table, text_of, without
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -31,15 +30,6 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """doc_id, text, ``whole`` (all columns), and ``_file`` and ``_row``, which identify a row; rows that come from no file are written first."""
-    columns = [F.col("doc_id"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")]
-    try:
-        return docs.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    except AnalysisException:
-        return located(stored(docs, "dedup-input"))
-
-
 def first_seen(log: str, schema: StructType, spark: SparkSession, state: str) -> DataFrame:
     """One row per digest ever logged: the smallest row and how many there were. ``log`` is a folder of Parquet files."""
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
@@ -103,8 +93,7 @@ def _dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, state:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were."""
     docs = located(docs)
-    gone = _dedup(docs).filter("not kept").select("_file", "_row")
-    return docs.join(gone, ["_file", "_row"], "left_anti").select("whole.*")
+    return without(docs, _dedup(docs).filter("not kept"))
 
 
 @query(

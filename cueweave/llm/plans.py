@@ -1,6 +1,6 @@
 """All queries of this subpackage with their SQL."""
 
-from . import exact_dedup  # noqa: F401
+from . import decontaminate, exact_dedup, language_id, secrets  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
