@@ -18,7 +18,11 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import located, prepare, query, scratch, stored, table, text_of, without
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, closed after each task, so that an executor holds the files of running tasks only.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def normalized(text: Column) -> Column:
@@ -32,8 +36,9 @@ def sha256(text: Column) -> Column:
 
 def first_seen(log: str, schema: StructType, spark: SparkSession, state: str) -> DataFrame:
     """One row per digest ever logged: the smallest row and how many there were. ``log`` is a folder of Parquet files."""
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    before = {name: spark.conf.get(name) for name in STORE}
+    for name, value in STORE.items():
+        spark.conf.set(name, value)
     try:
         rows = spark.readStream.schema(schema).parquet(log)
         keyed = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "_file", "_row")).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -41,7 +46,8 @@ def first_seen(log: str, schema: StructType, spark: SparkSession, state: str) ->
         run.awaitTermination()
         found = spark.read.format("statestore").load(state)
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     value = [f.name for f in found.schema["value"].dataType.fields]
     return found.select(
         F.col("key.digest").alias("digest"), F.col(f"value.`{value[0]}`").alias("first"), F.col(f"value.`{value[1]}`").alias("n")
