@@ -4,7 +4,7 @@ A text becomes a normalised TF-IDF vector of hashed letter n-grams (one to three
 Document frequencies come from all training rows. Each language gets several centroids, by spherical k-means over a
 bounded sample of its training rows. A text takes the language of the centroid with the largest cosine; its cosine is
 its score. A text is rejected when it has no letter or when its cosine is below the limit for texts of its length,
-which is half of what all but one in a thousand training texts of that length reach.
+which is half of what all but one in a thousand training texts of that length reach, and never above ``MOST``.
 
 Defined results: a null text or one without a letter is ``und``, score 0, rejected; of centroids at one cosine the
 first language in sorted order wins; without any training row everything is ``und``; repeated rows get one answer each;
@@ -30,8 +30,8 @@ BUCKETS = 4096
 CLUSTERS = 4
 #: Training rows of a language that k-means sees, in expectation: the bound of the sample.
 SAMPLE = 1000
-#: Share of training texts of a length whose cosine lies below the unscaled limit, and the scale.
-LOWEST, SCALE = 0.001, 0.5
+#: Share of training texts of a length whose cosine lies below the unscaled limit, the scale, and the largest limit.
+LOWEST, SCALE, MOST = 0.001, 0.5, 0.15
 #: Rows that are turned into dense vectors at a time.
 BLOCK = 128
 
@@ -166,7 +166,7 @@ def fit(train: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE, bucket
         for score in sorted(by):
             below += by[score]
             if below >= least:
-                model.limits[size] = SCALE * score / 1000
+                model.limits[size] = min(MOST, SCALE * score / 1000)
                 break
     return model
 

@@ -78,11 +78,11 @@ def inverted(rules: DataFrame, labelled: DataFrame) -> DataFrame:
 
 def curated(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """The longest fitting rule as struct(rule, verdict), or null."""
-    whens = None
+    whens = F.when(F.lit(False), F.struct(F.lit("").alias("rule"), F.lit("").alias("verdict")))
     for verdict, at, start in sorted(rules, key=lambda r: -len(r[1] + r[2])):
         fits = ((host == at) | host.endswith("." + at)) & path.startswith(start)
         value = F.struct(F.lit(at + start).alias("rule"), F.lit(verdict).alias("verdict"))
-        whens = F.when(fits, value) if whens is None else whens.when(fits, value)
+        whens = whens.when(fits, value)
     return whens
 
 
