@@ -53,7 +53,7 @@ def with_generated(caption: Column, generated: Column, source: Column | None = N
         caption.withField("translation.generated_ja", F.when(empty, translation["generated_ja"]).otherwise(trim_space(generated)))
         .withField("translation.source_ko", F.when(empty, translation["source_ko"]).otherwise(used))
         .withField("translation.status", F.when(empty, F.lit("error")).otherwise("completed"))
-        .withField("translation.error", F.when(empty, F.lit("generated translation must not be empty")))
+        .withField("translation.error", F.when(empty, F.lit("nothing generated")))
     )
 
 

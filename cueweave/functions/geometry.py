@@ -60,10 +60,10 @@ def resolve_range(mode: Column, start: Column, end: Column, duration: Column) ->
     """Resolved ``start``/``end`` with an ``error`` text; exactly one side is filled."""
     whole = mode == "whole"
     error = (
-        F.when(~_finite(duration) | (duration <= 0), "video duration could not be determined")
+        F.when(~_finite(duration) | (duration <= 0), "range.duration")
         .when(whole, F.lit(None))
-        .when(start >= duration, "analysis start is outside the video")
-        .when(end > duration + F.lit(0.05), "analysis end is outside the video")
+        .when(start >= duration, "range.start")
+        .when(end > duration + F.lit(0.05), "range.end")
     )
     usable = error.isNull()
     return F.struct(

@@ -18,7 +18,7 @@ def pair_locales(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("cate
     both = a.join(b, keys, "full_outer")
     problem = (
         F.when(F.col("_a").isNull(), "missing_ko").when(F.col("_b").isNull(), "missing_ja")
-        .when(tx.is_blank("ko") | tx.is_blank("ja"), "empty official name")
+        .when(tx.is_blank("ko") | tx.is_blank("ja"), "empty_name")
     )
     return both.withColumn("problem", problem).drop("_a", "_b")
 
@@ -159,7 +159,7 @@ def refresh_manifest(files: DataFrame) -> DataFrame:
         F.count_if(F.col("kind") == "concept").alias("expected_concept_count"),
         F.count_if((F.col("kind") != "concept") & F.col("item_id").isNotNull()).alias("expected_count"),
     )
-    return counted.withColumn("problem", F.when(~F.col("role").isin(*ROLES), F.concat(F.lit("unknown dictionary file role: "), "role")))
+    return counted.withColumn("problem", F.when(~F.col("role").isin(*ROLES), F.concat(F.lit("role? "), "role")))
 
 
 def combined_digest(files: DataFrame, path: str = "file_name", sha: str = "sha256") -> DataFrame:

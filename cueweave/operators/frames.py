@@ -222,7 +222,7 @@ def feature_of(image: np.ndarray) -> dict:
     """Mask, presence, sharpness and counts of one line image."""
     height, width = image.shape[:2]
     if height < 2 or width < 2:
-        raise ValueError("line image is too small")
+        raise ValueError("too few rows or columns for a line")
     mask, count = text_mask(image)
     pixels = int(mask.sum())
     columns = np.nonzero(mask.any(axis=0))[0]
@@ -241,7 +241,7 @@ def frame_features(frames: DataFrame, split_ratio: float | None = None) -> DataF
     """Features of every line of every frame, frame-parallel."""
     ratio = None if split_ratio is None else float(split_ratio)
     if ratio is not None and not 0.1 <= ratio <= 0.9:
-        raise ValueError("line split ratio must be from 0.1 to 0.9")
+        raise ValueError("split ratio outside its bounds")
 
     def run(batches):
         for batch in batches:
@@ -262,6 +262,20 @@ def frame_features(frames: DataFrame, split_ratio: float | None = None) -> DataF
     return spread(frames).mapInPandas(run, schemas.FEATURE)
 
 
+def otsu_image(gray: np.ndarray) -> np.ndarray:
+    """Inverse binary image at the first level that separates dark and bright best, as ``otsu_thresholds``."""
+    levels = np.arange(256)
+    n0 = np.cumsum(np.bincount(gray.ravel(), minlength=256))
+    s0 = np.cumsum(np.bincount(gray.ravel(), minlength=256) * levels)
+    inside = (n0 > 0) & (n0 < n0[-1])
+    if not inside.any():
+        return np.where(gray > levels[0], 0, 255).astype(np.uint8)
+    share = n0[inside] / n0[-1]
+    apart = s0[inside] / n0[inside] - (s0[-1] - s0[inside]) / (n0[-1] - n0[inside])
+    level = levels[inside][np.argmax(share * (1 - share) * apart * apart)]
+    return np.where(gray > level, 0, 255).astype(np.uint8)
+
+
 def preprocess(frames: DataFrame, mode: str) -> DataFrame:
     """Rewrite the pixels of every frame: contrast, grayscale, white_mask, band, otsu or raw."""
     kernels = {
@@ -272,9 +286,10 @@ def preprocess(frames: DataFrame, mode: str) -> DataFrame:
             ((i.min(axis=2) >= PLAIN_WHITE) & (i.max(axis=2).astype(int) - i.min(axis=2) <= PLAIN_SPREAD)).astype(np.uint8)[..., None] * 255, 3, axis=2
         ),
         "vertical_band": lambda i: i[BAND[0] : BAND[1]],
+        "otsu": lambda i: np.repeat(otsu_image(gray_image(i).astype(np.uint8))[..., None], 3, axis=2),
     }
     if mode not in kernels:
-        raise ValueError(f"unknown preprocessing mode: {mode}")
+        raise ValueError(f"no such mode: {mode}")
 
     def run(batches):
         for batch in batches:

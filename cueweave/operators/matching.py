@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, join_on
 from .ordered import sequence_of
 from .quantiles import exact_quantiles
 from .ranges import iou, overlap_join
@@ -124,27 +124,26 @@ def fragmentation(truth: DataFrame, predicted: DataFrame, on: Sequence[str], by:
     extra = F.sum(F.greatest(F.lit(0), F.col("overlaps") - 1))
     split = overlap_counts(truth, predicted, on, target_rows).groupBy(*by).agg(extra.alias("oversegmentation_extra_count"))
     merged = overlap_counts(predicted, truth, on, target_rows).groupBy(*by).agg(extra.alias("merged_truth_extra_count"))
-    both = split.join(merged, list(by), "full_outer") if by else split.withColumn("_k", F.lit(1)).join(merged.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return both.na.fill(0, ["oversegmentation_extra_count", "merged_truth_extra_count"])
+    return join_on(split, merged, by, "full_outer").na.fill(0, ["oversegmentation_extra_count", "merged_truth_extra_count"])
 
 
 def interval_report(truth: DataFrame, predicted: DataFrame, on: Sequence[str], by: Sequence[str], minimum_iou: float = 0.5) -> DataFrame:
     """Counts, precision, recall, fragmentation and boundary errors per ``by``."""
     on, by = list(on), list(by)
-    matches = greedy_match(truth, predicted, on, minimum_iou)
+    matches = cut_lineage(greedy_match(truth, predicted, on, minimum_iou))
     errors = matches.select(*by, F.abs(F.col("t_start") - F.col("p_start")).alias("start_error"), F.abs(F.col("t_end") - F.col("p_end")).alias("end_error"))
     counts = (
-        truth.groupBy(*by).agg(F.count(F.lit(1)).alias("truth_count"))
-        .join(predicted.groupBy(*by).agg(F.count(F.lit(1)).alias("prediction_count")), by, "full_outer")
-        .join(matches.groupBy(*by).agg(F.count(F.lit(1)).alias("matched_count")), by, "left")
-        .na.fill(0, ["truth_count", "prediction_count", "matched_count"])
+        reduce(lambda a, b: join_on(a, b, by, "full_outer"), [
+            side.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+            for side, name in ((truth, "truth_count"), (predicted, "prediction_count"), (matches, "matched_count"))
+        ]).na.fill(0, ["truth_count", "prediction_count", "matched_count"])
     )
     share = lambda whole: F.when(F.col(whole) > 0, F.col("matched_count") / F.col(whole)).otherwise(0.0)
     out = counts.withColumn("precision", share("prediction_count")).withColumn("recall", share("truth_count"))
-    out = out.join(fragmentation(truth, predicted, on, by), by, "left")
+    out = join_on(out, fragmentation(truth, predicted, on, by), by)
     for name in ("start_error", "end_error"):
         wanted = {f"{name}_median_seconds": ("linear", 0.5), f"{name}_p95_seconds": ("nearest", 0.95)}
-        out = out.join(exact_quantiles(errors, by, name, wanted), by, "left")
+        out = join_on(out, exact_quantiles(errors, by, name, wanted), by)
     return out
 
 

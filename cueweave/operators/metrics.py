@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
-from ..session import spread
+from ..session import join_on, spread
 from .quantiles import exact_quantiles
 
 
@@ -45,7 +45,7 @@ def latency_stats(rows: DataFrame, by: Sequence[str], columns: Sequence[str]) ->
     parts = [
         exact_quantiles(rows, by, c, {f"{c}_median": ("linear", 0.5), f"{c}_p95": ("linear", 0.95)}) for c in columns
     ]
-    return reduce(lambda a, b: a.join(b, list(by), "full_outer"), parts)
+    return reduce(lambda a, b: join_on(a, b, by, "full_outer"), parts)
 
 
 def dataset_summary(images: DataFrame, verified: Column | None = None) -> DataFrame:

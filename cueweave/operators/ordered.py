@@ -2,13 +2,14 @@
 
 A plain window partitioned by key puts a whole key into one task. Before the first window the
 rows per key are counted (two columns, partial aggregate). If no key exceeds ``target_rows``,
-plain windows follow and share one shuffle. Otherwise keys over the limit are cut into slices of
-their order axis; windows run per slice, and one summary row per slice is carried to the next.
-
-Sizes: at most ``rows / target_rows`` keys are cut, into at most ``2 * rows / target_rows``
-slices per round, so the slice tables that are broadcast hold a few rows per ``target_rows``
-input rows, whatever the key distribution. Only rows of one key at one and the same position
-cannot be told apart by a slice.
+plain windows follow and share one shuffle. Otherwise the keys over the limit are sorted by a
+range exchange on (keys, order), which splits a key wherever its rows are, and numbered into
+slices of ``target_rows`` rows, rows of one position included; windows run per slice, and one
+summary row per slice is carried to the next. Keys within the limit keep their plain windows
+and are not written.
+
+Slice tables hold a few rows per ``target_rows`` input rows; they are written, measured, and
+broadcast only if small.
 """
 
 from __future__ import annotations
@@ -19,14 +20,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage, spread
+from ..session import broadcast_if_small, cut_lineage, spread
 
 TARGET_ROWS = "spark.cueweave.targetRows"
 FOLD_ROWS = "spark.cueweave.foldRows"
 _DEFAULTS = {TARGET_ROWS: 1_000_000, FOLD_ROWS: 20_000}
 SLICE = "_slice"
 _HOT = "_hot"
-_REFINEMENTS, _FINER = 2, 1 << 20
+#: Rows that one task of the range exchange sorts, and room for slice numbers of a task.
+_SORTED_ROWS, _PER_TASK = 1_000_000, 1 << 32
 
 
 def rows_per_task(df: DataFrame, given: int | None, setting: str = TARGET_ROWS) -> int:
@@ -34,25 +36,13 @@ def rows_per_task(df: DataFrame, given: int | None, setting: str = TARGET_ROWS)
     return given or int(df.sparkSession.conf.get(setting, str(_DEFAULTS[setting])))
 
 
-def _position(df: DataFrame, name: str) -> Column:
-    """Numeric position on the order axis."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(name).cast("double")
-    if isinstance(kind, T.TimestampNTZType):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    if isinstance(kind, T.NumericType):
-        return F.col(name).cast("double")
-    raise TypeError(f"first order column must be numeric or a timestamp: {name}")
-
-
 def _attach(df: DataFrame, side: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Join a slice table (bounded, see module text) on null-safe keys."""
-    renamed = side.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in side.columns])
+    """Join a slice table on null-safe keys; it is written and measured before it may be broadcast."""
+    renamed = broadcast_if_small(cut_lineage(side.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in side.columns])))
     match = F.lit(True)
     for c in on:
         match = match & df[c].eqNullSafe(renamed[f"_on_{c}"])
-    return df.join(F.broadcast(renamed), match, how).drop(*[f"_on_{c}" for c in on])
+    return df.join(renamed, match, how).drop(*[f"_on_{c}" for c in on])
 
 
 def has_hot_key(df: DataFrame, keys: Sequence[str], target_rows: int) -> bool:
@@ -60,40 +50,21 @@ def has_hot_key(df: DataFrame, keys: Sequence[str], target_rows: int) -> bool:
 
 
 def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], target_rows: int | None = None) -> DataFrame:
-    """Add the slice number of each row (-1 for keys within ``target_rows``) and write the result once."""
+    """Add the slice number of each row: -1 for keys within ``target_rows``, else rising along ``order``.
+
+    Order columns may be of any sortable type. Only rows of larger keys are written. No slice is
+    larger than ``target_rows``, however rows bunch or tie.
+    """
     target_rows = rows_per_task(df, target_rows)
-    at = _position(df, order[0])
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_low"), F.max(at).alias("_high"))
-        .filter((F.col("_n") > target_rows) & (F.col("_high") > F.col("_low")))
-        .select(
-            *keys,
-            F.lit(True).alias(_HOT),
-            "_low",
-            ((F.col("_high") - F.col("_low")) / F.ceil(F.col("_n") / target_rows)).alias("_width"),
-        )
-    )
-    number = F.when(F.col(_HOT), F.greatest(F.lit(0), F.floor((F.coalesce(at, F.col("_low")) - F.col("_low")) / F.col("_width"))))
-    cut = _attach(df, hot, keys).withColumn(SLICE, F.coalesce(number, F.lit(-1)).cast("long"))
-    cut = cut_lineage(cut.drop("_low", "_width"))
-    for _ in range(_REFINEMENTS):
-        # Rows that bunch on the axis overfill a slice; such slices are cut again on their own span.
-        by = [*keys, SLICE]
-        full = (
-            cut.filter(_HOT).groupBy(*by)
-            .agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_low"), F.max(at).alias("_high"))
-            .filter((F.col("_n") > 2 * target_rows) & (F.col("_high") > F.col("_low")))
-        )
-        if full.isEmpty():
-            break
-        spans = full.select(*by, "_low", ((F.col("_high") - F.col("_low")) / F.ceil(F.col("_n") / target_rows)).alias("_width"))
-        inner = F.coalesce(F.floor((F.coalesce(at, F.col("_low")) - F.col("_low")) / F.col("_width")), F.lit(0))
-        finer = _attach(cut, spans, by)
-        cut = cut_lineage(
-            finer.withColumn(SLICE, F.when(F.col(_HOT), F.col(SLICE) * _FINER + inner).otherwise(F.col(SLICE)).cast("long")).drop("_low", "_width")
-        )
-    return cut
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > target_rows).withColumn(_HOT, F.lit(True))
+    large = cut_lineage(large)
+    rows = large.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    marked = _attach(df, large.drop("_n"), keys)
+    cold = marked.filter(F.col(_HOT).isNull()).withColumns({_HOT: F.lit(False), SLICE: F.lit(-1).cast("long")})
+    ranged = marked.filter(_HOT).repartitionByRange(rows // _SORTED_ROWS + 1, *keys, *order).withColumn("_task", F.spark_partition_id())
+    place = F.row_number().over(Window.partitionBy("_task", *keys).orderBy(*order)) - 1
+    hot = ranged.withColumn(SLICE, F.col("_task") * _PER_TASK + F.floor(place / target_rows)).drop("_task")
+    return cold.unionByName(cut_lineage(hot))
 
 
 def sequence_of(df: DataFrame, keys: Sequence[str], order: Sequence[str], target_rows: int | None = None) -> "Ordered":
@@ -208,7 +179,7 @@ def ordered_fold(
     cut = [*keys, SLICE]
     target_rows = rows_per_task(rows, target_rows, FOLD_ROWS)
     hot = has_hot_key(rows, keys, target_rows)
-    data = sliced(rows, keys, order, target_rows).drop(_HOT) if hot else spread(rows, *keys)
+    data = cut_lineage(sliced(rows, keys, order, target_rows).drop(_HOT)) if hot else spread(rows, *keys)
     key_fields = [rows.schema[k] for k in keys]
     schema = T.StructType([
         *key_fields,

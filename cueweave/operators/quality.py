@@ -47,18 +47,18 @@ def check_manifest(images: DataFrame) -> DataFrame:
     lines = F.length("ground_truth") - F.length(F.replace("ground_truth", F.lit("\n"), F.lit(""))) + 1
     tags = F.col("tags")
     return violations(rows, ["id"], {
-        "id must be a non-empty string": _empty("id"),
-        "duplicate image id": F.col("_same_id"),
-        "group_id must be a non-empty string": _empty("group_id"),
-        "timestamp_seconds must be finite and non-negative": ~_finite(F.col("timestamp_seconds")) | (F.col("timestamp_seconds") < 0),
-        "image_file must be a plain file name": _empty("image_file") | F.col("image_file").rlike(r"[/\\]"),
-        "duplicate image file": F.col("_same_file"),
-        "ground_truth must be a non-empty string": _empty("ground_truth"),
-        "ground_truth_status must be verified": ~F.col("ground_truth_status").eqNullSafe("verified"),
-        "line_count does not match ground_truth": ~F.col("line_count").eqNullSafe(lines),
-        "tags must contain unique non-empty strings": tags.isNull() | (F.size(tags) == 0)
+        "image.id": _empty("id"),
+        "image.id_again": F.col("_same_id"),
+        "image.group": _empty("group_id"),
+        "image.time": ~_finite(F.col("timestamp_seconds")) | (F.col("timestamp_seconds") < 0),
+        "image.file": _empty("image_file") | F.col("image_file").rlike(r"[/\\]"),
+        "image.file_again": F.col("_same_file"),
+        "image.truth": _empty("ground_truth"),
+        "image.status": ~F.col("ground_truth_status").eqNullSafe("verified"),
+        "image.lines": ~F.col("line_count").eqNullSafe(lines),
+        "image.tags": tags.isNull() | (F.size(tags) == 0)
         | F.exists(tags, lambda t: t.isNull() | (t == "")) | (F.size(F.array_distinct(tags)) != F.size(tags)),
-        "group has inconsistent ground truth": F.col("_mixed"),
+        "image.group_truth": F.col("_mixed"),
     })
 
 
@@ -67,11 +67,11 @@ def check_manifest_source(source: DataFrame) -> DataFrame:
     r = F.col("subtitle_region")
     box = geo.region_to_pixels(r["x"], r["y"], r["width"], r["height"], F.col("width"), F.col("height"))
     return violations(source, ["video_id"], {
-        "source.video_id must be a non-empty string": _empty("video_id"),
-        "source.sha256 must be a lowercase SHA-256 digest": ~F.coalesce(F.col("sha256").rlike(SHA256), F.lit(False)),
-        "source.width must be a positive integer": F.coalesce(F.col("width") <= 0, F.lit(True)),
-        "source.height must be a positive integer": F.coalesce(F.col("height") <= 0, F.lit(True)),
-        "subtitle_region must have positive area inside the frame": box.isNull(),
+        "source.video": _empty("video_id"),
+        "source.digest": ~F.coalesce(F.col("sha256").rlike(SHA256), F.lit(False)),
+        "source.width": F.coalesce(F.col("width") <= 0, F.lit(True)),
+        "source.height": F.coalesce(F.col("height") <= 0, F.lit(True)),
+        "source.region": box.isNull(),
     })
 
 
@@ -83,17 +83,17 @@ def check_results(results: DataFrame, manifest: DataFrame, compared: Sequence[st
     want = manifest.select("ordinal", F.col("id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in compared])
     both = results.join(want, "ordinal", "full_outer")
     present = F.col("_id").isNotNull() & F.col("image_id").isNotNull()
-    rules = {"records must match manifest image order exactly": ~F.col("_id").eqNullSafe(F.col("image_id"))}
+    rules = {"result.order": ~F.col("_id").eqNullSafe(F.col("image_id"))}
     for c in compared:
-        rules[f"mismatched {c}"] = present & (F.col("_id") == F.col("image_id")) & ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+        rules[f"result.{c}"] = present & (F.col("_id") == F.col("image_id")) & ~F.col(c).eqNullSafe(F.col(f"_{c}"))
     return violations(both, ["ordinal"], rules)
 
 
 def check_result_sets(runs: DataFrame, manifest_digest: str) -> DataFrame:
     """One row per result file: digest of the manifest it was made from, and repeated settings."""
     return violations(repeated(runs, ["engine", "preprocessing"], "_again"), ["engine", "preprocessing"], {
-        "result was produced from a different manifest": ~F.col("manifest_sha256").eqNullSafe(manifest_digest),
-        "duplicate configuration": F.col("_again"),
+        "run.manifest": ~F.col("manifest_sha256").eqNullSafe(manifest_digest),
+        "run.again": F.col("_again"),
     })
 
 
@@ -109,17 +109,17 @@ def check_project(captions: DataFrame, video: str = "video_id", target_rows: int
     before = F.coalesce("_end_before", F.lit(-1.0))
     second = F.coalesce(F.col("schema_version") == 2, F.lit(False)) if "schema_version" in captions.columns else F.lit(True)
     return violations(seq, [video, "id"], {
-        "subtitle ids must be unique non-empty strings": _empty("id") | F.col("_same_id"),
-        "subtitle line identity is missing": second & (_empty("line_id") | F.coalesce(F.col("line_index") < 0, F.lit(True))),
-        "subtitle timestamps must be ordered and finite": ~_finite(start) | ~_finite(end) | (start < before) | (end < start),
-        "subtitle OCR raw output is missing": F.col("raw_text").isNull(),
+        "caption.id": _empty("id") | F.col("_same_id"),
+        "caption.line": second & (_empty("line_id") | F.coalesce(F.col("line_index") < 0, F.lit(True))),
+        "caption.order": ~_finite(start) | ~_finite(end) | (start < before) | (end < start),
+        "caption.raw": F.col("raw_text").isNull(),
     })
 
 
 def check_document(projects: DataFrame, kind: str) -> DataFrame:
     return violations(projects, ["source_file"], {
-        "unsupported project schema": ~F.coalesce(F.col("schema_version").isin(*VERSIONS), F.lit(False)) | ~F.col("kind").eqNullSafe(kind),
-        "project subtitles must be a list": F.col("subtitles").isNull(),
+        "document.version": ~F.coalesce(F.col("schema_version").isin(*VERSIONS), F.lit(False)) | ~F.col("kind").eqNullSafe(kind),
+        "document.captions": F.col("subtitles").isNull(),
     })
 
 
@@ -133,23 +133,23 @@ def check_dictionary(entries: DataFrame, aliases: DataFrame, sources: DataFrame,
     """Rules of an active dictionary as (id, violation)."""
     tagged = lambda df, name: df.select("id", F.lit(name).alias("violation"))
     official, concepts = entries.filter("origin = 'official'"), entries.filter("origin <> 'official'")
-    twice = lambda df, what: tagged(repeated(df.select("id"), ["id"], "_again").filter("_again").distinct(), f"duplicate {what}")
+    twice = lambda df, what: tagged(repeated(df.select("id"), ["id"], "_again").filter("_again").distinct(), f"{what}.again")
     status = F.coalesce("status", F.lit(""))
     active = F.lit(False)
     for prefix in ACTIVE_STATUSES:
         active = active | F.startswith(status, F.lit(prefix))
     short = F.length(F.trim("ko")) < 2
     rules = violations(aliases, ["id"], {
-        "unconfirmed alias in active dictionary": ~active,
-        "alias has no source": F.coalesce(F.size("sources") <= 0, F.lit(True)),
-        "one-character alias must record ambiguity": short & F.col("ambiguity").isNull(),
+        "alias.status": ~active,
+        "alias.sources": F.coalesce(F.size("sources") <= 0, F.lit(True)),
+        "alias.short": short & F.col("ambiguity").isNull(),
     })
     blank = official.filter((F.trim(F.coalesce("ko", F.lit(""))) == "") | (F.trim(F.coalesce("ja", F.lit(""))) == ""))
     out = (
-        rules.unionByName(twice(entries, "dictionary ID")).unionByName(twice(aliases, "alias ID")).unionByName(twice(concepts, "concept ID"))
-        .unionByName(tagged(orphans(aliases, "id", F.col("sources"), sources, "id"), "unknown alias source"))
-        .unionByName(tagged(orphans(aliases, "id", F.col("target_ids"), entries, "id"), "unknown alias target"))
-        .unionByName(tagged(blank, "missing locale name"))
+        rules.unionByName(twice(entries, "entry")).unionByName(twice(aliases, "alias")).unionByName(twice(concepts, "concept"))
+        .unionByName(tagged(orphans(aliases, "id", F.col("sources"), sources, "id"), "alias.source_ref"))
+        .unionByName(tagged(orphans(aliases, "id", F.col("target_ids"), entries, "id"), "alias.target_ref"))
+        .unionByName(tagged(blank, "entry.names"))
     )
     if files is not None:
         wanted = aliases.join(files.filter("target_category is not null").select("file_name", "target_category"), "file_name")
@@ -157,7 +157,7 @@ def check_dictionary(entries: DataFrame, aliases: DataFrame, sources: DataFrame,
             entries.select(F.col("id").alias("ref"), "category"), "ref"
         )
         wrong = targets.filter("category <> target_category").select("id").distinct()
-        out = out.unionByName(tagged(wrong, "alias target category differs from file"))
+        out = out.unionByName(tagged(wrong, "alias.category"))
     return out
 
 
@@ -171,7 +171,7 @@ def check_page_sources(sources: DataFrame) -> DataFrame:
     missing = F.lit(False)
     for c in PAGE_SOURCE_FIELDS:
         missing = missing | (F.col(c).isNull() if c in sources.columns else F.lit(True))
-    return violations(sources.filter(F.col("kind") == PAGE_KIND), ["id"], {"incomplete page source": missing})
+    return violations(sources.filter(F.col("kind") == PAGE_KIND), ["id"], {"page.source": missing})
 
 
 def check_page_aliases(aliases: DataFrame) -> DataFrame:
@@ -179,8 +179,8 @@ def check_page_aliases(aliases: DataFrame) -> DataFrame:
     paged = aliases.filter(F.exists("sources", lambda s: F.startswith(s, F.lit(PAGE_PREFIX))))
     v = F.col("verification")
     return violations(paged, ["id"], {
-        "invalid page verification state": ~F.coalesce(v["source_checked"], F.lit(False)) | F.coalesce(v["human_checked"], F.lit(False)),
-        "missing page evidence": _empty("evidence"),
+        "page.checked": ~F.coalesce(v["source_checked"], F.lit(False)) | F.coalesce(v["human_checked"], F.lit(False)),
+        "page.evidence": _empty("evidence"),
     })
 
 
@@ -195,16 +195,16 @@ def check_request(requests: DataFrame, keys: Sequence[str] = ("request_id",)) ->
     outside = lambda c, bounds: ~F.coalesce(c.between(*bounds), F.lit(False))
     split = s["line_split_ratio"]
     return violations(requests, list(keys), {
-        "unsupported schema_version": ~F.coalesce(F.col("schema_version").isin(*VERSIONS), F.lit(False)),
-        "video_path must be a non-empty string": F.trim(F.coalesce("video_path", F.lit(""))) == "",
-        "video_path must be absolute": ~F.coalesce(F.col("video_path").rlike(r"^(/|[A-Za-z]:[\\/])"), F.lit(False)),
-        "subtitle_region must fit inside the video": ~F.coalesce(geo.region_valid(r["x"], r["y"], r["width"], r["height"]), F.lit(False)),
-        "analysis_range.mode must be range or whole": ~F.coalesce(a["mode"].isin("range", "whole"), F.lit(False)),
-        "range must have finite 0 <= start < end values": F.coalesce(ranged, F.lit(False)) & bad_range,
-        "whole-video analysis must use null start and end": F.coalesce(a["mode"] == "whole", F.lit(False)) & (start.isNotNull() | end.isNotNull()),
-        "sample_interval_ms out of range": outside(s["sample_interval_ms"], INTERVAL_MS),
-        "line_split_ratio must be null or from 0.1 to 0.9": split.isNotNull() & outside(split, SPLIT_RATIO),
-        "minimum_display_duration_ms out of range": outside(duration, DURATION_MS),
+        "request.version": ~F.coalesce(F.col("schema_version").isin(*VERSIONS), F.lit(False)),
+        "request.path": F.trim(F.coalesce("video_path", F.lit(""))) == "",
+        "request.path_relative": ~F.coalesce(F.col("video_path").rlike(r"^(/|[A-Za-z]:[\\/])"), F.lit(False)),
+        "request.region": ~F.coalesce(geo.region_valid(r["x"], r["y"], r["width"], r["height"]), F.lit(False)),
+        "request.mode": ~F.coalesce(a["mode"].isin("range", "whole"), F.lit(False)),
+        "request.bounds": F.coalesce(ranged, F.lit(False)) & bad_range,
+        "request.bounds_unused": F.coalesce(a["mode"] == "whole", F.lit(False)) & (start.isNotNull() | end.isNotNull()),
+        "request.interval": outside(s["sample_interval_ms"], INTERVAL_MS),
+        "request.split": split.isNotNull() & outside(split, SPLIT_RATIO),
+        "request.duration": outside(duration, DURATION_MS),
     })
 
 
@@ -228,8 +228,8 @@ def parse_judgement(answers: DataFrame, response: str, expected: str) -> DataFra
     blank = lambda c: F.length(F.coalesce(c, F.lit(""))) == 0
     silent = F.exists(rows, lambda j: blank(j["rationale"]) | blank(j["semantic_signature"]))
     problem = (
-        F.when(rows.isNull() | ~got.eqNullSafe(F.array_sort(F.array_distinct(expected))), "judge candidate correspondence mismatch")
-        .when(silent, "judge omitted rationale")
+        F.when(rows.isNull() | ~got.eqNullSafe(F.array_sort(F.array_distinct(expected))), "answer.candidates")
+        .when(silent, "answer.silent")
     )
     return parsed.withColumn("problem", problem)
 

@@ -21,7 +21,7 @@ def strict_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], agree:
     b = right.withColumn("_b", F.lit(True))
     both = a.join(b, list(keys), "full_outer")
     problem = (
-        F.when(F.col("_b").isNull(), "missing record").when(F.col("_a").isNull(), "extra record").when(~agree, "mismatch")
+        F.when(F.col("_b").isNull(), "pair.absent").when(F.col("_a").isNull(), "pair.extra").when(~agree, "mismatch")
     )
     return both.withColumn("problem", problem).drop("_a", "_b")
 
@@ -187,7 +187,7 @@ def translate(captions: DataFrame, context: DataFrame, model: str, prompts: dict
     kinds = F.array_join(F.transform("result.errors", lambda e: e["type"]), ", ")
     error = (
         F.when(called & ~ok, F.concat(F.lit("translation failed: "), kinds))
-        .when(~called & (F.col("ocr_status") == "completed"), "source text is blank")
+        .when(~called & (F.col("ocr_status") == "completed"), "no source text")
     )
     return out.select(
         *captions.columns, "trace",

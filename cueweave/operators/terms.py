@@ -432,19 +432,26 @@ UNKNOWN_ORIGIN = "不明"
 
 
 def distinct_targets(matches: DataFrame, limit: Column, order: Sequence[Column] | None = None, text: str = "text_id") -> DataFrame:
-    """First match of each target list in order, without spans inside one of equal targets.
+    """Matches in order, without those that repeat the target list of a kept one or lie inside a kept one of equal targets.
 
-    Keeps at most ``limit`` rows per text and numbers them in ``rank``.
+    Keeps at most ``limit`` rows per text and numbers them in ``rank``. Only matches of one set of targets bear on each
+    other, so each such set of a text is walked by itself, holding no more than what it keeps.
     """
     order = list(order or match_order())
-    tuple_key = F.col("target_ids")
-    first = Window.partitionBy(text, "_targets").orderBy(*order)
-    rows = matches.withColumn("_targets", tuple_key).withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    earlier = Window.partitionBy(text, "_set").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_set", F.array_sort(F.array_distinct("target_ids"))).withColumn("_reach", F.max("end").over(earlier))
-    rows = rows.filter(F.coalesce(F.col("_reach") < F.col("end"), F.lit(True)))
+    by = [text, "_set"]
+    rows = matches.withColumn("_set", F.array_sort(F.array_distinct("target_ids")))
+    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    step = F.struct("_i", "start", "end", "target_ids")
+    walked = rows.groupBy(*by).agg(F.array_sort(F.collect_list(step)).alias("_all"), F.array_compact(F.array(F.first(F.when(F.lit(False), step)))).alias("_none"))
+
+    def keep(kept: Column, m: Column) -> Column:
+        known = lambda k: (k["target_ids"] == m["target_ids"]) | ((m["start"] >= k["start"]) & (m["end"] <= k["end"]))
+        return F.when(F.exists(kept, known), kept).otherwise(F.concat(kept, F.array(m)))
+
+    kept = walked.select(*by, F.explode(F.transform(F.aggregate("_all", F.col("_none"), keep), lambda m: m["_i"])).alias("_i"))
+    rows = rows.join(kept, [*by, "_i"], "left_semi")
     place = Window.partitionBy(text).orderBy(*order)
-    return rows.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= limit).drop("_targets", "_set", "_reach")
+    return rows.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= limit).drop("_set", "_i")
 
 
 def within_budget(rows: DataFrame, length: Column, budget: int, text: str = "text_id", rank: str = "rank") -> DataFrame:

@@ -59,6 +59,16 @@ def latency_stats(spark, d):
     return out.select("l_returnflag", F.round("l_extendedprice_median", 4).alias("median"), F.round("l_extendedprice_p95", 4).alias("p95"))
 
 
+@query("latency_overall", """
+SELECT round(quantile_cont(l_extendedprice, 0.5), 4) AS price_median, round(quantile_cont(l_extendedprice, 0.95), 4) AS price_p95,
+  round(quantile_cont(l_quantity, 0.5), 4) AS quantity_median, round(quantile_cont(l_quantity, 0.95), 4) AS quantity_p95 FROM lineitem
+""")
+def latency_overall(spark, d):
+    out = me.latency_stats(table(spark, d, "lineitem"), [], ["l_extendedprice", "l_quantity"])
+    names = {"price": "l_extendedprice", "quantity": "l_quantity"}
+    return out.select(*[F.round(f"{column}_{p}", 4).alias(f"{name}_{p}") for name, column in names.items() for p in ("median", "p95")])
+
+
 @query("nearest_rank", """
 SELECT l_linestatus, quantile_disc(l_quantity, 0.95) AS p95, quantile_disc(l_extendedprice, 0.5) AS p50 FROM lineitem GROUP BY l_linestatus
 """)
@@ -214,15 +224,16 @@ def distinct_outputs(spark, d):
 
 
 @query("candidate_violations", """
-WITH s AS (SELECT user_id, count(DISTINCT event_type) AS n FROM events WHERE value > 140 GROUP BY user_id),
-k AS (SELECT DISTINCT user_id FROM events WHERE value < 1)
-SELECT user_id, 'group has inconsistent references' AS violation FROM s WHERE n > 1
-UNION ALL SELECT user_id, 'missing provisional meaning target' FROM s WHERE user_id NOT IN (SELECT user_id FROM k)
+WITH e AS (SELECT event_id // 3 AS sample, event_type FROM events),
+s AS (SELECT sample, count(DISTINCT event_type) AS n FROM e GROUP BY sample),
+k AS (SELECT sample FROM e GROUP BY sample HAVING bool_or(event_type = 'view'))
+SELECT sample, 'group.sources' AS violation FROM s WHERE n > 1
+UNION ALL SELECT sample, 'group.target' FROM s WHERE sample NOT IN (SELECT sample FROM k)
 """)
 def candidate_violations(spark, d):
-    events = table(spark, d, "events")
-    outputs = events.filter("value > 140").select("user_id", F.col("event_type").alias("source_ko"))
-    return reviews.candidate_violations(outputs, events.filter("value < 1"), "user_id")
+    events = table(spark, d, "events").select(F.expr("event_id div 3").alias("sample"), "event_type")
+    targets = events.groupBy("sample").agg(F.bool_or(F.col("event_type") == "view").alias("seen")).filter("seen")
+    return reviews.candidate_violations(events.withColumnRenamed("event_type", "source_ko"), targets, "sample")
 
 
 @query("completion_counts", """

@@ -31,18 +31,16 @@ c0 AS (SELECT *, shared / ((te - ts) + (pe - ps) - shared) AS iou FROM o WHERE s
 """
 
 
-def _greedy_sql(rounds: int = 12) -> str:
-    """Greedy matching as unrolled rounds of mutual best choices."""
-    parts = [TRUTH]
-    for i in range(rounds):
-        parts.append(f""", m{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ti ORDER BY iou DESC, ti DESC, pi DESC) AS a,
-  row_number() OVER (PARTITION BY user_id, pi ORDER BY iou DESC, ti DESC, pi DESC) AS b FROM c{i}) WHERE a = 1 AND b = 1),
-c{i + 1} AS (SELECT * FROM c{i} c WHERE NOT EXISTS (SELECT 1 FROM m{i} m WHERE m.user_id = c.user_id AND (m.ti = c.ti OR m.pi = c.pi)))""")
-    union = " UNION ALL ".join(f"SELECT user_id, ti, pi, iou, ts, te, ps, pe FROM m{i}" for i in range(rounds))
-    return "".join(parts) + f", g AS ({union})"
-
-
-GREEDY = _greedy_sql()
+# Candidates of a user one after the other, best first: taken if neither side is.
+GREEDY = TRUTH.replace("WITH", "WITH RECURSIVE", 1) + """
+, cand AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY iou DESC, ti DESC, pi DESC) AS rn FROM c0),
+walk(user_id, rn, ut, up, taken) AS (
+  SELECT DISTINCT user_id, 0::BIGINT, []::BIGINT[], []::BIGINT[], false FROM cand
+  UNION ALL SELECT w.user_id, c.rn, CASE WHEN list_contains(ut, ti) OR list_contains(up, pi) THEN ut ELSE list_append(ut, ti) END,
+    CASE WHEN list_contains(ut, ti) OR list_contains(up, pi) THEN up ELSE list_append(up, pi) END, NOT (list_contains(ut, ti) OR list_contains(up, pi))
+  FROM walk w JOIN cand c ON c.user_id = w.user_id AND c.rn = w.rn + 1),
+g AS (SELECT c.user_id, ti, pi, iou, ts, te, ps, pe FROM walk w JOIN cand c ON c.user_id = w.user_id AND c.rn = w.rn WHERE taken)
+"""
 
 
 @query("greedy_match", GREEDY + "SELECT user_id, ti AS t_idx, pi AS p_idx, round(iou, 6) AS iou FROM g")
@@ -88,6 +86,21 @@ def interval_report(spark, d):
     )
 
 
+@query("interval_report_overall", GREEDY + FRAGMENTS + """
+, n AS (SELECT count(*) AS n FROM t)
+SELECT n::BIGINT AS truth_count, n::BIGINT AS prediction_count, (SELECT count(*) FROM g)::BIGINT AS matched_count,
+  (SELECT sum(over_n) FROM f)::BIGINT AS oversegmentation_extra_count, (SELECT sum(merged_n) FROM f)::BIGINT AS merged_truth_extra_count,
+  (SELECT round(quantile_cont(abs(ts - ps), 0.5), 3) FROM g) AS start_median, (SELECT round(quantile_disc(abs(te - pe), 0.95), 3) FROM g) AS end_p95 FROM n
+""")
+def interval_report_overall(spark, d):
+    truth, predicted = truth_and_predictions(spark, d)
+    r = mt.interval_report(truth, predicted, ["user_id"], [])
+    return r.select(
+        "truth_count", "prediction_count", "matched_count", "oversegmentation_extra_count", "merged_truth_extra_count",
+        F.round("start_error_median_seconds", 3).alias("start_median"), F.round("end_error_p95_seconds", 3).alias("end_p95"),
+    )
+
+
 @query("primary_subset", RUNS + """
 SELECT user_id, start_us, end_us FROM runs WHERE (end_us - start_us) / 1e6 + 1e-9 >= 1.2
 """)
@@ -117,7 +130,7 @@ def runtime_defaults(spark, d):
 
 @query("strict_one_to_one", """
 WITH l AS (SELECT l_orderkey, count(*) AS n, max(l_linenumber) AS top FROM lineitem GROUP BY l_orderkey)
-SELECT coalesce(o_orderkey, l_orderkey) AS key, CASE WHEN l_orderkey IS NULL THEN 'missing record' WHEN o_orderkey IS NULL THEN 'extra record'
+SELECT coalesce(o_orderkey, l_orderkey) AS key, CASE WHEN l_orderkey IS NULL THEN 'pair.absent' WHEN o_orderkey IS NULL THEN 'pair.extra'
   WHEN n <> top THEN 'mismatch' END AS problem, ends_with(o_orderpriority, 'HIGH') AS "primary"
 FROM orders o FULL OUTER JOIN l ON o_orderkey = l_orderkey
 """)
@@ -242,23 +255,26 @@ def documents(spark, d) -> DataFrame:
 
 
 def benchmark_terms(spark, d) -> DataFrame:
-    """Words of six letters or more of the benchmark, and each of its two-word openings."""
-    items = table(spark, d, "benchmark")
-    words = items.select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("term")).filter(F.length("term") >= 6)
-    openings = items.select(F.regexp_extract(F.lower("text"), r"^[\p{L}\p{N}]+ [\p{L}\p{N}]+", 0).alias("term")).filter("term <> ''")
-    return words.union(openings).distinct().select(F.col("term").alias("source_id"), "term")
+    """Every word of the benchmark, and every two of its words that one blank parts."""
+    items = table(spark, d, "benchmark").select(F.lower("text").alias("t"))
+    words = items.select(F.split("t", r"[^\p{L}\p{N}]+").alias("w"), F.regexp_extract_all("t", F.lit(r"[^\p{L}\p{N}]+"), F.lit(0)).alias("s"))
+    one = words.select(F.explode("w").alias("term"))
+    places = words.filter("size(w) > 1").select("w", "s", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("i"))
+    pair = lambda k: F.element_at("w", F.col("i") + k)
+    two = places.filter((F.element_at("s", F.col("i")) == " ") & (pair(0) != "") & (pair(1) != "")).select(F.concat_ws(" ", pair(0), pair(1)).alias("term"))
+    return one.union(two).filter("term <> ''").distinct().select(F.col("term").alias("source_id"), "term")
 
 
 WORDS = r"""
 WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM benchmark),
-terms AS (SELECT term FROM w WHERE length(term) >= 6),
+terms AS (SELECT term, replace(term, 'ß', 'ss') AS folded FROM w WHERE term <> ''),
 docs AS (SELECT doc_id, lower(text) AS t FROM documents),
-tok AS (SELECT doc_id, unnest(regexp_split_to_array(t, '[^\p{L}\p{N}]+')) AS word FROM docs)
+tok AS (SELECT doc_id, unnest(regexp_split_to_array(replace(t, 'ß', 'ss'), '[^\p{L}\p{N}]+')) AS word FROM docs)
 """
 
 
 @query("term_match", WORDS + """
-SELECT doc_id, word AS term, count(*)::BIGINT AS hits FROM tok JOIN terms ON word = term GROUP BY ALL
+SELECT doc_id, term, count(*)::BIGINT AS hits FROM tok JOIN terms ON word = folded GROUP BY ALL
 """)
 def term_match(spark, d):
     terms = benchmark_terms(spark, d).filter(~F.col("term").contains(" "))
@@ -267,8 +283,9 @@ def term_match(spark, d):
 
 
 @query("phrase_match", r"""
-WITH o AS (SELECT DISTINCT regexp_extract(lower(text), '^[\p{L}\p{N}]+ [\p{L}\p{N}]+') AS term FROM benchmark),
-terms AS (SELECT term FROM o WHERE term <> ''),
+WITH b AS (SELECT regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') AS w, regexp_extract_all(lower(text), '[^\p{L}\p{N}]+') AS s FROM benchmark),
+q AS (SELECT w, s, unnest(range(1, len(w))) AS i FROM b),
+terms AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS term FROM q WHERE w[i] <> '' AND w[i + 1] <> '' AND s[i] = ' '),
 docs AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') AS w, regexp_extract_all(lower(text), '[^\p{L}\p{N}]+') AS s, regexp_matches(lower(text), '^[^\p{L}\p{N}]') AS lead FROM documents),
 pos AS (SELECT doc_id, w, s, lead, unnest(range(1, len(w))) AS i FROM docs),
 two AS (SELECT doc_id, w[i] || ' ' || w[i + 1] AS phrase FROM pos WHERE w[i] <> '' AND w[i + 1] <> '' AND s[i] = ' ')
@@ -281,8 +298,8 @@ def phrase_match(spark, d):
 
 
 @query("term_match_prefix", WORDS + """
-, hit AS (SELECT doc_id, term, count(*) AS hits FROM tok JOIN terms ON word = 're' || term GROUP BY ALL)
-SELECT doc_id, term, hits::BIGINT AS hits FROM hit h WHERE NOT EXISTS (SELECT 1 FROM tok WHERE tok.doc_id = h.doc_id AND tok.word = h.term)
+, hit AS (SELECT doc_id, term, count(*) AS hits FROM tok JOIN terms ON word = 're' || folded GROUP BY ALL)
+SELECT doc_id, term, hits::BIGINT AS hits FROM hit h WHERE NOT EXISTS (SELECT 1 FROM tok WHERE tok.doc_id = h.doc_id AND tok.word = replace(h.term, 'ß', 'ss'))
 """)
 def term_match_prefix(spark, d):
     texts = documents(spark, d)
@@ -323,7 +340,7 @@ def compound_match(spark, d):
 
 
 @query("guarded_match", WORDS + """
-SELECT doc_id, word AS term, count(*)::BIGINT AS hits FROM tok JOIN terms ON word = term
+SELECT doc_id, term, count(*)::BIGINT AS hits FROM tok JOIN terms ON word = folded
 WHERE doc_id IN (SELECT doc_id FROM tok WHERE word = 'with') GROUP BY ALL
 """)
 def guarded_match(spark, d):
@@ -338,7 +355,7 @@ def guarded_match(spark, d):
 
 
 @query("negative_cue", WORDS + """
-SELECT doc_id, word AS term, count(*)::BIGINT AS hits FROM tok JOIN terms ON word = term
+SELECT doc_id, term, count(*)::BIGINT AS hits FROM tok JOIN terms ON word = folded
 WHERE doc_id NOT IN (SELECT doc_id FROM docs WHERE contains(t, 'hed')) GROUP BY ALL
 """)
 def negative_cue(spark, d):
@@ -350,7 +367,7 @@ def negative_cue(spark, d):
 
 
 @query("glossary_filter", WORDS + """
-SELECT DISTINCT doc_id, length(term)::BIGINT AS entry_id FROM tok JOIN terms ON word = term WHERE length(term) < 14
+SELECT DISTINCT doc_id, length(term)::BIGINT AS entry_id FROM tok JOIN terms ON word = folded WHERE length(term) < 14
 """)
 def glossary_filter(spark, d):
     terms = benchmark_terms(spark, d).filter(~F.col("term").contains(" "))
@@ -381,6 +398,29 @@ def budgeted_select(spark, d):
     return kept.select(F.col("text_id").alias("p_brand"), "rank", "p_name")
 
 
+@query("select_overlapping_lists", """
+WITH RECURSIVE l AS (SELECT l_orderkey AS o, (l_partkey * 100000 + l_suppkey) * 10 + l_linenumber AS i, l_linenumber % 4 AS s, l_linenumber % 4 + 1 + (l_quantity::BIGINT % 5) AS e,
+  CASE l_returnflag WHEN 'A' THEN ['x', 'y'] WHEN 'N' THEN ['y', 'x'] ELSE ['z'] END AS t FROM lineitem),
+m AS (SELECT *, list_sort(t) AS g, row_number() OVER (PARTITION BY o ORDER BY s, s - e, i) AS n FROM l),
+w(o, n, kept, taken) AS (
+  SELECT o, n, [{'s': s, 'e': e, 't': t, 'g': g}], true FROM m WHERE n = 1
+  UNION ALL SELECT m.o, m.n, CASE WHEN hit THEN kept ELSE list_append(kept, {'s': m.s, 'e': m.e, 't': m.t, 'g': m.g}) END, NOT hit
+  FROM (SELECT m.*, w.kept, len(list_filter(w.kept, lambda x: x.g = m.g AND (x.t = m.t OR (m.s >= x.s AND m.e <= x.e)))) > 0 AS hit FROM w JOIN m ON m.o = w.o AND m.n = w.n + 1) m)
+SELECT w.o AS l_orderkey, m.i::BIGINT AS line, row_number() OVER (PARTITION BY w.o ORDER BY w.n)::INTEGER AS rank FROM w JOIN m ON m.o = w.o AND m.n = w.n WHERE taken
+""")
+def select_overlapping_lists(spark, d):
+    """Lines of an order as matches whose lists of targets repeat, in either order."""
+    lists = {"A": ["x", "y"], "N": ["y", "x"]}
+    targets = F.when(F.col("l_returnflag").isin(*lists), F.when(F.col("l_returnflag") == "A", F.array(*map(F.lit, lists["A"]))).otherwise(F.array(*map(F.lit, lists["N"]))))
+    start = F.col("l_linenumber") % 4
+    matches = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("text_id"), ((F.col("l_partkey") * 100000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")).cast("long").alias("source_id"), start.alias("start"),
+        (start + 1 + F.col("l_quantity").cast("long") % 5).alias("end"), F.coalesce(targets, F.array(F.lit("z"))).alias("target_ids"), F.lit("official_name").alias("source_type"),
+    )
+    chosen = tm.distinct_targets(matches, F.lit(8))
+    return chosen.select(F.col("text_id").alias("l_orderkey"), F.col("source_id").alias("line"), "rank")
+
+
 @query("collisions", """
 SELECT p_name AS term, string_agg(p_brand, ',' ORDER BY p_brand) AS targets FROM (SELECT DISTINCT p_name, p_brand FROM part) GROUP BY p_name HAVING count(*) > 1
 """)

@@ -12,12 +12,12 @@ from .registry import micros, query, table
 WITH g AS (SELECT source || lang AS gid, min(text) <> max(text) AS mixed FROM documents GROUP BY 1),
 dup AS (SELECT md5(text) AS f FROM documents GROUP BY 1 HAVING count(*) > 1)
 SELECT doc_id::VARCHAR AS id, v AS violation FROM documents d JOIN g ON g.gid = d.source || d.lang, LATERAL (SELECT unnest([
-  CASE WHEN n_chars < 100 THEN 'timestamp_seconds must be finite and non-negative' END,
-  CASE WHEN md5(text) IN (SELECT f FROM dup) THEN 'duplicate image file' END,
-  CASE WHEN lang = 'fr' THEN 'ground_truth_status must be verified' END,
-  CASE WHEN length(text) - length(replace(text, chr(10), '')) + 1 <> 3 THEN 'line_count does not match ground_truth' END,
-  CASE WHEN lang = 'de' THEN 'tags must contain unique non-empty strings' END,
-  CASE WHEN mixed THEN 'group has inconsistent ground truth' END]) AS v) WHERE v IS NOT NULL
+  CASE WHEN n_chars < 100 THEN 'image.time' END,
+  CASE WHEN md5(text) IN (SELECT f FROM dup) THEN 'image.file_again' END,
+  CASE WHEN lang = 'fr' THEN 'image.status' END,
+  CASE WHEN length(text) - length(replace(text, chr(10), '')) + 1 <> 3 THEN 'image.lines' END,
+  CASE WHEN lang = 'de' THEN 'image.tags' END,
+  CASE WHEN mixed THEN 'image.group_truth' END]) AS v) WHERE v IS NOT NULL
 """)
 def manifest_violations(spark, d):
     images = table(spark, d, "documents").select(
@@ -30,16 +30,16 @@ def manifest_violations(spark, d):
 
 @query("result_mismatch", """
 WITH m AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS s FROM orders),
-r AS (SELECT CASE WHEN o_orderpriority = '5-LOW' THEN o_orderkey + 1 ELSE o_orderkey END AS id, o_orderkey AS k, o_custkey AS c,
-      CASE WHEN o_orderpriority = '1-URGENT' THEN 'F' ELSE o_orderstatus END AS s FROM orders WHERE o_totalprice > 50000)
-SELECT m.k AS ordinal, 'records must match manifest image order exactly' AS violation FROM m LEFT JOIN r ON r.k = m.k WHERE r.id IS DISTINCT FROM m.k
-UNION ALL SELECT m.k, 'mismatched s' FROM m JOIN r ON r.k = m.k AND r.id = m.k WHERE r.s <> m.s
+r AS (SELECT CASE WHEN o_orderpriority = '5-LOW' THEN o_orderkey + 1 ELSE o_orderkey END AS id, CASE WHEN o_totalprice > 50000 THEN o_orderkey ELSE -1 - o_orderkey END AS k,
+      o_custkey AS c, CASE WHEN o_orderpriority = '1-URGENT' THEN 'F' ELSE o_orderstatus END AS s FROM orders)
+SELECT coalesce(m.k, r.k) AS ordinal, 'result.order' AS violation FROM m FULL JOIN r ON r.k = m.k WHERE r.id IS DISTINCT FROM m.k
+UNION ALL SELECT m.k, 'result.s' FROM m JOIN r ON r.k = m.k AND r.id = m.k WHERE r.s <> m.s
 """)
 def result_mismatch(spark, d):
     orders = table(spark, d, "orders")
     manifest = orders.select(F.col("o_orderkey").alias("ordinal"), F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("c"), F.col("o_orderstatus").alias("s"))
-    results = orders.filter("o_totalprice > 50000").select(
-        F.col("o_orderkey").alias("ordinal"), F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_orderkey") + 1).otherwise(F.col("o_orderkey")).alias("image_id"),
+    results = orders.select(
+        F.when(F.col("o_totalprice") > 50000, F.col("o_orderkey")).otherwise(-1 - F.col("o_orderkey")).alias("ordinal"), F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_orderkey") + 1).otherwise(F.col("o_orderkey")).alias("image_id"),
         F.col("o_custkey").alias("c"), F.when(F.col("o_orderpriority") == "1-URGENT", "F").otherwise(F.col("o_orderstatus")).alias("s"),
     )
     return q.check_results(results, manifest, ["c", "s"])
@@ -48,7 +48,7 @@ def result_mismatch(spark, d):
 @query("overlap_violations", """
 WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) / 1e6::DOUBLE AS s, epoch_us(ts) / 1e6::DOUBLE + (value - 2) * 600 AS e FROM events),
 l AS (SELECT *, lag(e) OVER (PARTITION BY user_id ORDER BY event_id) AS pe FROM e)
-SELECT user_id, event_id::VARCHAR AS id, 'subtitle timestamps must be ordered and finite' AS violation FROM l WHERE s < coalesce(pe, -1) OR e < s
+SELECT user_id, event_id::VARCHAR AS id, 'caption.order' AS violation FROM l WHERE s < coalesce(pe, -1) OR e < s
 """)
 def overlap_violations(spark, d):
     start = micros("ts") / 1e6
@@ -70,10 +70,10 @@ def orphan_refs(spark, d):
 @query("domain_violations", """
 WITH r AS (SELECT o_orderkey AS blind_id, CASE o_orderstatus WHEN 'F' THEN 'human_confirmed' WHEN 'O' THEN 'ai_provisional' ELSE 'new' END AS st,
   CASE WHEN o_orderpriority = '5-LOW' THEN 'low' ELSE 'none' END AS sev, o_custkey % 3 = 0 AS silent, o_custkey % 5 = 0 AS unproven, o_custkey % 7 = 0 AS odd FROM orders)
-SELECT blind_id, 'invalid review status' AS violation FROM r WHERE st = 'new' UNION ALL SELECT blind_id, 'invalid severity' FROM r WHERE sev = 'low'
-UNION ALL SELECT blind_id, 'reviewed judgement requires rationale and reviewer' FROM r WHERE silent
-UNION ALL SELECT blind_id, 'human confirmation requires evidence' FROM r WHERE st = 'human_confirmed' AND unproven
-UNION ALL SELECT blind_id, 'invalid error types' FROM r WHERE odd
+SELECT blind_id, 'review.status' AS violation FROM r WHERE st = 'new' UNION ALL SELECT blind_id, 'review.severity' FROM r WHERE sev = 'low'
+UNION ALL SELECT blind_id, 'review.reason' FROM r WHERE silent
+UNION ALL SELECT blind_id, 'review.evidence' FROM r WHERE st = 'human_confirmed' AND unproven
+UNION ALL SELECT blind_id, 'review.error_types' FROM r WHERE odd
 """)
 def domain_violations(spark, d):
     c = F.col("o_custkey")
@@ -91,14 +91,14 @@ def domain_violations(spark, d):
 WITH r AS (SELECT p_partkey AS request_id, p_size AS sz, p_partkey AS k, p_retailprice AS price FROM part),
 s AS (SELECT *, CASE WHEN k % 13 = 0 THEN 3 WHEN k % 2 = 0 THEN 1 ELSE 2 END AS version, sz * 110 AS interval_ms, CASE WHEN k % 4 > 0 THEN sz / 50.0::DOUBLE END AS split,
   CASE WHEN k % 3 > 0 THEN (price * 40)::INTEGER END AS min_ms, k % 5 AS m FROM r)
-SELECT request_id, 'unsupported schema_version' AS violation FROM s WHERE version = 3
-UNION ALL SELECT request_id, 'subtitle_region must fit inside the video' FROM s WHERE 0.3 + sz / 60.0::DOUBLE > 1 + 1e-9
-UNION ALL SELECT request_id, 'analysis_range.mode must be range or whole' FROM s WHERE m = 4
-UNION ALL SELECT request_id, 'range must have finite 0 <= start < end values' FROM s WHERE m < 2 AND (sz - 5 < 0 OR 30 <= sz - 5)
-UNION ALL SELECT request_id, 'whole-video analysis must use null start and end' FROM s WHERE m IN (2, 3)
-UNION ALL SELECT request_id, 'sample_interval_ms out of range' FROM s WHERE interval_ms < 50 OR interval_ms > 5000
-UNION ALL SELECT request_id, 'line_split_ratio must be null or from 0.1 to 0.9' FROM s WHERE split < 0.1 OR split > 0.9
-UNION ALL SELECT request_id, 'minimum_display_duration_ms out of range' FROM s WHERE CASE WHEN version = 1 THEN coalesce(min_ms, 1200) ELSE min_ms END IS NULL OR min_ms > 60000
+SELECT request_id, 'request.version' AS violation FROM s WHERE version = 3
+UNION ALL SELECT request_id, 'request.region' FROM s WHERE 0.3 + sz / 60.0::DOUBLE > 1 + 1e-9
+UNION ALL SELECT request_id, 'request.mode' FROM s WHERE m = 4
+UNION ALL SELECT request_id, 'request.bounds' FROM s WHERE m < 2 AND (sz - 5 < 0 OR 30 <= sz - 5)
+UNION ALL SELECT request_id, 'request.bounds_unused' FROM s WHERE m IN (2, 3)
+UNION ALL SELECT request_id, 'request.interval' FROM s WHERE interval_ms < 50 OR interval_ms > 5000
+UNION ALL SELECT request_id, 'request.split' FROM s WHERE split < 0.1 OR split > 0.9
+UNION ALL SELECT request_id, 'request.duration' FROM s WHERE CASE WHEN version = 1 THEN coalesce(min_ms, 1200) ELSE min_ms END IS NULL OR min_ms > 60000
 """)
 def range_violations(spark, d):
     k, size = F.col("p_partkey"), F.col("p_size")
@@ -117,7 +117,7 @@ def range_violations(spark, d):
 
 @query("json_props", """
 WITH e AS (SELECT event_id, (props->>'k')::BIGINT AS k FROM events)
-SELECT event_id, k, CASE WHEN k % 10 = 0 THEN 'judge candidate correspondence mismatch' WHEN k % 10 = 1 THEN 'judge omitted rationale' END AS problem FROM e
+SELECT event_id, k, CASE WHEN k % 10 = 0 THEN 'answer.candidates' WHEN k % 10 = 1 THEN 'answer.silent' END AS problem FROM e
 """)
 def json_props(spark, d):
     """Event props turned into judge answers: the key is the candidate, some answers are faulty."""
@@ -190,7 +190,7 @@ def content_drift(spark, d):
 
 @query("file_counts", """
 SELECT p_brand AS file_name, count(*) FILTER (p_size < 10)::BIGINT AS expected_concept_count, count(*) FILTER (p_size >= 10)::BIGINT AS expected_count,
-  CASE WHEN p_brand = 'Brand#1' THEN 'unknown dictionary file role: other' END AS problem FROM part GROUP BY p_brand
+  CASE WHEN p_brand = 'Brand#1' THEN 'role? other' END AS problem FROM part GROUP BY p_brand
 """)
 def file_counts(spark, d):
     files = table(spark, d, "part").select(

@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ship_package
 
+# Letters beyond ASCII of the driver's texts, each as one control character: SQL distances count bytes, ours code points.
+LETTERS = "ßäöüéèêçñíóÄÖÜÉÈÊÇÑÍÓ"
+CODES = " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 28)][: len(LETTERS)])
+TEXT = f"translate(text, '{LETTERS}', {CODES})"
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -17,12 +22,12 @@ WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{202
 
 
 def query(name: str, sql: str | None = None):
-    """Register a query; ``{WS}`` in the SQL stands for the whitespace class."""
+    """Register a query; ``{WS}`` in the SQL is the whitespace class, ``{TEXT}`` the text with one byte per letter."""
 
     def add(build: Query) -> Query:
         QUERIES[name] = build
         if sql is not None:
-            ORACLES[name] = sql.replace("{WS}", WS)
+            ORACLES[name] = sql.replace("{WS}", WS).replace("{TEXT}", TEXT)
         return build
 
     return add
@@ -41,9 +46,5 @@ def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def ascii_only(c: Column | str) -> Column:
-    return F.regexp_replace(c, r"[^\x00-\x7F]", "")
-
-
 def pick(**columns: Column) -> list[Column]:
     return [c.alias(name) for name, c in columns.items()]

@@ -71,11 +71,11 @@ def nested_double_explode(spark, d):
 
 
 @query("missing_parts", """
-SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)
+SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber > 2)
 """)
 def missing_parts(spark, d):
     listed = table(spark, d, "part", "p_partkey", "p_name")
-    present = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
+    present = table(spark, d, "lineitem").filter("l_returnflag = 'R' and l_linenumber > 2").select(F.col("l_partkey").alias("p_partkey"))
     return readers.missing(listed, present, ["p_partkey"])
 
 
@@ -97,7 +97,20 @@ SELECT o_orderkey, o_orderstatus FROM orders o WHERE NOT EXISTS (
 def pending_orders(spark, d):
     jobs = table(spark, d, "orders").select(F.col("o_orderkey").alias("job_sha"), "o_orderstatus")
     results = table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("job_sha"), F.when(F.col("l_linestatus") == "F", "ok").otherwise("error").alias("status")
+        F.col("l_orderkey").alias("job_sha"), F.when(F.col("l_linestatus") == "F", "ok").otherwise("error").alias("status"), F.lit(True).alias("intact")
+    )
+    return reviews.pending_jobs(jobs, results, ["job_sha"]).withColumnRenamed("job_sha", "o_orderkey")
+
+
+@query("pending_intact", """
+SELECT o_orderkey, o_orderstatus FROM orders o WHERE NOT EXISTS (
+  SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_linestatus = 'F' AND l.l_returnflag = 'R')
+""")
+def pending_intact(spark, d):
+    jobs = table(spark, d, "orders").select(F.col("o_orderkey").alias("job_sha"), "o_orderstatus")
+    results = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("job_sha"), F.when(F.col("l_linestatus") == "F", "ok").otherwise("error").alias("status"),
+        (F.col("l_returnflag") == "R").alias("intact"),
     )
     return reviews.pending_jobs(jobs, results, ["job_sha"]).withColumnRenamed("job_sha", "o_orderkey")
 

@@ -80,7 +80,7 @@ def _echo():
 @query("translate", r"""
 WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM benchmark),
 tok AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS word FROM documents),
-n AS (SELECT doc_id, count(DISTINCT word) AS n FROM tok JOIN w ON word = term WHERE length(term) >= 6 GROUP BY doc_id)
+n AS (SELECT doc_id, count(DISTINCT word) AS n FROM tok JOIN w ON word = term WHERE term <> '' GROUP BY doc_id)
 SELECT d.doc_id AS id, CASE WHEN trim(text) = '' THEN 'error' ELSE 'completed' END AS translation_status, trim(text) <> '' AS translated,
   least(CASE WHEN length(text) <= 80 THEN 5 ELSE 8 END, coalesce(n, 0))::INTEGER AS terms, CASE WHEN trim(text) = '' THEN 0 ELSE 1 END AS calls
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
@@ -104,7 +104,7 @@ def translate(spark, d):
 
 
 @query("compare_conditions", """
-WITH t AS (SELECT user_id, string_agg(DISTINCT event_type, ' ' ORDER BY event_type) FILTER (value < 40) AS o, string_agg(DISTINCT event_type, ' ' ORDER BY event_type) FILTER (value >= 70) AS n FROM events GROUP BY user_id),
+WITH t AS (SELECT user_id, string_agg(DISTINCT event_type, ' ' ORDER BY event_type) FILTER (value < 55) AS o, string_agg(DISTINCT event_type, ' ' ORDER BY event_type) FILTER (value >= 55) AS n FROM events GROUP BY user_id),
 p AS (SELECT coalesce(contains(o, 'click') AND (contains(o, 'error') OR contains(o, 'view')), false) AS old, coalesce(contains(n, 'click') AND (contains(n, 'error') OR contains(n, 'view')), false) AS new FROM t)
 SELECT count(*)::BIGINT AS case_count, count(*) FILTER (new AND NOT old)::BIGINT AS improved, count(*) FILTER (old AND NOT new)::BIGINT AS regressed,
   count(*) FILTER (old AND new)::BIGINT AS unchanged_pass, count(*) FILTER (NOT old AND NOT new)::BIGINT AS unchanged_fail FROM p
@@ -114,5 +114,5 @@ def compare_conditions(spark, d):
     side = lambda keep: events.groupBy("id").agg(F.array_sort(F.collect_set(F.when(keep, F.col("event_type")))).alias("selected")).withColumn("output", F.concat_ws(" ", "selected"))
     required = F.array(F.array(F.lit("click")), F.array(F.lit("error"), F.lit("view")))
     cases = events.select("id").distinct().withColumn("required_ja", required)
-    out = sc.compare_conditions(cases, side(F.col("value") < 40), side(F.col("value") >= 70))
+    out = sc.compare_conditions(cases, side(F.col("value") < 55), side(F.col("value") >= 55))
     return sc.comparison_summary(out).select("case_count", "improved", "regressed", "unchanged_pass", "unchanged_fail")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import ranges, reviews, timeline as tl, tracking
 from ..operators.ordered import sequence_of
-from .registry import ascii_only, micros, query, table
+from .registry import micros, query, table
 
 INTERVAL = 0.2
 
@@ -171,14 +171,14 @@ def adjacent_stability(spark, d):
 
 
 @query("stability_summary", r"""
-WITH a AS (SELECT conv_id, turn, regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS t FROM conversations),
+WITH a AS (SELECT conv_id, turn, {TEXT} AS t FROM conversations),
 l AS (SELECT *, lag(t) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM a),
 g AS (SELECT conv_id, avg(CASE WHEN p <> t THEN 1.0 WHEN p = t THEN 0.0 END) AS r,
   avg(CASE WHEN p IS NOT NULL THEN levenshtein(p, t) / greatest(length(p), length(t), 1)::DOUBLE END) AS m FROM l GROUP BY conv_id HAVING count(p) > 0)
 SELECT count(*)::BIGINT AS groups, round(avg(r), 9) AS change_rate, round(avg(m), 9) AS mean_distance FROM g
 """)
 def stability_summary(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", "turn", ascii_only("text").alias("t"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("t"))
     out = tl.stability_summary(tl.adjacent_change(rows, "conv_id", ["turn"], "t"))
     return out.select("groups", F.round("group_mean_change_rate", 9).alias("change_rate"), F.round("group_mean_normalized_edit_distance", 9).alias("mean_distance"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -85,3 +86,11 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     row = F.octet_length(F.concat_ws("", *[F.col(c).cast("string") for c in df.columns]))
     rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row), F.lit(0))).first()
     return F.broadcast(df) if size + 64 * rows <= limit else df
+
+
+def join_on(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on ``keys``; without keys both sides have one row, which meets on a constant."""
+    keys = list(keys)
+    if keys:
+        return a.join(b, keys, how)
+    return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one", how).drop("_one")

@@ -55,28 +55,39 @@ def explode_nested(df: DataFrame, keys: Sequence[str], outer: str, inner: str, o
 
 # --- run results ---------------------------------------------------------------------------
 
-_BODY = ("errors", "identity", "job", "response", "status", "wall_ms")
 
+def canonical_bytes(value: object) -> bytes:
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()
 
-def result_checksum(df: DataFrame) -> Column:
-    """Digest over everything but the checksum itself."""
-    body = df.select(F.struct(*_BODY).alias("b")).schema["b"].dataType
-    return digests.canonical_digest(F.struct(*_BODY), body)
+
+def _result_checksum(content: pd.Series) -> pd.Series:
+    """Digest of each stored document as it is, without its own ``checksum``; null if it is no JSON object."""
+
+    def one(raw: bytes) -> str | None:
+        try:
+            body = json.loads(raw)
+        except ValueError:
+            return None
+        if not isinstance(body, dict):
+            return None
+        return hashlib.sha256(canonical_bytes({k: v for k, v in body.items() if k != "checksum"})).hexdigest()
+
+    return content.map(one)
 
 
 def scan_results(spark: SparkSession, folder: str) -> DataFrame:
     """Run outputs of every experiment folder with their route and integrity flags.
 
     ``route`` is ``warmup`` for warm-up calls, ``skipped`` for files without a job, else
-    ``result``. ``intact`` tells whether the stored checksum fits; ``result_copies`` counts rows
-    of the same result id.
+    ``result``. ``intact`` tells whether the stored checksum fits the whole document, fields that
+    no schema names included; ``result_copies`` counts rows of the same result id.
     """
-    raw = (
-        spark.read.schema(schemas.RESULT)
-        .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
-        .json(folder, multiLine=True)
-        .withColumn("file_name", F.col("_metadata.file_name"))
-    )
+    checksum = F.pandas_udf(_result_checksum, "string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(folder)
+    raw = files.select(
+        F.from_json(F.col("content").cast("string"), spark.createDataFrame([], schemas.RESULT).schema).alias("r"),
+        F.element_at(F.split("path", "/"), -1).alias("file_name"), checksum("content").alias("_sha"),
+    ).select("r.*", "file_name", "_sha")
     route = (
         F.when(F.startswith("file_name", F.lit("warmup-")), "warmup")
         .when(F.col("job").isNull(), "skipped").otherwise("result")
@@ -85,7 +96,7 @@ def scan_results(spark: SparkSession, folder: str) -> DataFrame:
     job = raw.schema["job"].dataType
     rows = (
         raw.withColumn("route", route)
-        .withColumn("intact", F.col("checksum").eqNullSafe(result_checksum(raw)))
+        .withColumn("intact", F.coalesce(F.col("checksum") == F.col("_sha"), F.lit(False))).drop("_sha")
         .withColumn("experiment", digests.canonical_digest(F.col("identity"), identity))
         .withColumn("job_sha", digests.canonical_digest(F.col("job"), job))
     )
@@ -106,7 +117,7 @@ def result_rows(scanned: DataFrame) -> DataFrame:
 
 
 def result_violations(scanned: DataFrame) -> DataFrame:
-    bad = F.when(~F.col("intact"), "corrupt result").when(F.col("result_copies") > 1, "duplicate result")
+    bad = F.when(~F.col("intact"), "result.checksum").when(F.col("result_copies") > 1, "result.again")
     return scanned.filter("route = 'result'").select("file_name", "result_id", bad.alias("violation")).filter("violation is not null")
 
 
@@ -121,8 +132,7 @@ def scan_details_csv(spark: SparkSession, path: str, engine: str = "paddleocr",
 
 def _canonical_file_digest(content: pd.Series) -> pd.Series:
     def one(raw: bytes) -> str:
-        text = json.dumps(json.loads(raw), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
-        return hashlib.sha256(text.encode()).hexdigest()
+        return hashlib.sha256(canonical_bytes(json.loads(raw))).hexdigest()
 
     return content.map(one)
 
@@ -145,7 +155,7 @@ def _inside(base: str, path: str) -> str:
     """Path of a manifest file, refused when it leaves the base folder."""
     parts = PurePosixPath(path).parts
     if PurePosixPath(path).is_absolute() or ".." in parts:
-        raise ValueError(f"dictionary path escapes base directory: {path}")
+        raise ValueError(f"outside the dictionary folder: {path}")
     return f"{base}/{path}"
 
 
@@ -278,5 +288,5 @@ def image_violations(manifest: DataFrame, images: DataFrame) -> DataFrame:
     both = manifest.select("id", "image_file", F.col("image_sha256").alias("_want")).join(
         images.select("image_file", F.col("sha256").alias("_have")), "image_file", "left"
     )
-    found = F.when(F.col("_have").isNull(), "missing image").when(F.col("_want") != F.col("_have"), "image digest differs")
+    found = F.when(F.col("_have").isNull(), "file.missing").when(F.col("_want") != F.col("_have"), "file.digest")
     return both.select("id", "image_file", found.alias("violation")).filter("violation is not null")

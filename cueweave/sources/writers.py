@@ -1,7 +1,10 @@
-"""Sinks. Spark commits a job as a whole, so readers never see half of a write."""
+"""Sinks. Output is written beside its place and moved there when it is whole; a failed write leaves what was there."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
@@ -30,12 +33,32 @@ def has_non_finite(value: Column, kind: T.DataType) -> Column | None:
     return None
 
 
+def replace_folder(df: DataFrame, path: str, write: Callable[[str], None]) -> None:
+    """Run ``write`` on a new folder beside ``path``, then put it in the place of ``path``."""
+    context = df.sparkSession.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path
+    mark = uuid.uuid4().hex
+    place, fresh, old = at(path), at(f"{path.rstrip('/')}.new-{mark}"), at(f"{path.rstrip('/')}.old-{mark}")
+    files = place.getFileSystem(context._jsc.hadoopConfiguration())
+    try:
+        write(fresh.toString())
+    except Exception:
+        files.delete(fresh, True)
+        raise
+    if files.exists(place) and not files.rename(place, old):
+        raise OSError(f"cannot move {path}")
+    if not files.rename(fresh, place):
+        files.rename(old, place)
+        raise OSError(f"cannot write {path}")
+    files.delete(old, True)
+
+
 def sink_json(df: DataFrame, path: str) -> None:
     """Write UTF-8 JSON lines; a NaN or an infinity fails the write."""
     bad = has_non_finite(F.struct(*df.columns), df.schema)
     if bad is not None:
-        df = df.filter(F.when(bad, F.raise_error(F.lit("NaN and infinity are not allowed in JSON"))).otherwise(True))
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+        df = df.filter(F.when(bad, F.raise_error(F.lit("a double that JSON cannot hold"))).otherwise(True))
+    replace_folder(df, path, lambda to: df.write.option("ignoreNullFields", False).json(to))
 
 
 def join_tags(tags: Column | str) -> Column:
@@ -63,4 +86,4 @@ def sink_details_csv(details: DataFrame, path: str) -> None:
     """Write the per-record report; each file starts with a byte order mark and a header."""
     first, *rest = details.columns
     marked = details.withColumnRenamed(first, "\ufeff" + first)
-    marked.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    replace_folder(marked, path, lambda to: marked.write.csv(to, header=True, quote='"', escape='"'))

@@ -28,7 +28,8 @@ def test_query_without_sql_has_rows(spark, name):
 
 CUT = (
     "merge_runs timeline_totals stabilize stabilize_gap confirmed_runs assign_ids adjacent_stability stability_summary order_violations session_gap interval_iou "
-    "greedy_match fragmentation_counts interval_report latency_stats nearest_rank condition_summary line_summary overlap_violations near_text_pairs row_cer"
+    "greedy_match fragmentation_counts interval_report latency_stats nearest_rank condition_summary line_summary overlap_violations near_text_pairs row_cer "
+    "mask_overlap dice_shift temporal_pairs open_tail primary_subset min_duration_split interval_report_overall latency_overall"
 ).split()
 
 

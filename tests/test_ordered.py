@@ -1,5 +1,6 @@
 """Sliced operators give the results of plain windows, whatever the slice size."""
 
+import datetime
 import pickle
 import random
 
@@ -62,8 +63,33 @@ def test_bunched_rows_are_cut_again(spark):
     data = [("hot", i / 1000.0, i) for i in range(300)] + [("hot", 1000.0, 300), ("cold", 1.0, 301)]
     df = spark.createDataFrame(data, "k string, ts double, id int")
     cut = od.sliced(df, ["k"], ["ts"], 20)
-    assert cut.groupBy("k", od.SLICE).count().agg(F.max("count")).first()[0] <= 40
+    assert cut.groupBy("k", od.SLICE).count().agg(F.max("count")).first()[0] <= 20
     w = Window.partitionBy("k").orderBy("ts", "id")
     want = {(r.id, r.p) for r in df.select("id", F.lag("id").over(w).alias("p")).collect()}
     got = od.sequence_of(df, ["k"], ["ts", "id"], 20).previous(p=F.col("id")).row_number("n").done().collect()
     assert {(r.id, r.p) for r in got} == want and sorted(r.n for r in got if r.k == "hot") == list(range(1, 302))
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "tied", "special"])
+def test_any_order_column_on_both_sides_of_the_limit(spark, kind):
+    """Strings, dates, ties of the first column, and NaN, infinite and null times."""
+    times = {
+        "string": lambda i: f"t{i:04d}", "date": lambda i: datetime.date(2020, 1, 1) + datetime.timedelta(days=i % 50), "tied": lambda i: 1.0 if i % 100 else 2.0,
+        "special": lambda i: (float("nan"), float("inf"), float("-inf"), None, float(i))[i % 5],
+    }
+    data = [("hot" if i % 10 else None, times[kind](i), i) for i in range(300)]
+    df = spark.createDataFrame(data, f"k string, ts {'string' if kind == 'string' else 'date' if kind == 'date' else 'double'}, id int")
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    want = sorted(map(tuple, df.select("id", F.lag("id").over(w), F.lead("id").over(w), F.row_number().over(w).cast("long")).collect()))
+    for size in (7, 1000):
+        if size == 7:
+            cut = od.sliced(df, ["k"], ["ts", "id"], size)
+            assert cut.groupBy("k", od.SLICE).count().agg(F.max("count")).first()[0] <= size
+        got = od.sequence_of(df, ["k"], ["ts", "id"], size).previous(p=F.col("id")).next(n=F.col("id")).row_number("r").done()
+        assert sorted(map(tuple, got.select("id", "p", "n", "r").collect())) == want
+
+
+def test_small_keys_are_not_written(spark):
+    df = spark.createDataFrame([("hot", i, i) for i in range(50)] + [("cold", i, 100 + i) for i in range(5)], "k string, ts int, id int")
+    slices = {(r.k, r[od.SLICE] == -1) for r in od.sliced(df, ["k"], ["ts"], 10).select("k", od.SLICE).distinct().collect()}
+    assert slices == {("hot", False), ("cold", True)}

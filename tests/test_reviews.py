@@ -21,7 +21,7 @@ def test_jobs_and_resume(spark):
     want = spark.createDataFrame([("j1", "i"), ("j2", "i"), ("j3", "i")], "job_sha string, identity_sha string")
     stored = spark.createDataFrame([("j1", "i", "ok", True), ("j2", "i", "error", True), ("j3", "other", "ok", False)], "job_sha string, identity_sha string, status string, intact boolean")
     assert sorted(r.job_sha for r in rv.pending_jobs(want, stored, ["job_sha", "identity_sha"]).collect()) == ["j2", "j3"]
-    assert [r.violation for r in rv.identity_mismatches(want, stored).collect()] == ["resume identity mismatch"]
+    assert [r.violation for r in rv.identity_mismatches(want, stored).collect()] == ["resume.identity"]
 
 
 PROMPTS = {"qwen3": "옮겨라", "translategemma": "T", "glossary_instruction": "용어", "options": {"temperature": 0}, "qwen_think": False}
@@ -111,7 +111,7 @@ def test_translate(spark):
     out = sc.translate(captions, context, "qwen3:4b", PROMPTS, make, sleep=lambda s: None)
     got = {r.id: (r.translation_status, r.generated_ja, r.error, r.calls) for r in out.collect()}
     assert got == {
-        "1": ("completed", "訳:True", None, 1), "2": ("error", None, "source text is blank", 0), "3": ("pending", None, None, 0),
+        "1": ("completed", "訳:True", None, 1), "2": ("error", None, "no source text", 0), "3": ("pending", None, None, 0),
         "4": ("error", None, "translation failed: ValueError, ValueError", 1),
     }
     assert sorted(r.subtitle_id for r in sc.translation_errors(out).collect()) == ["2", "4"]
@@ -148,7 +148,7 @@ def test_review_links_and_rules(spark):
         review(ids["r1"], "g1_speech_f01", "x"), review("review-unknown", "s", "x"), review(ids["r2"], "g1_speech_f01", "other"),
     ], schemas.REVIEW)
     bad = {r.blind_id: r.violation for r in rv.review_link_violations(rows, mapping, scoring).collect()}
-    assert bad == {"review-unknown": "unknown blind ID", ids["r2"]: "scoring/result correspondence mismatch"}
+    assert bad == {"review-unknown": "link.blind_id", ids["r2"]: "link.content"}
     linked = rv.attach_reviews(rows, mapping, scoring.filter(F.col("blind_id") == ids["r1"]))
     assert {r.result_id: r.review.severity if r.review else None for r in linked.collect()} == {"r1": "none", "r2": None, "r3": None, "r4": None}
     broken = spark.createDataFrame([
@@ -208,4 +208,4 @@ def test_strict_pairs(spark):
     manifest = spark.createDataFrame([("i_f02", "참", "g"), ("i_f01", "참", "g"), ("m", "참", "g")], "id string, ground_truth string, group_id string")
     ocr = spark.createDataFrame([("i_f02", "o", "참", "g"), ("i_f01", "o", "다름", "g"), ("z", "o", "참", "g")], "image_id string, raw_output string, ground_truth string, group_id string")
     got = {r.id: (r.problem, r.primary) for r in sc.records_with_source(manifest, ocr).collect()}
-    assert got == {"i_f02": (None, True), "i_f01": ("mismatch", False), "m": ("missing record", False), "z": ("extra record", False)}
+    assert got == {"i_f02": (None, True), "i_f01": ("mismatch", False), "m": ("pair.absent", False), "z": ("pair.extra", False)}
