@@ -28,11 +28,15 @@ def col(c: Column | str) -> Column:
 
 
 def _compose(c: Column) -> Column:
-    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
+    """Only text with a letter from the combining marks on can change."""
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
+    return F.when(c.rlike(r"[^\x00-\x{2FF}]"), composed).otherwise(c)
 
 
 def _fold(c: Column) -> Column:
-    return F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True))
+    """ASCII is folded by lowering it."""
+    folded = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(F.lower(c))
 
 
 def nfc(text: Column | str) -> Column:

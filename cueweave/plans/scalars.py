@@ -129,9 +129,9 @@ SELECT conv_id, turn, levenshtein(truth, output)::BIGINT AS edits, length(truth)
   round(levenshtein(bt, bo) / nullif(length(bt), 0)::DOUBLE, 9) AS whitespace_free_cer, truth = output AS exact FROM m
 """)
 def row_cer(spark, d):
-    turns = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("output"))
+    turns = table(spark, d, "conversations").select("conv_id", "turn", tx.normalize_text("text").alias("output"))
     pairs = sequence_of(turns, ["conv_id"], ["turn"]).previous(truth=F.col("output")).done().filter("truth is not null")
-    m = tx.row_metrics("truth", "output")
+    m = tx.row_metrics("truth", "output", normalize=False)
     return pairs.select(
         "conv_id", "turn", m["edits"].cast("long").alias("edits"), m["characters"].cast("long").alias("characters"),
         F.round(m["cer"], 9).alias("cer"), m["whitespace_free_edits"].cast("long").alias("whitespace_free_edits"),
