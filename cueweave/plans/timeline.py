@@ -125,12 +125,30 @@ def confirmed_runs(spark, d):
     return out.withColumnsRenamed({"start": "start_us", "end": "end_us"})
 
 
-@query("open_tail", RUNS + """
-SELECT user_id, max(start_us) AS start_us, 'range_end' AS end_reason FROM runs GROUP BY user_id
+@query("open_tail", """
+WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS us, event_type <> 'error' AS b FROM events),
+l AS (SELECT *, lag(b) OVER w AS pb, lag(us) OVER w AS pus, row_number() OVER w AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+d AS (SELECT *, lag(b, 1, false) OVER (PARTITION BY user_id ORDER BY rn) AS before FROM l WHERE b = pb),
+s AS (SELECT user_id, arg_max(b, rn) AS shown, max(pus) FILTER (b AND NOT before) AS start_us FROM d GROUP BY user_id),
+t AS (SELECT l.user_id, l.b, l.us, coalesce(shown, false) AS shown, start_us FROM l LEFT JOIN s ON s.user_id = l.user_id WHERE rn = n)
+SELECT user_id, CASE WHEN shown THEN 'interval' ELSE 'dropped' END AS kind, CASE WHEN shown THEN start_us ELSE us END AS start_us,
+  CASE WHEN NOT shown THEN 'appearance_not_confirmed' WHEN b THEN 'range_end' ELSE 'range_end_with_unconfirmed_transition' END AS reason
+FROM t WHERE shown OR b
 """)
 def open_tail(spark, d):
-    last = captions(spark, d).groupBy("user_id").agg(F.max(whole_micros("start_seconds")).alias("start_us"))
-    return last.withColumn("end_reason", F.lit("range_end"))
+    """What the tracker closes at the end of the range: events as samples of one mask, errors as its absence."""
+    end = 1e10
+    at = micros("ts") / 1e6
+    samples = table(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("video_id"), F.lit("line-1").alias("line_id"), at.alias("ts"), at.alias("pts"), F.col("event_id").cast("int").alias("source_index"),
+        F.lit(0).alias("line_index"), F.unhex(F.lit("F" * 16)).alias("mask"), F.lit(8).alias("mask_w"), F.lit(8).alias("mask_h"), (F.col("event_type") != "error").alias("present"),
+        F.lit(0.5).alias("presence"), F.lit(1.0).alias("sharpness"), F.lit(2).alias("components"), F.lit(64).alias("text_pixels"),
+    )
+    tail = tracking.track_intervals(samples, tracking.TrackerConfig(minimum_duration=0.0), range_end=end).filter(F.col("end_seconds") == end)
+    kind = table(spark, d, "events").schema["user_id"].dataType
+    return tail.select(
+        F.col("video_id").cast(kind).alias("user_id"), "kind", F.round(F.col("start_seconds") * 1e6).cast("long").alias("start_us"), F.coalesce("end_reason", "dropped_reason").alias("reason")
+    )
 
 
 @query("top3_per_group", """
