@@ -68,6 +68,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: DuckDB text of a column with A-Z lowered and null as empty, for SQL counterparts.
+SQL_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 def text_of(name: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(name), F.lit(""))
@@ -76,10 +80,11 @@ def text_of(name: str = "text") -> Column:
 def located(docs: DataFrame) -> DataFrame:
     """doc_id, text, ``whole`` (all columns), and ``_file`` and ``_row``, which identify a row; rows that come from no file are written first."""
     columns = [F.col("doc_id"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")]
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
     try:
-        return docs.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        return docs.select(*columns, *place)
     except AnalysisException:
-        return located(stored(docs, "input"))
+        return stored(docs.select(*columns), "input").select("doc_id", "text", "whole", *place)
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import located, prepare, query, stored, table, without
+from .common import SQL_LOWERED, located, prepare, query, stored, table, without
 
 #: Words of a window, and of a hashed k-gram.
 WINDOW, K = 13, 5
@@ -200,7 +200,24 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     return without(docs, _contamination(docs, items, WINDOW, K, BITS).filter("contaminated"))
 
 
-@query("op2_decontamination")
+@query(
+    "op2_decontamination",
+    r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    b AS (SELECT item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    n AS (SELECT item_id, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0),
+    win AS (SELECT DISTINCT item_id, n, w[i : i + n - 1] AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM n)),
+    sizes AS (SELECT DISTINCT n FROM win),
+    dw AS (SELECT doc_id, n, i, w[i : i + n - 1] AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes)),
+    hit AS (SELECT doc_id, dw.n, i, item_id FROM dw JOIN win ON dw.n = win.n AND dw.g = win.g),
+    places AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hit),
+    words AS (SELECT doc_id, count(*) AS n_hit FROM places GROUP BY doc_id),
+    named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY doc_id)
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN named ON named.doc_id = d.doc_id
+    """.replace("{LOWERED}", SQL_LOWERED),
+)
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
