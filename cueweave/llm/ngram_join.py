@@ -11,8 +11,11 @@ it. Per band a cost estimate picks one of
   is and without each of its shingles.
 
 Sets that share a signature are candidates and are verified exactly. Links are wanted as components, so pairs inside one
-component are never formed: first every member of a signature is compared with one member, then, while components
-grow, what is left between different components. Equal sets are one set from the start.
+component are never formed: first every set is compared with its lead, the candidate that shares most signatures with
+others, which joins most near copies of one text. Before that, sets go that have too many shingles of their own to be
+linked with any candidate. What a set has apart from its lead then bounds its distance to every
+other set of that lead, and only pairs of different components that this bound allows are formed and compared. Equal
+sets are one set from the start.
 
 Defined results: texts without words have an empty set and are linked with nothing; a text with fewer words than a
 shingle is one shingle of all its words, which never equals a longer one; copies share a component; a component of rows
@@ -28,16 +31,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import located, prepare, query, stored, table, without
+from .common import SQL_LOWERED, located, prepare, query, stored, table, without
 from .decontaminate import grams, hash_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")  # fixed value: a word
-#: Bits of the bitmap of shared signatures, as a power of two: 4 MB whatever the corpus holds.
-BITS = 25
-#: Comparisons with one member of each signature before all pairs of different components are compared.
-STARS = 2
+#: Parts of the hash space, as a power of two, in which shingles apart from a lead are counted.
+PART_BITS = 4
+#: Cost of a chance partner, a signature costing 1.
+PARTNER = 0.05
+#: Bits of the bitmaps that leave out rows before a join, as a power of two: 16 MB whatever the corpus holds.
+BITS = 27
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -60,8 +65,9 @@ def bands(num: int, den: int) -> list[int]:
 def allocation(band: int, num: int, den: int, docs: int) -> tuple[int, int, int, bool] | None:
     """(segments, w, z, deletions) of the cheapest plan for a band; None if only equal sets can be linked.
 
-    The cost of a plan is the signatures of a set plus its expected chance partners: all documents where short segments
-    meet by chance, and one document in a hundred that has a tenth of its shingles in common with it.
+    The cost of a plan is the signatures of a set plus a twentieth per expected chance partner, most of which
+    ``may_link`` rules out unseen: all documents where short segments meet by chance, and one in a hundred that has a tenth of
+    its shingles in common with it.
     """
     low, high = bands(num, den)[band], bands(num, den)[band + 1] - 1
     most = (high + high * den // num) * (den - num) // (den + num)
@@ -77,12 +83,12 @@ def allocation(band: int, num: int, den: int, docs: int) -> tuple[int, int, int,
             spread = math.sqrt(m * p * (1 - p)) or 1e-9
             weak = 0.5 * math.erfc((z + 0.5 - m * p) / spread / math.sqrt(2))
             common = m * sum(math.exp(-mean) * mean**j / math.factorial(j) * 0.1**j for j in range(w, w + 12))
-            plans.append((m + docs * weak * weak + docs * 0.01 * min(1.0, common), (m, w, z, False)))
+            plans.append((m + docs * PARTNER * (weak * weak + 0.01 * min(1.0, common)), (m, w, z, False)))
     m = most // 2 + 1
     mean = low / m
     chance = m * math.exp(-2 * mean) * (1 + 2 * mean)
     common = m * math.exp(-0.9 * mean) * (1 + 0.9 * mean) * 0.1
-    plans.append((m + high + docs * min(1.0, chance) + docs * 0.01 * min(1.0, common), (m, 0, 0, True)))
+    plans.append((m + high + docs * PARTNER * (min(1.0, chance) + 0.01 * min(1.0, common)), (m, 0, 0, True)))
     return min(plans)[1]
 
 
@@ -156,58 +162,141 @@ class Join:
 
         return docs.select("text").mapInArrow(sign, "sig bigint, set bigint")
 
-    def bitmap(self, shared: DataFrame) -> np.ndarray:
-        """Bitmap of the signatures ``shared``; words of 64 bits reach the driver, at most 2^bits / 64."""
-        place = F.col("sig").bitwiseAND((1 << self.bits) - 1)
-        words = shared.groupBy(F.shiftright(place, 6).alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((sig & {(1 << self.bits) - 1}) & 63 as int))")).alias("w"))
-        got = words.toPandas()
+    def bitmap(self, values: DataFrame) -> np.ndarray:
+        """Bitmap of a column of 64-bit hashes; words of 64 bits reach the driver, at most 2^bits / 64."""
+        v = F.col(values.columns[0]).bitwiseAND((1 << self.bits) - 1)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(63).cast("int"))
+        got = values.groupBy(F.shiftright(v, 6).alias("i")).agg(F.bit_or(bit).alias("w")).toPandas()
         out = np.zeros(1 << self.bits >> 6, np.int64)
         out[got["i"].to_numpy(np.int64)] = got["w"].to_numpy(np.int64)
         return out.view(np.uint64)
 
-    def members(self, docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
-        """Per document _file, _row, doc_id, n, set, check, and, where it may share a signature, these and its shingles."""
+    def known(self, bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Which of ``values`` the bitmap may hold."""
+        p = values & np.uint64((1 << self.bits) - 1)
+        return ((bitmap[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+    def members(self, docs: DataFrame, shared: DataFrame) -> DataFrame:
+        """Per document _file, _row, doc_id, n, set, check, and those of its signatures that it may share."""
         kind = docs.schema["doc_id"].dataType.simpleString()
-        known = docs.sparkSession.sparkContext.broadcast(bitmap)
+        bitmap = docs.sparkSession.sparkContext.broadcast(self.bitmap(shared))
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits, mask = known.value, np.uint64((1 << self.bits) - 1)
             for batch in batches:
                 rows = []
                 for text in batch.column(3).to_pylist():
                     h = shingles(text or "", self.size)
                     s = signatures(h, self.num, self.den, self.docs)
-                    p = s & mask
-                    s = s[((bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)).astype(bool)]
-                    rows.append((len(h), *identity(h), s.view(np.int64) if len(s) else None, h.tobytes() if len(s) else None))
-                cols = list(zip(*rows)) or [[]] * 5
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+                    rows.append((len(h), *identity(h), s[self.known(bitmap.value, s)].view(np.int64)))
+                cols = list(zip(*rows)) or [[]] * 4
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), batch.column(2), *(pa.array(c, t) for c, t in zip(cols, types))],
-                    ["_file", "_row", "doc_id", "n", "set", "check", "sigs", "shingles"],
+                    ["_file", "_row", "doc_id", "n", "set", "check", "sigs"],
                 )
 
-        schema = f"_file string, _row bigint, doc_id {kind}, n bigint, set bigint, check bigint, sigs array<bigint>, shingles binary"
+        schema = f"_file string, _row bigint, doc_id {kind}, n bigint, set bigint, check bigint, sigs array<bigint>"
         return docs.select("_file", "_row", "doc_id", "text").mapInArrow(sign, schema)
 
-    def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (a, b) whose sets reach the similarity. Sizes are compared before sets travel."""
-        sizes = sets.select("set", "n")
-        near = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-        near = near.filter((F.col("na") * self.num <= F.col("nb") * self.den) & (F.col("nb") * self.num <= F.col("na") * self.den)).select("a", "b")
-        one = near.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("sa")), "a")
+    def fetched(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
+        """``wanted`` (set, n, _file, _row) with the shingles of those rows of ``docs``; only their texts are cut again."""
+        row = F.xxhash64("_file", "_row")
+        bitmap = docs.sparkSession.sparkContext.broadcast(self.bitmap(wanted.select(row.alias("id"))))
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                some = batch.filter(pa.array(self.known(bitmap.value, batch.column(3).to_numpy().view(np.uint64))))
+                sets = [shingles(text or "", self.size).view(np.int64) for text in some.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sets, pa.list_(pa.int64()))], ["_file", "_row", "shingles"])
+
+        rows = docs.select("_file", "_row", "text", row.alias("id")).mapInArrow(cut, "_file string, _row bigint, shingles array<bigint>")
+        return rows.join(wanted, ["_file", "_row"]).select("set", "n", "shingles")
+
+    def reach(self, na: Column, nb: Column) -> Column:
+        """How many shingles linked sets of these sizes may differ in."""
+        return F.floor((na + nb) * (self.den - self.num) / (self.den + self.num))
+
+    def alike(self, na: Column, nb: Column, same: Column | None = None) -> Column:
+        """Whether sets with ``same`` common shingles are linked, or may be by their sizes alone."""
+        same = F.least(na, nb) if same is None else same
+        return self.den * same >= self.num * (na + nb - same)
+
+    def compared(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """``pairs`` (a, b) with sizes na and nb, the number ``same`` of common shingles, and ``apart``, those of one set only."""
+        one = pairs.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("sa")), "a")
         both = one.join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("sb")), "b")
 
-        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = []
+                rows = []
                 for sa, sb in zip(batch.column(2), batch.column(3)):
-                    x, y = np.frombuffer(sa.as_buffer(), np.uint64), np.frombuffer(sb.as_buffer(), np.uint64)
-                    same = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(self.den * same >= self.num * (len(x) + len(y) - same))
-                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep, pa.bool_())).columns[:2], ["a", "b"])
-
-        return both.select("a", "b", "sa", "sb").mapInArrow(verify, "a bigint, b bigint")
+                    x, y = sa.values.to_numpy(), sb.values.to_numpy()
+                    apart = np.setxor1d(x, y, assume_unique=True)
+                    rows.append((len(x), len(y), (len(x) + len(y) - len(apart)) // 2, apart))
+                cols = list(zip(*rows)) or [[]] * 4
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, types))], ["a", "b", "na", "nb", "same", "apart"])
+
+        return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a bigint, b bigint, na bigint, nb bigint, same bigint, apart array<bigint>")
+
+    def may_link(self, sets: DataFrame) -> DataFrame:
+        """Those of ``sets`` whose shingles that other sets have too are as many as a link needs."""
+        once = sets.select("set", F.explode("shingles").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("k"), F.min("set").alias("set")).filter("k = 1")
+        own = once.groupBy("set").agg(F.count(F.lit(1)).alias("own"))
+        enough = (F.col("n") - F.coalesce("own", F.lit(0))) * self.den >= self.num * F.col("n")
+        return sets.join(own, "set", "left").filter(enough).drop("own")
+
+    def leads(self, held: DataFrame) -> DataFrame:
+        """set, lead: of the sets that share a signature with a set, the one in the fullest company; the set itself if it is."""
+        company = held.groupBy("sig").agg(F.count(F.lit(1)).alias("c"))
+        mass = held.join(company, "sig").groupBy("set").agg(F.sum("c").alias("mass"))
+        massed = stored(held.join(mass, "set"), "massed")
+        first = massed.groupBy("sig").agg(F.max(F.struct("mass", "set")).alias("lead"))
+        return massed.join(first, "sig").groupBy("set").agg(F.max("lead").alias("lead")).select("set", F.col("lead.set").alias("lead"))
+
+    def placed(self, led: DataFrame, star: DataFrame, sets: DataFrame) -> DataFrame:
+        """set, lead, n, far (shingles apart from the lead), common (those of them that another set of the lead has apart too,
+        counted by part of the hash space), open.
+
+        Two sets of one lead differ in far + far' less twice what they have apart in common, which in each part is at most
+        the smaller ``common``. A set is open if by that bound some set of its lead may be linked with it.
+        """
+        parts = range(1 << PART_BITS)
+        part = F.shiftrightunsigned("t", 64 - PART_BITS)
+        counts = F.array(*[F.sum((part == p).cast("int")) for p in parts])
+        tokens = star.select(F.col("b").alias("lead"), F.col("a").alias("set"), F.explode("apart").alias("t"))
+        once = tokens.groupBy("lead", "t").agg(F.count(F.lit(1)).alias("k"), F.min("set").alias("set")).filter("k = 1")
+        private = once.groupBy("lead", "set").agg(counts.alias("own"))
+        apart = F.transform("apart", lambda t: F.shiftrightunsigned(t, 64 - PART_BITS))
+        every = F.array(*[(F.size("apart") - F.size(F.array_remove(apart, F.lit(p).cast("long")))) for p in parts])
+        away = star.select(F.col("a").alias("set"), F.col("b").alias("lead"), F.col("na").alias("n"), F.size("apart").alias("far"), every.alias("every"))
+        away = away.join(private, ["lead", "set"], "left")
+        common = F.array(*[(F.col("every")[p] - F.coalesce(F.col("own")[p], F.lit(0))).cast("int") for p in parts])
+        away = away.select("set", "lead", "n", "far", common.alias("common"))
+        none = F.array(*[F.lit(0) for _ in parts])
+        at = led.filter("set = lead").join(sets.select("set", "n"), "set").select("set", "lead", "n", F.lit(0).alias("far"), none.alias("common"))
+        rows = stored(away.union(at), "placed")
+        most = rows.groupBy("lead").agg(F.max(2 * sum(F.col("common")[p] for p in parts) - F.col("far")).alias("most"))
+        partner = F.floor(F.col("n") * self.den / self.num)
+        return rows.join(most, "lead").withColumn("open", F.col("far") <= self.reach(F.col("n"), partner) + F.greatest("most", F.lit(0))).drop("most")
+
+    def left_over(self, held: DataFrame, labels: DataFrame, places: DataFrame) -> DataFrame:
+        """a, b: pairs of one signature and two components that the bounds do not rule out."""
+        rows = stored(held.join(labels, "set").join(places, "set"), "open-signatures")
+        differ = F.min("label") != F.max("label")
+        other = [F.col(c).alias(f"other_{c}") for c in ("set", "label", "lead", "n", "far", "common")]
+        new = (F.col("set") < F.col("other_set")) & (F.col("label") != F.col("other_label")) & self.alike(F.col("n"), F.col("other_n"))
+        both = sum(F.least(F.col("common")[p], F.col("other_common")[p]) for p in range(1 << PART_BITS))
+        near = F.col("far") + F.col("other_far") - 2 * both <= self.reach(F.col("n"), F.col("other_n"))
+
+        inside = rows.filter("open")
+        inside = stored(inside.join(inside.groupBy("sig", "lead").agg(differ.alias("go")).filter("go").drop("go"), ["sig", "lead"]), "open-inside")
+        a = inside.join(inside.select("sig", *other).withColumn("lead", F.col("other_lead")), ["sig", "lead"]).filter(new & near)
+        across = rows.groupBy("sig").agg((differ & (F.min("lead") != F.max("lead"))).alias("go")).filter("go").drop("go")
+        across = stored(rows.join(across, "sig"), "open-across")
+        b = across.join(across.select("sig", *other), "sig").filter(new & (F.col("lead") != F.col("other_lead")))
+        pairs = [side.select(F.col("set").alias("a"), F.col("other_set").alias("b")) for side in (a, b)]
+        return pairs[0].union(pairs[1]).distinct()
 
 
 def grown(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -237,32 +326,26 @@ def _components(docs: DataFrame, size: int, num: int, den: int, bits: int) -> Da
     join = Join(size, num, den, docs.count(), bits)
     shared = join.signed(docs).groupBy("sig").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low != high")
     shared = stored(shared, "shared-signatures")
-    rows = stored(join.members(docs, join.bitmap(shared)), "members")
-    sets = stored(rows.filter("sigs is not null").groupBy("set", "check").agg(F.first("n").alias("n"), F.first("sigs").alias("sigs"), F.first("shingles").alias("shingles")), "sets")
+    rows = stored(join.members(docs, shared.select("sig")), "members")
     # Chance hits of the bitmap fall out here: only signatures of several sets are kept.
-    signed = sets.select("set", F.explode("sigs").alias("sig"))
+    signed = rows.select("set", F.explode("sigs").alias("sig")).distinct()
     held = stored(signed.join(shared.select("sig"), "sig"), "held-signatures")
+    own = rows.select("set", "check", "n", F.struct("_file", "_row").alias("at")).join(held.select("set").distinct(), "set", "left_semi")
+    wanted = stored(own.groupBy("set", "check").agg(F.first("n").alias("n"), F.min("at").alias("at")).select("set", "n", "at.*"), "near-sets")
+    sets = stored(join.may_link(stored(join.fetched(docs, wanted), "all-sets")), "sets")
+    held = held.join(sets.select("set"), "set")
+    several = held.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("sig")
+    held = stored(held.join(several, "sig"), "held-signatures")
     labels = stored(held.select("set").distinct().select("set", F.col("set").alias("label")), "labels")
-    tested = None
-    for star in range(STARS + 1):
-        known = held.join(labels, "set")
-        spans = known.groupBy("sig").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.struct(F.xxhash64("set", F.lit(star)), "set")).alias("lead"))
-        spans = spans.filter("l0 != l1")
-        open_sigs = known.join(spans.select("sig", F.col("lead.set").alias("lead")), "sig")
-        if star < STARS:
-            ends = open_sigs.join(labels.toDF("lead", "lead_label"), "lead").filter("label != lead_label").select("set", F.col("lead").alias("other"))
-        else:
-            left = stored(open_sigs.select("sig", "set", "label"), "open-signatures")
-            ends = left.join(left.toDF("sig", "other", "other_label"), "sig").filter("label != other_label and set < other").select("set", "other")
-        pairs = ends.select(F.least("set", "other").alias("a"), F.greatest("set", "other").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        tested = pairs if tested is None else tested.union(pairs)
-        labels = grown(labels, stored(join.linked(pairs, sets), "links"))
-    return rows.drop("sigs", "shingles").join(labels, "set", "left")
+    linked = join.alike(F.col("na"), F.col("nb"), F.col("same"))
+    led = stored(join.leads(held), "leads")
+    star = stored(join.compared(led.filter("set != lead").select(F.col("set").alias("a"), F.col("lead").alias("b")), sets), "star")
+    labels = grown(labels, star.filter(linked).select("a", "b"))
+    left = join.left_over(held, labels, join.placed(led, star, sets))
+    known = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    left = stored(left.join(known, ["a", "b"], "left_anti"), "left-over")
+    labels = grown(labels, stored(join.compared(left, sets).filter(linked).select("a", "b"), "links"))
+    return rows.drop("sigs").join(labels, "set", "left")
 
 
 def components(docs: DataFrame, size: int = 3, num: int = 9, den: int = 10, bits: int = BITS) -> DataFrame:
@@ -290,6 +373,19 @@ def drop_near_copies(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10
     return without(docs, _named(_components(docs, size, num, den, BITS)).filter("not first"))
 
 
-@query("op6_ngram_join")
+@query(
+    "op6_ngram_join",
+    r"""
+    WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, w[i : i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM t WHERE len(w) > 0)),
+    c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+    e AS (SELECT x, y FROM p JOIN c a ON a.doc_id = x JOIN c b ON b.doc_id = y WHERE 100 * k >= 90 * (a.n + b.n - k)),
+    both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+    r(doc_id, other) AS (SELECT doc_id, doc_id FROM t UNION SELECT r.doc_id, y FROM r JOIN both_ways ON other = x)
+    SELECT t.doc_id, coalesce(any_value(c.n), 0)::BIGINT AS n_shingles, min(other) AS component_id
+    FROM t JOIN r ON r.doc_id = t.doc_id LEFT JOIN c ON c.doc_id = t.doc_id GROUP BY t.doc_id
+    """.replace("{LOWERED}", SQL_LOWERED),
+)
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
