@@ -4,7 +4,9 @@ A text becomes a normalised TF-IDF vector of hashed letter n-grams (one to three
 Document frequencies come from all training rows. Each language gets several centroids, by spherical k-means over a
 bounded sample of its training rows. A text takes the language of the centroid with the largest cosine; its cosine is
 its score. A text is rejected when it has no letter or when its cosine is below the limit for texts of its length,
-which is half of what all but one in a thousand training texts of that length reach, and never above ``MOST``.
+which is ``SCALE`` times what all but one in a thousand training texts of that length reach. A length with few or no
+training texts takes the least limit among the lengths around it that have enough together; below the shortest training text it
+falls with the root of the length, as cosines do.
 
 Defined results: a null text or one without a letter is ``und``, score 0, rejected; of centroids at one cosine the
 first language in sorted order wins; without any training row everything is ``und``; repeated rows get one answer each;
@@ -30,8 +32,10 @@ BUCKETS = 4096
 CLUSTERS = 4
 #: Training rows of a language that k-means sees, in expectation: the bound of the sample.
 SAMPLE = 1000
-#: Share of training texts of a length whose cosine lies below the unscaled limit, the scale, and the largest limit.
-LOWEST, SCALE, MOST = 0.001, 0.5, 0.15
+#: Share of training texts of a length whose cosine lies below the unscaled limit, and the scale.
+LOWEST, SCALE = 0.001, 0.8
+#: Training texts that a limit rests on at least, and the length classes there are (bits of the length).
+ENOUGH, CLASSES = 300, range(1, 33)
 #: Rows that are turned into dense vectors at a time.
 BLOCK = 128
 
@@ -113,6 +117,26 @@ class Model:
         return length < 0 or score < self.limits.get(length, 0.0)
 
 
+def limits(bins: dict[int, dict[int, int]]) -> dict[int, float]:
+    """Lowest cosine per length class from the counts of training texts by class and cosine in thousandths."""
+    reached = {}
+    for size, by in bins.items():
+        below, least = 0, LOWEST * sum(by.values())
+        for score in sorted(by):
+            below += by[score]
+            if below >= least:
+                reached[size] = score
+                break
+    out = {}
+    for size in CLASSES if reached else ():
+        for reach in range(len(CLASSES)):
+            around = [s for s in reached if abs(s - size) <= reach]
+            if sum(sum(bins[s].values()) for s in around) >= ENOUGH or len(around) == len(reached):
+                out[size] = SCALE * min(reached[s] for s in around) / 1000 * 0.5 ** (max(0, min(reached) - size) / 2)
+                break
+    return out
+
+
 def fit(train: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE, buckets: int = BUCKETS) -> Model:
     """Model from ``train`` (text, lang). Only centroids, idf and limits, of fixed size per language, reach the driver."""
     prepare(train.sparkSession)
@@ -161,13 +185,7 @@ def fit(train: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE, bucket
     bins: dict[int, dict[int, int]] = {}
     for r in train.select("text").mapInArrow(lengths, "size int, score int").groupBy("size", "score").count().collect():
         bins.setdefault(r["size"], {})[r["score"]] = r["count"]
-    for size, by in bins.items():
-        below, least = 0, LOWEST * sum(by.values())
-        for score in sorted(by):
-            below += by[score]
-            if below >= least:
-                model.limits[size] = min(MOST, SCALE * score / 1000)
-                break
+    model.limits = limits(bins)
     return model
 
 

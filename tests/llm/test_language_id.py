@@ -62,3 +62,26 @@ def test_counts_of_texts_side_by_side():
     one, two = language_id.counts(["ab", "xyz ab"]), language_id.counts(["xyz ab", "ab"])
     assert (one[0] == two[1]).all() and (one[1] == two[0]).all()
     assert one[0].sum() == 4 + 3 + 2
+
+
+LATIN = {"dd": "wa zi ngu mbe kwa pya", "ee": "szcz rzy owie dło ąk cki"}
+
+
+def test_rejects_an_unseen_language_of_the_same_script(spark):
+    rng = random.Random(4)
+    docs = corpus(spark, rng, 600)
+    model = language_id.fit(language_id.training_rows(docs))
+    for lang, syllables in LATIN.items():
+        parts = syllables.split(" ")
+        unseen = [" ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(n)) for n in range(5, 400, 5)]
+        got = [model.rejected(score, size) for _, score, size in model.score(unseen)]
+        assert sum(got) >= 0.95 * len(got), lang
+    seen = [text(lang, rng, n) for lang in SYLLABLES for n in range(2, 400, 5)]
+    assert [t for t, (_, score, size) in zip(seen, model.score(seen)) if model.rejected(score, size)] == []
+
+
+def test_limits_of_sparse_and_missing_lengths():
+    got = language_id.limits({3: {200: 5}, 8: {400: 1, 700: 400}, 9: {500: 300}, 12: {900: 1}})
+    assert sorted(got) == list(language_id.CLASSES)
+    assert np.allclose([got[i] for i in (1, 3, 8, 9, 10, 12, 30)], [0.08, 0.16, 0.32, 0.4, 0.4, 0.4, 0.4])
+    assert language_id.limits({}) == {}
