@@ -30,7 +30,7 @@ from .common import prepare, query, stored, table
 BUCKETS = 4096
 #: Centroids of a language.
 CLUSTERS = 4
-#: Training rows of a language that k-means sees, in expectation: the bound of the sample.
+#: Different training texts of a language that k-means sees, in expectation: the bound of the sample.
 SAMPLE = 1000
 #: Share of training texts of a length whose cosine lies below the unscaled limit, and the scale.
 LOWEST, SCALE = 0.001, 0.8
@@ -143,30 +143,28 @@ def fit(train: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE, bucket
     train = train.filter("lang is not null and text is not null").select("text", "lang")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, rows, langs = np.zeros(buckets, np.int64), 0, {}
+        seen, rows = np.zeros(buckets, np.int64), 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for i in range(0, len(texts), BLOCK):
                 seen += (counts(texts[i : i + BLOCK], buckets) > 0).sum(axis=0)
-            for lang in batch.column(1).to_pylist():
-                langs[lang] = langs.get(lang, 0) + 1
             rows += len(texts)
-        kinds = ["rows", *["bucket"] * buckets, *["lang"] * len(langs)]
-        keys = ["", *map(str, range(buckets)), *langs]
-        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(keys), pa.array([rows, *seen.tolist(), *langs.values()], pa.int64())], ["kind", "key", "n"])
+        kinds = ["rows", *["bucket"] * buckets]
+        keys = ["", *map(str, range(buckets))]
+        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(keys), pa.array([rows, *seen.tolist()], pa.int64())], ["kind", "key", "n"])
 
-    found = train.mapInArrow(frequencies, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()
+    found = train.select("text").mapInArrow(frequencies, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()
     rows = sum(r.n for r in found if r.kind == "rows")
     seen = np.zeros(buckets)
     for r in found:
         if r.kind == "bucket":
             seen[int(r.key)] = r.n
     idf = np.log((1 + rows) / (1 + seen)) + 1
-    langs = {r.key: r.n for r in found if r.kind == "lang"}
+    langs = {r.lang: r.n for r in train.groupBy("lang").agg(F.countDistinct(F.xxhash64("text")).alias("n")).collect()}
     if not langs:
         return Model([], np.zeros((0, buckets), np.float32), idf, {})
 
-    # A share of each language by the hash of the text: the same rows for any partitioning.
+    # A share of the different texts of each language by their hash: the same rows for any partitioning and number of copies.
     share = F.create_map(*[F.lit(v) for lang, n in langs.items() for v in (lang, min(1.0, sample / n))])
     thin = train.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).dropDuplicates(["text", "lang"])
 

@@ -85,3 +85,13 @@ def test_limits_of_sparse_and_missing_lengths():
     assert sorted(got) == list(language_id.CLASSES)
     assert np.allclose([got[i] for i in (1, 3, 8, 9, 10, 12, 30)], [0.08, 0.16, 0.32, 0.4, 0.4, 0.4, 0.4])
     assert language_id.limits({}) == {}
+
+
+def test_language_of_many_copies_has_centroids(spark):
+    rng = random.Random(5)
+    rows = [(i, text("aa", rng, 20), "aa", "s") for i in range(40)]
+    for few in ("bb", "cc"):
+        own = [text(few, rng, 20) for _ in range(3)]
+        rows += [(i, own[i % 3], few, "s") for i in range(3000)]
+    model = language_id.fit(cases.documents(spark, rows).select("text", "lang"), sample=10)
+    assert sorted(set(model.langs)) == sorted(SYLLABLES)
