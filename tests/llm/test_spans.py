@@ -77,6 +77,20 @@ def test_personal_added_spans(spark):
     assert all((r.base[0].start, r.base[0].end) == (11, 28) and not r.added for r in got if r.doc_id < 1000)
 
 
+def test_personal_thresholds_cover_all_candidates(spark):
+    rng = random.Random(6)
+    rows = [(i, f"call me at +1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)} or not") for i in range(1500)]
+    rows += [(2000 + i, f"order {rng.randrange(10**6, 10**9)} came") for i in range(1500)]
+    rows += [(4000 + i, f"at 10.0.{rng.randrange(255)}.{rng.randrange(255)} now") for i in range(8)]
+    rows += [(5000, "at 10.0.0.1 now")] * 500
+    text = private_data.text_of()
+    base = private_data.F.concat(*[private_data.base_spans(text, k) for k in private_data.BASE])
+    every = private_data.F.concat(*[private_data.candidates(text, g) for g in private_data.GENERATORS])
+    found = cases.documents(spark, rows).select(base.alias("base"), every.alias("candidates"))
+    for sample in (50, 20_000):  # a bound far below and far above the number of candidates
+        assert set(private_data.train(found, sample).thresholds) >= {"phone_like", "ip_like"}
+
+
 def test_personal_awkward_and_empty(spark):
     assert private_data.personal_data(cases.awkward(spark)).count() == cases.awkward(spark).count()
     assert private_data.personal_data(cases.nothing(spark)).count() == 0
