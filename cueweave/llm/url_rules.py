@@ -1,8 +1,10 @@
 """URL filter by association rules (operator 8), all in DataFrame, SQL and Spark ML operations.
 
 A URL becomes a set of tokens: its host suffixes, host words, first path segment and parameter names. FP-growth mines
-the token sets of labelled URLs together with their label; rules ``tokens -> label`` with enough support, confidence and
-lift are kept, without those that a more general rule covers. An inverted index holds each rule under its rarest token;
+the token sets of labelled URLs together with their label; rules ``tokens -> label`` with enough support and confidence are
+kept if they tell more than the label's own share, without those that a more general rule covers. A rule tells more if its
+lift is ``LIFT``, or, as a frequent label leaves no room for that, if its error is the label's over ``LIFT`` at most; the
+error is taken with ``PRIOR`` more URLs at the label's share, so that few URLs do not pass by chance. An inverted index holds each rule under its rarest token;
 a URL looks up its tokens and keeps the rules all of whose tokens it has. The most confident rule decides, block before
 allow, and ``allow`` where none fits.
 
@@ -26,6 +28,8 @@ from .common import prepare, query, stored, table
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 #: Support as a share of the labelled URLs, confidence, and lift over the label's own share.
 SUPPORT, CONFIDENCE, LIFT = 0.001, 0.8, 1.5
+#: URLs at the label's share that are added to those of a rule before its error is compared.
+PRIOR = 20
 LABELS = ("label=block", "label=allow")
 
 
@@ -52,7 +56,9 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     items = labelled.select(F.concat("tokens", F.array(F.when(F.col("blocked"), LABELS[0]).otherwise(LABELS[1]))).alias("items"))
     items = stored(items, "url-items")
     rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items).associationRules
-    rules = rules.filter(F.col("consequent")[0].isin(*LABELS) & (F.col("lift") >= lift)).select(
+    error, urls = 1 - F.col("confidence") / F.col("lift"), F.col("support") / F.col("confidence") * items.count()
+    surer = ((1 - F.col("confidence")) * urls + PRIOR * error) * lift <= (urls + PRIOR) * error
+    rules = rules.filter(F.col("consequent")[0].isin(*LABELS) & ((F.col("lift") >= lift) | surer)).select(
         F.array_sort("antecedent").alias("antecedent"), F.regexp_extract(F.col("consequent")[0], "=(.*)", 1).alias("verdict"), "confidence", "support"
     )
     rules = stored(rules, "url-rules")

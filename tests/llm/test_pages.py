@@ -59,6 +59,21 @@ def test_mined_rules(spark):
     assert [r.verdict for r in got] == ["block", "allow", "allow", "block"] and got[0].mined == ["path=bonus"]
 
 
+@pytest.mark.parametrize("allowed", [50, 2, 0])
+def test_rules_for_a_frequent_label(spark, allowed):
+    labelled = [(f"http://m.site.net/bonus/{i}", True) for i in range(200)] + [(f"http://m.site.net/news/{i}", False) for i in range(allowed)]
+    labels = spark.createDataFrame(labelled, "url string, blocked boolean")
+    asked = ["http://x.org/bonus/1", "http://x.org/news/1", "http://x.org/a"]
+    got = sorted(url_rules.judge(pages(spark, asked), labels, []).collect(), key=lambda r: r.page_id)
+    assert [r.verdict for r in got] == ["block", "allow", "allow"] and got[0].mined == ["path=bonus"]
+
+
+def test_a_frequent_label_needs_more_than_its_share(spark):
+    rows = [(["a", "b"], False)] * 60 + [(["a", "c"], False)] * 20 + [(["a", "d"], True)] * 20
+    known = spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
+    assert {tuple(r.antecedent) for r in url_rules.mine(known, 0.01, 0.8, 1.5).filter("verdict = 'allow'").collect()} == {("b",), ("c",)}
+
+
 def test_general_rules_cover_special_ones(spark):
     rows = [(["a", "b", "c"], True)] * 30 + [(["a", "d"], True)] * 30 + [(["e"], False)] * 60
     known = spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
