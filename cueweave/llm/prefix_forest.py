@@ -37,7 +37,9 @@ from .vectors import dimension, joined_back, usable
 #: Trees, symbols of a string, directions of a symbol (twice as many values), and the chance of missing a vector as near as the k-th.
 TREES, SYMBOLS, DIRECTIONS, MISS = 32, 20, 4, 0.1
 #: Entries of a block, queries that are compared with a block at a time, and entries that a descent meets to each side.
-BLOCK, TOGETHER, AROUND = 4096, 512, 32
+BLOCK, TOGETHER, AROUND = 1024, 256, 32
+#: Bytes of blocks that a worker gets at a time.
+BATCH_BYTES = "4m"
 #: Digits that decide about ties.
 DIGITS = 12
 FOUND = "query bigint, cand bigint, low bigint, score double"
@@ -254,6 +256,7 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` vectors of ``rows`` (vec_id, embedding) nearest by cosine to each row that ``asks`` selects by vec_id."""
     prepare(rows.sparkSession)
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)  # a row is a whole block
     takes_part = F.col("vec_id").isNotNull() & usable(F.col("embedding")) & F.exists("embedding", lambda c: c != 0)
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(takes_part)
     d = dimension(rows, "embedding")
