@@ -31,6 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import SQL_LOWERED, located, prepare, query, stored, table, without
@@ -43,6 +44,8 @@ PART_BITS = 4
 PARTNER = 0.05
 #: Bits of the bitmaps that leave out rows before a join, as a power of two: 16 MB whatever the corpus holds.
 BITS = 27
+#: 64-bit words of a bitmap that a task puts together at a time.
+PAGE = 8192
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -143,51 +146,21 @@ class Join:
 
     def __init__(self, size: int, num: int, den: int, docs: int, bits: int = BITS) -> None:
         self.size, self.num, self.den, self.docs, self.bits = size, num, den, docs, bits
+        self.shared: Broadcast | None = None
 
-    def signed(self, docs: DataFrame) -> DataFrame:
-        """sig, set: the signatures of every document."""
-
-        def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sigs, sets, sizes = [np.zeros(0, np.uint64)], [], []
-                for text in batch.column(0).to_pylist():
-                    h = shingles(text or "", self.size)
-                    s = signatures(h, self.num, self.den, self.docs)
-                    if len(s):
-                        sigs.append(s)
-                        sizes.append(len(s))
-                        sets.append(identity(h)[0])
-                out = np.repeat(np.array(sets, np.int64), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(out)], ["sig", "set"])
-
-        return docs.select("text").mapInArrow(sign, "sig bigint, set bigint")
-
-    def bitmap(self, values: DataFrame) -> np.ndarray:
-        """Bitmap of a column of 64-bit hashes; words of 64 bits reach the driver, at most 2^bits / 64."""
-        v = F.col(values.columns[0]).bitwiseAND((1 << self.bits) - 1)
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(63).cast("int"))
-        got = values.groupBy(F.shiftright(v, 6).alias("i")).agg(F.bit_or(bit).alias("w")).toPandas()
-        out = np.zeros(1 << self.bits >> 6, np.int64)
-        out[got["i"].to_numpy(np.int64)] = got["w"].to_numpy(np.int64)
-        return out.view(np.uint64)
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "shared": None}  # tasks get a bitmap by itself
 
-    def known(self, bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """Which of ``values`` the bitmap may hold."""
-        p = values & np.uint64((1 << self.bits) - 1)
-        return ((bitmap[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)).astype(bool)
-
-    def members(self, docs: DataFrame, shared: DataFrame) -> DataFrame:
-        """Per document _file, _row, doc_id, n, set, check, and those of its signatures that it may share."""
+    def signed(self, docs: DataFrame) -> DataFrame:
+        """Per document _file, _row, doc_id, n, set, check and all its signatures; texts are cut here once."""
         kind = docs.schema["doc_id"].dataType.simpleString()
-        bitmap = docs.sparkSession.sparkContext.broadcast(self.bitmap(shared))
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = []
                 for text in batch.column(3).to_pylist():
                     h = shingles(text or "", self.size)
-                    s = signatures(h, self.num, self.den, self.docs)
-                    rows.append((len(h), *identity(h), s[self.known(bitmap.value, s)].view(np.int64)))
+                    rows.append((len(h), *identity(h), signatures(h, self.num, self.den, self.docs).view(np.int64)))
                 cols = list(zip(*rows)) or [[]] * 4
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
@@ -198,10 +171,55 @@ class Join:
         schema = f"_file string, _row bigint, doc_id {kind}, n bigint, set bigint, check bigint, sigs array<bigint>"
         return docs.select("_file", "_row", "doc_id", "text").mapInArrow(sign, schema)
 
+    def bitmap(self, values: DataFrame) -> Broadcast:
+        """Bitmap of a column of 64-bit hashes, merged in tasks; its pages, 2^bits / 8 bytes together, pass the driver."""
+        words = min(PAGE, 1 << self.bits >> 6)
+        v = F.col(values.columns[0]).bitwiseAND((1 << self.bits) - 1)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(63).cast("int"))
+        merged = values.groupBy(F.shiftright(v, 6).alias("i")).agg(F.bit_or(bit).alias("w"))
+
+        def page(key: tuple, part: pa.Table) -> pa.Table:
+            out = np.zeros(words, np.int64)
+            out[part["i"].to_numpy() % words] = part["w"].to_numpy()
+            return pa.table({"page": [key[0].as_py()], "bits": pa.array([out.tobytes()], pa.binary())})
+
+        pages = merged.withColumn("page", F.floor(F.col("i") / words)).groupBy("page").applyInArrow(page, "page bigint, bits binary")
+        out = np.zeros(1 << self.bits >> 6, np.uint64)
+        for r in pages.toLocalIterator():
+            out[r.page * words : (r.page + 1) * words] = np.frombuffer(r.bits, np.uint64)
+        self.shared = values.sparkSession.sparkContext.broadcast(out)
+        return self.shared
+
+    def stored(self, rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` written; the bitmap that they were made with goes."""
+        rows = stored(rows, name)
+        self.shared.destroy()
+        return rows
+
+    def known(self, bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Which of ``values`` the bitmap may hold."""
+        p = values & np.uint64((1 << self.bits) - 1)
+        return ((bitmap[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+    def members(self, signed: DataFrame, shared: DataFrame) -> DataFrame:
+        """``signed`` with those of its signatures that it may share."""
+        bitmap = self.bitmap(shared)
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sigs = batch.column(6)
+                some = self.known(bitmap.value, sigs.flatten().to_numpy().view(np.uint64))
+                before = np.concatenate([np.zeros(1, np.int64), np.cumsum(some)])
+                at = np.concatenate([np.zeros(1, np.int64), np.cumsum(sigs.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+                left = pa.ListArray.from_arrays(pa.array(before[at], pa.int32()), sigs.flatten().filter(pa.array(some)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:6], left], batch.schema.names)
+
+        return signed.mapInArrow(keep, signed.schema)
+
     def fetched(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
         """``wanted`` (set, n, _file, _row) with the shingles of those rows of ``docs``; only their texts are cut again."""
         row = F.xxhash64("_file", "_row")
-        bitmap = docs.sparkSession.sparkContext.broadcast(self.bitmap(wanted.select(row.alias("id"))))
+        bitmap = self.bitmap(wanted.select(row.alias("id")))
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -325,19 +343,31 @@ def grown(labels: DataFrame, links: DataFrame) -> DataFrame:
         labels = stored(labels.join(hooks.toDF("label", "up"), "label", "left").select("set", F.coalesce("up", "label").alias("label")), "labels")
 
 
+def told_apart(signed: DataFrame) -> DataFrame:
+    """``signed`` with another ``set`` for those of one hash that are different sets by ``check``."""
+    twins = signed.groupBy("set").agg(F.min("check").alias("low"), F.max("check").alias("high")).filter("low != high").select("set")
+    twins = stored(twins, "twin-sets")
+    if twins.isEmpty():
+        return signed
+    known = twins.withColumn("twin", F.lit(True))
+    out = signed.join(known, "set", "left").withColumn("set", F.when(F.col("twin"), F.xxhash64("set", "check")).otherwise(F.col("set")))
+    return told_apart(stored(out.select(*signed.columns), "signed"))
+
+
 def _components(docs: DataFrame, size: int, num: int, den: int, bits: int) -> DataFrame:
     """Per row of located ``docs``: _file, _row, doc_id, n, set, check and label (null where no set is near)."""
     prepare(docs.sparkSession)
     join = Join(size, num, den, docs.count(), bits)
-    shared = join.signed(docs).groupBy("sig").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low != high")
+    signed = told_apart(stored(join.signed(docs), "signed"))
+    shared = signed.select("set", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low != high")
     shared = stored(shared, "shared-signatures")
-    rows = stored(join.members(docs, shared.select("sig")), "members")
+    rows = join.stored(join.members(signed, shared.select("sig")), "members")
     # Chance hits of the bitmap fall out here: only signatures of several sets are kept.
     signed = rows.select("set", F.explode("sigs").alias("sig")).distinct()
     held = stored(signed.join(shared.select("sig"), "sig"), "held-signatures")
     own = rows.select("set", "check", "n", F.struct("_file", "_row").alias("at")).join(held.select("set").distinct(), "set", "left_semi")
     wanted = stored(own.groupBy("set", "check").agg(F.first("n").alias("n"), F.min("at").alias("at")).select("set", "n", "at.*"), "near-sets")
-    sets = stored(join.may_link(stored(join.fetched(docs, wanted), "all-sets")), "sets")
+    sets = stored(join.may_link(join.stored(join.fetched(docs, wanted), "all-sets")), "sets")
     held = held.join(sets.select("set"), "set")
     several = held.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("sig")
     held = stored(held.join(several, "sig"), "held-signatures")

@@ -103,3 +103,20 @@ def test_sets_within_the_limit_share_a_signature():
                         b = c
                     shared = np.intersect1d(ngram_join.signatures(a, num, den, docs), ngram_join.signatures(b, num, den, docs))
                     assert len(shared) or np.array_equal(a, b)
+
+
+def test_sets_of_one_hash_are_told_apart(spark):
+    rows = spark.createDataFrame([("f", 0, 7, 1), ("f", 1, 7, 1), ("f", 2, 7, 2), ("f", 3, 8, 1)], "_file string, _row long, set long, check long")
+    got = {r._row: r.set for r in ngram_join.told_apart(rows).collect()}
+    assert got[0] == got[1] and len({got[0], got[2], got[3]}) == 3 and got[3] == 8
+
+
+def test_bitmap_pages(spark):
+    from pyspark.sql import functions as F
+
+    join = ngram_join.Join(3, 9, 10, 100, 21)
+    values = spark.range(500).select(F.xxhash64("id").alias("v"))
+    bitmap = join.bitmap(values).value
+    every = np.array([r.v for r in values.collect()], np.int64).view(np.uint64)
+    assert len(bitmap) == 1 << 15 and join.known(bitmap, every).all()
+    assert int(np.bitwise_count(bitmap).sum()) == len(np.unique(every & np.uint64((1 << 21) - 1)))
