@@ -77,14 +77,21 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """doc_id, text, ``whole`` (all columns), and ``_file`` and ``_row``, which identify a row; rows that come from no file are written first."""
+def located(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """doc_id, text, ``whole`` (all columns), and ``_file`` and ``_row``, which identify a row.
+
+    Rows that come from no file are written first, below ``folder`` if one is named.
+    """
     columns = [F.col("doc_id"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")]
     place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
     try:
         return docs.select(*columns, *place)
     except AnalysisException:
-        return stored(docs.select(*columns), "input").select("doc_id", "text", "whole", *place)
+        if folder is None:
+            return stored(docs.select(*columns), "input").select("doc_id", "text", "whole", *place)
+        path = f"{folder}/{uuid.uuid4().hex}"
+        docs.select(*columns).write.parquet(path)
+        return docs.sparkSession.read.parquet(path).select("doc_id", "text", "whole", *place)
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """URL filter by association rules (operator 8), all in DataFrame, SQL and Spark ML operations.
 
-A URL becomes a set of tokens: its host suffixes, host words, first path segment and parameter names. FP-growth mines
-the token sets of labelled URLs together with their label; rules ``tokens -> label`` with enough support and confidence are
+A URL becomes a set of tokens: its host suffixes, host words, first path segment and parameter names. Tokens that stand in
+the same labelled URLs are one item, which loses nothing and spares every subset of them. FP-growth mines the item sets of
+labelled URLs together with their label; an item set needs ``SUPPORT`` of them, and ``URLS`` at least; rules ``tokens -> label`` with enough support and confidence are
 kept if they tell more than the label's own share, without those that a more general rule covers. A rule tells more if its
 lift is ``LIFT``, or, as a frequent label leaves no room for that, if its error is the label's over ``LIFT`` at most; the
 error is taken with ``PRIOR`` more URLs at the label's share, so that few URLs do not pass by chance. An inverted index holds each rule under its rarest token;
@@ -28,6 +29,8 @@ from .common import prepare, query, stored, table
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 #: Support as a share of the labelled URLs, confidence, and lift over the label's own share.
 SUPPORT, CONFIDENCE, LIFT = 0.001, 0.8, 1.5
+#: Labelled URLs that an item set needs at least, however few there are: fewer say nothing.
+URLS = 10
 #: URLs at the label's share that are added to those of a rule before its error is compared.
 PRIOR = 20
 LABELS = ("label=block", "label=allow")
@@ -51,34 +54,51 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.filter(every, lambda t: ~t.isin("word=", "host="))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
+def merged(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``labelled`` (tokens, blocked) with ``items`` instead of tokens, and item, members, n: the tokens that stand in the same n URLs."""
+    rows = stored(labelled.select("tokens", "blocked").withColumn("id", F.monotonically_increasing_id()), "url-rows")
+    each = rows.select("id", F.explode("tokens").alias("token"))
+    # The URLs of a token, as their number and two independent sums of 64-bit hashes.
+    hashes = [F.bit_xor(F.xxhash64("id")).alias("a"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("b")]
+    places = stored(each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), *hashes), "url-tokens")
+    items = stored(places.groupBy("n", "a", "b").agg(F.min("token").alias("item"), F.array_sort(F.collect_list("token")).alias("members")), "url-items")
+    own = each.join(broadcast_if_small(items.select("item")), F.col("token") == F.col("item"), "left_semi")
+    own = own.groupBy("id").agg(F.collect_list("token").alias("items"))
+    return rows.join(own, "id", "left").select(F.coalesce("items", F.array().cast("array<string>")).alias("items"), "blocked"), items.select("item", "members", "n")
+
+
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, least: int = URLS) -> DataFrame:
     """Rules from ``labelled`` (tokens, blocked): antecedent, verdict, confidence, support. A written table."""
-    items = labelled.select(F.concat("tokens", F.array(F.when(F.col("blocked"), LABELS[0]).otherwise(LABELS[1]))).alias("items"))
-    items = stored(items, "url-items")
-    rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items).associationRules
-    error, urls = 1 - F.col("confidence") / F.col("lift"), F.col("support") / F.col("confidence") * items.count()
+    rows, items = merged(labelled)
+    baskets = stored(rows.select(F.concat("items", F.array(F.when(F.col("blocked"), LABELS[0]).otherwise(LABELS[1]))).alias("items")), "url-baskets")
+    n = baskets.count()
+    enough = min(1.0, max(support, least / n)) if n else 1.0
+    rules = FPGrowth(itemsCol="items", minSupport=enough, minConfidence=confidence).fit(baskets).associationRules
+    error, urls = 1 - F.col("confidence") / F.col("lift"), F.col("support") / F.col("confidence") * n
     surer = ((1 - F.col("confidence")) * urls + PRIOR * error) * lift <= (urls + PRIOR) * error
     rules = rules.filter(F.col("consequent")[0].isin(*LABELS) & ((F.col("lift") >= lift) | surer)).select(
         F.array_sort("antecedent").alias("antecedent"), F.regexp_extract(F.col("consequent")[0], "=(.*)", 1).alias("verdict"), "confidence", "support"
     )
     rules = stored(rules, "url-rules")
-    # A rule goes if a part of its tokens says the same at least as surely: that part is looked up by its own tokens.
-    general = rules.select(F.explode("antecedent").alias("token"), F.col("antecedent").alias("part"), F.col("verdict"), F.col("confidence").alias("sure"))
+    # A rule goes if a part of its items says the same at least as surely: the part is looked up by its rarest item.
+    parts = inverted(rules, items.select(F.col("item").alias("token"), "n")).select("token", F.col("antecedent").alias("part"), "verdict", F.col("confidence").alias("sure"))
     covered = (
         rules.withColumn("token", F.explode("antecedent"))
-        .join(general, ["token", "verdict"])
+        .join(broadcast_if_small(parts), ["token", "verdict"])
         .filter((F.size("part") < F.size("antecedent")) & (F.col("sure") >= F.col("confidence")) & (F.size(F.array_except("part", "antecedent")) == 0))
         .select("antecedent", "verdict")
         .distinct()
     )
-    return stored(rules.join(covered, ["antecedent", "verdict"], "left_anti"), "url-kept-rules")
+    kept = stored(rules.join(covered, ["antecedent", "verdict"], "left_anti").withColumn("rule", F.monotonically_increasing_id()), "url-kept-rules")
+    # Back to tokens: a URL that was not labelled has to have all tokens of an item.
+    whole = kept.select("rule", F.explode("antecedent").alias("item")).join(items, "item").groupBy("rule").agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("antecedent"))
+    return stored(kept.drop("antecedent").join(whole, "rule").select("antecedent", "verdict", "confidence", "support"), "url-whole-rules")
 
 
-def inverted(rules: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Each rule under the rarest of its tokens."""
+def inverted(rules: DataFrame, seen: DataFrame) -> DataFrame:
+    """Each rule under the rarest of its tokens; ``seen`` (token, n) says how often each stands."""
     wanted = rules.select("antecedent", "verdict", F.explode("antecedent").alias("token"))
-    seen = labelled.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    rarest = wanted.join(seen, "token").groupBy("antecedent", "verdict").agg(F.min(F.struct("count", "token")).alias("least"))
+    rarest = wanted.join(seen, "token").groupBy("antecedent", "verdict").agg(F.min(F.struct("n", "token")).alias("least"))
     return rules.join(rarest, ["antecedent", "verdict"]).select(F.col("least.token").alias("token"), "antecedent", "verdict", "confidence", "support")
 
 
@@ -101,7 +121,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     host, path = host_path(F.col("url"))
     own = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     known = stored(labels.filter("blocked is not null").select(tokens(F.col("url"), host, path).alias("tokens"), "blocked"), "url-labels")
-    index = inverted(mine(known), known)
+    seen = known.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    index = stored(inverted(mine(known), seen), "url-index")
 
     urls = own.filter("url is not null").select("url", "host", "path").distinct()
     asked = urls.select("url", tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))

@@ -42,10 +42,20 @@ def test_drop_copies_keeps_columns_and_clashing_names(spark):
     assert sorted(r.doc_id for r in out.collect()) == [1, 2]
 
 
-def test_state_is_kept_between_runs(spark, tmp_path):
-    state = f"file://{tmp_path}/state"
-    first = exact_dedup.exact_dedup(cases.documents(spark, [(5, "a")]), state=state)
-    assert shown(first) == [("5", "5", 1)]
+def test_runs_on_one_state_equal_one_run(spark, tmp_path):
+    """Digests collide within and across runs; the second run finds the smallest row in either."""
+    rng = random.Random(12)
+    first = [(10 + i, " ".join(cases.words(rng, 2, 3))) for i in range(30)]
+    second = [(i if i % 2 else 100 + i, " ".join(cases.words(rng, 2, 3))) for i in range(30)] + [(None, first[0][1]), (11, first[3][1])]
+    weak = {"digest": lambda t: F.length(t).cast("string"), "state": f"file://{tmp_path}/state"}
+    assert shown(exact_dedup.exact_dedup(cases.documents(spark, first), **weak)) == expected(first)
+    both = {}
+    for row in expected(first + second):
+        both.setdefault(row[0], set()).add(row)
+    got = shown(exact_dedup.exact_dedup(cases.documents(spark, second), **weak))
+    assert len(got) == len(second) and all(row in both[row[0]] for row in got)
+    third = exact_dedup.exact_dedup(cases.documents(spark, [(5000, second[0][1])]), **weak)
+    assert shown(third) == [r for r in expected(first + second + [(5000, second[0][1])]) if r[0] == "5000"]
 
 
 def test_empty_table(spark):

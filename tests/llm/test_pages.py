@@ -47,6 +47,54 @@ def test_hosts_paths_and_curated_rules(spark):
         assert (rows[i].rule, rows[i].verdict) == (rule or (None, "allow")), url
 
 
+def exhaustive(rows, support, confidence, lift, least):
+    """Kept rules by trying every set of tokens: {(tokens, verdict): confidence}."""
+    from itertools import combinations
+
+    n = len(rows)
+    share = {v: sum(b == (v == "block") for _, b in rows) / n for v in ("block", "allow")}
+    sets = {frozenset(c) for tokens, _ in rows for k in range(1, len(tokens) + 1) for c in combinations(sorted(tokens), k)}
+    found = {}
+    for s in sets:
+        has = [b for tokens, b in rows if s <= tokens]
+        for v in share:
+            good = sum(b == (v == "block") for b in has)
+            if not has or good < max(support * n, least):
+                continue
+            c = good / len(has)
+            error = 1 - share[v]
+            surer = ((1 - c) * len(has) + url_rules.PRIOR * error) * lift <= (len(has) + url_rules.PRIOR) * error
+            if c >= confidence and (c / share[v] >= lift or surer):
+                found[s, v] = c
+    kept = {k: c for k, c in found.items() if not any(s < k[0] and v == k[1] and d >= c for (s, v), d in found.items())}
+    return kept
+
+
+def test_mining_equals_trying_every_set(spark):
+    """Up to tokens that stand in the same URLs: each mined rule is an exhaustive one with all tokens of its items."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(160):
+        bad = rng.random() < 0.3
+        tokens = {rng.choice("ab"), rng.choice("cd"), rng.choice("efg") if rng.random() < 0.7 else "h"}
+        tokens |= {"x", "twin"} if bad and rng.random() < 0.8 or rng.random() < 0.05 else set()
+        rows.append((tokens, bad))
+    for least in (1, 6):
+        table = spark.createDataFrame([(sorted(t), b) for t, b in rows], "tokens array<string>, blocked boolean")
+        got = {(frozenset(r.antecedent) - {"x"}, r.verdict): round(r.confidence, 9) for r in url_rules.mine(table, 0.01, 0.7, 1.2, least).collect()}
+        want = exhaustive([(t - {"x"}, b) for t, b in rows], 0.01, 0.7, 1.2, least)
+        assert got == {k: round(c, 9) for k, c in want.items()} and got
+
+
+def test_url_rows_survive(spark):
+    """Clashing columns, repeated rows, a very long URL, labels without verdict."""
+    urls = ["http://a.net/" + "x/" * 20_000, "http://a.net/y", "http://a.net/y", None]
+    table = pages(spark, urls).select("*", *[F.lit(n).alias(n) for n in ("host", "path", "rule", "verdict", "tokens", "n", "best")])
+    labels = spark.createDataFrame([("http://a.net/y", None), (None, True), ("http://a.net/y", True)], "url string, blocked boolean")
+    got = url_rules.judge(table, labels, RULES).collect()
+    assert len(got) == 4 and {r.verdict for r in got} == {"allow"}
+
+
 def test_mined_rules(spark):
     rng = random.Random(1)
     labelled = []
