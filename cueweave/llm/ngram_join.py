@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import SQL_LOWERED, located, prepare, query, stored, table, without
+from .common import SQL_LOWERED, discard, located, prepare, query, stored, table, without
 from .decontaminate import grams, hash_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")  # fixed value: a word
@@ -351,7 +351,9 @@ def told_apart(signed: DataFrame) -> DataFrame:
         return signed
     known = twins.withColumn("twin", F.lit(True))
     out = signed.join(known, "set", "left").withColumn("set", F.when(F.col("twin"), F.xxhash64("set", "check")).otherwise(F.col("set")))
-    return told_apart(stored(out.select(*signed.columns), "signed"))
+    apart = stored(out.select(*signed.columns), "signed")
+    discard(signed)
+    return told_apart(apart)
 
 
 def _components(docs: DataFrame, size: int, num: int, den: int, bits: int) -> DataFrame:
@@ -362,15 +364,19 @@ def _components(docs: DataFrame, size: int, num: int, den: int, bits: int) -> Da
     shared = signed.select("set", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low != high")
     shared = stored(shared, "shared-signatures")
     rows = join.stored(join.members(signed, shared.select("sig")), "members")
+    discard(signed)
     # Chance hits of the bitmap fall out here: only signatures of several sets are kept.
     signed = rows.select("set", F.explode("sigs").alias("sig")).distinct()
-    held = stored(signed.join(shared.select("sig"), "sig"), "held-signatures")
-    own = rows.select("set", "check", "n", F.struct("_file", "_row").alias("at")).join(held.select("set").distinct(), "set", "left_semi")
+    met = stored(signed.join(shared.select("sig"), "sig"), "met-signatures")
+    own = rows.select("set", "check", "n", F.struct("_file", "_row").alias("at")).join(met.select("set").distinct(), "set", "left_semi")
     wanted = stored(own.groupBy("set", "check").agg(F.first("n").alias("n"), F.min("at").alias("at")).select("set", "n", "at.*"), "near-sets")
-    sets = stored(join.may_link(join.stored(join.fetched(docs, wanted), "all-sets")), "sets")
-    held = held.join(sets.select("set"), "set")
+    every = join.stored(join.fetched(docs, wanted), "all-sets")
+    sets = stored(join.may_link(every), "sets")
+    discard(every, wanted, shared)
+    held = met.join(sets.select("set"), "set")
     several = held.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("sig")
     held = stored(held.join(several, "sig"), "held-signatures")
+    discard(met)
     labels = stored(held.select("set").distinct().select("set", F.col("set").alias("label")), "labels")
     linked = join.alike(F.col("na"), F.col("nb"), F.col("same"))
     led = stored(join.leads(held), "leads")

@@ -107,7 +107,7 @@ def test_sets_within_the_limit_share_a_signature():
 
 def test_sets_of_one_hash_are_told_apart(spark):
     rows = spark.createDataFrame([("f", 0, 7, 1), ("f", 1, 7, 1), ("f", 2, 7, 2), ("f", 3, 8, 1)], "_file string, _row long, set long, check long")
-    got = {r._row: r.set for r in ngram_join.told_apart(rows).collect()}
+    got = {r._row: r.set for r in ngram_join.told_apart(ngram_join.stored(rows, "rows")).collect()}
     assert got[0] == got[1] and len({got[0], got[2], got[3]}) == 3 and got[3] == 8
 
 
