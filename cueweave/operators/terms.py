@@ -1,8 +1,9 @@
 """Terminology linking: bounded dictionary matches in texts and a budgeted context per text.
 
-Texts are cut into tokens once; tokens meet dictionary terms in an equi-join on the first token
-of a term, so work grows with the texts and not with texts times terms. The term table is measured
-first: a small one is broadcast, a large one is joined by shuffle.
+Texts are cut into tokens once; tokens meet terms of one token in an equi-join, phrases are found by
+a positional index of neighbouring tokens, so work grows with the texts and not with texts times
+terms, nor with the longest phrase. The term table is measured first: a small one is broadcast, a
+large one is joined by shuffle.
 
 Offsets count code points of the normalised text (composed and case folded).
 """
@@ -106,21 +107,102 @@ def _schema(texts: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([texts.schema["text_id"], *[T.StructField(n, t) for n, t in fields]])
 
 
-def token_keys(texts: DataFrame, window: int, particles: Sequence[str] = PARTICLES) -> DataFrame:
-    """One row per token and per token without a particle, with ``window`` characters of text."""
-    endings = _by_last(particles)
+def _tail(particles: Sequence[str]) -> re.Pattern:
+    """What may follow a match that ends in a sign: nothing, a boundary, or a particle and a boundary."""
+    return re.compile(rf"(?:{'|'.join(particles)})?(?![^\W_])")
+
+
+def token_keys(texts: DataFrame, particles: Sequence[str] = PARTICLES) -> DataFrame:
+    """One row per token that may start and end a match, and per token without a particle; no text travels along."""
+    endings, tail = _by_last(particles), _tail(particles)
 
     def rows(text: str):
         for start, token in _token_starts(text):
-            yield start, token, True, text[start : start + window] if window else ""
+            if token[0].isalnum() or tail.match(text, start + len(token)):
+                yield start, token
             for p in endings.get(token[-1], ()):
                 if len(token) > len(p) and token.endswith(p):
-                    yield start, token[: -len(p)], False, ""
+                    yield start, token[: -len(p)]
+
+    return _explode_texts(texts, rows, _schema(texts, ("start", T.IntegerType()), ("key", T.StringType())))
 
-    shape = _schema(texts, ("start", T.IntegerType()), ("key", T.StringType()), ("whole", T.BooleanType()), ("window", T.StringType()))
+
+def token_pairs(texts: DataFrame, particles: Sequence[str] = PARTICLES) -> DataFrame:
+    """Postings of neighbouring tokens with what parts them: text_id, pos, start, pair, begins, ends.
+
+    ``pos`` numbers the tokens of a text; ``begins`` and ``ends`` say whether a match may start with the first and stop
+    with the second. A second token is also given without each particle, with which only a match may end: ``inner`` is false.
+    """
+    endings, tail = _by_last(particles), _tail(particles)
+
+    def rows(text: str):
+        before = None
+        for pos, found in enumerate(_TOKEN.finditer(text)):
+            token = found.group()
+            if before is not None:
+                start = before.start()
+                head = text[start : found.start()]
+                begins = before.group()[0].isalnum() or start == 0 or not text[start - 1].isalnum()
+                ends = token[0].isalnum() or bool(tail.match(text, found.end()))
+                yield pos - 1, start, head + token, begins, ends, True
+                for p in endings.get(token[-1], ()):
+                    if len(token) > len(p) and token.endswith(p):
+                        yield pos - 1, start, head + token[: -len(p)], begins, True, False
+            before = found
+
+    shape = _schema(
+        texts, ("pos", T.IntegerType()), ("start", T.IntegerType()), ("pair", T.StringType()), ("begins", T.BooleanType()), ("ends", T.BooleanType()), ("inner", T.BooleanType())
+    )
     return _explode_texts(texts, rows, shape)
 
 
+def _pairs_of(terms: DataFrame) -> DataFrame:
+    """source_id, term and the pairs of neighbouring tokens of each term of two or more tokens."""
+
+    def convert(batches):
+        for batch in batches:
+            names, at, pairs = batch.column(1).to_pylist(), [], []
+            for i, term in enumerate(names):
+                tokens = list(_TOKEN.finditer(term))
+                if len(tokens) > 1:
+                    at.append(i)
+                    pairs.append([term[x.start() : y.end()] for x, y in zip(tokens, tokens[1:])])
+            kept = batch.take(pa.array(at, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(pairs, pa.list_(pa.string()))], names=["source_id", "term", "pairs"])
+
+    shape = T.StructType([terms.schema["source_id"], T.StructField("term", T.StringType()), T.StructField("pairs", T.ArrayType(T.StringType()))])
+    return terms.select("source_id", F.col("norm").alias("term")).mapInArrow(convert, shape)
+
+
+def phrase_matches(texts: DataFrame, phrases: DataFrame, particles: Sequence[str] = PARTICLES) -> DataFrame:
+    """Occurrences of ``phrases`` (source_id, term, pairs) by a positional index of the texts.
+
+    Postings of pairs that some phrase has are written once. The pair of a phrase that stands in the fewest places says where
+    the phrase may begin; the others are looked up there by position, and a phrase occurs where all its pairs are met.
+    """
+    needed = phrases.select("source_id", "term", F.size("pairs").alias("m"), F.posexplode("pairs").alias("i", "pair"))
+    postings = cut_lineage(token_pairs(texts, particles).join(broadcast_if_small(needed.select("pair").distinct()), "pair"))
+    places = postings.groupBy("pair").agg(F.count(F.lit(1)).alias("places"))
+    counted = needed.join(broadcast_if_small(places), "pair")
+    rarest = counted.groupBy("source_id", "term", "m").agg(F.min_by(F.struct("i", "pair"), F.struct("places", "i")).alias("a"), F.count(F.lit(1)).alias("known"))
+    rarest = rarest.filter("known = m").select("source_id", "term", "m", F.col("a.i").alias("i"), F.col("a.pair").alias("pair"))
+
+    def fits(p: DataFrame) -> DataFrame:
+        """Postings at their place in a phrase: only its first pair begins it, only its last one ends it."""
+        return p.filter((F.col("i") > 0) | F.col("begins")).filter(F.when(F.col("i") == F.col("m") - 1, F.col("ends")).otherwise(F.col("inner")))
+
+    tried = fits(postings.join(broadcast_if_small(rarest), "pair")).withColumn("origin", F.col("pos") - F.col("i"))
+    whole = ["text_id", "source_id", "term", "m", "origin"]
+    single = tried.filter("m = 1").select("text_id", "source_id", "term", "start").distinct()
+    wanted = tried.filter("m > 1").select(*whole).distinct().join(broadcast_if_small(needed.select("source_id", "term", "i", "pair")), ["source_id", "term"])
+    wanted = wanted.withColumn("pos", F.col("origin") + F.col("i"))
+    met = fits(wanted.join(postings, ["text_id", "pos", "pair"])).groupBy(*whole).agg(
+        F.count_distinct("i").alias("n"), F.min(F.when(F.col("i") == 0, F.col("start"))).alias("start")
+    )
+    found = single.unionByName(met.filter("n = m").select("text_id", "source_id", "term", "start"))
+    return found.select("text_id", "source_id", "start", (F.col("start") + F.length("term")).cast("int").alias("end"))
+
+
 def _first_token(terms: DataFrame) -> DataFrame:
     """Add the first token of each normalised term, as the tokenizer sees it."""
 
@@ -145,22 +227,12 @@ def bounded_matches(texts: DataFrame, terms: DataFrame, particles: Sequence[str]
     ``texts`` has (text_id, norm), ``terms`` comes from ``prepared_terms``; the result has
     (text_id, source_id, start, end) with the particle left out of the span.
     """
-    longest_particle = max(map(len, particles))
-    # The dictionary is small; its longest phrase fixes how much text each token carries.
-    word = lambda c: c.rlike(r"^[\p{L}\p{N}]")
-    phrase = terms.filter((F.col("norm") != F.col("anchor")) | ~word(F.col("anchor"))).agg(F.max(F.length("norm"))).first()[0]
-    window = phrase + longest_particle + 1 if phrase else 0
-    tokens = token_keys(texts, window, particles)
-    listed = terms.select("source_id", F.col("norm").alias("term"), F.col("anchor").alias("key"))
-    pairs = tokens.join(broadcast_if_small(listed), "key")
-    rest = F.expr("substring(window, length(term) + 1)")
-    ends = rest.rlike(rf"^(?:{'|'.join(particles)})?(?:$|[^\p{{L}}\p{{N}}])")
-    # A whole word ends at a boundary by itself; phrases and signs are checked in the window.
-    single = (F.col("term") == F.col("key")) & word(F.col("key"))
-    phrase_hit = F.col("whole") & F.startswith("window", "term") & ends
-    return pairs.filter(F.when(single, F.lit(True)).otherwise(phrase_hit)).select(
-        "text_id", "source_id", "start", (F.col("start") + F.length("term")).cast("int").alias("end")
-    )
+    tokens = token_keys(texts, particles)
+    listed = terms.filter("norm = anchor").select("source_id", F.col("norm").alias("key"))
+    ends = (F.col("start") + F.length("key")).cast("int")
+    single = tokens.join(broadcast_if_small(listed), "key").select("text_id", "source_id", "start", ends.alias("end"))
+    phrases = cut_lineage(_pairs_of(terms.filter("norm <> anchor")))
+    return single if phrases.isEmpty() else single.unionByName(phrase_matches(texts, phrases, particles))
 
 
 def _skip_space(text: str, start: int, wanted: str) -> int | None:

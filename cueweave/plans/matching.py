@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import text as tx
 from ..operators import dictionary as dic, matching as mt, projects, reviews, scoring, terms as tm
 from ..session import cut_lineage
 from .registry import query, table
@@ -297,6 +298,20 @@ def phrase_match(spark, d):
     return found.groupBy(F.col("text_id").alias("doc_id"), F.col("source_id").alias("term")).agg(F.count(F.lit(1)).alias("hits"))
 
 
+@query("item_match", r"""
+WITH b AS (SELECT DISTINCT replace(lower(trim(text)), 'ß', 'ss') AS item FROM benchmark), d AS (SELECT doc_id, replace(lower(text), 'ß', 'ss') AS t FROM documents)
+SELECT doc_id, length(item)::BIGINT AS size, count(*)::BIGINT AS items FROM (
+  SELECT doc_id, item, string_split(t, item) AS p FROM d JOIN b ON contains(t, item)
+) WHERE len(list_filter(range(1, len(p)), lambda i: NOT regexp_matches(p[i], '[\p{L}\p{N}]$') AND NOT regexp_matches(p[i + 1], '^[\p{L}\p{N}]'))) > 0 GROUP BY ALL
+""")
+def item_match(spark, d):
+    """Whole benchmark items as phrases, however long."""
+    items = table(spark, d, "benchmark").select(tx.dictionary_key("text").alias("source_id"), F.col("text").alias("term"))
+    terms = tm.prepared_terms(items.distinct())
+    found = tm.bounded_matches(documents(spark, d), terms).select("text_id", "source_id").distinct()
+    return found.groupBy(F.col("text_id").alias("doc_id"), F.length("source_id").cast("long").alias("size")).agg(F.count(F.lit(1)).alias("items"))
+
+
 @query("term_match_prefix", WORDS + """
 , hit AS (SELECT doc_id, term, count(*) AS hits FROM tok JOIN terms ON word = 're' || folded GROUP BY ALL)
 SELECT doc_id, term, hits::BIGINT AS hits FROM hit h WHERE NOT EXISTS (SELECT 1 FROM tok WHERE tok.doc_id = h.doc_id AND tok.word = replace(h.term, 'ß', 'ss'))

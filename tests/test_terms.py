@@ -168,3 +168,24 @@ def test_collisions(spark, dictionary):
     got = {r.term: r.target_ids for r in dic.collision_report(records).collect()}
     assert got == {"방패": ["item:1", "item:2"], "쌍검": ["item:1", "item:2"]}
     assert {r.source_id for r in dic.collision_sources(records).filter(F.col("term") == "방패").collect()} == {"alias:shield", "alias:x"}
+
+
+def test_phrases_by_positions_equal_brute_force(spark):
+    """Random texts and phrases of words, signs and blanks; the brute force looks for each term at each place."""
+    rng = random.Random(3)
+    parts = ["a", "b", "ab", "가", "가는", "나", "-", ".", "  ", " ", "a는", " "]
+    texts = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(40)))) for i in range(150)]
+    words = sorted({"".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))).strip() for _ in range(120)} - {""})
+    prepared = tm.prepared_terms(spark.createDataFrame([(w, w) for w in words], "source_id string, term string"))
+    found = tm.bounded_matches(spark.createDataFrame(texts, "text_id long, norm string"), prepared)
+    got = sorted(tuple(r) for r in found.select("text_id", "source_id", "start", "end").collect())
+    tail = re.compile(rf"(?:{'|'.join(tm.PARTICLES)})?(?![^\W_])")
+    want, listed = set(), prepared.collect()
+    for i, text in texts:
+        for r in listed:
+            at = text.find(r.norm)
+            while at >= 0:
+                if (at == 0 or not text[at - 1].isalnum()) and tail.match(text, at + len(r.norm)):
+                    want.add((i, r.source_id, at, at + len(r.norm)))
+                at = text.find(r.norm, at + 1)
+    assert got == sorted(want)
