@@ -1,6 +1,7 @@
 """Terminology goldens on a small made-up dictionary, and brute force over random texts."""
 
 import random
+import re
 import unicodedata
 
 import pytest
