@@ -100,7 +100,9 @@ def _dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, state:
         hits = hits.unionByName(earlier_texts(spark, before).join(met, "digest"))
     hits = stored(hits, "dedup-hits")
     own = F.struct("doc_id", "_file", "_row")
-    kept = hits.filter(own.eqNullSafe(F.col("first"))).select("digest", F.col("norm").alias("kept_norm")).dropDuplicates(["digest"])
+    kept = hits.filter(own.eqNullSafe(F.col("first"))).select("digest", F.col("norm").alias("kept_norm"))
+    if state:  # a row that was given again; written, so that the join below can still split a hot digest
+        kept = stored(kept.dropDuplicates(["digest"]), "dedup-kept")
     other = stored(hits.join(kept, "digest").filter("norm != kept_norm").select("doc_id", "_file", "_row", "digest", "norm"), "dedup-collisions")
     again = other.groupBy("digest", "norm").agg(F.min(own).alias("first2"), F.count(F.lit(1)).alias("n2"))
     moved = other.join(again, ["digest", "norm"]).select("_file", "_row", "first2", "n2").dropDuplicates(["_file", "_row"])
