@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
-from ..session import cut_lineage, join_on
-from .ordered import sequence_of
-from .quantiles import exact_quantiles
+from ..session import broadcast_if_small, cut_lineage, join_on
+from .ordered import FOLD_ROWS, rows_per_task, sequence_of
+from .quantiles import figure_quantiles
 from .ranges import iou, overlap_join
 
 PRIMARY_MINIMUM_SECONDS = 1.2
@@ -38,13 +40,50 @@ def _members(side: DataFrame, live: DataFrame, key: Sequence[str], tag: str, cop
     return cut_lineage(ranked.select(*key, F.col("idx").alias(idx), rank))
 
 
+def _clusters(live: DataFrame, on: Sequence[str], target_rows: int | None) -> DataFrame:
+    """Number the stretches of time that candidates chain together (``_cluster``) and add their ``_size`` and most ``_copies``.
+
+    Candidates of one interval overlap, so no interval has candidates in two clusters.
+    """
+    spans = live.withColumns({"_low": F.least("t_start", "p_start"), "_high": F.greatest("t_end", "p_end")})
+    seq = sequence_of(spans, on, ["_low", "_high", "t_top", "p_top"], target_rows)
+    seq = seq.running_max(_reach=F.col("_high")).previous(_before=F.col("_reach"))
+    opens = F.col("_before").isNull() | (F.col("_low") >= F.col("_before"))
+    numbered = cut_lineage(seq.running_sum(_cluster=F.when(opens, 1).otherwise(0)).done().drop("_low", "_high", "_reach", "_before"))
+    sizes = numbered.groupBy(*on, "_cluster").agg(F.count(F.lit(1)).alias("_size"), F.max(F.greatest("t_n", "p_n")).alias("_copies"))
+    return cut_lineage(numbered.join(sizes, [*on, "_cluster"]))
+
+
+def _match_whole(pairs: DataFrame, on: Sequence[str], rows: int) -> DataFrame:
+    """Greedy matching of whole clusters in one grouped pass over buckets of about ``rows`` candidates."""
+    buckets = pairs.count() // rows + 1
+    spread_out = pairs.withColumn("_bucket", F.pmod(F.xxhash64(*on, "_cluster"), F.lit(buckets)))
+    names = [*on, "t_top", "p_top", "iou", "t_start", "t_end", "p_start", "p_end"]
+
+    def take(bucket: pd.DataFrame) -> pd.DataFrame:
+        best = bucket.sort_values(["iou", "t_top", "p_top"], ascending=False, kind="stable")
+        groups = list(zip(*[best[c].tolist() for c in on])) if on else [()] * len(best)
+        used_t, used_p, kept = set(), set(), []
+        for i, (group, t, p) in enumerate(zip(groups, best["t_top"].tolist(), best["p_top"].tolist())):
+            if (group, t) not in used_t and (group, p) not in used_p:
+                used_t.add((group, t))
+                used_p.add((group, p))
+                kept.append(i)
+        return best.iloc[kept][names]
+
+    shape = T.StructType([pairs.schema[n] for n in names])
+    taken = spread_out.select(*names, "_bucket").groupBy("_bucket").applyInPandas(take, shape)
+    return taken.withColumnsRenamed({"t_top": "t_idx", "p_top": "p_idx"})
+
+
 def greedy_match(truth: DataFrame, predicted: DataFrame, on: Sequence[str], minimum_iou: float = 0.5, target_rows: int | None = None) -> DataFrame:
     """Pairs of a greedy one-to-one matching by (IoU, truth index, predicted index), descending.
 
     Both sides need ``idx`` (unique per ``on``), ``start_seconds`` and ``end_seconds``. Candidates
-    are pairs of distinct intervals, so copies of an interval do not multiply; a pair that is the
-    best choice of both its sides is final, which gives the greedy result in a few rounds. When a
-    best pair has no rival of equal IoU, all its copies are matched in the same round.
+    are pairs of distinct intervals, so copies of an interval do not multiply. A sweep over time
+    (running maximum of ends) cuts them into clusters that share no interval; all clusters that fit
+    into a task are matched in one grouped pass, however long their chains. Larger clusters and
+    those with copies go through rounds.
     """
     on = list(on)
     t = truth.select(*on, "idx", "start_seconds", "end_seconds")
@@ -57,7 +96,21 @@ def greedy_match(truth: DataFrame, predicted: DataFrame, on: Sequence[str], mini
     )
     none = F.lit(0).cast("long")
     live = live.select(*t_key, "p_start", "p_end", score.alias("iou"), "t_n", "t_top", none.alias("t_used"), "p_n", "p_top", none.alias("p_used"))
-    live = cut_lineage(live)
+    pairs = _clusters(cut_lineage(live), on, target_rows)
+    rows = rows_per_task(pairs, target_rows, FOLD_ROWS)
+    fits = (F.col("_size") <= rows) & (F.col("_copies") == 1)
+    whole = _match_whole(pairs.filter(fits), on, rows)
+    rest = pairs.filter(~fits).select(*live.columns)
+    return whole if rest.isEmpty() else whole.unionByName(_match_in_rounds(rest, t, p, on, target_rows))
+
+
+def _match_in_rounds(live: DataFrame, t: DataFrame, p: DataFrame, on: Sequence[str], target_rows: int | None) -> DataFrame:
+    """Greedy matching without a bound on clusters or copies.
+
+    A pair that is the best choice of both its sides is final, which gives the greedy result in a
+    few rounds. When a best pair has no rival of equal IoU, all its copies are matched at once.
+    """
+    t_key, p_key = [*on, "t_start", "t_end"], [*on, "p_start", "p_end"]
     # Copies are used up from the largest index down, so a count per interval holds their state.
     copied = {"t": not live.filter("t_n > 1").isEmpty(), "p": not live.filter("p_n > 1").isEmpty()}
     keys, sides = {"t": t_key, "p": p_key}, {"t": t, "p": p}
@@ -132,19 +185,39 @@ def interval_report(truth: DataFrame, predicted: DataFrame, on: Sequence[str], b
     on, by = list(on), list(by)
     matches = cut_lineage(greedy_match(truth, predicted, on, minimum_iou))
     errors = matches.select(*by, F.abs(F.col("t_start") - F.col("p_start")).alias("start_error"), F.abs(F.col("t_end") - F.col("p_end")).alias("end_error"))
-    counts = (
-        reduce(lambda a, b: join_on(a, b, by, "full_outer"), [
-            side.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
-            for side, name in ((truth, "truth_count"), (predicted, "prediction_count"), (matches, "matched_count"))
-        ]).na.fill(0, ["truth_count", "prediction_count", "matched_count"])
-    )
+    sides = {"truth_count": truth, "prediction_count": predicted, "matched_count": matches}
+    rows = reduce(DataFrame.unionByName, [side.select(*by, F.lit(name).alias("_side")) for name, side in sides.items()])
+    counts = rows.groupBy(*by).agg(*[F.count_if(F.col("_side") == name).alias(name) for name in sides])
     share = lambda whole: F.when(F.col(whole) > 0, F.col("matched_count") / F.col(whole)).otherwise(0.0)
     out = counts.withColumn("precision", share("prediction_count")).withColumn("recall", share("truth_count"))
     out = join_on(out, fragmentation(truth, predicted, on, by), by)
-    for name in ("start_error", "end_error"):
-        wanted = {f"{name}_median_seconds": ("linear", 0.5), f"{name}_p95_seconds": ("nearest", 0.95)}
-        out = join_on(out, exact_quantiles(errors, by, name, wanted), by)
-    return out
+    names = ("start_error", "end_error")
+    wanted = {n: {f"{n}_median_seconds": ("linear", 0.5), f"{n}_p95_seconds": ("nearest", 0.95)} for n in names}
+    return join_on(out, figure_quantiles(errors, by, {n: n for n in names}, wanted), by)
+
+
+def partition_report(
+    truth: DataFrame, predicted: DataFrame, methods: DataFrame, on: Sequence[str], by: Sequence[str] = ("partition_id",),
+    minimum: float = PRIMARY_MINIMUM_SECONDS, minimum_iou: float = 0.5,
+) -> DataFrame:
+    """Interval reports per partition, method and block: ``all`` truths, and the ``primary`` ones of at least ``minimum`` seconds.
+
+    ``methods`` lists the (``by``, method) that have results; a method without a single interval is still reported, and truths
+    of partitions without results are not. Each truth is routed to its blocks once, each prediction to every block, so both
+    tables are read and matched once. ``predicted`` has a ``method`` column; ``idx`` is unique per ``on`` and method.
+    """
+    by = list(by)
+    long_enough = F.col("end_seconds") - F.col("start_seconds") + TOLERANCE >= minimum
+    blocks = F.array_compact(F.array(F.lit("all"), F.when(long_enough, F.lit("primary"))))
+    listed = broadcast_if_small(methods.select(*by, "method").distinct())
+    routed = truth.join(listed, by).withColumn("block", F.explode(blocks))
+    claimed = predicted.join(listed, [*by, "method"], "left_semi").withColumn("block", F.explode(F.array(F.lit("all"), F.lit("primary"))))
+    # Every listed method has a row in both blocks, also without truths and predictions.
+    wanted = listed.withColumn("block", F.explode(F.array(F.lit("all"), F.lit("primary"))))
+    cell = [*by, "method", "block"]
+    report = wanted.join(interval_report(routed, claimed, [*dict.fromkeys([*on, *cell])], cell, minimum_iou), cell, "left")
+    counted = [c for c in report.columns if c.endswith("_count")]
+    return report.na.fill(0, counted).na.fill(0.0, ["precision", "recall"])
 
 
 def unmatched_truth(truth: DataFrame, matches: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
-from ..session import join_on, spread
-from .quantiles import exact_quantiles
+from ..session import spread
+from .quantiles import figure_quantiles
 
 
 def with_row_metrics(records: DataFrame, truth: str = "ground_truth", output: str = "raw_output") -> DataFrame:
@@ -42,10 +41,8 @@ def metrics_by_tag(scored: DataFrame, tags: str = "tags", failed: Column | None
 
 def latency_stats(rows: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Median and 95th percentile (linear) of each column, nulls skipped."""
-    parts = [
-        exact_quantiles(rows, by, c, {f"{c}_median": ("linear", 0.5), f"{c}_p95": ("linear", 0.95)}) for c in columns
-    ]
-    return reduce(lambda a, b: join_on(a, b, by, "full_outer"), parts)
+    wanted = {c: {f"{c}_median": ("linear", 0.5), f"{c}_p95": ("linear", 0.95)} for c in columns}
+    return figure_quantiles(rows, by, {c: c for c in columns}, wanted)
 
 
 def dataset_summary(images: DataFrame, verified: Column | None = None) -> DataFrame:

@@ -112,23 +112,30 @@ class Ordered:
         """Add columns holding ``values`` of the next row of the key; null on its last row."""
         return self._neighbour(values, forward=True)
 
-    def running_sum(self, **values: Column) -> "Ordered":
-        """Add running sums, the current row included."""
+    def _running(self, values: Mapping[str, Column], total: Callable[[Column], Column], combine: Callable[[Column, Column], Column]) -> "Ordered":
+        """Add running totals; ``combine`` joins the total of the slices before (null: none) with that inside the slice."""
         df, keys = self.df, self.keys
         inside = self._inside().rowsBetween(Window.unboundedPreceding, 0)
-        local = df.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(name) for name, c in values.items()])
+        local = df.select("*", *[total(c).over(inside).alias(name) for name, c in values.items()])
         if not self.cut:
-            return self._with(local)
+            return self._with(local.withColumns({name: combine(F.lit(None), F.col(name)) for name in values}))
         across = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
         totals = (
             df.filter(_HOT).groupBy(*keys, SLICE)
-            .agg(*[F.sum(c).alias(f"_sum_{name}") for name, c in values.items()])
-            .select(*keys, SLICE, *[F.sum(f"_sum_{name}").over(across).alias(f"_before_{name}") for name in values])
+            .agg(*[total(c).alias(f"_sum_{name}") for name, c in values.items()])
+            .select(*keys, SLICE, *[total(F.col(f"_sum_{name}")).over(across).alias(f"_before_{name}") for name in values])
         )
         out = _attach(local, totals, [*keys, SLICE])
-        return self._with(out.select(
-            *df.columns, *[(F.col(name) + F.coalesce(F.col(f"_before_{name}"), F.lit(0))).alias(name) for name in values]
-        ))
+        return self._with(out.select(*df.columns, *[combine(F.col(f"_before_{name}"), F.col(name)).alias(name) for name in values]))
+
+    def running_sum(self, **values: Column) -> "Ordered":
+        """Add running sums, the current row included."""
+        none = F.lit(0)
+        return self._running(values, F.sum, lambda before, inside: F.coalesce(inside, none) + F.coalesce(before, none))
+
+    def running_max(self, **values: Column) -> "Ordered":
+        """Add running maxima, the current row included; nulls do not count."""
+        return self._running(values, F.max, lambda before, inside: F.greatest(before, inside))
 
     def row_number(self, name: str) -> "Ordered":
         return self.running_sum(**{name: F.lit(1).cast("long")})

@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
 from .ordered import SLICE, has_hot_key, rows_per_task, sliced
 
 
@@ -41,8 +42,11 @@ def exact_quantiles(
     v = F.col(value) if isinstance(value, str) else value
     rows = df.select(*groups, v.cast("double").alias("_v")).filter("_v is not null")
     counted = rows.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    # The first test needs no shuffle of values; the second only runs for large groups.
-    hot = has_hot_key(rows, groups, target_rows) and has_hot_key(counted, groups, target_rows)
+    # The first test needs no shuffle of values; the second only runs for large groups, whose counts are written once.
+    hot = has_hot_key(rows, groups, target_rows)
+    if hot:
+        counted = cut_lineage(counted)
+        hot = has_hot_key(counted, groups, target_rows)
     everything = Window.partitionBy(*groups)
 
     def ranks(total: Column) -> Column:
@@ -75,3 +79,25 @@ def exact_quantiles(
     return hits.groupBy(*groups).agg(
         *[F.sum(F.when(F.col("_r.name") == name, F.col("_v") * F.col("_r.weight"))).alias(name) for name in wanted]
     )
+
+
+def figure_quantiles(
+    df: DataFrame,
+    groups: Sequence[str],
+    figures: Mapping[str, Column | str],
+    wanted: Mapping[str, Mapping[str, tuple[str, float]]],
+    target_rows: int | None = None,
+) -> DataFrame:
+    """Percentiles of several figures of one table from one pass over (group, figure, value).
+
+    ``wanted`` maps each figure to the percentiles asked of it, as for ``exact_quantiles``. A group is absent if all of its
+    figures are null throughout; without groups there is always one row.
+    """
+    groups = list(groups)
+    kinds = {kind: f"_q{i}" for i, kind in enumerate(dict.fromkeys(k for names in wanted.values() for k in names.values()))}
+    value = lambda c: (F.col(c) if isinstance(c, str) else c).cast("double")
+    melted = df.select(*groups, F.inline(F.array(*[F.struct(F.lit(f).alias("_figure"), value(c).alias("_value")) for f, c in figures.items()])))
+    each = exact_quantiles(melted, [*groups, "_figure"], "_value", {name: kind for kind, name in kinds.items()}, target_rows)
+    return each.groupBy(*groups).agg(
+        *[F.max(F.when(F.col("_figure") == f, F.col(kinds[kind]))).alias(name) for f, names in wanted.items() for name, kind in names.items()]
+    )

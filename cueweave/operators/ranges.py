@@ -125,8 +125,12 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, on: Sequence[st
 
 
 def active_at(points: DataFrame, captions: DataFrame, on: Sequence[str], point_id: str, t: str = "t") -> DataFrame:
-    """The caption on top at each point: lowest line, then earliest start, then id."""
-    pairs = points_in_intervals(points, captions, on, t)
-    rest = [c for c in pairs.columns if c not in (point_id, t, *on)]
-    best = F.min_by(F.struct(*rest), F.struct("line_index", "start_seconds", "id"))
-    return pairs.groupBy(*on, point_id, t).agg(best.alias("_best")).select(*on, point_id, t, "_best.*")
+    """The caption on top at each point: lowest line, then earliest start, then id; nulls where none is shown.
+
+    Points take part once more without a caption, which never wins, so none is lost and no second join is needed.
+    """
+    pairs = points_in_intervals(points, captions, on, t).withColumn("_order", F.struct("line_index", "start_seconds", "id"))
+    rest = [c for c in pairs.columns if c not in (point_id, t, "_order", *on)]
+    best = F.min_by(F.struct(*rest), "_order")
+    every = pairs.unionByName(points, allowMissingColumns=True)
+    return every.groupBy(*on, point_id, t).agg(best.alias("_best")).select(*on, point_id, t, "_best.*")

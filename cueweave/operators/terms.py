@@ -11,9 +11,10 @@ Offsets count code points of the normalised text (composed and case folded).
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
@@ -48,6 +49,8 @@ OFFICIAL = ("official_name", "concept_name")
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 _WORD = re.compile(r"[^\W_]+")
 _BATCH = 50_000
+#: Terms in bytes that may be sent to every task as a prefix tree, which takes some 200 times as much memory.
+TREE_BYTES = 1 << 20
 
 
 def _by_last(particles: Sequence[str]) -> dict[str, list[str]]:
@@ -291,8 +294,6 @@ def space_free_matches(texts: DataFrame, terms: DataFrame, particles: Sequence[s
                     start -= 1
                     found.append({"source_id": t["source_id"], "start": start, "end": end})
             out.append(found)
-        import pandas as pd
-
         return pd.Series(out)
 
     return (
@@ -301,16 +302,107 @@ def space_free_matches(texts: DataFrame, terms: DataFrame, particles: Sequence[s
     )
 
 
-def compound_matches(texts: DataFrame, terms: DataFrame, particles: Sequence[str] = PARTICLES) -> DataFrame:
+def _fewest_pieces(size: int, ends_of: Callable[[int], Iterable[int]]) -> tuple[list[int | None], list[int]]:
+    """For each place of a word: pieces of the shortest chain that ends there, and where its last piece starts (first on ties)."""
+    pieces: list[int | None] = [0, *[None] * size]
+    came = [0] * (size + 1)
+    for i in range(size):
+        if pieces[i] is None:
+            continue
+        for j in ends_of(i):
+            if pieces[j] is None or pieces[i] + 1 < pieces[j]:
+                pieces[j], came[j] = pieces[i] + 1, i
+    return pieces, came
+
+
+def _best_chain(word: str, ends_of: Callable[[int], Iterable[int]], particles: Sequence[str]) -> list[dict] | None:
+    """Shortest chain of two or more pieces over the word or the word less one particle; one walk serves all of them."""
+    pieces, came = _fewest_pieces(len(word), ends_of)
+    stops = [len(word), *[len(word) - len(p) for p in particles if len(word) > len(p) and word.endswith(p)]]
+    stops = [s for s in stops if (pieces[s] or 0) >= 2]
+    if not stops:
+        return None
+    at, chain = min(stops, key=lambda s: pieces[s]), []
+    while at:
+        chain.append({"i": came[at], "j": at})
+        at = came[at]
+    return chain[::-1]
+
+
+def _prefix_tree(words: Iterable[str]) -> dict:
+    """Words as nested dictionaries of characters; the empty key marks where a word ends."""
+    root: dict = {}
+    for word in words:
+        node = root
+        for character in word:
+            node = node.setdefault(character, {})
+        node[""] = node
+    return root
+
+
+def _ends_in(tree: dict, word: str) -> Callable[[int], Iterator[int]]:
+    def ends_of(i: int) -> Iterator[int]:
+        node = tree
+        for j in range(i, len(word)):
+            node = node.get(word[j])
+            if node is None:
+                return
+            if "" in node:
+                yield j + 1
+
+    return ends_of
+
+
+_CHAIN = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())]))
+
+
+def _chains_by_tree(words: DataFrame, vocabulary: DataFrame, particles: Sequence[str]) -> DataFrame:
+    """Chains of each word by one walk of a prefix tree; the caller has measured ``vocabulary``."""
+    shared = words.sparkSession.sparkContext.broadcast([r.piece for r in vocabulary.collect()])
+
+    @F.pandas_udf(_CHAIN)
+    def walk(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tree = _prefix_tree(shared.value)
+        for batch in batches:
+            yield pd.Series([_best_chain(w, _ends_in(tree, w), particles) for w in batch], index=batch.index, dtype=object)
+
+    return words.select("token", walk("token").alias("chain"))
+
+
+def _chains_by_join(words: DataFrame, vocabulary: DataFrame, particles: Sequence[str]) -> DataFrame:
+    """Chains of each word by a join of its substrings with a vocabulary of any size."""
+    longest = vocabulary.agg(F.max(F.length("piece"))).first()[0] or 1
+    size = F.length("token")
+    substrings = (
+        words.withColumn("i", F.explode(F.sequence(F.lit(0), size - 1)))
+        .withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.least(size, F.col("i") + longest))))
+        .withColumn("piece", F.expr("substring(token, i + 1, j - i)"))
+    )
+    edges = substrings.join(vocabulary, "piece").groupBy("token").agg(F.sort_array(F.collect_list(F.struct("i", "j"))).alias("edges"))
+
+    @F.pandas_udf(_CHAIN)
+    def walk(tokens: pd.Series, edge_lists: pd.Series) -> pd.Series:
+        out = []
+        for word, found in zip(tokens, edge_lists):
+            ends: dict[int, list[int]] = {}
+            for e in found:
+                ends.setdefault(e["i"], []).append(e["j"])
+            out.append(_best_chain(word, lambda i: ends.get(i, ()), particles))
+        return pd.Series(out, index=tokens.index, dtype=object)
+
+    return edges.select("token", walk("token", "edges").alias("chain"))
+
+
+def compound_matches(texts: DataFrame, terms: DataFrame, particles: Sequence[str] = PARTICLES, tree_bytes: int = TREE_BYTES) -> DataFrame:
     """Words made wholly of two or more spaceless terms, less one particle at most.
 
-    Distinct words only: all their pieces meet the term table in one join, then a shortest chain
-    of pieces is picked per word. Ties keep the whole word before the word without a particle,
-    longer particles first.
+    Each distinct word is walked once along a prefix tree of the terms, keeping the shortest chain of pieces that ends at each
+    place. Ties keep the whole word before the word without a particle, longer particles first. The terms are measured
+    before they are sent as a tree; more than ``tree_bytes`` of them meet the substrings of the words in a join instead.
     """
     plain = terms.filter(~F.col("norm").rlike(tx.WHITESPACE)).select("source_id", "norm")
     vocabulary = plain.select(F.col("norm").alias("piece")).distinct()
-    longest = vocabulary.agg(F.max(F.length("piece"))).first()[0] or 0
+    weight = vocabulary.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0))).first()[0]
 
     def words(text: str):
         for found in _WORD.finditer(text):
@@ -318,45 +410,8 @@ def compound_matches(texts: DataFrame, terms: DataFrame, particles: Sequence[str
 
     tokens = _explode_texts(texts, words, _schema(texts, ("start", T.IntegerType()), ("token", T.StringType())))
     ordered = sorted(particles, key=len, reverse=True)
-    bodies = F.array(
-        F.struct(F.lit(0).alias("choice"), F.col("token").alias("body")),
-        *[
-            F.struct(F.lit(i).alias("choice"), F.when(
-                F.endswith("token", F.lit(p)) & (F.length("token") > len(p)), F.expr(f"substring(token, 1, length(token) - {len(p)})")
-            ).alias("body"))
-            for i, p in enumerate(ordered, 1)
-        ],
-    )
-    distinct = tokens.select("token").distinct()
-    bodied = distinct.select("token", F.explode(F.filter(bodies, lambda b: b["body"].isNotNull())).alias("b")).select("token", "b.*")
-    size = F.length("body")
-    pieces = (
-        bodied.withColumn("i", F.explode(F.sequence(F.lit(0), size - 1)))
-        .withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.least(size, F.col("i") + max(longest, 1)))))
-        .withColumn("piece", F.expr("substring(body, i + 1, j - i)"))
-    )
-    edges = pieces.join(broadcast_if_small(vocabulary), "piece").groupBy("token", "choice", "body").agg(
-        F.sort_array(F.collect_list(F.struct("i", "j"))).alias("edges")
-    )
-    chain_type = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())]))
-
-    @F.pandas_udf(chain_type)
-    def shortest(edge_lists, bodies_):
-        import pandas as pd
-
-        out = []
-        for edges_, body in zip(edge_lists, bodies_):
-            best: dict[int, list[tuple[int, int]]] = {0: []}
-            for e in edges_:
-                i, j = e["i"], e["j"]
-                if i in best and (j not in best or len(best[i]) + 1 < len(best[j])):
-                    best[j] = [*best[i], (i, j)]
-            chain = best.get(len(body), [])
-            out.append([{"i": i, "j": j} for i, j in chain] if len(chain) >= 2 else None)
-        return pd.Series(out)
-
-    chains = edges.select("token", "choice", shortest("edges", "body").alias("chain")).filter("chain is not null")
-    best = chains.groupBy("token").agg(F.min_by("chain", F.struct(F.size("chain"), F.col("choice"))).alias("chain"))
+    chains_of = _chains_by_tree if weight <= tree_bytes else _chains_by_join
+    best = chains_of(tokens.select("token").distinct(), vocabulary, ordered).filter("chain is not null")
     spans = tokens.join(best, "token").select("text_id", "start", "token", F.explode("chain").alias("c"))
     pieces_of = spans.select(
         "text_id", (F.col("start") + F.col("c.i")).alias("start"), (F.col("start") + F.col("c.j")).alias("end"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from .ordered import ordered_fold, rows_of, sequence_of
+from .ordered import FOLD_ROWS, ordered_fold, rows_of, rows_per_task, sequence_of
 
 TOLERANCE = 1e-9
 STATUSES = ("subtitle", "no_subtitle", "ocr_error")
@@ -159,7 +159,9 @@ def stabilize(
     """Merge neighbours that are variants of one reading, then drop short captions.
 
     The reading compared is the best one so far, so this is a fold and not a window. Tokens and
-    normal forms are prepared by Spark; the fold only compares and keeps one open caption.
+    normal forms are prepared by Spark; the fold only compares and keeps one open caption. A gap
+    above the limit always closes the caption, so keys are cut there first and no state crosses;
+    only a stretch without such a gap that exceeds a task is folded slice by slice.
     """
     text = F.coalesce(F.col("raw_text"), F.lit(""))
     prepared = (
@@ -194,8 +196,9 @@ def stabilize(
                 emit(current)
                 current = row
                 continue
-            history = current["variants"] or [{n: current[n] for n in _VARIANT}]
-            current["variants"] = [*history, {n: row[n] for n in _VARIANT}]
+            if current["variants"] is None:
+                current["variants"] = [{n: current[n] for n in _VARIANT}]
+            current["variants"].append({n: row[n] for n in _VARIANT})
             current["end_seconds"] = row["end_seconds"]
             if _better(row["confidence"], current["confidence"]):
                 current.update({n: row[n] for n in ("raw_text", "raw_lines", "confidence", *tokens)})
@@ -205,7 +208,16 @@ def stabilize(
             current = None
         return produced, None if current is None else json.dumps(current, sort_keys=True).encode()
 
-    return ordered_fold(prepared, keys, order, fold, _CAPTION, target_rows)
+    cut = _cut_at_gaps(prepared, keys, order, maximum_gap, rows_per_task(captions, target_rows, FOLD_ROWS), target_rows)
+    return ordered_fold(cut, [*keys, "_chunk"], order, fold, _CAPTION, target_rows).drop("_chunk")
+
+
+def _cut_at_gaps(rows: DataFrame, keys: Sequence[str], order: Sequence[str], maximum_gap: float, size: int, target_rows: int | None) -> DataFrame:
+    """Add ``_chunk``: whole stretches without a gap above ``maximum_gap``, put together until they hold about ``size`` rows."""
+    seq = sequence_of(rows, keys, order, target_rows).previous(_stop=F.col("end_seconds")).row_number("_n")
+    resets = F.col("_stop").isNull() | (F.col("start_seconds") - F.col("_stop") > maximum_gap + TOLERANCE)
+    seq = seq.running_max(_first=F.when(resets, F.col("_n")))
+    return seq.done().withColumn("_chunk", F.floor((F.col("_first") - 1) / size)).drop("_stop", "_n", "_first")
 
 
 def assign_ids(captions: DataFrame, keys: Sequence[str] = ("video_id",), order: Sequence[str] = ("start_seconds", "line_index", "end_seconds"), target_rows: int | None = None) -> DataFrame:
@@ -255,6 +267,24 @@ def frame_range_filter(frames: DataFrame, start: float, end: float, interval: fl
     return frames.withColumn("ts", at).filter((at >= start - interval - 1e-6) & (at < end - 1e-6))
 
 
+def numbered_frames(
+    frames: DataFrame, keys: Sequence[str], start: float, end: float, interval: float, source_start: float = 0.0, pts: str = "pts",
+    ties: Sequence[str] = (), target_rows: int | None = None,
+) -> DataFrame:
+    """Frames of a half-open range with ``frame_index``, counted from 0 per key in time order."""
+    kept = frame_range_filter(frames, start, end, interval, source_start, pts)
+    numbered = sequence_of(kept, keys, ["ts", *ties], target_rows).row_number("_n").done()
+    return numbered.withColumn("frame_index", F.col("_n") - 1).drop("_n")
+
+
+def range_report(requests: DataFrame, numbered: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Frames taken per requested key; ``problem`` is ``range.empty`` where a request yielded none."""
+    counts = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"))
+    taken = F.coalesce(F.col("frames"), F.lit(0).cast("long"))
+    out = requests.select(*keys).distinct().join(counts, list(keys), "left")
+    return out.select(*keys, taken.alias("frames"), F.when(taken == 0, "range.empty").alias("problem"))
+
+
 def gap_sessions(rows: DataFrame, keys: Sequence[str], order: Sequence[str], gap: float, target_rows: int | None = None) -> DataFrame:
     """Sessions that only a silence of ``gap`` or more closes; a session ends one gap after its last row."""
     at = F.col(order[0])
@@ -270,29 +300,54 @@ def order_in_group(texts: DataFrame, keys: Sequence[str], order: str, text: str,
     return texts.groupBy(*keys).agg(F.array_join(F.transform(pairs, lambda p: p[text]), "\n").alias(name))
 
 
-def first_accepted(attempts: DataFrame, keys: Sequence[str], rank: str = "attempt", text: str = "raw_text", confidence: str = "confidence", limit: int = 3, accepted: Column | None = None) -> DataFrame:
-    """Outcome of up to three tries: the first accepted one, else the surest as fallback."""
-    ok = accepted
-    if ok is None:
-        ok = ~tx.is_blank(text) & ~tx.is_low_information(text, confidence)
-    tried = attempts.filter(F.col(rank) <= limit).withColumn("_ok", ok)
-    row = F.struct(F.col(rank).alias("attempt"), F.col(text).alias("raw_text"), F.col(confidence).alias("confidence"))
-    surest = F.struct(F.coalesce(F.col(confidence), F.lit(-1.0)), F.length(text), -F.col(rank))
-    out = tried.groupBy(*keys).agg(
-        F.min_by(row, F.when(F.col("_ok"), F.col(rank))).alias("_hit"),
-        F.min(F.when(F.col("_ok"), F.col(rank))).alias("_hit_rank"),
-        F.max_by(row, surest).alias("_fallback"),
-        F.count(F.lit(1)).alias("_tries"),
+def attempt_ledger(
+    attempts: DataFrame, keys: Sequence[str], rank: str = "attempt", text: str = "raw_text", confidence: str = "confidence", limit: int = 3,
+    accepted: Column | None = None, error: str | None = None,
+) -> DataFrame:
+    """Outcome of up to ``limit`` tries with the ledger of those made: the first accepted one, else the surest as fallback.
+
+    ``attempts`` of the result lists each try up to the accepted one with its trimmed text and a reason code if it was turned
+    down: ``ocr_exception`` (column ``error`` set), ``empty_ocr`` or ``low_information_ocr``. A try has one place in the
+    ledger, so its size is bounded by ``limit`` whatever the input repeats.
+    """
+    failed = F.col(error).isNotNull() if error else F.lit(False)
+    tried = attempts.filter(F.col(rank).between(1, limit)).select(
+        *keys, F.col(rank).cast("int").alias("attempt"), failed.alias("_failed"),
+        (F.col(error) if error else F.lit(None)).cast("string").alias("error"),
+        (F.lit(True) if accepted is None else accepted).alias("_given"),
+        F.when(failed, "").otherwise(F.coalesce(tx.trim_space(text), F.lit(""))).alias("raw_text"),
+        F.when(~failed, F.col(confidence)).cast("double").alias("confidence"),
     )
-    hit = F.col("_hit_rank").isNotNull()
-    chosen = F.when(hit, F.col("_hit")).otherwise(F.col("_fallback"))
-    return out.select(
-        *keys,
-        F.when(hit, "completed").otherwise("error").alias("status"),
-        chosen["raw_text"].alias("raw_text"),
-        chosen["confidence"].alias("confidence"),
-        F.when(hit, F.col("_hit_rank")).otherwise(F.col("_tries")).cast("long").alias("call_count"),
+    empty = F.col("raw_text") == ""
+    fine = ~F.col("_failed") & F.coalesce(F.col("_given"), F.lit(False))
+    if accepted is None:
+        fine = fine & ~empty & ~tx.is_low_information("raw_text", "confidence")
+    reason = F.when(F.col("_failed"), "ocr_exception").when(~fine & empty, "empty_ocr").when(~fine, "low_information_ocr")
+    entry = F.struct("attempt", "raw_text", "confidence", fine.alias("accepted"), reason.alias("rejection_reason"), "error")
+    # The text tests call ICU, which an aggregate does not take; the entry is a column before.
+    made = tried.select(*keys, "attempt", entry.alias("_entry")).groupBy(*keys).agg(
+        F.array_compact(F.array(*[F.min(F.when(F.col("attempt") == i, F.col("_entry"))) for i in range(1, limit + 1)])).alias("_made")
     )
+    hits = F.filter("_made", lambda e: e["accepted"])
+    made = made.withColumn("_hit", F.try_element_at(hits, F.lit(1)))
+    kept = F.filter("_made", lambda e: F.col("_hit").isNull() | (e["attempt"] <= F.col("_hit.attempt")))
+    made = made.withColumn("attempts", kept)
+    surest = F.array_max(F.transform("attempts", lambda e: F.struct(
+        F.coalesce(e["confidence"], F.lit(-1.0)).alias("sure"), F.length(e["raw_text"]).alias("size"), (-e["attempt"]).alias("early"),
+        e["raw_text"].alias("raw_text"), e["confidence"].alias("confidence"),
+    )))
+    hit = F.col("_hit").isNotNull()
+    chosen = made.withColumn("_fallback", surest)
+    pick = lambda name: F.when(hit, F.col(f"_hit.{name}")).otherwise(F.col(f"_fallback.{name}")).alias(name)
+    return chosen.select(
+        *keys, F.when(hit, "completed").otherwise("error").alias("status"), pick("raw_text"), pick("confidence"),
+        F.size("attempts").cast("long").alias("call_count"), "attempts",
+    )
+
+
+def first_accepted(attempts: DataFrame, keys: Sequence[str], rank: str = "attempt", text: str = "raw_text", confidence: str = "confidence", limit: int = 3, accepted: Column | None = None) -> DataFrame:
+    """Outcome of ``attempt_ledger`` without the ledger."""
+    return attempt_ledger(attempts, keys, rank, text, confidence, limit, accepted).drop("attempts")
 
 
 def adjacent_change(rows: DataFrame, group: str, order: Sequence[str], text: str, distance: Column | None = None, target_rows: int | None = None) -> DataFrame:

@@ -102,6 +102,49 @@ def interval_report_overall(spark, d):
     )
 
 
+@query("partition_report", TRUTH.replace("WITH", "WITH RECURSIVE", 1) + """
+, m AS (SELECT * FROM (VALUES ('image', 4), ('legacy', 2)) v(method, below)), b AS (SELECT * FROM (VALUES ('all'), ('primary')) v(block)),
+tb AS (SELECT t.*, method, block FROM t JOIN m ON user_id % 4 < below JOIN b ON block = 'all' OR e - s + 1e-9 >= 7200),
+pb AS (SELECT p.*, 'image' AS method, block FROM p, b UNION ALL
+       SELECT user_id, idx, s + (idx % 3) * 3600, e + (idx % 3) * 3600, 'legacy', block FROM t, b WHERE user_id % 4 < 2),
+x AS (SELECT tb.user_id, tb.method, tb.block, tb.idx AS ti, pb.idx AS pi, tb.s AS ts, tb.e AS te, pb.s AS ps, pb.e AS pe, least(tb.e, pb.e) - greatest(tb.s, pb.s) AS shared
+      FROM tb JOIN pb ON tb.user_id = pb.user_id AND tb.method = pb.method AND tb.block = pb.block AND tb.s < pb.e AND pb.s < tb.e),
+cand AS (SELECT *, row_number() OVER (PARTITION BY user_id, method, block ORDER BY shared / ((te - ts) + (pe - ps) - shared) DESC, ti DESC, pi DESC) AS rn
+         FROM x WHERE shared / ((te - ts) + (pe - ps) - shared) >= 0.5),
+walk(user_id, method, block, rn, ut, up, taken) AS (
+  SELECT DISTINCT user_id, method, block, 0::BIGINT, []::BIGINT[], []::BIGINT[], false FROM cand
+  UNION ALL SELECT w.user_id, w.method, w.block, c.rn, CASE WHEN list_contains(ut, ti) OR list_contains(up, pi) THEN ut ELSE list_append(ut, ti) END,
+    CASE WHEN list_contains(ut, ti) OR list_contains(up, pi) THEN up ELSE list_append(up, pi) END, NOT (list_contains(ut, ti) OR list_contains(up, pi))
+  FROM walk w JOIN cand c ON c.user_id = w.user_id AND c.method = w.method AND c.block = w.block AND c.rn = w.rn + 1),
+g AS (SELECT c.* FROM walk w JOIN cand c ON c.user_id = w.user_id AND c.method = w.method AND c.block = w.block AND c.rn = w.rn WHERE taken),
+cells AS (SELECT DISTINCT (user_id % 4)::BIGINT AS partition_id, method, block FROM pb),
+nt AS (SELECT user_id % 4 AS u, method, block, count(*) AS n FROM tb GROUP BY ALL), np AS (SELECT user_id % 4 AS u, method, block, count(*) AS n FROM pb GROUP BY ALL),
+ng AS (SELECT user_id % 4 AS u, method, block, count(*) AS n, quantile_cont(abs(ts - ps), 0.5) AS sm FROM g GROUP BY ALL),
+ot AS (SELECT u, method, block, sum(n - 1) AS n FROM (SELECT user_id % 4 AS u, user_id, method, block, ti, count(*) AS n FROM x GROUP BY ALL) GROUP BY ALL)
+SELECT c.partition_id, c.method, c.block, coalesce(nt.n, 0)::BIGINT AS truth_count, np.n::BIGINT AS prediction_count, coalesce(ng.n, 0)::BIGINT AS matched_count,
+  round(coalesce(ng.n, 0) / np.n::DOUBLE, 6) AS precision, coalesce(ot.n, 0)::BIGINT AS oversegmentation_extra_count, round(sm, 3) AS start_median
+FROM cells c JOIN np ON np.u = partition_id AND np.method = c.method AND np.block = c.block
+LEFT JOIN nt ON nt.u = partition_id AND nt.method = c.method AND nt.block = c.block
+LEFT JOIN ng ON ng.u = partition_id AND ng.method = c.method AND ng.block = c.block
+LEFT JOIN ot ON ot.u = partition_id AND ot.method = c.method AND ot.block = c.block
+""")
+def partition_report(spark, d):
+    """Users dealt to four partitions; one method has results everywhere, another in two partitions only."""
+    truth, predicted = truth_and_predictions(spark, d)
+    part = (F.col("user_id") % 4).cast("long").alias("partition_id")
+    move = (F.col("idx") % 3) * 3600
+    moved = {c: F.col(c) + move for c in ("start_seconds", "end_seconds")}
+    claims = predicted.select("*", part, F.lit("image").alias("method")).unionByName(
+        truth.withColumns(moved).select("*", part, F.lit("legacy").alias("method")).filter("partition_id < 2")
+    )
+    methods = claims.select("partition_id", "method").distinct()
+    r = mt.partition_report(truth.select("*", part), claims, methods, ["user_id"], minimum=7200.0)
+    return r.select(
+        "partition_id", "method", "block", "truth_count", "prediction_count", "matched_count", F.round("precision", 6).alias("precision"),
+        "oversegmentation_extra_count", F.round("start_error_median_seconds", 3).alias("start_median"),
+    )
+
+
 @query("primary_subset", RUNS + """
 SELECT user_id, start_us, end_us FROM runs WHERE (end_us - start_us) / 1e6 + 1e-9 >= 1.2
 """)

@@ -218,6 +218,29 @@ def first_accepted(spark, d):
     return tl.first_accepted(tries, ["l_orderkey"]).withColumn("confidence", F.round("confidence", 6))
 
 
+@query("attempt_log", """
+WITH r AS (SELECT l_orderkey, l_quantity::INTEGER AS q, l_quantity / 50 AS c, l_returnflag || l_linestatus AS t,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rk FROM lineitem),
+k AS (SELECT l_orderkey, rk, CASE WHEN q % 5 = 0 OR q % 7 = 0 THEN '' ELSE t END AS t, CASE WHEN q % 5 > 0 THEN c END AS c, CASE WHEN q % 5 = 0 THEN 'engine' END AS error,
+  q % 5 > 0 AND q % 7 > 0 AND c >= 0.6 AS ok FROM r WHERE rk <= 3),
+a AS (SELECT l_orderkey, min(rk) FILTER (ok) AS hit FROM k GROUP BY l_orderkey)
+SELECT k.l_orderkey, CASE WHEN hit IS NULL THEN 'error' ELSE 'completed' END AS status, rk::INTEGER AS attempt, t AS raw_text, round(c, 6) AS confidence, ok AS accepted,
+  CASE WHEN error IS NOT NULL THEN 'ocr_exception' WHEN t = '' THEN 'empty_ocr' WHEN NOT ok THEN 'low_information_ocr' END AS rejection_reason, error
+FROM k JOIN a ON a.l_orderkey = k.l_orderkey WHERE hit IS NULL OR rk <= hit
+""")
+def attempt_log(spark, d):
+    """Order lines as tries: some fail, some read nothing, some are unsure."""
+    lines = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus")
+    lines = lines.withColumn("score", -F.col("l_linenumber"))
+    count = F.col("l_quantity").cast("int")
+    tries = tl.top_per_group(lines, ["l_orderkey"], "score", ["l_partkey", "l_suppkey", "l_extendedprice"]).select(
+        "l_orderkey", F.col("rank").alias("attempt"), F.when(count % 7 == 0, "  ").otherwise(F.concat("l_returnflag", "l_linestatus")).alias("raw_text"),
+        (F.col("l_quantity") / 50).alias("confidence"), F.when(count % 5 == 0, "engine").alias("failure"),
+    )
+    rows = tl.attempt_ledger(tries, ["l_orderkey"], error="failure").select("l_orderkey", "status", F.inline("attempts"))
+    return rows.withColumn("confidence", F.round("confidence", 6))
+
+
 @query("ordered_concat", """
 SELECT conv_id, turn // 2 AS pair, md5(string_agg(text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY ALL
 """)
@@ -265,7 +288,7 @@ def simultaneous_pairs(spark, d):
 , p AS (SELECT user_id, event_id AS point_id, epoch_us(ts) / 1e6::DOUBLE + 600 AS t FROM events WHERE event_type = 'click'),
 h AS (SELECT point_id, event_id, row_number() OVER (PARTITION BY point_id ORDER BY length(event_type), s, event_id) AS rn
       FROM p JOIN c ON p.user_id = c.user_id AND c.s <= p.t AND p.t < c.e)
-SELECT point_id, event_id AS id FROM h WHERE rn = 1
+SELECT p.point_id, f.event_id AS id FROM p LEFT JOIN (SELECT * FROM h WHERE rn = 1) f ON f.point_id = p.point_id
 """)
 def active_at(spark, d):
     points = table(spark, d, "events").filter("event_type = 'click'").select(
@@ -298,6 +321,33 @@ def range_filter(spark, d):
     return out.select("event_id", F.floor((F.round(F.col("ts") * 1e6) - 86400000000) / 1000).alias("ms"))
 
 
+#: Events of a quarter day, each user a video.
+QUARTER = """
+WITH k AS (SELECT user_id, event_id, epoch_us(ts) AS us FROM events
+  WHERE epoch_us(ts) - 1704067200000000 >= 86400000000 - 200000 - 1 AND epoch_us(ts) - 1704067200000000 < 108000000000 - 1)
+"""
+
+
+def quarter(spark, d):
+    frames = table(spark, d, "events").select("user_id", "event_id", (micros("ts") / 1e6).alias("pts"))
+    return tl.numbered_frames(frames, ["user_id"], 86400.0, 108000.0, INTERVAL, source_start=1704067200.0, ties=["event_id"])
+
+
+@query("frame_index", QUARTER + """
+SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS frame_index FROM k
+""")
+def frame_index(spark, d):
+    return quarter(spark, d).select("user_id", "event_id", "frame_index")
+
+
+@query("range_report", QUARTER + """
+SELECT u.user_id, count(k.event_id)::BIGINT AS frames, CASE WHEN count(k.event_id) = 0 THEN 'range.empty' END AS problem
+FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN k ON k.user_id = u.user_id GROUP BY u.user_id
+""")
+def range_report(spark, d):
+    return tl.range_report(table(spark, d, "events", "user_id"), quarter(spark, d), ["user_id"])
+
+
 @query("interval_sample", """
 SELECT user_id, epoch_us(ts) // 3600000000 AS interval_index, arg_min(event_id, (epoch_us(ts), event_id)) AS event_id FROM events GROUP BY ALL
 """)

@@ -90,6 +90,8 @@ RUN = T.StructType([
     T.StructField("start_seconds", T.DoubleType()),
     T.StructField("end_seconds", T.DoubleType()),
     T.StructField("raw_text", T.StringType()),
+    T.StructField("raw_lines", T.ArrayType(T.StringType())),
+    T.StructField("source_ko", T.StringType()),
     T.StructField("confidence", T.DoubleType()),
     T.StructField("message", T.StringType()),
 ])
@@ -99,14 +101,18 @@ def merge_runs_stream(
     samples: DataFrame, interval: float, range_end: float | None = None, keys: tuple[str, ...] = ("video_id", "line_id"),
     delay: str = "10 seconds", idle_ms: int = 60_000,
 ) -> DataFrame:
-    """Captions from samples as they close: on another text, on no text, on an error, or on silence."""
+    """Captions from samples as they close: on another text, on no text, on an error, or on silence.
+
+    Lines of a reading come from ``raw_lines`` of its first sample, where that column exists, else its text is the one line.
+    """
     shown = (F.col("status") == "subtitle") & (F.length("_bare") > 0)
     keyed = samples.withColumn("_bare", tx.normalize_for_comparison("raw_text")).withColumn("_key", F.when(shown, F.col("_bare")))
 
     def caption(run: dict, end: float) -> dict:
         end = end if range_end is None else min(end, range_end)
         return {
-            "kind": "caption", "start_seconds": run["start"], "end_seconds": max(run["start"], end), "raw_text": run["text"], "confidence": run["confidence"],
+            "kind": "caption", "start_seconds": run["start"], "end_seconds": max(run["start"], end), "raw_text": run["text"],
+            "raw_lines": run["lines"], "source_ko": run["text"], "confidence": run["confidence"],
         }
 
     def advance(payload: bytes | None, row: dict):
@@ -118,8 +124,9 @@ def merge_runs_stream(
             found.append(caption(run, row["ts"]))
             run = None
         if key is not None and run is None:
-            trust = row["confidence"]
-            run = {"key": key, "start": row["ts"], "text": row["raw_text"], "confidence": None if pd.isna(trust) else trust}
+            trust, lines = row["confidence"], row.get("raw_lines")
+            lines = [row["raw_text"]] if lines is None else list(lines)
+            run = {"key": key, "start": row["ts"], "text": row["raw_text"], "lines": lines, "confidence": None if pd.isna(trust) else trust}
         return found, json.dumps(run).encode() if run else None
 
     def close(payload: bytes | None, newest: float):

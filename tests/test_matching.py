@@ -57,6 +57,32 @@ def test_copies_match_in_one_round(spark):
     assert {(r.line_id, r.t_idx, r.p_idx) for r in out.collect()} == {("l", 29 - i, 19 - i) for i in range(20)}
 
 
+@pytest.mark.parametrize("size", [4, 1_000_000])
+def test_long_chain(spark, size):
+    """A chain of 300 candidates whose scores rise all along, the slowest case for rounds; cut to 12 where only rounds fit."""
+    n = 300 if size > 4 else 12
+    edges, at, width = [], 0.0, 100.0
+    for i in range(n):
+        edges.append((at, at + width))
+        at += width * (0.28 - 0.1 * i / n)
+    truth = [("l", i, *e) for i, e in enumerate(edges) if i % 2 == 0]
+    predicted = [("l", i, *e) for i, e in enumerate(edges) if i % 2]
+    out = mt.greedy_match(spark.createDataFrame(truth, SIDE), spark.createDataFrame(predicted, SIDE), ["line_id"], target_rows=size)
+    assert {(r.line_id, r.t_idx, r.p_idx) for r in out.collect()} == brute(truth, predicted)
+
+
+def test_partition_report(spark):
+    shape = "partition_id string, method string, " + SIDE
+    truth = spark.createDataFrame([("x", "l", 0, 0.0, 2.0), ("x", "l", 1, 5.0, 6.0), ("z", "l", 0, 0.0, 9.0)], "partition_id string, " + SIDE)
+    claims = spark.createDataFrame([("x", "image", "l", 0, 0.1, 2.0), ("x", "image", "l", 1, 5.0, 6.0), ("y", "image", "l", 0, 0.0, 1.0)], shape)
+    methods = spark.createDataFrame([("x", "image"), ("x", "legacy"), ("y", "image")], "partition_id string, method string")
+    got = {(r.partition_id, r.method, r.block): (r.truth_count, r.prediction_count, r.matched_count, r.recall) for r in mt.partition_report(truth, claims, methods, ["line_id"]).collect()}
+    assert got == {
+        ("x", "image", "all"): (2, 2, 2, 1.0), ("x", "image", "primary"): (1, 2, 1, 1.0), ("x", "legacy", "all"): (2, 0, 0, 0.0),
+        ("x", "legacy", "primary"): (1, 0, 0, 0.0), ("y", "image", "all"): (0, 1, 0, 0.0), ("y", "image", "primary"): (0, 1, 0, 0.0),
+    }
+
+
 @pytest.mark.parametrize("size", [6, 1_000_000])
 def test_overlap_counts(spark, size):
     rng = random.Random(8)

@@ -190,3 +190,38 @@ def test_phrases_by_positions_equal_brute_force(spark):
                     want.add((i, r.source_id, at, at + len(r.norm)))
                 at = text.find(r.norm, at + 1)
     assert got == sorted(want)
+
+
+def brute_compound(word, vocabulary, particles):
+    """Every body in turn: shortest chain, whole word first, then without the longest particle."""
+    best = None
+    for body in [word, *[word[: -len(p)] for p in sorted(particles, key=len, reverse=True) if word.endswith(p) and len(word) > len(p)]]:
+        chains = {0: []}
+        for i in range(len(body)):
+            for j in range(i + 1, len(body) + 1):
+                if i in chains and body[i:j] in vocabulary and (j not in chains or len(chains[i]) + 1 < len(chains[j])):
+                    chains[j] = [*chains[i], (i, j)]
+        chain = chains.get(len(body), [])
+        if len(chain) >= 2 and (best is None or len(chain) < len(best)):
+            best = chain
+    return best or []
+
+
+@pytest.mark.parametrize("tree_bytes", [0, 1 << 20])
+def test_compound_equals_brute_force(spark, tree_bytes):
+    """Random words, and in the tree form one of 10,000 letters without blanks."""
+    rng = random.Random(4)
+    vocabulary = sorted({"".join(rng.choice("가나다") for _ in range(rng.randint(1, 4))) for _ in range(14)} | {"가"})
+    texts = ["".join(rng.choice("가나다은") for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    if tree_bytes:
+        texts.append("".join(rng.choice(vocabulary) for _ in range(4_000))[:10_000] + "가은")
+    norm = tm.normalized_texts(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id", "text")
+    listed = tm.prepared_terms(spark.createDataFrame([(t, t) for t in vocabulary], "source_id string, term string"))
+    got: dict[int, list] = {}
+    for r in tm.compound_matches(norm, listed, tree_bytes=tree_bytes).collect():
+        got.setdefault(r.text_id, []).append((r.start, r.end))
+    short = {i: brute_compound(t, set(vocabulary), tm.PARTICLES) for i, t in enumerate(texts[:60])}
+    assert {i: sorted(g) for i, g in got.items() if i < 60} == {i: c for i, c in short.items() if c}
+    if tree_bytes:
+        chain = sorted(got[60])
+        assert [a for a, _ in chain] == [0, *[b for _, b in chain[:-1]]] and len(chain) >= len(texts[60]) // 4

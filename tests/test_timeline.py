@@ -89,6 +89,41 @@ def test_first_accepted(spark):
     assert got == {"a": ("completed", "드래곤", 0.8, 2), "b": ("error", "x", 0.9, 3), "c": ("error", "abc", 0.4, 2)}
 
 
+def test_attempt_ledger(spark):
+    rows = [
+        ("a", 1, "  ", 0.9, None), ("a", 2, None, None, "E: x"), ("a", 3, " 드래곤 ", 0.8, None), ("b", 1, "x", 0.9, None), ("b", 2, "드래곤", 0.9, None),
+        ("b", 3, "바론", 0.99, None), ("c", 1, None, None, None), ("c", 2, "가", 0.1, None), ("c", 2, "가", 0.1, None), ("c", 9, "드래곤", 0.9, None),
+    ]
+    df = spark.createDataFrame(rows, "id string, attempt int, raw_text string, confidence double, failure string")
+    got = {r.id: r for r in tl.attempt_ledger(df, ["id"], error="failure").collect()}
+    log = lambda k: [(a.attempt, a.raw_text, a.accepted, a.rejection_reason, a.error) for a in got[k].attempts]
+    assert log("a") == [(1, "", False, "empty_ocr", None), (2, "", False, "ocr_exception", "E: x"), (3, "드래곤", True, None, None)]
+    assert (got["a"].status, got["a"].raw_text, got["a"].call_count) == ("completed", "드래곤", 3)
+    assert log("b") == [(1, "x", False, "low_information_ocr", None), (2, "드래곤", True, None, None)]
+    assert log("c") == [(1, "", False, "empty_ocr", None), (2, "가", False, "low_information_ocr", None)]
+    assert (got["c"].status, got["c"].raw_text, got["c"].confidence, got["c"].call_count) == ("error", "가", 0.1, 2)
+
+
+def test_stabilize_cuts_at_gaps(spark):
+    """Islands of three equal readings; slices far smaller than a key give the same captions as one pass."""
+    rows = [(i + j * 0.1, i + j * 0.1 + 0.1, f"말{i % 3}" * 3, 0.5 + 0.1 * j) for i in range(40) for j in range(3)]
+    out = {}
+    for size in (7, 2, 1_000_000):
+        found = tl.stabilize(captions(spark, rows), 0.2, 0.2, target_rows=size).collect()
+        out[size] = sorted((round(r.start_seconds, 3), round(r.end_seconds, 3), r.raw_text, len(r.variants or []), round(r.confidence, 3)) for r in found)
+    assert out[7] == out[2] == out[1_000_000]
+    assert out[7] == [(float(i), round(i + 0.3, 3), f"말{i % 3}" * 3, 3, 0.7) for i in range(40)]
+
+
+def test_numbered_frames_and_empty_ranges(spark):
+    frames = spark.createDataFrame([("v", 10.0 + i * 0.1, i) for i in range(10)] + [("w", 90.0, 0)], "video_id string, pts double, n int")
+    for size in (3, 1_000_000):
+        out = tl.numbered_frames(frames, ["video_id"], 0.2, 0.6, 0.1, source_start=10.0, target_rows=size)
+        assert sorted((r.n, r.frame_index) for r in out.collect()) == [(1, 0), (2, 1), (3, 2), (4, 3), (5, 4)]
+    report = {r.video_id: (r.frames, r.problem) for r in tl.range_report(frames.select("video_id"), out, ["video_id"]).collect()}
+    assert report == {"v": (5, None), "w": (0, "range.empty")}
+
+
 def test_ids_scores_and_checks(spark):
     df = spark.createDataFrame([("v", 2.0, 0, 3.0), ("v", 1.0, 1, 2.0), ("v", 1.0, 0, 2.0)], "video_id string, start_seconds double, line_index int, end_seconds double")
     got = {(r.start_seconds, r.line_index): r.id for r in tl.assign_ids(df).collect()}
@@ -103,7 +138,7 @@ def test_point_lookup_is_half_open(spark):
     caps = spark.createDataFrame([("v", "a", 1, 0.0, 2.0), ("v", "b", 0, 1.0, 3.0), ("v", "c", 0, 1.0, 1000.0), ("v", "d", 0, 5.0, 5.0)], "video_id string, id string, line_index int, start_seconds double, end_seconds double")
     points = spark.createDataFrame([("v", i, t) for i, t in enumerate([0.0, 1.0, 2.0, 3.0, 999.99, 1000.0, 5.0])], "video_id string, p int, t double")
     got = {r.p: r.id for r in ranges.active_at(points, caps, ["video_id"], "p").collect()}
-    assert got == {0: "a", 1: "b", 2: "b", 3: "c", 4: "c", 6: "c"}
+    assert got == {0: "a", 1: "b", 2: "b", 3: "c", 4: "c", 5: None, 6: "c"}
 
 
 def test_overlap_join_equals_brute_force(spark):
