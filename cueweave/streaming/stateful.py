@@ -103,7 +103,7 @@ def merge_runs_stream(
 ) -> DataFrame:
     """Captions from samples as they close: on another text, on no text, on an error, or on silence.
 
-    Lines of a reading come from ``raw_lines`` of its first sample, where that column exists, else its text is the one line.
+    Lines of a reading come from ``raw_lines`` of its first sample, where it lists any, else its text is the one line.
     """
     shown = (F.col("status") == "subtitle") & (F.length("_bare") > 0)
     keyed = samples.withColumn("_bare", tx.normalize_for_comparison("raw_text")).withColumn("_key", F.when(shown, F.col("_bare")))
@@ -125,7 +125,7 @@ def merge_runs_stream(
             run = None
         if key is not None and run is None:
             trust, lines = row["confidence"], row.get("raw_lines")
-            lines = [row["raw_text"]] if lines is None else list(lines)
+            lines = [row["raw_text"]] if lines is None or not len(lines) else list(lines)
             run = {"key": key, "start": row["ts"], "text": row["raw_text"], "lines": lines, "confidence": None if pd.isna(trust) else trust}
         return found, json.dumps(run).encode() if run else None
 

@@ -125,7 +125,9 @@ def test_runs_stream_and_late_rows(spark, folder):
     rows += [("v", "line-1", 0.1, "subtitle", "늦음", [], 0.5, None), ("w", "line-1", 9_000.0, "subtitle", "끝", [], 0.5, None), ("w", "line-1", 9_900.0, "subtitle", "끝", [], 0.5, None)]
     stream = stream_files(spark, rows, schemas.SAMPLE, f"{folder}/in", len(rows))
     out = stateful.merge_runs_stream(stream, 0.2, delay="100 seconds", idle_ms=5_000)
-    got = sorted((r.kind, round(r.start_seconds, 1), round(r.end_seconds, 1), r.raw_text) for r in drain(spark, out, "runs", folder) if r.video_id == "v")
+    found = [r for r in drain(spark, out, "runs", folder) if r.video_id == "v"]
+    assert all(r.raw_lines == [r.raw_text] and r.source_ko == r.raw_text for r in found if r.kind == "caption")
+    got = sorted((r.kind, round(r.start_seconds, 1), round(r.end_seconds, 1), r.raw_text) for r in found)
     assert got == [("caption", 0.0, 0.4, "가"), ("caption", 0.4, 0.6, "나"), ("caption", 0.8, 1.2, "나"), ("late", 0.1, 0.1, None)]
 
 
