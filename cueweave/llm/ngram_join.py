@@ -25,7 +25,6 @@ without any doc_id has a null id; other columns are never read.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,9 +34,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import SQL_LOWERED, discard, located, prepare, query, stored, table, without
-from .decontaminate import grams, hash_words
+from .shingles import ODD, ODD2, begins, mixed, shingle_sets
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")  # fixed value: a word
 #: Parts of the hash space, as a power of two, in which shingles apart from a lead are counted.
 PART_BITS = 4
 #: Cost of a chance partner, a signature costing 1.
@@ -47,9 +45,6 @@ BITS = 27
 #: 64-bit words of a bitmap that a task puts together at a time.
 PAGE = 8192
 
-ODD = np.uint64(0x9E3779B97F4A7C15)
-ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
-
 
 def poisson_below(mean: float, w: int) -> float:
     return sum(math.exp(-mean) * mean**j / math.factorial(j) for j in range(w))
@@ -95,50 +90,58 @@ def allocation(band: int, num: int, den: int, docs: int) -> tuple[int, int, int,
     return min(plans)[1]
 
 
-def shingles(text: str, size: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles."""
-    words = WORD.findall(text)
-    return np.unique(grams(hash_words(words), min(size, len(words)))) if words else np.zeros(0, np.uint64)
-
-
-def mixed(h: np.ndarray, odd: np.uint64) -> np.ndarray:
-    x = (h ^ (h >> np.uint64(31))) * odd
-    return x ^ (x >> np.uint64(29))
-
+def identities(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each set."""
+    size = np.diff(at).astype(np.uint64)
+    out = []
+    for odd in (ODD, ODD2):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h, odd), dtype=np.uint64)])
+        out.append((((sums[at[1:]] - sums[at[:-1]]) * ODD + size) ^ np.uint64(1 << 63)).view(np.int64))
+    return out[0], out[1]
 
-def identity(h: np.ndarray) -> tuple[int, int]:
-    """Two independent 64-bit hashes of a set."""
-    sums = (int(np.add.reduce(mixed(h, odd), dtype=np.uint64)) if len(h) else 0 for odd in (ODD, ODD2))
-    return tuple((s * 0x9E3779B97F4A7C15 + len(h) & (1 << 64) - 1) - (1 << 63) for s in sums)
 
+def all_signatures(h: np.ndarray, at: np.ndarray, num: int, den: int, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of each set in the spaces of its band and of the band below, set after set, and where those of each set begin.
 
-def signatures(h: np.ndarray, num: int, den: int, docs: int) -> np.ndarray:
-    """Signatures of a set in the spaces of its band and of the band below."""
-    if len(h) == 0:
-        return h
-    starts = bands(num, den)
-    own = int(np.searchsorted(starts, len(h), "right")) - 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h, ODD), dtype=np.uint64)])
-    out = []
-    for band in (own, own - 1):
-        plan = allocation(band, num, den, docs) if band >= 0 else None
+    The sets of a band are signed together.
+    """
+    sizes = np.diff(at)
+    own = np.searchsorted(bands(num, den), sizes, "right") - 1
+    owners, out = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for band in np.unique(np.concatenate([own, own - 1])):
+        plan = allocation(int(band), num, den, docs) if band >= 0 else None
         if plan is None:
             continue
         m, w, z, deletions = plan
-        segment = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-        cuts = np.searchsorted(segment, np.arange(m + 1, dtype=np.uint64))
-        total, size = sums[cuts[1:]] - sums[cuts[:-1]], np.diff(cuts)
-        space = (np.arange(m, dtype=np.uint64) + np.uint64(band << 32)) * ODD2
+        some = np.flatnonzero((own == band) | (own == band + 1))
+        local = np.repeat(np.arange(len(some)), sizes[some])
+        shingle = h[np.arange(len(local)) + np.repeat(at[some] - begins(sizes[some])[:-1], sizes[some])]
+        cell = local * m + (((shingle >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
+        size = np.bincount(cell, minlength=len(some) * m)
+        cuts, parts = begins(size), mixed(shingle, ODD)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(parts, dtype=np.uint64)])
+        total = sums[cuts[1:]] - sums[cuts[:-1]]
+        space = (np.arange(m, dtype=np.uint64) + (np.uint64(band) << np.uint64(32))) * ODD2
+        every = mixed((total.reshape(-1, m) ^ space) + np.uint64(1), ODD2)
         if deletions:
-            out.append(mixed((total ^ space) + np.uint64(1), ODD2))
-            at = segment.astype(np.int64)
-            out.append(mixed(((total[at] - mixed(h, ODD)) ^ space[at]) + np.uint64(1), ODD2))
+            owners += [np.repeat(some, m), some[local]]
+            out += [every.ravel(), mixed(((total[cell] - parts) ^ space[cell % m]) + np.uint64(1), ODD2)]
         else:
-            full = size >= w
-            if int((~full).sum()) <= z:
-                total, space = total[full], space[full]
-            out.append(mixed((total ^ space) + np.uint64(1), ODD2))
-    return np.unique(np.concatenate(out)) if out else h[:0]
+            full = size.reshape(-1, m) >= w
+            taken = full | ((~full).sum(axis=1) > z)[:, None]
+            owners.append(np.repeat(some, taken.sum(axis=1)))
+            out.append(every[taken])
+    owner = np.concatenate(owners)
+    return np.concatenate(out)[np.argsort(owner, kind="stable")], begins(np.bincount(owner, minlength=len(sizes)))
+
+
+def signatures(h: np.ndarray, num: int, den: int, docs: int) -> np.ndarray:
+    """Signatures of one set."""
+    return all_signatures(h, np.array([0, len(h)]), num, den, docs)[0]
+
+
+def lists(values: np.ndarray, at: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))
 
 
 class Join:
@@ -157,16 +160,10 @@ class Join:
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = []
-                for text in batch.column(3).to_pylist():
-                    h = shingles(text or "", self.size)
-                    rows.append((len(h), *identity(h), signatures(h, self.num, self.den, self.docs).view(np.int64)))
-                cols = list(zip(*rows)) or [[]] * 4
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), batch.column(2), *(pa.array(c, t) for c, t in zip(cols, types))],
-                    ["_file", "_row", "doc_id", "n", "set", "check", "sigs"],
-                )
+                for first, end, h, at in shingle_sets(batch.column(3), self.size):
+                    cols = [pa.array(np.diff(at)), *map(pa.array, identities(h, at)), lists(*all_signatures(h, at, self.num, self.den, self.docs))]
+                    head = batch.slice(first, end - first).columns[:3]
+                    yield pa.RecordBatch.from_arrays([*head, *cols], ["_file", "_row", "doc_id", "n", "set", "check", "sigs"])
 
         schema = f"_file string, _row bigint, doc_id {kind}, n bigint, set bigint, check bigint, sigs array<bigint>"
         return docs.select("_file", "_row", "doc_id", "text").mapInArrow(sign, schema)
@@ -224,8 +221,9 @@ class Join:
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 some = batch.filter(pa.array(self.known(bitmap.value, batch.column(3).to_numpy().view(np.uint64))))
-                sets = [shingles(text or "", self.size).view(np.int64) for text in some.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sets, pa.list_(pa.int64()))], ["_file", "_row", "shingles"])
+                for first, end, h, at in shingle_sets(some.column(2), self.size):
+                    part = some.slice(first, end - first)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists(h, at)], ["_file", "_row", "shingles"])
 
         rows = docs.select("_file", "_row", "text", row.alias("id")).mapInArrow(cut, "_file string, _row bigint, shingles array<bigint>")
         return rows.join(wanted, ["_file", "_row"]).select("set", "n", "shingles")

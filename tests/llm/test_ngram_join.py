@@ -120,3 +120,28 @@ def test_bitmap_pages(spark):
     every = np.array([r.v for r in values.collect()], np.int64).view(np.uint64)
     assert len(bitmap) == 1 << 15 and join.known(bitmap, every).all()
     assert int(np.bitwise_count(bitmap).sum()) == len(np.unique(every & np.uint64((1 << 21) - 1)))
+
+
+def test_sets_cut_together_are_those_of_each_text(monkeypatch):
+    import pyarrow as pa
+
+    from cueweave.llm import shingles
+
+    rng = random.Random(8)
+    texts = ["", None, " \t\n", "A b", "a", "x" * 100 + " Y " + "X" * 100 + " y", "é ß   Q\x85q 　 z", "a\x00 a", "a" * 8 + " " + "a" * 9 + " b"]
+    texts += [" ".join(cases.words(rng, rng.randrange(60), 40)) for _ in range(80)]
+    for stretch in (1, 300, 1 << 22):
+        monkeypatch.setattr(shingles, "STRETCH", stretch)
+        for size in (1, 3, 5):
+            cut, hashes = [], {}
+            for first, end, h, at in shingles.shingle_sets(pa.array(["left out", *texts]).slice(1), size):
+                assert first == len(cut)
+                cut += [h[a:b] for a, b in zip(at[:-1], at[1:])]
+                one = ngram_join.all_signatures(h, at, 9, 10, 100)
+                for i in range(end - first):
+                    assert np.array_equal(np.sort(one[0][one[1][i] : one[1][i + 1]]), np.sort(ngram_join.signatures(h[at[i] : at[i + 1]], 9, 10, 100)))
+            for mine, want in zip(cut, sets_of(list(enumerate(texts)), size), strict=True):
+                assert len(mine) == len(want) and (np.diff(mine) > 0).all()
+                for other, known in hashes.items():
+                    assert len(np.intersect1d(mine, np.frombuffer(other, np.uint64))) == len(want & known)
+                hashes[mine.tobytes()] = want
