@@ -366,8 +366,9 @@ def _components(docs: DataFrame, size: int, num: int, den: int, bits: int) -> Da
     # Chance hits of the bitmap fall out here: only signatures of several sets are kept.
     signed = rows.select("set", F.explode("sigs").alias("sig")).distinct()
     met = stored(signed.join(shared.select("sig"), "sig"), "met-signatures")
-    own = rows.select("set", "check", "n", F.struct("_file", "_row").alias("at")).join(met.select("set").distinct(), "set", "left_semi")
-    wanted = stored(own.groupBy("set", "check").agg(F.first("n").alias("n"), F.min("at").alias("at")).select("set", "n", "at.*"), "near-sets")
+    # One row per set before the join: copies of a text would meet in one task.
+    own = rows.groupBy("set").agg(F.min(F.struct("_file", "_row", "n")).alias("at")).select("set", "at.n", "at._file", "at._row")
+    wanted = stored(own.join(met.select("set").distinct(), "set", "left_semi"), "near-sets")
     every = join.stored(join.fetched(docs, wanted), "all-sets")
     sets = stored(join.may_link(every), "sets")
     discard(every, wanted, shared)
