@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..session import spread
-from . import reviews
+from . import reviews, terms
 from .ordered import rows_of
 
 
@@ -224,6 +224,22 @@ def compare_conditions(cases: DataFrame, before: DataFrame, after: DataFrame) ->
     return checked.withColumn("comparison", reviews.comparison_label(F.col("baseline_pass"), F.col("current_pass")))
 
 
+def compare_dictionaries(cases: DataFrame, before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame], model: str, prompts: dict, make: Callable[[], Callable[[str], dict]], attempts: int = 2, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Translate the same cases with two dictionaries, each (entries, aliases), and compare what they select and give.
+
+    ``cases`` has id, source_ko and the expectations of ``compare_conditions``.
+    """
+
+    def branch(entries: DataFrame, aliases: DataFrame) -> DataFrame:
+        captions = cases.select("id", "source_ko", F.lit("completed").alias("ocr_status"))
+        context = terms.select_context(captions, entries, aliases, "id", "source_ko")
+        out = translate(captions, context, model, prompts, make, attempts, sleep)
+        selected = F.array_distinct(F.flatten(F.transform("trace", lambda m: m["target_ids"])))
+        return out.select("id", F.col("generated_ja").alias("output"), selected.alias("selected"))
+
+    return compare_conditions(cases, branch(*before), branch(*after))
+
+
 def comparison_summary(compared: DataFrame) -> DataFrame:
     return compared.agg(
         F.count(F.lit(1)).alias("case_count"),

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 import pickle
-import statistics
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -99,25 +98,39 @@ def observation(row: dict) -> Seen:
 
 @dataclass
 class Shown:
-    """The caption a line shows: its reference view, best views and similarities."""
+    """The caption a line shows: its reference view, best views and how often each similarity was seen.
+
+    A similarity is a share of the pixels of two masks, so the masks bound how many different ones there are, however
+    long a caption is shown.
+    """
 
     reference: Seen
     reason: str
     count: int = 0
-    similarities: list[float] = field(default_factory=list)
+    similarities: dict[float, int] = field(default_factory=dict)
     best: list[tuple[float, float, float, int]] = field(default_factory=list)
 
     def take(self, seen: Seen, stability: float, first: bool = False) -> None:
         self.count += 1
         if not first:
-            self.similarities.append(stability)
+            self.similarities[stability] = self.similarities.get(stability, 0) + 1
         view = (seen.score(stability), seen.ts, seen.pts, seen.source_index)
         self.best = sorted([*self.best, view], key=lambda v: -v[0])[:3]
 
+    def median_similarity(self) -> float | None:
+        """Exact median of the similarities seen; None if there are none."""
+        total, passed, middle = sum(self.similarities.values()), 0, []
+        for value in sorted(self.similarities):
+            passed += self.similarities[value]
+            middle += [value] * ((passed > (total - 1) // 2) + (passed > total // 2) - len(middle))
+            if len(middle) == 2:
+                return (middle[0] + middle[1]) / 2
+        return None
+
 
 @dataclass
 class Line:
-    """State between two samples; small apart from one float per sample of the open caption."""
+    """State between two samples; small however long the open caption is."""
 
     shown: Shown | None = None
     kind: str | None = None
@@ -152,7 +165,7 @@ def _close(shown: Shown, end: float, reason: str, config: TrackerConfig, needs_r
         "kind": "interval", "line_index": index, "start_seconds": start, "end_seconds": end, "sample_count": shown.count,
         "representative_ts": shown.best[0][1], "representative_score": shown.best[0][0],
         "candidates": [dict(zip(names, v)) for v in shown.best],
-        "median_similarity": statistics.median(shown.similarities) if shown.similarities else None,
+        "median_similarity": shown.median_similarity(),
         "start_reason": shown.reason, "end_reason": reason, "needs_review": needs_review,
     }
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..sources import readers, writers
 from ..operators import reviews
 from .registry import query, table
@@ -130,3 +133,45 @@ def expand_lines(spark, d):
     )
     out = readers.expand_lines(samples)
     return out.select("id", F.round("timestamp_seconds", 6).alias("ts"), "primary", "reading_order", "source_ko", "diagnostic_only")
+
+
+@query("saved_projects", """
+WITH t AS (SELECT conv_id, turn, role, unnest(string_split(text, '. ')) AS raw_text, generate_subscripts(string_split(text, '. '), 1) AS place FROM conversations)
+SELECT conv_id || ':' || turn AS video_id, place::VARCHAR AS id, CASE WHEN role = 'user' THEN 'line-1' ELSE role END AS line_id,
+  place / 4.0::DOUBLE AS start_seconds, raw_text FROM t
+""")
+def saved_projects(spark, d):
+    """Turns saved as documents of captions, one per line, read again and laid out by caption."""
+    line_id = F.when(F.col("role") == "user", F.lit("")).otherwise(F.col("role"))
+    caption = lambda piece, i: F.struct(
+        (i + 1).cast("string").alias("id"), line_id.alias("line_id"), ((i + 1) / 4).alias("start_seconds"), F.struct(piece.alias("raw_text")).alias("ocr"),
+    )
+    documents = table(spark, d, "conversations").select(
+        F.lit(2).alias("schema_version"), F.struct(F.concat_ws(":", "conv_id", "turn").alias("id")).alias("video"),
+        F.transform(F.split("text", r"\. "), caption).alias("subtitles"),
+    )
+    path = f"{shared_folder(spark)}/projects-{uuid.uuid4().hex}"
+    writers.sink_json(documents, path)
+    read = readers.scan_projects(spark, path, lines=True).select(F.col("video.id").alias("video_id"), "subtitles")
+    return readers.explode_subtitles(read, ["video_id"], "line-1").select("video_id", "id", "line_id", "start_seconds", F.col("ocr.raw_text").alias("raw_text"))
+
+
+@query("saved_results", """
+WITH r AS (SELECT item_id, text, length(text) % 5 <> 0 AS has_job, length(text) % 7 <> 0 AS fits, left(text, 2) AS sample FROM benchmark),
+c AS (SELECT sample, count(*) AS copies FROM r WHERE has_job GROUP BY sample)
+SELECT md5(text) AS digest, CASE WHEN has_job THEN 'result' ELSE 'skipped' END AS route, fits AS intact, CASE WHEN has_job THEN copies END::BIGINT AS result_copies
+FROM r LEFT JOIN c USING (sample)
+""")
+def saved_results(spark, d):
+    """Benchmark items saved as run results, one file each, read again with their route, integrity and copies."""
+    items = table(spark, d, "benchmark", "item_id", "text")
+    job = F.struct(F.lit("all").alias("condition"), F.lit(True).alias("primary"), F.left("text", F.lit(2)).alias("sample_id"))
+    answer = F.struct(F.lit(True).alias("done"), F.struct(F.col("text").alias("content")).alias("message"))
+    # Fields by name at every level, as the canonical form of the checksum wants them.
+    body = [F.struct(F.lit("m").alias("model")).alias("identity"), F.when(F.length("text") % 5 != 0, job).alias("job"), answer.alias("response"), F.lit("ok").alias("status")]
+    checksum = F.sha2(F.to_json(F.struct(*body)), 256)
+    files = items.select(*body, F.when(F.length("text") % 7 != 0, checksum).otherwise(F.reverse(checksum)).alias("checksum"))
+    path = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    files.write.option("maxRecordsPerFile", 1).json(path)
+    out = readers.scan_results(spark, path)
+    return out.select(F.md5("response.message.content").alias("digest"), "route", "intact", "result_copies")

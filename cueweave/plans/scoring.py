@@ -116,3 +116,43 @@ def compare_conditions(spark, d):
     cases = events.select("id").distinct().withColumn("required_ja", required)
     out = sc.compare_conditions(cases, side(F.col("value") < 55), side(F.col("value") >= 55))
     return sc.comparison_summary(out).select("case_count", "improved", "regressed", "unchanged_pass", "unchanged_fail")
+
+
+def _reader():
+    """Stand-in that answers with all it was asked."""
+
+    def call(payload: str) -> dict:
+        return {"done": True, "done_reason": "stop", "eval_count": 1, "message": {"content": json.loads(payload)["messages"][0]["content"]}}
+
+    return call
+
+
+@query("compare_dictionaries", """
+WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS words FROM part),
+c AS (SELECT length(words[1]) % 2 = 0 AS old, length(words[1]) % 3 = 0 AS new, length(words[-1]) % 2 = 0 AS old_other, length(words[-1]) % 3 = 0 AS new_other FROM w)
+SELECT count(*)::BIGINT AS case_count, count(*) FILTER (new AND NOT old)::BIGINT AS improved, count(*) FILTER (old AND NOT new)::BIGINT AS regressed,
+  count(*) FILTER (old AND new)::BIGINT AS unchanged_pass, count(*) FILTER (NOT old AND NOT new)::BIGINT AS unchanged_fail,
+  count(*) FILTER (old_other)::BIGINT AS baseline_selection_checks_passed, count(*) FILTER (new_other)::BIGINT AS current_selection_checks_passed,
+  count(*) FILTER (old)::BIGINT AS baseline_term_checks_passed, count(*) FILTER (new)::BIGINT AS current_term_checks_passed FROM c
+""")
+def compare_dictionaries(spark, d):
+    """Part names translated with the words of even length and with those whose length three divides."""
+    from .. import schemas
+
+    parts = table(spark, d, "part", "p_partkey", "p_name")
+    words = F.split("p_name", " ")
+    shown = lambda w: F.concat(F.lit("<"), F.upper(w), F.lit(">"))
+    last = F.array(F.element_at(words, -1))
+    cases = parts.select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("source_ko"), F.array(F.array(shown(words[0]))).alias("required_ja"),
+        last.alias("expected_baseline_target_ids"), last.alias("expected_target_ids"),
+    )
+    listed = parts.select(F.explode(words).alias("term")).distinct().select(
+        F.col("term").alias("id"), F.lit("word").alias("category"), F.col("term").alias("ko"), shown(F.col("term")).alias("ja"),
+        F.lit(None).cast("string").alias("champion_id"), F.lit(None).cast("string").alias("slot"), F.lit("official").alias("origin"), F.lit(None).cast("string").alias("meaning"),
+    )
+    aliases = spark.createDataFrame([], schemas.ALIAS)
+    prompts = {"qwen3": "Translate.", "glossary_instruction": "Use these terms.", "options": {"temperature": 0}, "qwen_think": False}
+    even, third = (listed.filter(F.length("id") % n == 0) for n in (2, 3))
+    out = sc.compare_dictionaries(cases, (even, aliases), (third, aliases), "qwen3:4b", prompts, _reader)
+    return sc.comparison_summary(out)

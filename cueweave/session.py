@@ -44,18 +44,24 @@ def ship_package(spark: SparkSession) -> None:
     context._cueweave_shipped = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors and the driver see."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cueweave-"))
+    return context.getCheckpointDir()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the written files.
 
     The folder is the one the session names in ``spark.checkpoint.dir``. A folder of our
     own is only made where none is named and the master is local, as in tests.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cueweave-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -15,10 +15,10 @@ from .. import schemas
 from ..functions import digests, geometry as geo, text as tx
 
 
-def scan_projects(spark: SparkSession, path: str) -> DataFrame:
-    """One row per saved document, either version, with the file it came from."""
+def scan_projects(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per saved document, either version, with the file it came from; with ``lines`` each line is a document."""
     return (
-        spark.read.schema(schemas.PROJECT).json(path, multiLine=True)
+        spark.read.schema(schemas.PROJECT).json(path, multiLine=not lines)
         .withColumn("source_file", F.col("_metadata.file_path"))
     )
 

@@ -68,8 +68,8 @@ def track_intervals_stream(
 ) -> DataFrame:
     """Emit intervals of every line once their end is confirmed.
 
-    State is the reference sample, the few pending samples, the three best views and one
-    similarity per sample. A silent line ends at ``range_end``, or one interval after its last sample.
+    State is the reference sample, the few pending samples, the three best views and how
+    often each similarity was seen. A silent line ends at ``range_end``, or one interval after its last sample.
     """
 
     def advance(payload: bytes | None, row: dict):

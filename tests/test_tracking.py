@@ -210,3 +210,28 @@ def test_pixel_columns_equal_kernels(spark):
         assert c.c == mask[c.y, c.x] and c.k == out["contrast"][c.y, c.x, 0] and c.gray == out["grayscale"][c.y, c.x, 0] and c.w == out["white_mask"][c.y, c.x, 0]
     band = fr.preprocess(spark.createDataFrame([frame_row(caption_image((255, 255, 255), h=96))], schemas.FRAME), "vertical_band").first()
     assert band.height == 70
+
+
+def test_median_of_counted_similarities_and_size_of_the_state():
+    import pickle
+    import statistics
+
+    rng = random.Random(3)
+    for n in [*range(1, 12), 500]:
+        seen = [rng.choice([0.7, 0.8, 0.9, 0.95, rng.random()]) for _ in range(n)]
+        shown = tk.Shown(None, "r")
+        for value in seen:
+            shown.similarities[value] = shown.similarities.get(value, 0) + 1
+        assert shown.median_similarity() == statistics.median(seen)
+    assert tk.Shown(None, "r").median_similarity() is None
+    line, sizes = tk.Line(), []
+    for i in range(20_000):
+        row = dict(zip(schemas_names(), feature(i * 0.2, A)))
+        assert tk.step(line, tk.observation(row), tk.TrackerConfig()) == []
+        if i in (100, 19_999):
+            sizes.append(len(pickle.dumps(line, protocol=5)))
+    assert sizes[1] <= sizes[0] + 16
+
+
+def schemas_names():
+    return [f.split()[0] for f in schemas.FEATURE.split(", ")]
