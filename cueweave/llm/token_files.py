@@ -220,15 +220,18 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
     rows.mapInArrow(blocks, schema).write.parquet(folder)
 
 
+def part_starts(rows: DataFrame) -> DataFrame:
+    """part, part_start: ids before each file. Blocks know their place in their file; one row per file says where it starts."""
+    sizes = rows.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    return sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
+
+
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) of the documents in ``folder``."""
     prepare(spark)
     rows = spark.read.parquet(folder)
     kind = rows.schema["doc_ids"].dataType.elementType.simpleString()
-
-    # Blocks know their place in their file; one row per file says where the file starts.
-    sizes = rows.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
+    before = part_starts(rows)
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,6 +247,32 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return found.mapInArrow(documents, f"doc_id {kind}, start bigint, n_tokens bigint, ids binary")
 
 
+def read_range(spark: SparkSession, folder: str, first: int, end: int) -> DataFrame:
+    """start, ids: the ids of the corpus from number ``first`` up to ``end``, a row per block that holds some of them.
+
+    Only blocks that overlap the range are decoded, each from the last offset at or before it up to the next one behind it.
+    """
+    prepare(spark)
+    rows = spark.read.parquet(folder)
+    placed = rows.join(broadcast_if_small(part_starts(rows)), "part").withColumn("start", F.col("part_start") + F.col("start"))
+    some = placed.filter((F.col("start") < end) & (F.col("start") + F.col("n_ids") > first)).select("start", "n_ids", "words", "offsets")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, out = [], []
+            for start, size, words, marks in zip(*(c.to_pylist() for c in batch.columns)):
+                a, b = max(first - start, 0), min(end - start, size)
+                words, marks = np.frombuffer(words, "<u8"), np.array([*marks, size], np.int64)
+                low, high = int(np.searchsorted(marks, a, "right")) - 1, int(np.searchsorted(marks, b))
+                upto = len(words) if high == len(marks) - 1 else high * STEP
+                ids = unpack(words[low * STEP : upto], int(marks[high] - marks[low]))
+                starts.append(start + a)
+                out.append(ids[a - marks[low] : b - marks[low]].astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array(out, pa.binary())], ["start", "ids"])
+
+    return some.mapInArrow(cut, "start bigint, ids binary")
+
+
 @query("op7_token_files")
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers

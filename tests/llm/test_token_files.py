@@ -56,3 +56,17 @@ def test_awkward_and_empty(spark):
         folder = common.scratch(spark, "tokens")
         token_files.write_tokens(docs, PATH, folder)
         assert token_files.read_tokens(spark, folder).count() == docs.count()
+
+
+@pytest.mark.parametrize("block_ids", [8, 4000, 10**6])
+def test_ranges_equal_the_whole(spark, block_ids):
+    rng = random.Random(block_ids)
+    docs = cases.documents(spark, [(i, " ".join(cases.words(rng, rng.randrange(300), 10**4))) for i in range(60)])
+    folder = common.scratch(spark, "tokens")
+    token_files.write_tokens(docs, PATH, folder, block_ids=block_ids)
+    every = np.concatenate([np.frombuffer(r.ids, "<u4") for r in sorted(token_files.read_tokens(spark, folder).collect(), key=lambda r: r.start)])
+    n = len(every)
+    for first, end in [(0, n), (0, 1), (n - 1, n), (n, n + 5), (5, 5), (n // 3, n // 2), *[sorted(rng.sample(range(n), 2)) for _ in range(4)]]:
+        rows = sorted(token_files.read_range(spark, folder, first, end).collect(), key=lambda r: r.start)
+        assert b"".join(bytes(r.ids) for r in rows) == every[first:end].tobytes()
+        assert not rows or rows[0].start == first
