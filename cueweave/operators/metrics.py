@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
 from ..session import spread
-from .quantiles import figure_quantiles
+from .quantiles import exact_quantiles, figure_quantiles
 
 
 def with_row_metrics(records: DataFrame, truth: str = "ground_truth", output: str = "raw_output") -> DataFrame:

@@ -103,6 +103,13 @@ def test_corpus_metrics(spark):
     assert summary == {None: (3, 2, 3), "a": (2, 1, 2), "b": (2, 2, 2)}
 
 
+def test_line_ocr_summary(spark):
+    rows = [(True, "g1", 1, 4, 1, 3, False, 10.0), (True, "g1", 0, 2, 0, 2, True, 30.0), (True, "g2", 2, 4, 0, 4, False, None), (False, "g1", 0, 1, 0, 1, True, 5.0)]
+    df = spark.createDataFrame(rows, "primary boolean, group_id string, edits int, characters int, whitespace_free_edits int, whitespace_free_characters int, exact boolean, ocr_ms double")
+    out = {r.primary: tuple(r)[1:] for r in me.line_ocr_summary(df).collect()}
+    assert out == {True: (2, 3, 3 / 10, 1 / 9, 1, 2, 20.0), False: (1, 1, 0.0, 0.0, 1, 1, 5.0)}
+
+
 def test_two_line_diagnostics(spark):
     rows = [("l2", "g", True, False, 2, "나", "나"), ("l1", "g", True, False, 1, "가", "다"), ("w", "g", True, True, None, "가\n나", "x"), ("o", "h", True, False, 1, "가", "가")]
     df = spark.createDataFrame(rows, "id string, group_id string, primary boolean, diagnostic_only boolean, reading_order int, source_ko string, ocr_ko string")
