@@ -329,11 +329,11 @@ def term_match(spark, d):
 @query("phrase_match", r"""
 WITH b AS (SELECT regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') AS w, regexp_extract_all(lower(text), '[^\p{L}\p{N}]+') AS s FROM benchmark),
 q AS (SELECT w, s, unnest(range(1, len(w))) AS i FROM b),
-terms AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS term FROM q WHERE w[i] <> '' AND w[i + 1] <> '' AND s[i] = ' '),
+terms AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS term, replace(w[i] || ' ' || w[i + 1], 'ß', 'ss') AS folded FROM q WHERE w[i] <> '' AND w[i + 1] <> '' AND s[i] = ' '),
 docs AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') AS w, regexp_extract_all(lower(text), '[^\p{L}\p{N}]+') AS s, regexp_matches(lower(text), '^[^\p{L}\p{N}]') AS lead FROM documents),
 pos AS (SELECT doc_id, w, s, lead, unnest(range(1, len(w))) AS i FROM docs),
-two AS (SELECT doc_id, w[i] || ' ' || w[i + 1] AS phrase FROM pos WHERE w[i] <> '' AND w[i + 1] <> '' AND s[i] = ' ')
-SELECT doc_id, term, count(*)::BIGINT AS hits FROM two JOIN terms ON phrase = term GROUP BY ALL
+two AS (SELECT doc_id, replace(w[i] || ' ' || w[i + 1], 'ß', 'ss') AS phrase FROM pos WHERE w[i] <> '' AND w[i + 1] <> '' AND s[i] = ' ')
+SELECT doc_id, term, count(*)::BIGINT AS hits FROM two JOIN terms ON phrase = folded GROUP BY ALL
 """)
 def phrase_match(spark, d):
     terms = benchmark_terms(spark, d).filter(F.col("term").contains(" "))
