@@ -79,8 +79,8 @@ def _echo():
 
 @query("translate", r"""
 WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM benchmark),
-tok AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS word FROM documents),
-n AS (SELECT doc_id, count(DISTINCT word) AS n FROM tok JOIN w ON word = term WHERE term <> '' GROUP BY doc_id)
+tok AS (SELECT doc_id, unnest(regexp_split_to_array(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}]+')) AS word FROM documents),
+n AS (SELECT doc_id, count(DISTINCT term) AS n FROM tok JOIN w ON word = replace(term, 'ß', 'ss') WHERE term <> '' GROUP BY doc_id)
 SELECT d.doc_id AS id, CASE WHEN trim(text) = '' THEN 'error' ELSE 'completed' END AS translation_status, trim(text) <> '' AS translated,
   least(CASE WHEN length(text) <= 80 THEN 5 ELSE 8 END, coalesce(n, 0))::INTEGER AS terms, CASE WHEN trim(text) = '' THEN 0 ELSE 1 END AS calls
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id

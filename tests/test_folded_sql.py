@@ -7,7 +7,7 @@ from oracle import compare
 from cueweave.plans import ORACLES, QUERIES
 
 
-@pytest.mark.parametrize("name", ["phrase_match"])
+@pytest.mark.parametrize("name", ["phrase_match", "translate"])
 def test_sharp_s_is_folded_on_both_sides(spark, folder, name):
     texts = ["SS der", "ß der", "ss der ß der", "ẞ der", "s der"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
