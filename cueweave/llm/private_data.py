@@ -46,7 +46,7 @@ CUE = r"(?i)(?:tel|phone|call|fax|mobile|cell|contact|card|visa|account|mail|hos
 #: Different candidates for training the trees, in expectation: the bound of the sample. Share of confirmed ones above a threshold.
 SAMPLE, PRECISION = 20_000, 0.95
 TREES, DEPTH = 10, 3
-#: How often spans that overlap a loser only are considered again.
+#: Rounds in which all spans that are best among their neighbours are taken together; what is left after them is taken one by one.
 ROUNDS = 3
 
 
@@ -261,8 +261,21 @@ def met(near: Column, c: Column, test: Callable[[Column], Column]) -> Column:
     return F.exists(near, lambda k: (k.low < c.end) & (c.start < k.high) & F.exists(k.part, lambda o: (o.start < c.end) & (c.start < o.end) & test(o)))
 
 
+def one_by_one(spans: Column) -> Column:
+    """The spans from the best down, without those that overlap one taken before."""
+    down = F.reverse(F.array_sort(F.transform(spans, lambda c: F.struct(rank(c).alias("rank"), c.alias("span")))))
+
+    def take(out: Column, c: Column) -> Column:
+        return F.when(F.exists(out, lambda o: (o.start < c.span.end) & (c.span.start < o.end)), out).otherwise(F.concat(out, F.array(c.span)))
+
+    return F.aggregate(down, F.filter(spans, lambda c: F.lit(False)), take)
+
+
 def chosen(spans: Column) -> Column:
-    """Of overlapping spans the best, and then of the others that overlap none of those the best, ``ROUNDS`` times."""
+    """Of overlapping spans the best, then of the others that overlap none of those the best, and so on until none is left.
+
+    Long chains in which each span is better than the one before take a round per link; they are ended by ``one_by_one``.
+    """
     none = F.filter(spans, lambda c: F.lit(False))
 
     def step(acc: Column, _: Column) -> Column:
@@ -274,7 +287,10 @@ def chosen(spans: Column) -> Column:
         return F.when(F.size(acc.left) > 0, bound(acc.left, pick)).otherwise(acc)
 
     start = F.struct(none.alias("out"), spans.alias("left"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: acc.out)
+    def rest(acc: Column) -> Column:
+        return F.when(F.size(acc.left) > 0, F.concat(acc.out, one_by_one(acc.left))).otherwise(acc.out)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, rest)
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

@@ -91,6 +91,26 @@ def test_personal_thresholds_cover_all_candidates(spark):
         assert set(private_data.train(found, sample).thresholds) >= {"phone_like", "ip_like"}
 
 
+def test_personal_chains_of_overlaps_are_taken_to_their_end(spark):
+    rng = random.Random(8)
+    rows = [[("k", 10 * i, 10 * i + 12, i / 50) for i in range(40)], [("k", 10 * i, 10 * i + 12, 0.9) for i in range(40)], []]
+    for _ in range(60):
+        starts = rng.sample(range(60), rng.randrange(1, 40))
+        rows.append([("k", s, s + rng.randrange(1, 15), rng.randrange(5) / 5) for s in starts])
+
+    def best(spans):
+        out = []
+        for c in sorted(spans, key=lambda c: (c[3], c[2] - c[1], -c[1]), reverse=True):
+            if not any(o[1] < c[2] and c[1] < o[2] for o in out):
+                out.append(c)
+        return sorted(out)
+
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, spans array<struct<kind:string,start:int,end:int,score:double>>")
+    got = {r.i: [tuple(s) for s in r.c] for r in df.select("i", private_data.F.array_sort(private_data.chosen(private_data.F.col("spans"))).alias("c")).collect()}
+    assert len(got[0]) == 20 and len(got[1]) == 20
+    assert all(got[i] == best(spans) for i, spans in enumerate(rows))
+
+
 def test_personal_awkward_and_empty(spark):
     assert private_data.personal_data(cases.awkward(spark)).count() == cases.awkward(spark).count()
     assert private_data.personal_data(cases.nothing(spark)).count() == 0
