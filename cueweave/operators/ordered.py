@@ -171,6 +171,52 @@ def global_rank(df: DataFrame, digest: str, ties: Sequence[str] = (), name: str
 Fold = Callable[[pd.DataFrame, bytes | None, bool], tuple[list[dict], bytes | None]]
 
 
+def _fold_whole_keys(rows: DataFrame, keys: list[str], order: list[str], fold: Fold, out: T.StructType) -> DataFrame:
+    """The fold of keys that all fit into a task: one pass over rows sorted by key, many keys to a batch.
+
+    Only the last key of a batch is carried to the next one. Nulls of whole numbers are sent beside them, as one null would
+    turn the column of its batch into floats.
+    """
+    schema = T.StructType([*[rows.schema[k] for k in keys], *out.fields])
+    whole = [f for f in rows.schema if isinstance(f.dataType, T.IntegralType)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+
+        def folded(frame: pd.DataFrame, bounds: Sequence[int]) -> Iterator[pd.DataFrame]:
+            heads = {k: frame[k].tolist() for k in keys}
+            lines = []
+            for low, high in zip(bounds, bounds[1:]):
+                head = {k: values[low] for k, values in heads.items()}
+                lines += [{**head, **item} for item in fold(frame.iloc[low:high], None, True)[0]]
+            if lines:
+                yield pd.DataFrame(lines, columns=schema.names, dtype=object)
+
+        for frame in frames:
+            if frame.empty:
+                continue
+            for f in whole:
+                null = frame.pop(f"_null_{f.name}").to_numpy(bool)
+                if null.any():
+                    values = frame[f.name].to_numpy(object)
+                    values[null] = None
+                    frame[f.name] = values
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            own, before = frame[keys], frame[keys].shift()
+            changed = ((own != before) & ~(own.isna() & before.isna())).any(axis=1).to_numpy()
+            bounds = [0, *(changed[1:].nonzero()[0] + 1).tolist()]
+            yield from folded(frame, bounds)
+            held = frame.iloc[bounds[-1] :]
+        if held is not None:
+            yield from folded(held, [0, len(held)])
+
+    near = spread(rows, *keys)
+    near = rows.repartition(*keys) if near is rows else near
+    ordered = near.sortWithinPartitions(*keys, *[F.col(c).asc_nulls_last() for c in order])
+    filled = {f.name: F.coalesce(F.col(f.name), F.lit(0).cast(f.dataType)) for f in whole}
+    return ordered.withColumns({f"_null_{name}": F.col(name).isNull() for name in filled} | filled).mapInPandas(run, schema)
+
+
 def ordered_fold(
     rows: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold, out: T.StructType, target_rows: int | None = None
 ) -> DataFrame:
@@ -186,7 +232,9 @@ def ordered_fold(
     cut = [*keys, SLICE]
     target_rows = rows_per_task(rows, target_rows, FOLD_ROWS)
     hot = has_hot_key(rows, keys, target_rows)
-    data = cut_lineage(sliced(rows, keys, order, target_rows).drop(_HOT)) if hot else spread(rows, *keys)
+    if not hot:
+        return _fold_whole_keys(rows, keys, list(order), fold, out)
+    data = cut_lineage(sliced(rows, keys, order, target_rows).drop(_HOT))
     key_fields = [rows.schema[k] for k in keys]
     schema = T.StructType([
         *key_fields,
@@ -212,10 +260,6 @@ def ordered_fold(
         at = renamed.groupBy(*[f"_start_{c}" for c in cut])
         return part.groupBy(*cut).cogroup(at).applyInPandas(run, schema)
 
-    if not hot:
-        # Whole keys fit into one slice each, so there is no state to hand over.
-        whole = lambda group: run(group.assign(**{SLICE: -1}), pd.DataFrame({"_state": [None], "_last": [True]}))
-        return data.groupBy(*keys).applyInPandas(whole, schema).filter(~F.col("_end")).select(*keys, "_out.*")
     across = Window.partitionBy(*keys).orderBy(SLICE)
     slices = (
         data.groupBy(*cut).agg(F.count(F.lit(1)).alias("_rows"))

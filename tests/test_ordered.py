@@ -43,6 +43,28 @@ def test_fold_is_sequential_for_any_slice_size(rows):
     assert results[0] == results[1] and len(results[0]) == 400
 
 
+def test_fold_of_whole_keys_takes_many_keys_to_a_task(spark):
+    big, seen = 1 << 60, spark.sparkContext.accumulator(0)
+    data = [(big, 1, 2, "a"), (big, 0, None, "a"), (big + 1, 0, big + 3, "a"), (None, 0, 7, None), (None, 1, 8, None)]
+    data += [(i, t, i, str(i)) for i in range(300) for t in range(3)]
+
+    def fold(frame, state, last):
+        seen.add(1)
+        return [{"first": frame["v"].tolist()[0], "n": len(frame), "last": str(last and state is None)}], None
+
+    out = T.StructType([T.StructField("first", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("last", T.StringType())])
+    df = spark.createDataFrame(data, "k long, ts int, v long, s string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # keys stand across batches
+    try:
+        folded = od.ordered_fold(df, ["k", "s"], ["ts"], fold, out)
+        got = sorted(map(tuple, folded.collect()), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(big, "a", None, 2, "True"), (big + 1, "a", big + 3, 1, "True"), (None, None, 7, 2, "True"), *[(i, str(i), i, 3, "True") for i in range(300)]]
+    assert got == sorted(want, key=repr) and seen.value == len(want)
+    assert "MapInPandas" in folded._jdf.queryExecution().executedPlan().toString()
+
+
 def test_quantiles(rows):
     wanted = {"m": ("linear", 0.5), "p": ("linear", 0.95), "n": ("nearest", 0.95), "z": ("nearest", 0.0)}
     want = {r[0]: tuple(r[1:]) for r in rows.groupBy("k").agg(F.percentile("ts", 0.5), F.percentile("ts", 0.95), F.expr("percentile_disc(0.95) within group (order by ts)"), F.min("ts")).collect()}

@@ -108,6 +108,12 @@ def drain(spark, df, name, folder):
     return spark.table(name).collect()
 
 
+def test_equal_masks_are_told_without_the_kernels(monkeypatch):
+    monkeypatch.setattr(tk, "dilate", None)
+    for mask in (A, NONE, STRIPES):
+        assert tk.mask_similarity(mask, mask.copy()) == 1.0 and tk.detail_similarity(mask, mask.copy()) == 1.0
+
+
 def test_stream_equals_batch(spark, folder):
     masks = random_masks(7, 40)
     rows = [feature(round(i * 0.2, 1), m) for i, m in enumerate(masks)]
