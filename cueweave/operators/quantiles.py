@@ -14,6 +14,10 @@ from ..session import cut_lineage
 from .ordered import SLICE, has_hot_key, rows_per_task, sliced
 
 
+#: Distinct values of a group that a task may hold as objects; more are counted by value, written and sliced.
+BUILTIN_VALUES = 100_000
+
+
 def _ranks(kind: str, p: float, n: Column) -> list[tuple[Column, Column]]:
     """Zero-based ranks and weights that make up one percentile."""
     if kind == "nearest":
@@ -38,7 +42,7 @@ def exact_quantiles(
     any value are absent, so callers left join.
     """
     groups = list(groups)
-    target_rows = rows_per_task(df, target_rows)
+    target_rows = min(BUILTIN_VALUES, rows_per_task(df, target_rows))
     v = F.col(value) if isinstance(value, str) else value
     rows = df.select(*groups, v.cast("double").alias("_v")).filter("_v is not null")
     counted = rows.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c"))

@@ -95,6 +95,18 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if size + 64 * rows <= limit else df
 
 
+PART_ROWS = 500_000
+
+
+def distinct_in_parts(df: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """Distinct rows of a table most of whose rows differ.
+
+    A map-side table of them would hold nearly all rows of an input split and take memory as splits grow. Rows are shuffled
+    as they are instead, into as many parts as keep each at about ``part_rows``; adaptive execution does not merge them.
+    """
+    return df.repartition(df.count() // part_rows + 1, *df.columns).distinct()
+
+
 def join_on(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join on ``keys``; without keys both sides have one row, which meets on a constant."""
     keys = list(keys)

@@ -27,6 +27,20 @@ def test_jobs_and_resume(spark):
 PROMPTS = {"qwen3": "옮겨라", "translategemma": "T", "glossary_instruction": "용어", "options": {"temperature": 0}, "qwen_think": False}
 
 
+def test_groups_are_counted_in_parts(spark):
+    from cueweave.session import distinct_in_parts
+
+    rows = spark.range(0, 4000, numPartitions=2).select((F.col("id") % 1000).alias("group_id"), F.when(F.col("id") < 2000, "a").alias("k"), F.lit("ok").alias("status"))
+    parts = distinct_in_parts(rows.select("k", "group_id"), 500)
+    assert parts.count() == 2000
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("HashAggregate") < plan.index("Exchange hashpartitioning") and ", 9), REPARTITION_BY_NUM" in plan  # nothing is gathered before the shuffle
+    more = {"wall_ms": F.col("group_id").cast("double"), "eval_count": F.lit(2), "done_reason": F.lit("length"), "thinking": F.lit("")}
+    out = {r.k: r for r in rv.condition_summary(rows.withColumns(more), ["k"]).collect()}
+    assert {k: (r.requests, r.subtitle_groups, r.generated_tokens, r.truncated_outputs, r.thinking_outputs) for k, r in out.items()} == {"a": (2000, 1000, 4000, 2000, 0), None: (2000, 1000, 4000, 2000, 0)}
+    assert out["a"].wall_ms_median == 499.5
+
+
 def test_payload(spark):
     df = spark.createDataFrame([("본문", "a = b"), ("본문", ""), ("본문", None)], "t string, g string")
     rows = df.select(rv.build_payload("qwen3:4b", F.col("t"), PROMPTS, F.col("g")).alias("p")).collect()
