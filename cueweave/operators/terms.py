@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from functools import reduce
+from itertools import chain, islice
 
 import pandas as pd
 import pyarrow as pa
@@ -51,6 +52,8 @@ _WORD = re.compile(r"[^\W_]+")
 _BATCH = 50_000
 #: Terms in bytes that may be sent to every task as a prefix tree, which takes some 200 times as much memory.
 TREE_BYTES = 1 << 20
+#: Terms in bytes, with some room for each, that may be sent to every task as a set.
+SET_BYTES = 8 << 20
 
 
 def _by_last(particles: Sequence[str]) -> dict[str, list[str]]:
@@ -71,31 +74,31 @@ def _token_starts(text: str) -> Iterator[tuple[int, str]]:
 def _explode_texts(texts: DataFrame, rows_of_text, schema: T.StructType) -> DataFrame:
     """Arrow map from (id, text) to id and the tuples that ``rows_of_text`` yields."""
     fields = schema.fields[1:]
+    kinds = [{"integer": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}[f.dataType.typeName()] for f in fields]
 
     def convert(batches):
         for batch in batches:
             ids, texts_ = batch.column(0), batch.column(1)
             at: list[int] = []
-            columns: list[list] = [[] for _ in fields]
+            rows: list[tuple] = []
 
             def flush():
-                arrays = [ids.take(pa.array(at, pa.int32()))]
-                for values, f in zip(columns, fields):
-                    kind = {"integer": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}[f.dataType.typeName()]
-                    arrays.append(pa.array(values, kind))
-                return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+                arrays = [pa.array(values, kind) for values, kind in zip(zip(*rows), kinds)]
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int32())), *arrays], names=schema.names)
 
             for i in range(batch.num_rows):
                 text = texts_[i].as_py()
                 if text is None:
                     continue
-                for row in rows_of_text(text):
-                    at.append(i)
-                    for values, v in zip(columns, row):
-                        values.append(v)
-                    if len(at) >= _BATCH:
-                        yield flush()
-                        at, columns = [], [[] for _ in fields]
+                found = iter(rows_of_text(text))
+                while True:
+                    before = len(rows)
+                    rows.extend(islice(found, _BATCH - before))
+                    at += [i] * (len(rows) - before)
+                    if len(rows) < _BATCH:
+                        break
+                    yield flush()
+                    at, rows = [], []
             if at:
                 yield flush()
 
@@ -115,43 +118,71 @@ def _tail(particles: Sequence[str]) -> re.Pattern:
     return re.compile(rf"(?:{'|'.join(particles)})?(?![^\W_])")
 
 
-def token_keys(texts: DataFrame, particles: Sequence[str] = PARTICLES) -> DataFrame:
-    """One row per token that may start and end a match, and per token without a particle; no text travels along."""
-    endings, tail = _by_last(particles), _tail(particles)
+def _words_sent(words: DataFrame, column: str) -> Callable[[], frozenset[str] | None]:
+    """The words as a set sent to every task, or None where they were measured to be too many."""
+    distinct = words.select(column).distinct()
+    weight, rows = distinct.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)), F.count(F.lit(1))).first()
+    if weight + 64 * rows > SET_BYTES:
+        return lambda: None
+    shared = words.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in distinct.collect()))
+    return lambda: shared.value
 
-    def rows(text: str):
+
+def token_keys(texts: DataFrame, particles: Sequence[str] = PARTICLES, wanted: Callable[[], frozenset[str] | None] = lambda: None) -> DataFrame:
+    """One row per token that may start and end a match, and per token without a particle; no text travels along.
+
+    With ``wanted`` only tokens of that set are given.
+    """
+    endings, tail = _by_last(particles), _tail(particles).pattern
+    # A sign counts only where no letter or digit stands before it and a match may end after it.
+    usable = re.compile(rf"[^\W_]+|(?<![^\W_])(?:[^\w\s]|_)(?={tail})")
+    last = re.compile(f"[{''.join(map(re.escape, endings))}]")
+
+    def with_particles(text: str, only: frozenset[str] | None):
         for start, token in _token_starts(text):
-            if token[0].isalnum() or tail.match(text, start + len(token)):
-                yield start, token
             for p in endings.get(token[-1], ()):
-                if len(token) > len(p) and token.endswith(p):
+                if len(token) > len(p) and token.endswith(p) and (only is None or token[: -len(p)] in only):
                     yield start, token[: -len(p)]
 
+    def rows(text: str):
+        only = wanted()
+        if only is not None and not only:
+            return ()
+        found = usable.finditer(text)
+        whole = ((m.start(), m.group()) for m in found) if only is None else ((m.start(), m.group()) for m in found if m.group() in only)
+        return chain(whole, with_particles(text, only)) if last.search(text) else whole
+
     return _explode_texts(texts, rows, _schema(texts, ("start", T.IntegerType()), ("key", T.StringType())))
 
 
-def token_pairs(texts: DataFrame, particles: Sequence[str] = PARTICLES) -> DataFrame:
+def token_pairs(texts: DataFrame, particles: Sequence[str] = PARTICLES, wanted: Callable[[], frozenset[str] | None] = lambda: None) -> DataFrame:
     """Postings of neighbouring tokens with what parts them: text_id, pos, start, pair, begins, ends.
 
     ``pos`` numbers the tokens of a text; ``begins`` and ``ends`` say whether a match may start with the first and stop
     with the second. A second token is also given without each particle, with which only a match may end: ``inner`` is false.
+    With ``wanted`` only pairs of that set are given.
     """
     endings, tail = _by_last(particles), _tail(particles)
 
     def rows(text: str):
-        before = None
-        for pos, found in enumerate(_TOKEN.finditer(text)):
-            token = found.group()
-            if before is not None:
-                start = before.start()
-                head = text[start : found.start()]
-                begins = before.group()[0].isalnum() or start == 0 or not text[start - 1].isalnum()
-                ends = token[0].isalnum() or bool(tail.match(text, found.end()))
-                yield pos - 1, start, head + token, begins, ends, True
-                for p in endings.get(token[-1], ()):
-                    if len(token) > len(p) and token.endswith(p):
-                        yield pos - 1, start, head + token[: -len(p)], begins, True, False
-            before = found
+        only = wanted()
+        if only is not None and not only:
+            return
+        start = None
+        for pos, found in enumerate(_TOKEN.finditer(text), -1):
+            at, until = found.span()
+            if start is not None:
+                pair = text[start:until]
+                here = only is None or pair in only
+                cut = endings.get(text[until - 1], ())
+                if here or cut:
+                    begins = text[start].isalnum() or start == 0 or not text[start - 1].isalnum()
+                    if here:
+                        yield pos, start, pair, begins, text[at].isalnum() or bool(tail.match(text, until)), True
+                    for p in cut:
+                        if until - at > len(p) and text.endswith(p, at, until) and (only is None or pair[: -len(p)] in only):
+                            yield pos, start, pair[: -len(p)], begins, True, False
+            start = at
 
     shape = _schema(
         texts, ("pos", T.IntegerType()), ("start", T.IntegerType()), ("pair", T.StringType()), ("begins", T.BooleanType()), ("ends", T.BooleanType()), ("inner", T.BooleanType())
@@ -184,7 +215,7 @@ def phrase_matches(texts: DataFrame, phrases: DataFrame, particles: Sequence[str
     the phrase may begin; the others are looked up there by position, and a phrase occurs where all its pairs are met.
     """
     needed = phrases.select("source_id", "term", F.size("pairs").alias("m"), F.posexplode("pairs").alias("i", "pair"))
-    postings = cut_lineage(token_pairs(texts, particles).join(broadcast_if_small(needed.select("pair").distinct()), "pair"))
+    postings = cut_lineage(token_pairs(texts, particles, _words_sent(needed, "pair")).join(broadcast_if_small(needed.select("pair").distinct()), "pair"))
     places = postings.groupBy("pair").agg(F.count(F.lit(1)).alias("places"))
     counted = needed.join(broadcast_if_small(places), "pair")
     rarest = counted.groupBy("source_id", "term", "m").agg(F.min_by(F.struct("i", "pair"), F.struct("places", "i")).alias("a"), F.count(F.lit(1)).alias("known"))
@@ -230,8 +261,8 @@ def bounded_matches(texts: DataFrame, terms: DataFrame, particles: Sequence[str]
     ``texts`` has (text_id, norm), ``terms`` comes from ``prepared_terms``; the result has
     (text_id, source_id, start, end) with the particle left out of the span.
     """
-    tokens = token_keys(texts, particles)
     listed = terms.filter("norm = anchor").select("source_id", F.col("norm").alias("key"))
+    tokens = token_keys(texts, particles, _words_sent(listed, "key"))
     ends = (F.col("start") + F.length("key")).cast("int")
     single = tokens.join(broadcast_if_small(listed), "key").select("text_id", "source_id", "start", ends.alias("end"))
     phrases = cut_lineage(_pairs_of(terms.filter("norm <> anchor")))
@@ -463,24 +494,25 @@ def context_guard(matches: DataFrame, hits: DataFrame) -> DataFrame:
     """
     free = matches.filter("guard_owner is null and guard_slot is null")
     bound = matches.filter("guard_owner is not null or guard_slot is not null")
-    present = hits.select("text_id", "cue").distinct()
-    for guard in ("guard_owner", "guard_slot"):
-        flag = present.select("text_id", F.col("cue").alias(guard), F.lit(True).alias(f"_{guard}"))
-        bound = bound.join(flag, ["text_id", guard], "left")
-    kept = bound.filter("_guard_owner or _guard_slot").drop("_guard_owner", "_guard_slot")
-    return free.unionByName(kept)
+    # One row per text, so that matches are shuffled once for both guards.
+    present = hits.groupBy("text_id").agg(F.collect_set("cue").alias("_cues"))
+    met = F.array_contains("_cues", F.col("guard_owner")) | F.array_contains("_cues", F.col("guard_slot"))
+    return free.unionByName(bound.join(present, "text_id").filter(met).drop("_cues").select(*matches.columns))
 
 
 def negative_cue_filter(matches: DataFrame, texts: DataFrame, cues: DataFrame) -> DataFrame:
     """Drop matches of a source whose negative cue occurs anywhere in the text.
 
-    ``cues`` has (source_id, cue). Only texts with a match of such a source are looked at.
+    ``cues`` has (source_id, cue). Only texts with a match of such a source are looked at, once for each different cue; matches
+    meet the cues of their text in one join on the text.
     """
     folded = cues.select("source_id", tx.dictionary_key("cue", trimmed=False).alias("cue"))
-    per_source = folded.groupBy("source_id").agg(F.collect_set("cue").alias("cues"))
-    doubtful = matches.join(per_source, "source_id").select("text_id", "source_id", "cues").distinct()
-    hit = doubtful.join(texts, "text_id").filter(F.exists("cues", lambda c: F.contains(F.col("norm"), c)))
-    return matches.join(hit.select("text_id", "source_id"), ["text_id", "source_id"], "left_anti")
+    doubtful = matches.join(broadcast_if_small(folded.distinct()), "source_id").select("text_id", "cue").distinct()
+    hit = doubtful.join(texts, "text_id").filter(F.contains(F.col("norm"), F.col("cue")))
+    present = hit.groupBy("text_id").agg(F.collect_set("cue").alias("_present"))
+    per_source = folded.groupBy("source_id").agg(F.collect_set("cue").alias("_cues"))
+    rows = matches.join(broadcast_if_small(per_source), "source_id", "left").join(present, "text_id", "left")
+    return rows.filter(~F.coalesce(F.arrays_overlap("_cues", "_present"), F.lit(False))).select(*matches.columns)
 
 
 def matches_by_role(texts: DataFrame, roles: Mapping[str, DataFrame]) -> Callable[[str], DataFrame]:

@@ -225,3 +225,27 @@ def test_compound_equals_brute_force(spark, tree_bytes):
     if tree_bytes:
         chain = sorted(got[60])
         assert [a for a, _ in chain] == [0, *[b for _, b in chain[:-1]]] and len(chain) >= len(texts[60]) // 4
+
+
+def test_only_wanted_tokens_and_pairs_leave_the_texts(spark):
+    texts = spark.createDataFrame([(1, "보라가 _갔다. a. b, a b 보라는 x보라"), (2, None), (3, "a " * 3000)], "text_id int, norm string")
+    every, pairs = tm.token_keys(texts), tm.token_pairs(texts)
+    for kept in (frozenset(), frozenset(["보라", "a", ".", "a b", "a. "]), frozenset(["b 보라", "a a"])):
+        some = tm.token_keys(texts, wanted=lambda: kept)
+        assert sorted(some.collect()) == sorted(every.filter(F.col("key").isin(*kept)).collect())
+        some = tm.token_pairs(texts, wanted=lambda: kept)
+        assert sorted(some.collect()) == sorted(pairs.filter(F.col("pair").isin(*kept)).collect())
+    assert ("보라" in {r.key for r in every.filter("text_id = 1").collect()}) and every.filter("text_id = 3").count() == 3000
+
+
+def test_guards_and_cues_meet_matches_in_one_join_on_the_text(spark):
+    rows = [(1, "s", "o", None), (1, "t", None, "p"), (2, "s", "o", "p"), (3, "s", None, None), (None, "s", None, None), (4, "u", "x", "p")]
+    matches = spark.createDataFrame(rows, "text_id int, source_id string, guard_owner string, guard_slot string")
+    hits = spark.createDataFrame([(1, "o"), (1, "o"), (2, "p"), (4, "o")], "text_id int, cue string")
+    kept = tm.context_guard(matches, hits)
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, matches.filter("source_id = 's'").collect()))
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    texts = spark.createDataFrame([(1, "ab"), (2, "cd"), (3, None), (4, "ef")], "text_id int, norm string")
+    cues = spark.createDataFrame([("s", "A"), ("s", "d"), ("t", "zz"), ("s", None)], "source_id string, cue string")
+    kept = tm.negative_cue_filter(matches, texts, cues)
+    assert sorted(((r.text_id, r.source_id) for r in kept.collect()), key=repr) == sorted([(1, "t"), (3, "s"), (None, "s"), (4, "u")], key=repr)
