@@ -515,6 +515,16 @@ def negative_cue_filter(matches: DataFrame, texts: DataFrame, cues: DataFrame) -
     return rows.filter(~F.coalesce(F.arrays_overlap("_cues", "_present"), F.lit(False))).select(*matches.columns)
 
 
+def without_exact(matches: DataFrame, exact: DataFrame) -> DataFrame:
+    """Drop matches whose source is also matched exactly in the same text.
+
+    Exact matches are many more; those that can bear on ``matches`` are picked first, so no task gathers the others.
+    """
+    keys = ["text_id", "source_id"]
+    asked = cut_lineage(matches.select(*keys).distinct())
+    return matches.join(exact.select(*keys).join(broadcast_if_small(asked), keys, "left_semi").distinct(), keys, "left_anti")
+
+
 def matches_by_role(texts: DataFrame, roles: Mapping[str, DataFrame]) -> Callable[[str], DataFrame]:
     """Look up several term tables (source_id, term) in one pass over the texts.
 
@@ -548,7 +558,7 @@ def dictionary_matches(texts: DataFrame, entries: DataFrame, aliases: DataFrame,
         "cue": cues_,
     })
     exact, hits = of("exact"), of("cue").select("text_id", F.col("source_id").alias("cue"))
-    built = of("built").join(exact.select(*keys), keys, "left_anti").withColumn("start", F.col("start") + 1)
+    built = without_exact(of("built"), exact).withColumn("start", F.col("start") + 1)
     parts = [kind(exact, "exact"), kind(built, "item_build_prefix")]
     compact = records.filter("compact")
     if not compact.isEmpty():

@@ -363,7 +363,7 @@ def term_match_prefix(spark, d):
     texts = documents(spark, d)
     terms = benchmark_terms(spark, d).filter(~F.col("term").contains(" "))
     of = tm.matches_by_role(texts, {"exact": terms, "longer": terms.withColumn("term", F.concat(F.lit("re"), "term"))})
-    fresh = of("longer").join(of("exact").select("text_id", "source_id").distinct(), ["text_id", "source_id"], "left_anti")
+    fresh = tm.without_exact(of("longer"), of("exact"))
     return fresh.groupBy(F.col("text_id").alias("doc_id"), F.col("source_id").alias("term")).agg(F.count(F.lit(1)).alias("hits"))
 
 

@@ -249,3 +249,11 @@ def test_guards_and_cues_meet_matches_in_one_join_on_the_text(spark):
     cues = spark.createDataFrame([("s", "A"), ("s", "d"), ("t", "zz"), ("s", None)], "source_id string, cue string")
     kept = tm.negative_cue_filter(matches, texts, cues)
     assert sorted(((r.text_id, r.source_id) for r in kept.collect()), key=repr) == sorted([(1, "t"), (3, "s"), (None, "s"), (4, "u")], key=repr)
+
+
+def test_matches_without_exact_ones(spark):
+    longer = spark.createDataFrame([(1, "a", 0), (1, "a", 5), (1, "b", 3), (2, "a", 1), (None, "a", 0)], "text_id int, source_id string, start int")
+    exact = spark.createDataFrame([(1, "a"), (1, "a"), (3, "b"), (None, "a")], "text_id int, source_id string")
+    assert sorted(tuple(r) for r in tm.without_exact(longer, exact).collect() if r.text_id) == [(1, "b", 3), (2, "a", 1)]
+    plan = tm.without_exact(longer, exact)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "LeftAnti" in plan
