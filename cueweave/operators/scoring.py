@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..session import spread
+from ..session import short_batches, spread
 from . import reviews, terms
 from .ordered import rows_of
 
@@ -152,6 +152,24 @@ def infer_with_retry(jobs: DataFrame, make: Callable[[], Callable[[str], dict]],
     return spread(jobs).mapInPandas(run, schema)
 
 
+def _answers(payload: Column, make: Callable[[], Callable[[str], dict]], attempts: int, sleep: Callable[[float], None]) -> Column:
+    """The result of ``infer_with_retry`` beside each payload; only payloads go to Python, and none is called for null.
+
+    Marked as not deterministic, so that no filter on the answers makes Spark call twice.
+    """
+    nothing = dict.fromkeys(RETRY.names)
+
+    @F.pandas_udf(RETRY)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        call = None
+        for batch in batches:
+            if call is None and batch.notna().any():
+                call = make()
+            yield pd.DataFrame([nothing if p is None else call_with_retry(call, p, attempts, sleep) for p in batch], columns=RETRY.names, dtype=object)
+
+    return run.asNondeterministic()(payload)
+
+
 def retry_outcomes(log: DataFrame, keys: Sequence[str], attempts: int = 2) -> DataFrame:
     """Fold a table of attempts (attempt, outcome) the way a live call would have ended."""
     used = log.filter(F.col("attempt") <= attempts)
@@ -176,21 +194,32 @@ def translate(captions: DataFrame, context: DataFrame, model: str, prompts: dict
     and call count per caption; ``trace`` holds the matches the prompt was made of.
     """
     chosen = context.select(F.col("text_id").alias("id"), "prompt_text", F.col("matches").alias("trace"))
-    rows = captions.join(chosen, "id", "left")
+    return _translated(captions.join(chosen, "id", "left"), captions.columns, model, prompts, make, attempts, sleep)
+
+
+def translate_with(captions: DataFrame, entries: DataFrame, aliases: DataFrame, model: str, prompts: dict, make: Callable[[], Callable[[str], dict]], attempts: int = 2, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """``translate`` with the context that a dictionary gives, which comes with the captions, so they are shuffled once."""
+    context = terms.select_context(captions, entries, aliases, "id", "source_ko", keep=[c for c in captions.columns if c != "id"])
+    rows = context.withColumnsRenamed({"text_id": "id", "matches": "trace"})
+    return _translated(rows, captions.columns, model, prompts, make, attempts, sleep)
+
+
+def _translated(rows: DataFrame, columns: Sequence[str], model: str, prompts: dict, make: Callable[[], Callable[[str], dict]], attempts: int, sleep: Callable[[float], None]) -> DataFrame:
+    """``translate`` for captions that hold their ``prompt_text`` and ``trace``."""
+    short_batches(rows.sparkSession)
     ready = (F.col("ocr_status") == "completed") & ~tx.is_blank("source_ko")
     payload = F.to_json(reviews.build_payload(model, F.col("source_ko"), prompts, F.col("prompt_text")))
-    sent = rows.filter(ready).select("id", payload.alias("payload"))
-    answers = infer_with_retry(sent, make, "payload", attempts, sleep).select("id", "result")
-    out = rows.join(answers, "id", "left")
+    sent = spread(rows.withColumn("payload", F.when(ready, payload)).withColumn("_called", F.col("payload").isNotNull()))
+    out = sent.withColumn("result", _answers(F.col("payload"), make, attempts, sleep))
     ok = F.coalesce(F.col("result.status") == "ok", F.lit(False))
-    called = F.col("result").isNotNull()
+    called = F.col("_called")
     kinds = F.array_join(F.transform("result.errors", lambda e: e["type"]), ", ")
     error = (
         F.when(called & ~ok, F.concat(F.lit("translation failed: "), kinds))
         .when(~called & (F.col("ocr_status") == "completed"), "no source text")
     )
     return out.select(
-        *captions.columns, "trace",
+        *columns, "trace",
         F.when(ok, "completed").when(error.isNotNull(), "error").otherwise("pending").alias("translation_status"),
         F.when(ok, tx.trim_space("result.content")).alias("generated_ja"), error.alias("error"), called.cast("int").alias("calls"),
     )
@@ -232,8 +261,7 @@ def compare_dictionaries(cases: DataFrame, before: tuple[DataFrame, DataFrame],
 
     def branch(entries: DataFrame, aliases: DataFrame) -> DataFrame:
         captions = cases.select("id", "source_ko", F.lit("completed").alias("ocr_status"))
-        context = terms.select_context(captions, entries, aliases, "id", "source_ko")
-        out = translate(captions, context, model, prompts, make, attempts, sleep)
+        out = translate_with(captions, entries, aliases, model, prompts, make, attempts, sleep)
         selected = F.array_distinct(F.flatten(F.transform("trace", lambda m: m["target_ids"])))
         return out.select("id", F.col("generated_ja").alias("output"), selected.alias("selected"))
 

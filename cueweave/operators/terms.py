@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..session import broadcast_if_small, cut_lineage, spread
+from ..session import broadcast_if_small, cut_lineage, discard, short_batches, spread, written
 
 # Particles that may follow a term, the particles of the older glossary filter,
 # the build prefix of items, and the slot cues of abilities.
@@ -74,7 +74,8 @@ def _token_starts(text: str) -> Iterator[tuple[int, str]]:
 def _explode_texts(texts: DataFrame, rows_of_text, schema: T.StructType) -> DataFrame:
     """Arrow map from (id, text) to id and the tuples that ``rows_of_text`` yields."""
     fields = schema.fields[1:]
-    kinds = [{"integer": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}[f.dataType.typeName()] for f in fields]
+    known = {"integer": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "array": pa.list_(pa.int32())}
+    kinds = [known[f.dataType.typeName()] for f in fields]
 
     def convert(batches):
         for batch in batches:
@@ -102,6 +103,7 @@ def _explode_texts(texts: DataFrame, rows_of_text, schema: T.StructType) -> Data
             if at:
                 yield flush()
 
+    short_batches(texts.sparkSession)
     return spread(texts).mapInArrow(convert, schema)
 
 
@@ -128,11 +130,8 @@ def _words_sent(words: DataFrame, column: str) -> Callable[[], frozenset[str] |
     return lambda: shared.value
 
 
-def token_keys(texts: DataFrame, particles: Sequence[str] = PARTICLES, wanted: Callable[[], frozenset[str] | None] = lambda: None) -> DataFrame:
-    """One row per token that may start and end a match, and per token without a particle; no text travels along.
-
-    With ``wanted`` only tokens of that set are given.
-    """
+def _keys_in(particles: Sequence[str], wanted: Callable[[], frozenset[str] | None]) -> Callable[[str], Iterable[tuple[int, str]]]:
+    """What ``token_keys`` gives for one text."""
     endings, tail = _by_last(particles), _tail(particles).pattern
     # A sign counts only where no letter or digit stands before it and a match may end after it.
     usable = re.compile(rf"[^\W_]+|(?<![^\W_])(?:[^\w\s]|_)(?={tail})")
@@ -152,7 +151,28 @@ def token_keys(texts: DataFrame, particles: Sequence[str] = PARTICLES, wanted: C
         whole = ((m.start(), m.group()) for m in found) if only is None else ((m.start(), m.group()) for m in found if m.group() in only)
         return chain(whole, with_particles(text, only)) if last.search(text) else whole
 
-    return _explode_texts(texts, rows, _schema(texts, ("start", T.IntegerType()), ("key", T.StringType())))
+    return rows
+
+
+def token_keys(texts: DataFrame, particles: Sequence[str] = PARTICLES, wanted: Callable[[], frozenset[str] | None] = lambda: None) -> DataFrame:
+    """One row per token that may start and end a match, and per token without a particle; no text travels along.
+
+    With ``wanted`` only tokens of that set are given.
+    """
+    return _explode_texts(texts, _keys_in(particles, wanted), _schema(texts, ("start", T.IntegerType()), ("key", T.StringType())))
+
+
+def token_places(texts: DataFrame, particles: Sequence[str] = PARTICLES, wanted: Callable[[], frozenset[str] | None] = lambda: None) -> DataFrame:
+    """The rows of ``token_keys`` with those of one key in one text as one row that lists their starts."""
+    keys_in = _keys_in(particles, wanted)
+
+    def rows(text: str):
+        places: dict[str, list[int]] = {}
+        for start, key in keys_in(text):
+            places.setdefault(key, []).append(start)
+        return places.items()
+
+    return _explode_texts(texts, rows, _schema(texts, ("key", T.StringType()), ("starts", T.ArrayType(T.IntegerType()))))
 
 
 def token_pairs(texts: DataFrame, particles: Sequence[str] = PARTICLES, wanted: Callable[[], frozenset[str] | None] = lambda: None) -> DataFrame:
@@ -269,6 +289,18 @@ def bounded_matches(texts: DataFrame, terms: DataFrame, particles: Sequence[str]
     return single if phrases.isEmpty() else single.unionByName(phrase_matches(texts, phrases, particles))
 
 
+def match_places(texts: DataFrame, terms: DataFrame, particles: Sequence[str] = PARTICLES) -> DataFrame:
+    """The rows of ``bounded_matches`` with those of one term in one text as one row: text_id, source_id, size, starts."""
+    listed = terms.filter("norm = anchor").select("source_id", F.col("norm").alias("key"))
+    tokens = token_places(texts, particles, _words_sent(listed, "key"))
+    single = tokens.join(broadcast_if_small(listed), "key").select("text_id", "source_id", F.length("key").alias("size"), "starts")
+    phrases = cut_lineage(_pairs_of(terms.filter("norm <> anchor")))
+    if phrases.isEmpty():
+        return single
+    met = phrase_matches(texts, phrases, particles).groupBy("text_id", "source_id", (F.col("end") - F.col("start")).alias("size"))
+    return single.unionByName(met.agg(F.collect_list("start").alias("starts")))
+
+
 def _skip_space(text: str, start: int, wanted: str) -> int | None:
     """Where ``wanted`` ends when whitespace in ``text`` is skipped; None if it does not fit."""
     at = start
@@ -525,58 +557,96 @@ def without_exact(matches: DataFrame, exact: DataFrame) -> DataFrame:
     return matches.join(exact.select(*keys).join(broadcast_if_small(asked), keys, "left_semi").distinct(), keys, "left_anti")
 
 
+def role_terms(roles: Mapping[str, DataFrame]) -> DataFrame:
+    """Several term tables (source_id, term) prepared as one, which is looked up in one pass over the texts."""
+    tagged = [r.select(F.concat_ws("|", F.lit(role), "source_id").alias("source_id"), "term") for role, r in roles.items()]
+    return prepared_terms(reduce(DataFrame.union, tagged))
+
+
+def of_role(found: DataFrame, role: str) -> DataFrame:
+    """What was found of one table of ``role_terms``."""
+    own = found.filter(F.startswith("source_id", F.lit(f"{role}|")))
+    return own.withColumn("source_id", F.expr(f"substring(source_id, {len(role) + 2})"))
+
+
 def matches_by_role(texts: DataFrame, roles: Mapping[str, DataFrame]) -> Callable[[str], DataFrame]:
     """Look up several term tables (source_id, term) in one pass over the texts.
 
     The matches are written once; the returned function selects those of one role.
     """
-    tagged = [r.select(F.concat_ws("|", F.lit(role), "source_id").alias("source_id"), "term") for role, r in roles.items()]
-    found = cut_lineage(bounded_matches(texts, prepared_terms(reduce(DataFrame.union, tagged))))
+    found = cut_lineage(bounded_matches(texts, role_terms(roles)))
+    return lambda role: of_role(found, role)
 
-    def of(role: str) -> DataFrame:
-        own = found.filter(F.startswith("source_id", F.lit(f"{role}|")))
-        return own.withColumn("source_id", F.expr(f"substring(source_id, {len(role) + 2})"))
 
-    return of
+def _numbered_records(entries: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``term_records`` with a number, and how their target lists relate.
 
+    ``single`` tells that no other list names the same targets; ``crowd`` is how many places of different terms a text may
+    have for the list (a record each, and more only where ids are not unique).
+    """
+    sets = Window.partitionBy(F.array_sort(F.array_distinct("target_ids")))
+    rows = term_records(entries, aliases).withColumns({
+        "record": F.monotonically_increasing_id(),
+        "single": F.size(F.collect_set("target_ids").over(sets)) == 1,
+        "_same": F.count(F.lit(1)).over(Window.partitionBy("source_id")),
+    })
+    return cut_lineage(rows.withColumn("crowd", F.sum("_same").over(Window.partitionBy("target_ids"))).drop("_same"))
 
-def dictionary_matches(texts: DataFrame, entries: DataFrame, aliases: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """All matches of a dictionary in the texts, with their type and the record they come from.
 
-    Names, build-prefixed items and guard cues are looked up in one pass over the texts.
+def dictionary_places(texts: DataFrame, records: DataFrame, cues: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """All matches of numbered records: text_id, record, match_type, size and ``starts``, exact ones of a term in a text as one row.
+
+    Names, build-prefixed items and the guard ``cues`` (cue, term) are looked up in one pass over the texts. What a record
+    says stays with the records, and steps that no record asks for are left out.
     """
     norm = normalized_texts(texts, id_col, text_col)
-    records = cut_lineage(term_records(entries, aliases))
     kind = lambda df, name: df.withColumn("match_type", F.lit(name))
+    one = lambda df: df.select("text_id", "source_id", (F.col("end") - F.col("start")).alias("size"), F.array("start").alias("starts"))
     keys = ["text_id", "source_id"]
+    named = F.col("source_type").isin(*OFFICIAL)
+    asks = {
+        "items": F.col("all_items") & ~named, "compact": F.col("compact"), "others": ~named,
+        "guards": F.col("guard_owner").isNotNull() | F.col("guard_slot").isNotNull(), "cues": F.size("ambiguity.negative_cues") > 0,
+    }
+    asked = records.agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(name) for name, c in asks.items()]).first()
+
+    built_terms = records.filter(asks["items"]).withColumn("term", F.concat(F.lit(BUILD_PREFIX), tx.dictionary_key("term")))
+    roles = {"exact": records, "built": built_terms} | ({"cue": cues.select(F.col("cue").alias("source_id"), "term")} if asked.guards else {})
+    found = written(match_places(norm, role_terms(roles)))
+    exact = of_role(found, "exact")
+    parts = [kind(exact, "exact")]
+    if asked.items:
+        built = without_exact(of_role(found, "built"), exact)
+        parts.append(kind(built.withColumns({"size": F.col("size") - 1, "starts": F.transform("starts", lambda s: s + 1)}), "item_build_prefix"))
+    if asked.compact:
+        loose = space_free_matches(norm, prepared_terms(records.filter("compact"))).join(exact.select(*keys), keys, "left_anti")
+        parts.append(kind(one(loose), "space_omitted"))
+    numbers = broadcast_if_small(records.select("source_id", "record", "guard_owner", "guard_slot", named.alias("named")))
+    kept = reduce(DataFrame.unionByName, parts).join(numbers, "source_id")
+    if asked.guards:
+        kept = context_guard(kept, of_role(found, "cue").select("text_id", F.col("source_id").alias("cue")))
+    if asked.cues:
+        kept = negative_cue_filter(kept, norm, records.select("source_id", F.explode("ambiguity.negative_cues").alias("cue")))
+    read = [found]
+    if asked.others:
+        kept = written(kept)
+        read.append(kept)
+        spans = ["text_id", "source_id", "start", "end"]
+        known = kept.filter("not named").withColumn("start", F.explode("starts")).withColumn("end", F.col("start") + F.col("size"))
+        made = compound_matches(norm, prepared_terms(records.filter(~named))).join(known.select(*spans), spans, "left_anti")
+        kept = kept.unionByName(kind(one(made), "compound_segment").join(numbers, "source_id").select(*kept.columns))
+    out = written(kept.select("text_id", "record", "match_type", "size", "starts"))
+    discard(*read)
+    return out
 
-    item_aliases = records.filter(F.col("all_items") & ~F.col("source_type").isin(*OFFICIAL))
-    cues_ = guard_cues(entries, aliases).select(F.col("cue").alias("source_id"), "term")
-    of = matches_by_role(norm, {
-        "exact": records,
-        "built": item_aliases.withColumn("term", F.concat(F.lit(BUILD_PREFIX), tx.dictionary_key("term"))),
-        "cue": cues_,
-    })
-    exact, hits = of("exact"), of("cue").select("text_id", F.col("source_id").alias("cue"))
-    built = without_exact(of("built"), exact).withColumn("start", F.col("start") + 1)
-    parts = [kind(exact, "exact"), kind(built, "item_build_prefix")]
-    compact = records.filter("compact")
-    if not compact.isEmpty():
-        loose = space_free_matches(norm, prepared_terms(compact)).join(exact.select(*keys), keys, "left_anti")
-        parts.append(kind(loose, "space_omitted"))
-    first = reduce(DataFrame.unionByName, parts).join(records, "source_id")
-    guarded = context_guard(first, hits)
-    cues = records.select("source_id", F.explode("ambiguity.negative_cues").alias("cue"))
-    kept = negative_cue_filter(guarded, norm, cues)
-
-    others = records.filter(~F.col("source_type").isin(*OFFICIAL))
-    if others.isEmpty():
-        return kept
-    kept = cut_lineage(kept)
-    spans = ["text_id", "source_id", "start", "end"]
-    made = compound_matches(norm, prepared_terms(others)).join(kept.select(*spans), spans, "left_anti")
-    compound = kind(made, "compound_segment").join(records, "source_id")
-    return kept.unionByName(compound.select(*kept.columns))
+
+def dictionary_matches(texts: DataFrame, entries: DataFrame, aliases: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """All matches of a dictionary in the texts, one row each, with their type and the record they come from."""
+    records = _numbered_records(entries, aliases)
+    places = dictionary_places(texts, records, guard_cues(entries, aliases), id_col, text_col)
+    start, end = F.explode("starts").alias("start"), (F.col("start") + F.col("size")).alias("end")
+    rows = places.select("text_id", "record", "match_type", "size", start).select("text_id", "record", "match_type", "start", end)
+    return rows.join(records.drop("single", "crowd"), "record").drop("record")
 
 
 def match_order() -> list[Column]:
@@ -603,24 +673,28 @@ UNKNOWN_ORIGIN = "不明"
 def distinct_targets(matches: DataFrame, limit: Column, order: Sequence[Column] | None = None, text: str = "text_id") -> DataFrame:
     """Matches in order, without those that repeat the target list of a kept one or lie inside a kept one of equal targets.
 
-    Keeps at most ``limit`` rows per text and numbers them in ``rank``. Only matches of one set of targets bear on each
-    other, so each such set of a text is walked by itself, holding no more than what it keeps.
+    Keeps at most ``limit`` rows per text and numbers them in ``rank``; matches without a target list are left out. Only
+    matches of one set of targets bear on each other, so each such set of a text is walked by itself.
     """
     order = list(order or match_order())
     by = [text, "_set"]
-    rows = matches.withColumn("_set", F.array_sort(F.array_distinct("target_ids")))
+    rows = matches.filter(F.col(text).isNotNull() & F.col("target_ids").isNotNull()).withColumn("_set", F.array_sort(F.array_distinct("target_ids")))
     rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    step = F.struct("_i", "start", "end", "target_ids")
-    walked = rows.groupBy(*by).agg(F.array_sort(F.collect_list(step)).alias("_all"), F.array_compact(F.array(F.first(F.when(F.lit(False), step)))).alias("_none"))
+    # Whole rows are walked, so that what is kept need not be looked up again.
+    step = F.struct("_i", F.struct(*matches.columns).alias("row"))
+    walked = rows.groupBy(*by).agg(
+        F.array_sort(F.collect_list(step), lambda a, b: a["_i"] - b["_i"]).alias("_all"), F.array_compact(F.array(F.first(F.when(F.lit(False), step)))).alias("_none")
+    )
 
     def keep(kept: Column, m: Column) -> Column:
-        known = lambda k: (k["target_ids"] == m["target_ids"]) | ((m["start"] >= k["start"]) & (m["end"] <= k["end"]))
+        row = m["row"]
+        known = lambda k: (k["row"]["target_ids"] == row["target_ids"]) | ((row["start"] >= k["row"]["start"]) & (row["end"] <= k["row"]["end"]))
         return F.when(F.exists(kept, known), kept).otherwise(F.concat(kept, F.array(m)))
 
-    kept = walked.select(*by, F.explode(F.transform(F.aggregate("_all", F.col("_none"), keep), lambda m: m["_i"])).alias("_i"))
-    rows = rows.join(kept, [*by, "_i"], "left_semi")
+    rows = walked.select(text, F.explode(F.aggregate("_all", F.col("_none"), keep)).alias("_m"))
+    rows = rows.select(text, *[F.col("_m.row")[c].alias(c) for c in matches.columns if c != text]).select(*matches.columns)
     place = Window.partitionBy(text).orderBy(*order)
-    return rows.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= limit).drop("_set", "_i")
+    return rows.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= limit)
 
 
 def within_budget(rows: DataFrame, length: Column, budget: int, text: str = "text_id", rank: str = "rank") -> DataFrame:
@@ -635,50 +709,87 @@ def within_budget(rows: DataFrame, length: Column, budget: int, text: str = "tex
     return over.filter("_over = 0").drop("_length", "_used", "_over")
 
 
-def context_lines(selected: DataFrame, entries: DataFrame) -> DataFrame:
-    """Add ``line``, the wording of each selected match (at most eight per text)."""
+def record_wording(records: DataFrame, entries: DataFrame) -> DataFrame:
+    """What a context line says of each numbered record: ``targets`` and ``note``. Records without a known target have none."""
     names = entries.select(
         F.col("id").alias("target"),
         F.format_string(TARGET_TEMPLATE, "ko", "ja", F.coalesce("meaning", "category")).alias("shown"),
     )
-    place = ["text_id", "rank"]
-    wording = (
-        selected.select(*place, F.posexplode("target_ids").alias("pos", "target")).join(names, "target")
-        .groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("pos", "shown"))).alias("_t"))
-        .select(*place, F.array_join(F.transform("_t", lambda t: t["shown"]), " / ").alias("targets"))
+    targets = (
+        records.select("record", F.posexplode("target_ids").alias("pos", "target")).join(broadcast_if_small(names), "target")
+        .groupBy("record").agg(F.array_sort(F.collect_list(F.struct("pos", "shown"))).alias("_t"))
+        .select("record", F.array_join(F.transform("_t", lambda t: t["shown"]), " / ").alias("targets"))
     )
     a, h = F.col("ambiguity"), F.col("historical")
     others = F.array_join(F.coalesce(a["other_meanings"], F.array().cast("array<string>")), "、")
     condition = F.when(a.isNotNull(), F.format_string(CONDITION_TEMPLATE, a["guidance"], others)).otherwise("")
     history = F.when(h.isNotNull(), F.format_string(HISTORY_TEMPLATE, F.coalesce(h["origin_ko"], F.lit(UNKNOWN_ORIGIN)))).otherwise("")
-    line = F.format_string(LINE_TEMPLATE, F.array_join("target_ids", ","), "matched_text", "targets", F.concat(condition, history))
-    return selected.join(wording, place).withColumn("line", line)
-
-
-def select_context(texts: DataFrame, entries: DataFrame, aliases: DataFrame, id_col: str = "id", text_col: str = "text", max_entries: int = MAX_ENTRIES, max_characters: int = MAX_CHARACTERS) -> DataFrame:
-    """One row per text: the context block and the matches it was made of."""
-    matches = cut_lineage(dictionary_matches(texts, entries, aliases, id_col, text_col))
-    raw = texts.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("_text"))
-    sized = matches.join(raw.select("text_id", F.length("_text").alias("_size")), "text_id")
-    limit = F.when(F.col("_size") <= SHORT_TEXT, F.least(F.lit(max_entries), F.lit(SHORT_ENTRIES))).otherwise(F.lit(max_entries))
-    chosen = distinct_targets(sized, limit)
-    spelled = chosen.join(raw, "text_id").withColumn("matched_text", F.expr("substring(_text, start + 1, end - start)")).drop("_text")
-    kept = within_budget(context_lines(spelled, entries), F.length("line"), max_characters)
-    trace = F.struct(
-        "rank", "target_ids", "source_id", "source_type", "status", "matched_text", "start", "end", "match_type",
-        F.col("ambiguity").isNotNull().alias("context_required"), "line",
-    )
-    per_text = kept.groupBy("text_id").agg(F.array_sort(F.collect_list(trace)).alias("matches"))
-    totals = matches.groupBy("text_id").agg(F.count(F.lit(1)).alias("_total"))
-    size = F.length("_text")
-    entry_limit = F.when(size <= SHORT_TEXT, F.least(F.lit(max_entries), F.lit(SHORT_ENTRIES))).otherwise(F.lit(max_entries))
+    return records.select("record", "status", a.isNotNull().alias("context_required"), F.concat(condition, history).alias("note")).join(targets, "record")
+
+
+def first_places(places: DataFrame, records: DataFrame, limit: int) -> DataFrame:
+    """Of the matches of ``dictionary_places`` those that can be among the first ``limit`` distinct ones of a text, one row each.
+
+    Exact matches of a record whose targets no other list names count by the first place of its term, as later ones repeat its
+    list; a list has at most ``crowd`` such places, so ``limit`` lists lie within ``limit`` times as many. Spark takes these
+    from every input split before rows are shuffled. All other matches are given whole.
+    """
+    crowd, mixed = records.agg(F.max(F.when(F.col("single"), F.col("crowd"))), F.coalesce(F.bool_or(~F.col("single")), F.lit(False))).first()
+    only_exact = records.filter(~F.col("source_type").isin(*OFFICIAL) | F.col("compact")).isEmpty()
+    said = broadcast_if_small(records.select("record", "source_id", "source_type", "target_ids", "single"))
+    columns = ["text_id", "record", "match_type", "source_id", "source_type", "target_ids", "start", "end"]
+
+    # Only what the order needs is sorted: that of match_order, where the end follows from the size.
+    ranked = broadcast_if_small(records.filter("single").select("record", "source_id", (F.col("source_type") != "official_name").alias("_later")))
+    first = places.filter("match_type = 'exact'").select("text_id", "record", "size", F.array_min("starts").alias("start")).join(ranked, "record")
+    order = Window.partitionBy("text_id").orderBy("start", -F.col("size"), "_later", "source_id")
+    first = first.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= limit * (crowd or 1))
+    first = first.select("text_id", "record", "size", "start", F.lit("exact").alias("match_type")).join(said, "record")
+    end = F.col("start") + F.col("size")
+    first = first.withColumn("end", end).select(*columns)
+    if only_exact and not mixed:
+        return first
+    others = places.join(said, "record").filter(~F.col("single") | (F.col("match_type") != "exact")).withColumn("start", F.explode("starts"))
+    return first.unionByName(others.withColumn("end", end).select(*columns))
+
+
+def select_context(texts: DataFrame, entries: DataFrame, aliases: DataFrame, id_col: str = "id", text_col: str = "text", max_entries: int = MAX_ENTRIES, max_characters: int = MAX_CHARACTERS, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per text: the context block and the matches it was made of, after the columns ``keep`` of ``texts``.
+
+    Matches are shuffled without texts and cut to what can be chosen; a text then meets its chosen matches once, and lines
+    are worded and counted within its row.
+    """
+    records = _numbered_records(entries, aliases)
+    places = dictionary_places(texts, records, guard_cues(entries, aliases), id_col, text_col)
+    chosen = distinct_targets(first_places(places, records, max_entries), F.lit(max_entries)).join(broadcast_if_small(record_wording(records, entries)), "record")
+    fields = ["rank", "target_ids", "source_id", "source_type", "status", "start", "end", "match_type", "context_required", "targets", "note"]
+    per_text = chosen.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_chosen"))
+    totals = places.groupBy("text_id").agg(F.sum(F.size("starts")).alias("_total"))
+    raw = texts.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("_text"), *[c for c in keep if c != text_col])
     out = raw.join(per_text, "text_id", "left").join(totals, "text_id", "left")
-    count = F.greatest(F.lit(0), F.coalesce(F.size("matches"), F.lit(0)))
-    lines = F.array_join(F.transform("matches", lambda m: m["line"]), "\n")
+
+    size = F.length("_text")
+    limit = F.when(size <= SHORT_TEXT, F.least(F.lit(max_entries), F.lit(SHORT_ENTRIES))).otherwise(F.lit(max_entries))
+
+    def worded(m: Column, matched: Column) -> Column:
+        line = F.format_string(LINE_TEMPLATE, F.array_join(m["target_ids"], ","), matched, m["targets"], m["note"])
+        given = lambda *names: [m[n].alias(n) for n in names]
+        return F.struct(
+            *given("rank", "target_ids", "source_id", "source_type", "status"), matched.alias("matched_text"),
+            *given("start", "end", "match_type", "context_required"), line.alias("line"),
+        )
+
+    allowed = F.filter("_chosen", lambda m: m["rank"] <= limit)
+    out = out.withColumn("_lines", F.transform(allowed, lambda m: worded(m, F.substring("_text", m["start"] + 1, m["end"] - m["start"]))))
+    # As within_budget: a line uses its length plus one, and the first that overflows ends the block.
+    used = lambda i: F.aggregate(F.slice("_lines", F.lit(1), i + 1), F.lit(-1), lambda n, m: n + F.length(m["line"]) + 1)
+    out = out.withColumn("_kept", F.filter("_lines", lambda m, i: used(i) <= max_characters))
+    count = F.greatest(F.lit(0), F.coalesce(F.size("_kept"), F.lit(0)))
+    lines = F.array_join(F.transform("_kept", lambda m: m["line"]), "\n")
     return out.select(
-        "text_id", F.when(count > 0, F.concat(F.lit(PROMPT_HEADER + "\n"), lines)).otherwise("").alias("prompt_text"),
-        F.sha2("_text", 256).alias("source_text_sha256"), count.alias("selected_count"), "matches",
-        (F.coalesce("_total", F.lit(0)) - count).alias("omitted_match_count"), entry_limit.alias("entry_limit"),
+        "text_id", *[F.col("_text" if c == text_col else c).alias(c) for c in keep], F.when(count > 0, F.concat(F.lit(PROMPT_HEADER + "\n"), lines)).otherwise("").alias("prompt_text"),
+        F.sha2("_text", 256).alias("source_text_sha256"), count.alias("selected_count"), F.when(count > 0, F.col("_kept")).alias("matches"),
+        (F.coalesce("_total", F.lit(0)) - count).alias("omitted_match_count"), limit.alias("entry_limit"),
     )
 
 

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from ..operators import scoring as sc, terms as tm
+from ..operators import scoring as sc
 from .matching import benchmark_terms
 from .registry import query, table
 
@@ -95,11 +95,9 @@ def translate(spark, d):
     from .. import schemas
 
     aliases = spark.createDataFrame([], schemas.ALIAS)
-    texts = table(spark, d, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id")
-    context = tm.select_context(texts, entries, aliases, "id", "text")
-    captions = texts.select("id", F.col("text").alias("source_ko"), F.lit("completed").alias("ocr_status"))
+    captions = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("source_ko"), F.lit("completed").alias("ocr_status"))
     prompts = {"qwen3": "Translate.", "glossary_instruction": "Use these terms.", "options": {"temperature": 0}, "qwen_think": False}
-    out = sc.translate(captions, context, "qwen3:4b", prompts, _echo)
+    out = sc.translate_with(captions, entries, aliases, "qwen3:4b", prompts, _echo)
     return out.select("id", "translation_status", F.col("generated_ja").isNotNull().alias("translated"), F.greatest(F.lit(0), F.size("trace")).alias("terms"), "calls")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Sequence
 from pathlib import Path
@@ -65,6 +66,43 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_BATCH_BYTES, _BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Python workers get at most a few MB at a time: ten thousand texts, which have no length limit, take many times as much."""
+    if int(spark.conf.get(_BATCH_SETTING).rstrip("b")) > _BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(_BATCH_BYTES))
+
+
+def _path_of(spark: SparkSession, folder: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write a large ``df`` to the shared checkpoint folder as Parquet and continue from the files.
+
+    Checkpoints hold plain rows, which take several times as much disk as these columns. The files go with ``discard``, or
+    else when the session ends.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    where, system = _path_of(spark, folder)
+    system.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._folder = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` wrote, once nothing that is still to be computed reads them."""
+    for df in tables:
+        where, system = _path_of(df.sparkSession, df._folder)
+        system.delete(where, True)
+
+
 _PARTITION_BYTES = 64 << 20
 
 
@@ -74,9 +112,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     Small inputs end up in one partition (one file, or one coalesced shuffle). Only where the
     planner's size estimate stays below one usual partition per core are rows spread, by ``keys``
     if given, so that the grouping or window that follows needs no further shuffle. Larger
-    inputs are returned as they are.
+    inputs are returned as they are, and so are those read straight from a file or more per core.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if not keys and df._jdf.queryExecution().executedPlan().nodeName() != "AdaptiveSparkPlan" and len(df.inputFiles()) >= cores:
+        return df
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores, *keys) if size < cores * _PARTITION_BYTES else df
 

@@ -1,7 +1,12 @@
 """Jobs, payloads, packets, reviews, scoring functions and comparisons."""
 
 import json
+import os
+import random
 import sys
+import uuid
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from pyspark import cloudpickle
@@ -9,6 +14,8 @@ from pyspark.sql import Row, functions as F
 
 from cueweave import schemas
 from cueweave.operators import reviews as rv, scoring as sc
+from cueweave.plans import QUERIES
+from cueweave.session import shared_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -131,6 +138,44 @@ def test_translate(spark):
     assert sorted(r.subtitle_id for r in sc.translation_errors(out).collect()) == ["2", "4"]
 
 
+def test_translate_asks_once_per_caption(spark, folder):
+    """Filters on the answers ask nothing again, and tasks without anything to send build no client."""
+    captions = spark.createDataFrame([(i, "x" if i < 6 else " ", "completed") for i in range(12)], "id int, source_ko string, ocr_status string").repartition(4, "id")
+    context = spark.createDataFrame([(0, "p", None)], "text_id int, prompt_text string, matches array<struct<source_id:string>>")
+
+    def make():
+        def call(payload):
+            Path(folder, uuid.uuid4().hex).touch()
+            return reply("y")
+
+        return call
+
+    out = sc.translate(captions, context, "qwen3:4b", PROMPTS, make)
+    assert out.filter("translation_status = 'completed' and generated_ja = 'y'").count() == 6 and len(os.listdir(folder)) == 6
+    assert out.filter("translation_status = 'error'").count() == 6 and len(os.listdir(folder)) == 12
+
+    def never():
+        raise AssertionError("nothing is to be sent")
+
+    assert sc.translate(captions.filter("id >= 6"), context, "qwen3:4b", PROMPTS, never).filter("calls = 0").count() == 6
+
+
+def test_translate_writes_less_than_its_texts(spark, folder):
+    """Every word of the texts is a match; what is written on the way is measured in the checkpoint folder."""
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa"]
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(400)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(words))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    used = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(urlparse(shared_folder(spark)).path) for f in files)
+    before = used()
+    out = QUERIES["translate"](spark, folder)
+    assert used() - before < sum(map(len, texts))
+    assert {tuple(r) for r in out.select("translation_status", "translated", "terms", "calls").collect()} == {("completed", True, 8, 1)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [doc_id") == 1  # what is left to do reads texts once, and so shuffles them once
+
+
 def results(spark):
     rows = [
         ("r1", "e", "g1_speech_f01", "g1", "A", True, "x"), ("r2", "e", "g1_speech_f01", "g1", "B", True, "y"),

@@ -257,3 +257,46 @@ def test_matches_without_exact_ones(spark):
     assert sorted(tuple(r) for r in tm.without_exact(longer, exact).collect() if r.text_id) == [(1, "b", 3), (2, "a", 1)]
     plan = tm.without_exact(longer, exact)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and "LeftAnti" in plan
+
+
+def test_places_are_the_matches_of_a_term_in_one_row(spark):
+    rng = random.Random(8)
+    texts = [(i, "".join(rng.choice("가나이은 .a_-") for _ in range(rng.randrange(60)))) for i in range(60)] + [(60, None), (61, "a 가 나 " * 500)]
+    norm = spark.createDataFrame(texts, "text_id int, norm string")
+    listed = tm.prepared_terms(spark.createDataFrame([(t, t) for t in ("가", "가 나", "나.가", "a", "-a", "_", "이은")], "source_id string, term string"))
+    places = tm.match_places(norm, listed)
+    rows = places.select("text_id", "source_id", F.explode("starts").alias("start"), "size").collect()
+    assert sorted((r[0], r[1], r[2], r[2] + r[3]) for r in rows) == sorted(tm.bounded_matches(norm, listed).collect())
+    assert places.count() == places.select("text_id", "source_id").distinct().count()
+
+
+def walked(rows, limit):
+    """The rules of distinct_targets, one match after the other."""
+    kept = []
+    for m in sorted(rows, key=lambda m: (m.start, m.start - m.end, m.source_type != "official_name", m.source_id)):
+        known = lambda k: set(k.target_ids) == set(m.target_ids) and (k.target_ids == m.target_ids or (k.start <= m.start and m.end <= k.end))
+        if not any(map(known, kept)):
+            kept.append(m)
+    return [(m.source_id, m.match_type, m.start, m.end) for m in kept[:limit]]
+
+
+def test_context_is_chosen_from_all_matches(spark, dictionary):
+    """Lists that name the same targets in another order, several records of one list, and guards, cues and compounds."""
+    entries, aliases = dictionary
+    more = [("alias:sword", "검", ["item:1", "item:2"], "short", "s", ["s"], "e", None, None), ("alias:twice", "쌍검 검", ["item:2", "item:1"], "short", "s", ["s"], "e", None, None),
+            ("alias:bora", "보라색", ["champion:Bora"], "nick", "s", ["s"], "e", None, None), ("alias:nowhere", "은검", None, "short", "s", ["s"], "e", None, None)]
+    aliases = aliases.unionByName(spark.createDataFrame(more, schemas.ALIAS))
+    rng = random.Random(9)
+    parts = ["보라", "보라색", "누리", "불꽃", "거대한 파도", "거대한파도", "철의방패막", "달빛검", "방패", "달검", "보", "누", "보통", "쌍검", "쌍검 검", "검", "은검", "갱킹", "선", "은", "는", "q", " ", " ", " ", "."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.choice([5, 20, 80]))) for _ in range(80)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    every: dict[int, list] = {}
+    for r in tm.dictionary_matches(df, entries, aliases).collect():
+        every.setdefault(r.text_id, []).append(r)
+    got = tm.select_context(df, entries, aliases, max_entries=4, max_characters=10_000, keep=["text"]).collect()
+    assert [r.text for r in sorted(got, key=lambda r: r.text_id)] == texts
+    for r in got:
+        rows = every.get(r.text_id, [])
+        assert found(r) == walked([m for m in rows if m.target_ids is not None], 4)
+        assert r.selected_count + r.omitted_match_count == len(rows)
+    assert sum(len(rows) for rows in every.values()) > 200
